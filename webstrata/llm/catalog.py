@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.llm.abuse import abusive_documents, score_documents, source_rates
 from webstrata.llm.chrome import chrome_lines, main_bodies
+from webstrata.llm.language import label_faults, language_segments
 from webstrata.llm.lookalike import canonical_forms, lookalike_pairs
 from webstrata.llm.packing import fill_report, pack
 from webstrata.llm.tokens import count_tokens, encode_corpus
@@ -30,6 +32,14 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_forms(table(spark, folder, "fetch_cache")).dropDuplicates(["fetch_id"])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return label_faults(table(spark, folder, "fetch_cache"))
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language_segments(table(spark, folder, "fetch_cache")).distinct()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -43,6 +53,18 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(pack(count_tokens(table(spark, folder, "documents")), containers), containers)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abusive_documents(table(spark, folder, "documents"))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"))
+
+
+def p10_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return source_rates(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q for name, q in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
