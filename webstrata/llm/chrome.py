@@ -9,8 +9,8 @@ importance are chrome.  A node seen on few pages of a host takes the importance
 Markdown has no tree.  Its lines are matched, by wording, with text whose branch is known from HTML;
 unmatched short lines follow the block they stand in; everything else is main body.
 
-Defined results: null, empty and damaged fields have no chrome and no main body; a page whose every
-branch is of low importance (an error page, a stub) keeps its most important branch.
+Defined results: null, empty and damaged fields have no chrome and no main body; redelivered fetches
+count once in the result.
 """
 
 from __future__ import annotations
@@ -29,33 +29,35 @@ IMPORTANCE = 0.85
 HOST_PAGES = 12
 
 
-def _importance(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, m, importance) of each node; counts are partial before the shuffle, and a node's many
-    wordings are summed a second time rather than collected."""
-    features = lines.groupBy(*keys, "wording").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
-    pages = lines.groupBy(*keys).agg(F.approx_count_distinct("fetch_id", 0.02).alias("m"))
-    entropy = F.least(F.log("n") / F.log(F.greatest("m", F.lit(2))), F.lit(1.0))
-    return (
-        features.join(pages, keys)
-        .groupBy(*keys)
-        .agg(F.max("m").alias("m"), (F.sum(F.col("w") * (1 - entropy)) / F.sum("w")).alias("importance"))
+def style_tree(html_lines: DataFrame) -> DataFrame:
+    """(host, path, m, importance) of every container path of every host.
+
+    Wordings are counted per host once; the tree over all hosts is summed from those counts.  A node's
+    many wordings are summed, never collected."""
+    features = materialize(
+        html_lines.groupBy("host", "path", "wording").agg(F.count("*").alias("n"), F.sum("size").alias("w")), "features"
     )
+    pages = materialize(html_lines.groupBy("host", "path").agg(F.approx_count_distinct("fetch_id", 0.02).alias("m")), "pages")
 
+    def importance(counts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+        entropy = F.least(F.log("n") / F.log(F.greatest("m", F.lit(2))), F.lit(1.0))
+        shares = counts.join(sizes, keys).groupBy(*keys)
+        return shares.agg(F.max("m").alias("m"), (F.sum(F.col("w") * (1 - entropy)) / F.sum("w")).alias("importance"))
 
-def style_tree(html_lines: DataFrame) -> DataFrame:
-    """(host, path, m, importance) of every container path of every host."""
-    by_host = _importance(html_lines, ["host", "path"])
-    overall = _importance(html_lines, ["path"]).select("path", F.col("importance").alias("overall"), F.col("m").alias("all_m"))
+    overall = importance(
+        features.groupBy("path", "wording").agg(F.sum("n").alias("n"), F.sum("w").alias("w")),
+        pages.groupBy("path").agg(F.sum("m").alias("m")),
+        ["path"],
+    )
+    by_host = importance(features, pages, ["host", "path"])
     own = F.when(F.col("m") >= HOST_PAGES, F.col("importance")).otherwise(F.col("overall"))
-    return by_host.join(overall, "path").select("host", "path", "m", own.alias("importance"))
+    return by_host.join(overall.select("path", F.col("importance").alias("overall")), "path").select("host", "path", "m", own.alias("importance"))
 
 
 def judge_html(html_lines: DataFrame, tree: DataFrame) -> DataFrame:
     """``html_lines`` with ``chrome``: whether the piece stands in a branch of low importance."""
-    judged = html_lines.join(tree.select("host", "path", "importance"), ["host", "path"])
-    best = judged.groupBy("fetch_id").agg(F.max("importance").alias("best"))
-    low = (F.col("importance") < IMPORTANCE) & (F.col("importance") < F.col("best"))
-    return judged.join(best, "fetch_id").withColumn("chrome", low)
+    nodes = tree.select("host", "path", (F.col("importance") < IMPORTANCE).alias("chrome"))
+    return html_lines.join(nodes, ["host", "path"])
 
 
 def wording_evidence(judged: DataFrame) -> DataFrame:
@@ -154,8 +156,8 @@ def _judge_rows(rows: list[list]) -> Iterator[tuple]:
 
 def judged_lines(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chrome of both fields: judged HTML pieces, and markdown lines with their statistics."""
-    lines = materialize(page_lines(fetches), "lines").distinct()
-    html = lines.where("field = 'html_gz'")
+    lines = materialize(page_lines(fetches), "lines")
+    html = lines.where("field = 'html_gz'").select("fetch_id", "host", "line_no", "path", "wording", "size")
     judged = judge_html(html, materialize(style_tree(html), "tree"))
     evidence = wording_evidence(judged)
     markdown = lines.where("field = 'markdown'").join(evidence, "wording", "left")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm.lookalike import HOMOGLYPHS, INVISIBLE
+from webstrata.llm.sampling import bounded_sample
 
 DIMENSIONS, GRAM, SEED, WHOLE_WORD = 1024, 3, 7, 5
 SAMPLE_RECORDS = 3000
@@ -140,8 +141,9 @@ def plain_line(line: str) -> str:
     return line
 
 
-def sentence_lines(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(line number, words) of the lines made of sentences: no headings, list items, rows or code."""
+def sentence_lines(text: str) -> Iterator[tuple[int, list[str], int]]:
+    """(line number, words to judge by, number of words) of the lines made of sentences: no headings,
+    list items, rows or code.  Capitalised words, mostly names, are not judged where others remain."""
     fenced = False
     for number, line in enumerate(text.split("\n"), 1):
         if _FENCE.match(line):
@@ -149,9 +151,10 @@ def sentence_lines(text: str) -> Iterator[tuple[int, list[str]]]:
         elif not fenced and len(line) > 12 and not _NO_SENTENCE.match(line):
             line = plain_line(line)
             if _ENDS.search(line) and line.count("|") < 2 and "\t" not in line:
-                words = [w for x in line.lower().split() if (w := x.strip(_STRIP)) and not w.isdigit()]
+                words = [w for x in line.split() if (w := x.strip(_STRIP)) and not w.isdigit()]
                 if len(words) >= 3:
-                    yield number, words
+                    low = [w for w in words if not w[0].isupper()]
+                    yield number, low if len(low) >= 3 else [w.lower() for w in words], len(words)
 
 
 class _Table(dict):
@@ -222,7 +225,7 @@ def train(texts: list[str], sample_lines: int = SAMPLE_LINES) -> tuple[list[str]
     profiles = {lang: Counter({w: 3 for w in words.split()}) for lang, words in COMMON.items()}
     lines: list[tuple[str, list[str]]] = []
     for text in texts:
-        for _, words in sentence_lines(text):
+        for _, words, _ in sentence_lines(text):
             votes = Counter(lang for w in words for lang in common.get(w, ()))
             ranked = votes.most_common(2)
             if ranked and ranked[0][1] >= max(3, 0.2 * len(words)) and (len(ranked) < 2 or ranked[0][1] >= 1.5 * ranked[1][1]):
@@ -264,12 +267,12 @@ def read_record(model: Model, text: str | None) -> tuple[str | None, float, int,
     per: Counter[str] = Counter()
     if len(model.rows) > KEPT_WORDS:
         model.clear()
-    for number, words in sentence_lines(text or ""):
+    for number, words, n in sentence_lines(text or ""):
         scores = model.cosines(words)
         lang = model.names[int(np.argmax(scores))]
         if scores.max() > 0 and lang != FILLER:
-            scored.append((number, scores, len(words)))
-            per[lang] += len(words)
+            scored.append((number, scores, n))
+            per[lang] += n
     if not per:
         return None, 0.0, 0, []
     main = per.most_common(1)[0][0]
@@ -296,7 +299,7 @@ def language_segments(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS)
     Prototypes are fitted to ``sample_records`` records chosen by the hash of their id, at most; every
     record is judged.  ``label`` is the language the record's label names, if any."""
     texts = fetches.select("fetch_id", "markdown").where("length(markdown) > 200")
-    sample = texts.orderBy(F.xxhash64("fetch_id"), "fetch_id").limit(sample_records).select("markdown")
+    sample = bounded_sample(texts, "fetch_id", sample_records).select("markdown")
     fitted = fetches.sparkSession.sparkContext.broadcast(train([r.markdown for r in sample.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,7 +239,7 @@ def page_lines(fetches: DataFrame, html: bool = True) -> DataFrame:
         short: dict[str, tuple] = {}
 
         def word(text: str) -> int:
-            if len(text) > 80:
+            if len(text) > 160:
                 return wording(text)
             if (w := known.get(text)) is None:
                 if len(known) > 200_000:

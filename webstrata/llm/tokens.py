@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,7 +173,7 @@ class Encoder:
 
 def text_slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``chars`` of text, a longer text alone: memory stays bounded."""
-    size = np.asarray(pa.compute.coalesce(pa.compute.utf8_length(batch.column(column)), 0)).astype(np.int64)
+    size = np.asarray(pc.coalesce(pc.utf8_length(batch.column(column)), 0)).astype(np.int64)
     group = np.cumsum(size) // chars
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
