@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from webstrata.llm.abuse import abusive_documents, score_documents, source_rates
 from webstrata.llm.chrome import chrome_lines, main_bodies
 from webstrata.llm.language import label_faults, language_segments
+from webstrata.llm.linekinds import label_shares, text_statistics, unreadable_records
 from webstrata.llm.lookalike import canonical_forms, lookalike_pairs
 from webstrata.llm.packing import fill_report, pack
+from webstrata.llm.residue import fit_classifier, residue_records, score_residue
 from webstrata.llm.tokens import count_tokens, encode_corpus
 from webstrata.session import table
 
@@ -32,6 +34,20 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_forms(table(spark, folder, "fetch_cache")).dropDuplicates(["fetch_id"])
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue_records(table(spark, folder, "fetch_cache"))
+
+
+def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_residue(table(spark, folder, "fetch_cache")).distinct()
+
+
+def p4_held_out_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision and recall of the classifier on hosts left out of its fit."""
+    report = fit_classifier(table(spark, folder, "fetch_cache"))[1]
+    return spark.createDataFrame(sorted(report.items()), "measure STRING, value DOUBLE")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return label_faults(table(spark, folder, "fetch_cache"))
 
@@ -40,6 +56,18 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     return language_segments(table(spark, folder, "fetch_cache")).distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return unreadable_records(table(spark, folder, "fetch_cache"))
+
+
+def p6_label_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return label_shares(table(spark, folder, "fetch_cache")).distinct()
+
+
+def p6_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_statistics(table(spark, folder, "fetch_cache"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 

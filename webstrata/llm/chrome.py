@@ -154,15 +154,26 @@ def _judge_rows(rows: list[list]) -> Iterator[tuple]:
         yield line, block, kind, size, stats, bool(c)
 
 
+def judged_html(html_lines: DataFrame) -> DataFrame:
+    """Pieces of HTML with their verdict, from their rows of ``page_lines``."""
+    html = html_lines.select("fetch_id", "host", "line_no", "path", "wording", "size")
+    return judge_html(html, materialize(style_tree(html), "tree"))
+
+
+EVIDENCE_COLUMNS = ["line_no", "wording", "block", "kind", "chrome_share", "seen", "size", "stats"]
+
+
+def judge_markdown(markdown_lines: DataFrame, judged: DataFrame) -> DataFrame:
+    """Markdown lines with their verdict (``MAIN_SCHEMA``), by the evidence of judged HTML."""
+    rows = markdown_lines.select("fetch_id", "line_no", "wording", "block", "kind", "size", "stats")
+    return by_page(rows.join(wording_evidence(judged), "wording", "left"), EVIDENCE_COLUMNS, _judge_rows, MAIN_SCHEMA)
+
+
 def judged_lines(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chrome of both fields: judged HTML pieces, and markdown lines with their statistics."""
     lines = materialize(page_lines(fetches), "lines")
-    html = lines.where("field = 'html_gz'").select("fetch_id", "host", "line_no", "path", "wording", "size")
-    judged = judge_html(html, materialize(style_tree(html), "tree"))
-    evidence = wording_evidence(judged)
-    markdown = lines.where("field = 'markdown'").join(evidence, "wording", "left")
-    columns = ["line_no", "wording", "block", "kind", "chrome_share", "seen", "size", "stats"]
-    return judged, by_page(markdown, columns, _judge_rows, MAIN_SCHEMA)
+    judged = judged_html(lines.where("field = 'html_gz'"))
+    return judged, judge_markdown(lines.where("field = 'markdown'"), judged)
 
 
 def chrome_lines(fetches: DataFrame) -> DataFrame:

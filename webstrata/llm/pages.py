@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.llm.language import COMMON, FILLER
 from webstrata.llm.lookalike import HOMOGLYPHS, INVISIBLE
 
 LINES_SCHEMA = (
@@ -130,7 +131,9 @@ _CSV = re.compile(r"(?:^|(?<=,))[^,\s]*(?:\s[^,\s]+)?(?=,(?=\S))")
 _MOJIBAKE = re.compile(r"[ÃÂâ][\x80-\xBF€™œž˜Ÿ½¼š¤£§©ª¨]|�|[€™œ½¼ÃÂâ]{2}")
 
 # Bits of a markdown line's statistics code.
-BULLET, COLUMNS, ENDS, LONG, DIGITS, SYMBOLS, UNBROKEN, NO_VOWELS, SHORT, GARBLED, FENCED, ITEMS, LINKED, RULE = (1 << i for i in range(14))
+STAT_BITS = "bullet columns ends long digits symbols unbroken no_vowels short garbled fenced items linked rule uncommon repeats".split()
+BULLET, COLUMNS, ENDS, LONG, DIGITS, SYMBOLS, UNBROKEN, NO_VOWELS, SHORT, GARBLED, FENCED, ITEMS, LINKED, RULE, UNCOMMON, REPEATS = (1 << i for i in range(16))
+_COMMON = frozenset(w for lang, words in COMMON.items() if lang != FILLER for w in words.split())
 
 
 def line_stats(line: str, fenced: bool) -> int:
@@ -144,11 +147,11 @@ def line_stats(line: str, fenced: bool) -> int:
         code |= BULLET
     if bare.count("|") >= 2 or "\t" in bare or bare.count(" ; ") >= 2 or ("  " in bare and len(_COLUMNS.findall(bare)) >= 2) or (bare.count(",") >= 3 and len(_CSV.findall(bare)) >= 3):
         code |= COLUMNS
-    elif bare.count("; ") >= 2:
+    elif (semis := bare.count("; ")) >= 2 and n <= 45 * (semis + 1):
         code |= ITEMS
     if len(tokens) >= 4 and _SENTENCE.search(bare[-6:]):
         code |= ENDS
-    if n >= 90:
+    if n >= 90 and not code & ITEMS:
         code |= LONG
     digits = sum(map(bare.count, "0123456789"))
     if digits >= 0.14 * n:
@@ -160,12 +163,18 @@ def line_stats(line: str, fenced: bool) -> int:
         code |= UNBROKEN
     if letters >= 12 and sum(map(bare.count, "aeiouyAEIOUYáéíóúäöüàèâêôãõаеиоуыэюяёАЕИОУЭЮЯ")) < 0.22 * letters:
         code |= NO_VOWELS
-    if len(tokens) <= 8 and not code & ENDS:
+    if (len(tokens) <= 8 and not code & ENDS) or code & ITEMS:  # a line of several short items
         code |= SHORT
     if not bare.isascii() and any(c in bare for c in "ÃÂâ�€") and len(_MOJIBAKE.findall(bare)) >= max(2, 0.02 * n):
         code |= GARBLED
     if linked and len(bare) <= 90:
         code |= LINKED
+    if len(tokens) >= 8 and not code & (COLUMNS | ITEMS):
+        low = [t.strip(".,;:!?\"'()«»“”*>") for t in bare.lower().split()]
+        if sum(map(_COMMON.__contains__, low)) < 0.1 * len(low):
+            code |= UNCOMMON
+        if len(set(low)) < 0.5 * len(low):
+            code |= REPEATS
     if not letters and not digits and set(bare) <= set("-=|:+*_ "):
         code |= RULE
     return code
@@ -227,54 +236,76 @@ def _host(url: str | None) -> str:
         return ""
 
 
-def page_lines(fetches: DataFrame, html: bool = True) -> DataFrame:
-    """Rows of ``LINES_SCHEMA`` for both fields of every fetch; markdown headings appear twice, with
-    their wording as a heading and as plain text.  Null, empty and damaged fields give no rows."""
+LINE_NAMES = [x.split()[0] for x in LINES_SCHEMA.split(", ")]
+LINE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in LINES_SCHEMA.split(", ")]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        paths: dict[str, int] = {}
-        known: dict[str, int] = {}
-        short: dict[str, tuple] = {}
-
-        def word(text: str) -> int:
-            if len(text) > 160:
-                return wording(text)
-            if (w := known.get(text)) is None:
-                if len(known) > 200_000:
-                    known.clear()
-                w = known[text] = wording(text)
-            return w
 
-        def path_digest(path: str) -> int:
-            if (p := paths.get(path)) is None:
-                if len(paths) > 200_000:
-                    paths.clear()
-                p = paths[path] = xxhash.xxh3_64_intdigest(path) - (1 << 63)
-            return p
+class LineReader:
+    """Rows of ``LINES_SCHEMA`` of pages; wordings, paths and short lines are worked out once."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.short: dict[str, tuple] = {}
+
+    def word(self, text: str) -> int:
+        if len(text) > 160:
+            return wording(text)
+        if (w := self.known.get(text)) is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            w = self.known[text] = wording(text)
+        return w
+
+    def path(self, path: str) -> int:
+        if (p := self.paths.get(path)) is None:
+            if len(self.paths) > 200_000:
+                self.paths.clear()
+            p = self.paths[path] = xxhash.xxh3_64_intdigest(path) - (1 << 63)
+        return p
+
+    def html(self, fetch_id: int, host: str, packed: bytes | None) -> Iterator[tuple]:
+        page = unpack(packed)
+        if page:
+            for line, path, leaf, text in html_pieces(page):
+                heading = leaf in ("h1", "h2", "h3", "h4")
+                w = self.word(text)
+                yield fetch_id, host, "html_gz", line, 0, "heading" if heading else "text", self.path(path), w ^ HEADING_MARK if heading else w, len(text), 0
 
+    def markdown(self, fetch_id: int, host: str, markdown: str | None) -> Iterator[tuple]:
+        """Headings come twice, with their wording as a heading and as plain text."""
+        for line, block, kind, texts, size, stats in markdown_pieces(markdown or "", self.short):
+            if kind == "heading":
+                yield fetch_id, host, "markdown", line, block, "heading", 0, self.word(" ".join(texts)) ^ HEADING_MARK, size, stats
+                kind = "plain heading"
+            for text in texts or [""]:
+                yield fetch_id, host, "markdown", line, block, kind, 0, self.word(text) if text else 0, size, stats
+
+
+def line_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(LINE_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LINE_TYPES)], names=LINE_NAMES)
+
+
+def page_lines(fetches: DataFrame, fields: tuple[str, ...] = ("html_gz", "markdown")) -> DataFrame:
+    """Rows of ``LINES_SCHEMA`` for ``fields`` of every fetch.  Null, empty and damaged fields give no
+    rows; a field that is not asked for is not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = LineReader()
         for batch in batches:
             rows: list[tuple] = []
-            for fetch_id, url, markdown, packed in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+            ids, urls = (batch.column(i).to_pylist() for i in range(2))
+            for i, (fetch_id, url) in enumerate(zip(ids, urls)):
                 host = _host(url)
-                page = unpack(packed.as_py()) if html else None
-                if page:
-                    for line, path, leaf, text in html_pieces(page):
-                        heading = leaf in ("h1", "h2", "h3", "h4")
-                        rows.append((fetch_id, host, "html_gz", line, 0, "heading" if heading else "text", path_digest(path), word(text) ^ (HEADING_MARK if heading else 0), len(text), 0))
-                if markdown:
-                    for line, block, kind, texts, size, stats in markdown_pieces(markdown, short):
-                        if kind == "heading":
-                            rows.append((fetch_id, host, "markdown", line, block, "heading", 0, word(" ".join(texts)) ^ HEADING_MARK, size, stats))
-                            kind = "plain heading"
-                        for text in texts or [""]:
-                            rows.append((fetch_id, host, "markdown", line, block, kind, 0, word(text) if text else 0, size, stats))
+                for k, field in enumerate(fields, 2):
+                    value = batch.column(k)[i].as_py()
+                    if value:
+                        rows.extend(reader.html(fetch_id, host, value) if field == "html_gz" else reader.markdown(fetch_id, host, value))
                 if len(rows) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    yield line_batch(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                yield line_batch(rows)
 
-    packed = F.col("html_gz") if html else F.lit(None).cast("binary")
-    return fetches.select(F.col("fetch_id").cast("long"), "url", "markdown", packed.alias("html_gz")).mapInArrow(run, LINES_SCHEMA)
+    return fetches.select(F.col("fetch_id").cast("long"), "url", *fields).mapInArrow(run, LINES_SCHEMA)
