@@ -5,6 +5,7 @@ Null in, null out.  Text that is no URL keeps flowing: parts that cannot be foun
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,6 +49,12 @@ TWO_LABEL_SUFFIXES = [f"{a}.{b}" for b in ("uk", "br", "au", "nz", "jp", "za", "
 KNOWN_TLDS = "com net org edu gov int info biz io dev app co us uk br au nz jp za ar mx in kr tr de fr es it pt ru nl be ch at pl se no dk fi ie ca cn eu me tv".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: as a lambda's variable it is not copied into every
+    place that mentions it, which keeps nested rewrites small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_scheme(url: Column) -> Column:
     """Trimmed, with ``http://`` where no scheme is given."""
     raw = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")
@@ -110,6 +117,10 @@ def video_id(url: Column) -> Column:
 
 
 def canonical_video(url: Column) -> Column:
+    return let(url, _canonical_video)
+
+
+def _canonical_video(url: Column) -> Column:
     others = F.filter(F.split(part(url, "query"), "&"), lambda x: (x != "") & ~x.startswith("v="))
     watch = F.concat(F.lit("https://youtube.com/watch?v="), F.array_join(F.concat(F.array(video_id(url)), others), "&"))
     query = part(url, "query")
@@ -124,6 +135,10 @@ def query_value(query: Column, name: str) -> Column:
 
 
 def canonical_wiki(url: Column) -> Column:
+    return let(url, _canonical_wiki)
+
+
+def _canonical_wiki(url: Column) -> Column:
     at_title = rf"(?is){_WIKI_HOST}/wiki/(.+)"
     at_index = rf"(?i){_WIKI_HOST}/w/index\.php"
     pairs = F.filter(F.split(part(url, "query"), "&"), lambda x: x.contains("="))
@@ -149,7 +164,11 @@ def canonical_wiki(url: Column) -> Column:
 
 def wrapped_target(url: Column) -> Column:
     """The address a link wrapper points to, or null; the first wrapper that fits decides."""
-    host, path, query = host_of(url), part(url, "path"), part(url, "query")
+    parts = F.struct(host_of(url).alias("host"), part(url, "path").alias("path"), part(url, "query").alias("query"))
+    return let(parts, lambda p: _wrapped_target(p["host"], p["path"], p["query"]))
+
+
+def _wrapped_target(host: Column, path: Column, query: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, prefix, names in reversed(WRAPPERS):
         targets = [query_value(query, n) for n in names]
@@ -160,7 +179,7 @@ def wrapped_target(url: Column) -> Column:
 
 def unwrap(url: Column, depth: int = 3) -> Column:
     for _ in range(depth):
-        url = F.coalesce(wrapped_target(url), url)
+        url = let(url, lambda u: F.coalesce(wrapped_target(u), u))
     return url
 
 
@@ -188,7 +207,10 @@ def canonical_query(host: Column, query: Column) -> Column:
 def normalize_url(url: Column) -> Column:
     """One canonical address per page: wrappers undone, video and wiki forms folded, scheme and host in
     lower case, default port, fragment, closing slash, AMP marks and tracking dropped, keys sorted."""
-    raw = canonical_wiki(canonical_video(unwrap(with_scheme(url))))
+    return F.when(url == "", url).otherwise(let(canonical_wiki(canonical_video(unwrap(with_scheme(url)))), _normal_form))
+
+
+def _normal_form(raw: Column) -> Column:
     scheme, netloc, host = F.lower(part(raw, "scheme")), part(raw, "netloc"), host_of(raw)
     user = F.regexp_extract(netloc, r"^(.*@)", 1)
     port = F.regexp_extract(netloc, r":(\d+)$", 1)
@@ -198,8 +220,7 @@ def normalize_url(url: Column) -> Column:
     bare = F.rtrim(path, F.lit("/"))
     path = F.when((path != "/") & path.endswith("/"), F.when(bare == "", "/").otherwise(bare)).otherwise(path)
     query = canonical_query(host, part(raw, "query"))
-    out = F.concat(scheme, F.lit("://"), user, host, port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(url == "", url).otherwise(out)
+    return F.concat(scheme, F.lit("://"), user, host, port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def registered_domain(url: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES, tlds: list[str] = KNOWN_TLDS) -> Column:

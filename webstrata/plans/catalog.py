@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import training
+from webstrata.plans import training, urls
 
-MODULES = [training]
+MODULES = [training, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
