@@ -30,6 +30,7 @@ THRESHOLDS = {"abusive": 1.2, "hateful": 1.2, "sexual": 1.3}
 FUZZY_FROM, FUZZY_TWO_FROM = 6, 11
 FUZZY_SHARE = 0.6
 KEPT_TOKENS = 200_000
+STRONG = 0.4  # a sentence is scored if a term of it weighs as much
 
 _TO_LATIN = str.maketrans({c: latin for latin, others in (x.split(":") for x in HOMOGLYPHS.split()) for c in others})
 _TO_CYRILLIC = str.maketrans(dict(zip("AaBCcEeHKMOoPpTXxyi", "АаВСсЕеНКМОоРрТХхуі")))
@@ -196,11 +197,12 @@ class Scorer:
         return best
 
     def text(self, text: str | None) -> tuple[float, float, float]:
-        """The highest sentence score of each kind."""
+        """The highest score of each kind among sentences that hold a strong term."""
         best = [0.0, 0.0, 0.0]
         if text:
+            weigh = self.chunks.__getitem__
             for sentence in _SENTENCE.split(self.plain(text)):
-                if sentence and not sentence.isspace():
+                if max(map(weigh, sentence.split()), default=0.0) >= STRONG:
                     scores = self.sentence(sentence)
                     best = [max(b, scores[k]) for b, k in zip(best, KINDS)]
         return tuple(round(b, 4) for b in best)
@@ -216,7 +218,7 @@ class Scorer:
         return weight
 
     def texts(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
-        """Scores of many texts; one whose tokens cannot add up to a case is not looked at closer."""
+        """Scores of many texts; one without a strong term in any spelling scores 0."""
         if len(self.chunks) > KEPT_TOKENS:
             self.chunks.clear()
         out = []
@@ -228,7 +230,7 @@ class Scorer:
             weights = np.fromiter(map(weigh, text.split()), np.float32)
             singles = weights < 0
             spaced = len(weights) > 3 and bool((singles[:-3] & singles[1:-2] & singles[2:-1] & singles[3:]).any())
-            out.append(self.text(text) if spaced or weights.sum(where=weights > 0) >= 0.8 else (0.0, 0.0, 0.0))
+            out.append(self.text(text) if spaced or weights.max(initial=0.0) >= STRONG else (0.0, 0.0, 0.0))
         return out
 
 
