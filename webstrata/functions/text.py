@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webstrata.functions.urls import let
+
 # Words, phrases and openings that mark generated text.
 SLOP_WORDS = (
     "delve delving delved utilize utilizing utilized utilization facilitate facilitating facilitated elucidate elucidating elucidated embark embarking embarked "
@@ -31,7 +34,10 @@ CJK = "\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FA
 
 
 def half_even(x: Column, places: int = 4) -> Column:
-    return F.bround(x, places)
+    """Rounded as binary floating point is: the scaled value goes to the nearest whole number, ties to
+    the even one.  ``bround`` works on the shortest decimal form and sees ties where there are none."""
+    scale = float(10**places)
+    return F.rint(x * scale) / scale
 
 
 def word_count(text: Column) -> Column:
@@ -78,7 +84,10 @@ def sentence_length_cv(text: Column) -> Column:
     """Deviation of words per sentence over their mean; 0.5 below five sentences."""
     # the end of the text closes a match, so that an unterminated tail is read once, and then dropped
     found = F.filter(F.regexp_extract_all(text, F.lit(r"[^.!?]+(?:[.!?]+|\z)"), F.lit(0)), lambda s: s.rlike(r"[.!?]\z"))
-    counts = F.transform(found, lambda s: word_count(s).cast("double"))
+    return let(F.transform(found, lambda s: word_count(s).cast("double")), _variation)
+
+
+def _variation(counts: Column) -> Column:
     n = F.size(counts)
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
@@ -94,25 +103,34 @@ def em_dash_density(text: Column, n_words: Column) -> Column:
 
 def transition_ratio(text: Column) -> Column:
     """Share of paragraphs that open with a transition word; 0 below three paragraphs."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
-    n = F.size(paragraphs)
-    first = F.transform(paragraphs, lambda p: F.regexp_replace(F.lower(F.regexp_extract(p, r"(?U)^\S+", 0)), r"[.,;:]+$", ""))
-    return F.when(n < 3, 0.0).otherwise(F.size(F.filter(first, lambda w: w.isin(*TRANSITIONS))) / n)
+    first = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_extract(p, r"(?U)^\s*(\S+)", 1))
+    opened = F.transform(F.filter(first, lambda p: p != ""), lambda p: F.regexp_replace(F.lower(p), r"[.,;:]+$", ""))
+    share = lambda x: F.size(F.filter(x, lambda w: w.isin(*TRANSITIONS))) / F.size(x)
+    return let(opened, lambda x: F.when(F.size(x) < 3, 0.0).otherwise(share(x)))
 
 
 def mattr(words: Column, window: int = MATTR_WINDOW) -> Column:
-    """Distinct words per sliding window, averaged; plain ratio of a text shorter than one window."""
+    """Distinct words per sliding window, averaged; plain ratio of a text shorter than one window.
+    ``words`` is read once per window: bind it first."""
     n = F.size(words)
     windows = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
     ratios = F.transform(windows, lambda i: F.size(F.array_distinct(F.slice(words, i, window))) / F.lit(float(window)))
-    moving = F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.size(ratios)
+    moving = F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.size(windows)
     return F.when(n == 0, 1.0).when(n < window, F.size(F.array_distinct(words)) / n).otherwise(moving)
 
 
 def signals(text: Column) -> Column:
     """The six text signals; neutral values for texts under 200 characters."""
-    words = words_of(text)
-    full = F.struct(
+    full = let(words_of(text), lambda words: _full_signals(text, words))
+    neutral = F.struct(
+        F.lit(0.0).alias("slop_vocab_ratio"), F.lit(0).alias("slop_phrase_count"), F.lit(0.5).alias("sentence_length_cv"),
+        F.lit(0.0).alias("em_dash_density"), F.lit(0.0).alias("transition_start_ratio"), F.lit(1.0).alias("type_token_ratio"),
+    )
+    return F.when(text.isNull() | (F.length(text) < SHORT_TEXT), neutral).otherwise(full)
+
+
+def _full_signals(text: Column, words: Column) -> Column:
+    return F.struct(
         half_even(slop_vocab_ratio(words)).alias("slop_vocab_ratio"),
         slop_phrase_count(text).alias("slop_phrase_count"),
         half_even(sentence_length_cv(text)).alias("sentence_length_cv"),
@@ -120,11 +138,6 @@ def signals(text: Column) -> Column:
         half_even(transition_ratio(text)).alias("transition_start_ratio"),
         half_even(mattr(words)).alias("type_token_ratio"),
     )
-    neutral = F.struct(
-        F.lit(0.0).alias("slop_vocab_ratio"), F.lit(0).alias("slop_phrase_count"), F.lit(0.5).alias("sentence_length_cv"),
-        F.lit(0.0).alias("em_dash_density"), F.lit(0.0).alias("transition_start_ratio"), F.lit(1.0).alias("type_token_ratio"),
-    )
-    return F.when(text.isNull() | (F.length(text) < SHORT_TEXT), neutral).otherwise(full)
 
 
 def slop_score(s: Column, boilerplate: Column, has_byline: Column, has_date: Column, n_words: Column) -> Column:
@@ -159,17 +172,23 @@ def decode_tags(run: Column) -> Column:
 
 def payloads(text: Column) -> Column:
     """Array of (kind, raw, decoded) hidden runs that can carry a message; empty for null."""
+    text = F.coalesce(text, F.lit(""))
+
+    def printable(run: Column) -> Column:
+        return F.length(F.regexp_replace(decode_tags(run), r"[^ -~\n\t]", "")) >= 0.9 * F.length(run)
+
+    def varied(least: int) -> Callable[[Column], Column]:
+        return lambda run: F.size(F.array_distinct(F.split(run, ""))) >= least
+
+    def record(kind: str) -> Callable[[Column], Column]:
+        decoded = decode_tags if kind == "tag_block" else lambda _: F.lit(None).cast("string")
+        return lambda run: F.struct(F.lit(kind).alias("kind"), run.alias("raw"), decoded(run).alias("decoded"))
+
     found = []
-    for kind, (pattern, distinct) in PAYLOADS.items():
-        runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-        if kind == "tag_block":
-            printable = lambda r: F.length(F.regexp_replace(decode_tags(r), r"[^ -~\n\t]", "")) >= 0.9 * F.length(r)
-            kept = F.filter(runs, printable)
-            decoded = decode_tags
-        else:
-            kept = F.filter(runs, lambda r, d=distinct: F.size(F.array_distinct(F.split(r, ""))) >= d)
-            decoded = lambda r: F.lit(None).cast("string")
-        found.append(F.transform(kept, lambda r, k=kind, d=decoded: F.struct(F.lit(k).alias("kind"), r.alias("raw"), d(r).alias("decoded"))))
+    for kind, (pattern, least) in PAYLOADS.items():
+        runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        kept = F.filter(runs, printable if kind == "tag_block" else varied(least))
+        found.append(F.transform(kept, record(kind)))
     return F.concat(*found)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import training, urls
+from webstrata.plans import pages, training, urls
 
-MODULES = [training, urls]
+MODULES = [training, urls, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
