@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import pages, training, urls
+from webstrata.plans import inputs, logs, pages, ranking, records, state, training, urls
 
-MODULES = [training, urls, pages]
+MODULES = [training, urls, pages, logs, state, ranking, records, inputs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
