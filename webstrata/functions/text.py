@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webstrata.functions.urls import let
 
@@ -109,38 +112,42 @@ def transition_ratio(text: Column) -> Column:
     return let(opened, lambda x: F.when(F.size(x) < 3, 0.0).otherwise(share(x)))
 
 
-def mattr(words: Column, window: int = MATTR_WINDOW) -> Column:
-    """Distinct words per sliding window, averaged; plain ratio of a text shorter than one window.
-    ``words`` is read once per window: bind it first."""
-    n = F.size(words)
-    windows = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
-    ratios = F.transform(windows, lambda i: F.size(F.array_distinct(F.slice(words, i, window))) / F.lit(float(window)))
-    moving = F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.size(windows)
-    return F.when(n == 0, 1.0).when(n < window, F.size(F.array_distinct(words)) / n).otherwise(moving)
-
-
-def signals(text: Column) -> Column:
-    """The six text signals; neutral values for texts under 200 characters."""
-    full = let(words_of(text), lambda words: _full_signals(text, words))
-    neutral = F.struct(
-        F.lit(0.0).alias("slop_vocab_ratio"), F.lit(0).alias("slop_phrase_count"), F.lit(0.5).alias("sentence_length_cv"),
-        F.lit(0.0).alias("em_dash_density"), F.lit(0.0).alias("transition_start_ratio"), F.lit(1.0).alias("type_token_ratio"),
-    )
-    return F.when(text.isNull() | (F.length(text) < SHORT_TEXT), neutral).otherwise(full)
-
-
-def _full_signals(text: Column, words: Column) -> Column:
+@F.pandas_udf(T.DoubleType())
+def mattr(words: pd.Series) -> pd.Series:
+    """Distinct words per sliding window, averaged; plain ratio of a text shorter than one window, 1 for
+    none.  One window is turned into the next in one step, where built-in expressions would rebuild it;
+    ratios are added in order, as their sum decides the last digit."""
+
+    def one(text: list[str] | None) -> float:
+        n = 0 if text is None else len(text)
+        if n < MATTR_WINDOW:
+            return len(set(text)) / n if n else 1.0
+        held = Counter(text[:MATTR_WINDOW])
+        total = len(held) / MATTR_WINDOW
+        for leaving, entering in zip(text, text[MATTR_WINDOW:]):
+            held[entering] += 1
+            if held[leaving] == 1:
+                del held[leaving]
+            else:
+                held[leaving] -= 1
+            total += len(held) / MATTR_WINDOW
+        return total / (n - MATTR_WINDOW + 1)
+
+    return words.map(one)
+
+
+def word_signals(text: Column, words: Column) -> Column:
+    """Five of the six text signals, from a text and its words."""
     return F.struct(
         half_even(slop_vocab_ratio(words)).alias("slop_vocab_ratio"),
         slop_phrase_count(text).alias("slop_phrase_count"),
         half_even(sentence_length_cv(text)).alias("sentence_length_cv"),
         half_even(em_dash_density(text, F.size(words))).alias("em_dash_density"),
         half_even(transition_ratio(text)).alias("transition_start_ratio"),
-        half_even(mattr(words)).alias("type_token_ratio"),
     )
 
 
-def slop_score(s: Column, boilerplate: Column, has_byline: Column, has_date: Column, n_words: Column) -> Column:
+def slop_score(s: Column | dict[str, Column], boilerplate: Column, has_byline: Column, has_date: Column, n_words: Column) -> Column:
     """One score from signals and metadata, higher being worse."""
     thin = F.when(n_words < 50, 0.25).when(n_words < 150, 0.15).when(n_words < 400, 0.08).otherwise(0.0)
     total = (

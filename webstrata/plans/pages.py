@@ -11,6 +11,7 @@ from webstrata.functions import classify as C
 from webstrata.functions import text as T
 from webstrata.functions.urls import host_of, part
 from webstrata.operators.envelope import envelopes
+from webstrata.operators.signals import text_signals as text_signals_of
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,9 +146,11 @@ SELECT doc_id, words, cjk_words, length(t) // 4 AS tokens, round_even(least(1.0,
 def text_signals(spark: SparkSession, folder: str) -> DataFrame:
     """The six text signals and the score made of them (TXT08 to TXT15)."""
     rows = texts(spark, folder).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    found = rows.select("doc_id", T.signals(F.col("text")).alias("s"), T.word_count(F.col("text")).alias("n"))
-    score = T.slop_score(F.col("s"), F.lit(0.25), F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0, F.col("n"))
-    return found.select("doc_id", "s.*", score.alias("slop_score"))
+    found = text_signals_of(rows, "doc_id", "text").withColumn("n", T.word_count(F.col("text")))
+    names = ["slop_vocab_ratio", "slop_phrase_count", "sentence_length_cv", "em_dash_density", "transition_start_ratio", "type_token_ratio"]
+    s = {c: F.col(c) for c in names}
+    score = T.slop_score(s, F.lit(0.25), F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0, F.col("n"))
+    return found.select("doc_id", *names, score.alias("slop_score"))
 
 
 # Word characters other than a to z count as 0, after which ASCII word borders are Unicode ones.
