@@ -210,7 +210,7 @@ def lookalike_members(fetches: DataFrame, columns: list[str] = ("title", "markdo
     """The rows of ``form_keys`` whose form is written in at least two ways, redelivered rows once."""
     keys = materialize(form_keys(fetches, columns), "forms")
     several = keys.groupBy("field", "form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("field", "form")
-    return keys.join(several, ["field", "form"], "left_semi").distinct()
+    return keys.where("fetch_id IS NOT NULL").join(several, ["field", "form"], "left_semi").distinct()
 
 
 def lookalike_pairs(fetches: DataFrame, columns: list[str] = ("title", "markdown")) -> DataFrame:
