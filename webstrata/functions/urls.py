@@ -253,3 +253,57 @@ def route_key(url: Column) -> Column:
         .when(F.size(segments) == 1, F.concat(domain, F.lit("/"), first))
         .otherwise(F.concat(domain, F.lit("/"), first, F.lit("/*")))
     )
+
+
+ATTRIBUTION = ["_pos", "_sid", "_ss", "_psq", "_fid", "_v", "pr_prod_strat", "pr_rec_id", "pr_ref_pid", "pr_rec_pid", "pr_seq", "variant_source"]
+
+
+def clean_product_url(path: Column, origin: Column, attribution: list[str] = ATTRIBUTION) -> Column:
+    """A product's absolute address without attribution parameters and fragment (URL16)."""
+    absolute = F.when(path.rlike("^https?://"), path).when(path.startswith("//"), F.concat(F.lit("https:"), path)).otherwise(F.concat(origin, F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+    bare = F.substring_index(absolute, "#", 1)
+    kept = F.array_join(F.filter(F.split(part(bare, "query"), "&"), lambda t: (t != "") & ~F.substring_index(t, "=", 1).isin(*attribution)), "&")
+    return F.concat(F.substring_index(bare, "?", 1), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+
+
+def clean_image_url(src: Column) -> Column:
+    """An image's address without the size a delivery network appends (URL17)."""
+    absolute = F.when(src.startswith("//"), F.concat(F.lit("https:"), src)).otherwise(src)
+    sized = F.regexp_replace(absolute, r"(?i)(\.(?:jpe?g|png|webp|avif))_[^/]*$", "$1")
+    return F.nullif(F.regexp_replace(F.trim(sized), r"(?i)\._[A-Z0-9_,.-]+_\.(jpe?g|png|webp)$", ".$1"), F.lit(""))
+
+
+def shopping_search_url(url: Column) -> Column:
+    """The search form of an outdated shopping address, other addresses unchanged (URL18)."""
+    query = part(url, "query")
+    q = query_value(F.replace(query, F.lit("+"), F.lit("%20")), "q")
+    extra = [F.when(query_value(query, k) != "", F.concat(F.lit(f"{k}="), F.url_encode(query_value(query, k)))) for k in ("gl", "hl")]
+    written = F.concat(part(url, "scheme"), F.lit("://"), part(url, "netloc"), F.lit("/search?"), F.concat_ws("&", F.concat(F.lit("q="), F.url_encode(q)), F.lit("udm=28"), *extra))
+    return F.when(part(url, "path").startswith("/shopping") & (q != ""), written).otherwise(url)
+
+
+CHANNEL_TABS = ["videos", "streams", "shorts", "playlists", "live", "featured", "community", "releases", "podcasts"]
+
+
+def channel_listing_url(url: Column) -> Column:
+    """A channel's address on its video tab, unless it names a tab (URL21)."""
+    path = part(url, "path")
+    last = F.lower(F.element_at(F.concat(F.array(F.lit("")), F.filter(F.split(path, "/"), lambda s: s != "")), -1))
+    tab = F.when(last.isin(*CHANNEL_TABS), path).otherwise(F.concat(F.rtrim(path, F.lit("/")), F.lit("/videos")))
+    return F.concat(part(url, "scheme"), F.lit("://"), part(url, "netloc"), tab)
+
+
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def fold_accents(text: Column) -> Column:
+    """Lower-case ASCII words of a text, accents of Latin letters dropped (TXT22)."""
+    return F.regexp_extract_all(F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), r"[^\x00-\x7F]", ""), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def strip_html(html: Column) -> Column:
+    """Text of a fragment: line breaks kept, other tags as blanks, blanks collapsed (TXT26)."""
+    broken = F.regexp_replace(html, r"(?i)<br\s*/?>", "\n")
+    bare = F.regexp_replace(F.regexp_replace(broken, r"<[^>]+>", " "), r"[ \t]+", " ")
+    return F.trim(F.regexp_replace(bare, r" ?\n ?", "\n"))

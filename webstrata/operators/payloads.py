@@ -131,3 +131,74 @@ def product_fields(o: Column) -> Column:
         get("$.aggregateRating.ratingValue").try_cast("double").alias("rating"),
         get("$.aggregateRating.ratingCount").try_cast("long").alias("ratings"),
     )
+
+
+def repository_record(body: Column) -> Column:
+    """A code repository (ADP16), or null where the body is none."""
+    get = lambda p: F.get_json_object(body, p)
+    spdx = get("$.license.spdx_id")
+    return F.when(
+        F.try_parse_json(body).isNotNull() & get("$.full_name").isNotNull(),
+        F.struct(
+            get("$.full_name").alias("full_name"),
+            F.nullif(get("$.description"), F.lit("")).alias("description"),
+            get("$.stargazers_count").try_cast("long").alias("stars"),
+            F.when(F.coalesce(spdx, F.lit("")).isin("", "NOASSERTION"), get("$.license.name")).otherwise(spdx).alias("license"),
+            F.from_json(get("$.topics"), "array<string>").alias("topics"),
+            F.coalesce(get("$.archived").try_cast("boolean"), F.lit(False)).alias("archived"),
+        ),
+    )
+
+
+def thread_record(body: Column) -> Column:
+    """An issue or merge request of a forge (ADP14), or null where the body is none."""
+    get = lambda p: F.nullif(F.trim(F.get_json_object(body, p)), F.lit(""))
+    return F.when(
+        F.try_parse_json(body).isNotNull() & get("$.iid").isNotNull() & get("$.title").isNotNull(),
+        F.struct(
+            get("$.iid").try_cast("long").alias("iid"), get("$.title").alias("title"), get("$.state").alias("state"), get("$.author.username").alias("author"),
+            F.from_json(get("$.labels"), "array<string>").alias("labels"), get("$.source_branch").alias("source_branch"), get("$.target_branch").alias("target_branch"),
+        ),
+    )
+
+
+def thread_notes(body: Column, limit: int) -> Column:
+    """The first comments of a thread, system notes and empty ones left out; none for other bodies."""
+    notes = F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), "array<struct<body: string, system: boolean, created_at: string, author: struct<username: string>>>")
+    kept = F.filter(notes, lambda n: ~F.coalesce(n["system"], F.lit(False)) & (F.trim(F.coalesce(n["body"], F.lit(""))) != ""))
+    return F.coalesce(F.slice(kept, 1, limit), F.array().cast(kept_type()))
+
+
+def kept_type() -> str:
+    return "array<struct<body: string, system: boolean, created_at: string, author: struct<username: string>>>"
+
+
+def package_record(body: Column, version: Column) -> Column:
+    """A package of a registry document (ADP17) at ``version``, the latest where it is null; null for an
+    unknown version or another body."""
+    get = lambda p: F.get_json_object(body, p)
+    versions = F.from_json(get("$.versions"), "map<string, struct<description: string, license: string, repository: string, dependencies: map<string, string>, deprecated: string>>")
+    chosen = F.coalesce(version, get('$["dist-tags"].latest'), get("$['dist-tags'].latest"))
+    info = F.try_element_at(versions, chosen)
+    return F.when(
+        get("$.name").isNotNull() & info.isNotNull(),
+        F.struct(
+            get("$.name").alias("name"),
+            chosen.alias("version"),
+            F.coalesce(info["description"], get("$.description")).alias("description"),
+            F.coalesce(info["license"], get("$.license.type"), get("$.license")).alias("license"),
+            V.repository_url(F.coalesce(get("$.repository.url"), get("$.repository"))).alias("repository"),
+            F.coalesce(F.array_sort(F.map_keys(info["dependencies"])), F.array().cast("array<string>")).alias("dependencies"),
+            F.size(versions).alias("version_count"),
+            info["deprecated"].alias("deprecated"),
+        ),
+    )
+
+
+STARS = {5: "fiveStarNum", 4: "fourStarNum", 3: "threeStarNum", 2: "twoStarNum", 1: "oneStarNum"}
+
+
+def rating_histogram(statistic: Column) -> Column:
+    """Stars to counts of a rating statistic in JSON (AGG06); stars without a number are left out."""
+    counts = F.array(*[F.struct(F.lit(k).alias("key"), F.get_json_object(statistic, f"$.{name}").try_cast("long").alias("value")) for k, name in STARS.items()])
+    return F.map_from_entries(F.filter(counts, lambda x: x["value"].isNotNull()))
