@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import inputs, logs, pages, ranking, records, routes, state, training, urls
+from webstrata.plans import inputs, listings, logs, pages, ranking, records, routes, state, training, urls
 
-MODULES = [training, urls, pages, logs, state, ranking, records, inputs, routes]
+MODULES = [training, urls, pages, logs, state, ranking, records, inputs, routes, listings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
