@@ -43,8 +43,8 @@ PLACEHOLDERS = [
     r"\{\{[^{}\n]{0,60}\}\}", r"[$#]\{[^{}\n]{1,60}\}", r"<%[=-]?\s[^%\n]{1,80}%>", r"\{%[^%\n]{1,80}%\}", r"\[\[\s?[\w.]+\s?\]\]", r"%%\w+%%", r"@@\w+@@",
     r"\*\|[\w:]+\|\*", r"<<\s?\w+\s?>>", r"(?<!\w)__[A-Za-z]+_[A-Z]+__(?!\w)", r"\[(?:INSERT|YOUR|ADD|ENTER)\b[^\]\n]{0,40}\]", r"(?<![\w$#{%])\{[a-z][a-z_.]{1,30}\}(?!\})",
     r"(?<![\w$#{%])\{\d\}", r"\b(?:TODO|FIXME|TBD):\s", r"(?<![\w.'\"])undefined(?![\w.'\"])", r"(?<![\w.])NaN(?![\w.])", r"\bnull null\b", r"\[object Object\]", r"\[object \w+\]",
-    r"(?i)\byour (?:\w+ ){1,2}goes here\b", r"(?i)\bescribe aquí tu\b", r"(?i)\b(?:escreva|digite|insira) aqui (?:o )?(?:seu|sua)\b", r"(?i)\b(?:votre|saisissez|écrivez) (?:\w+ ){0,2}ici\b",
-    r"(?i)\bhier (?:steht|kommt|folgt) (?:ihre?|deine?) \w+", r"(?i)\b(?:scrivi|inserisci) qui (?:il tuo|la tua)\b", r"(?i)здесь (?:будет|должен быть) (?:ваш )?текст", r"(?i)\bsample text\b", r"(?i)\bplaceholder text\b",
+    r"(?i)\byour (?:\w+ ){1,2}goes here\b", r"(?i)\bescribe aquí tu\b", r"(?i)\b(?:escreva|digite|insira|coloque) aqui (?:[oa] )?(?:seu|sua)\b", r"(?i)\b(?:votre|saisissez|écrivez) (?:\w+ ){0,2}ici\b",
+    r"(?i)\bhier (?:steht|kommt|folgt) (?:ihre?|deine?) \w+", r"(?i)\b(?:scrivi|inserisci) qui (?:il|la|i|le) tu\w+\b", r"(?i)здесь (?:будет|должен быть) ваш\w* \w+", r"(?i)\bsample text\b", r"(?i)\bplaceholder text\b",
 ]
 # Phrases of error pages, access checks and script notices.
 PHRASES = [
