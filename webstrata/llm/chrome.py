@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: a node per container path, below i
 appear there and on how many pages.  A wording spread evenly over n of a node's m pages has entropy
 log_m n, so repeated menu entries carry next to nothing and unique sentences everything; a node's
 importance is the mean of one minus entropy over its text, weighted by length.  Branches of low
-importance are chrome.  A node seen on few pages of a host takes the importance it has over all hosts.
+importance are chrome.  The fewer pages of a host a node was seen on, the more the importance it has
+over all hosts counts.
 
 Markdown has no tree.  Its lines are matched, by wording, with text whose branch is known from HTML;
 unmatched short lines follow the block they stand in; everything else is main body.
@@ -26,7 +27,7 @@ from webstrata.llm.pages import page_lines
 from webstrata.session import materialize
 
 IMPORTANCE = 0.85
-HOST_PAGES = 12
+PRIOR_PAGES = 50  # pages of a host that weigh as much as all hosts together
 
 
 def style_tree(html_lines: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def style_tree(html_lines: DataFrame) -> DataFrame:
         ["path"],
     )
     by_host = importance(features, pages, ["host", "path"])
-    own = F.when(F.col("m") >= HOST_PAGES, F.col("importance")).otherwise(F.col("overall"))
+    own = (F.col("m") * F.col("importance") + PRIOR_PAGES * F.col("overall")) / (F.col("m") + PRIOR_PAGES)
     return by_host.join(overall.select("path", F.col("importance").alias("overall")), "path").select("host", "path", "m", own.alias("importance"))
 
 
