@@ -8,8 +8,7 @@ absent.
 from __future__ import annotations
 
 import atexit
-import os
-import shutil
+import io
 import tempfile
 import uuid
 import zipfile
@@ -41,14 +40,28 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_webstrata_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="webstrata-code-")
-    archive = os.path.join(folder, "webstrata_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for path in sorted(package.rglob("*.py")):
             z.write(path, path.relative_to(package.parent))
-    context.addPyFile(archive)
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context._webstrata_shipped = True
+    try:
+        context.addPyFile(write_shared(spark, "webstrata_code.zip", held.getvalue()))
+    except RuntimeError:  # no shared folder is named: the executors have to have the package installed
+        pass
+
+
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write ``data`` as a file of the shared folder; its address is returned.  It goes at exit."""
+    folder = f"{shared_dir(spark)}/webstrata-files-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    _remove_at_exit(spark, folder)
+    return f"{folder}/{name}"
 
 
 def shared_dir(spark: SparkSession) -> str:
