@@ -53,8 +53,8 @@ def _minimal(words: list[bytes]) -> _State:
     return root
 
 
-def write_lexicon(path: str, entries: Iterable[tuple[bytes, list[int]]]) -> int:
-    """Compile (word, ids) pairs to ``path``; the number of words is returned."""
+def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
+    """(word, ids) pairs compiled; the bytes are those of a lexicon file."""
     table = dict(entries)
     words = sorted(table)
     root = _minimal(words)
@@ -91,12 +91,10 @@ def write_lexicon(path: str, entries: Iterable[tuple[bytes, list[int]]]) -> int:
         first.append(len(labels))
     lengths = [len(table[w]) for w in words]
     flat = [i for w in words for i in table[w]]
-    with open(path, "wb") as f:
-        f.write(_HEADER.pack(len(order), len(labels), len(words), len(flat), 0))
-        for values in (first, targets, skips, np.cumsum([0, *lengths]), flat, [s.final for s in order]):
-            f.write(np.asarray(values, np.int32).tobytes())
-        f.write(bytes(labels))
-    return len(words)
+    parts = [_HEADER.pack(len(order), len(labels), len(words), len(flat), 0)]
+    for values in (first, targets, skips, np.cumsum([0, *lengths]), flat, [s.final for s in order]):
+        parts.append(np.asarray(values, np.int32).tobytes())
+    return b"".join([*parts, bytes(labels)])
 
 
 class Lexicon:

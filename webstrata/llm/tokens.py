@@ -12,8 +12,8 @@ import heapq
 import os
 import re
 import sys
-import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -25,7 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.lexicon import Lexicon, write_lexicon
+from webstrata.llm.lexicon import Lexicon, compile_lexicon
+from webstrata.session import write_shared
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -218,11 +219,10 @@ def build_lexicon(documents: DataFrame, ranks: dict[bytes, int], text: str = "te
     all documents."""
     top = word_counts(documents, text).where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word")
     frequent = [r.word for r in top.toLocalIterator()]
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    path = os.path.join(folder, f"{os.path.basename(folder)}.bin")
-    write_lexicon(path, ((w.encode(), merge(w.encode(), ranks)) for w in frequent))
-    documents.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
+    compiled = compile_lexicon((w.encode(), merge(w.encode(), ranks)) for w in frequent)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    documents.sparkSession.sparkContext.addFile(write_shared(documents.sparkSession, name, compiled))
+    return name
 
 
 def tokenizer_ranks(spark: SparkSession, directory: str = TOKENIZERS, name: str = BYTE_BPE):  # noqa: ANN201
