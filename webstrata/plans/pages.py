@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions import classify as C
 from webstrata.functions import text as T
-from webstrata.functions.urls import host_of, part
+from webstrata.functions.urls import part
 from webstrata.operators.envelope import envelopes
 from webstrata.operators.signals import text_signals as text_signals_of
 from webstrata.session import table
