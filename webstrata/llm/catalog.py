@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from webstrata.llm.abuse import abusive_documents, score_documents, source_rates
 from webstrata.llm.chrome import chrome_lines, main_bodies
