@@ -104,6 +104,21 @@ def test_scores():
         assert got == want, text
 
 
+def test_many_weak_terms_add_up():
+    scorer = A.Scorer()
+    text = "Never let immigrants back, keep them out of this shop."
+    assert max(w for token in text.split() for _, role, w in scorer.weights(token.strip(",.")) if role == "ht") < 0.4
+    assert scorer.texts([text, f"The river is calm.\n{text} It rained."]) == [(0.0, 1.9, 0.0)] * 2
+
+
+def test_no_sentence_is_skipped():
+    scorer, rng = A.Scorer(), random.Random(3)
+    words = [*rng.sample(sorted(scorer.terms), 400), "river", "house", "straße", "река"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    for text, scores in zip(texts, scorer.texts(texts)):
+        assert scores == tuple(round(scorer.sentence(scorer.plain(text))[k], 4) for k in A.KINDS), text
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -30,11 +30,10 @@ THRESHOLDS = {"abusive": 1.2, "hateful": 1.2, "sexual": 1.3}
 FUZZY_FROM, FUZZY_TWO_FROM = 6, 11
 FUZZY_SHARE = 0.6
 KEPT_TOKENS = 200_000
-STRONG = 0.4  # a sentence is scored if a term of it weighs as much
 
 _TO_LATIN = str.maketrans({c: latin for latin, others in (x.split(":") for x in HOMOGLYPHS.split()) for c in others})
 _TO_CYRILLIC = str.maketrans(dict(zip("AaBCcEeHKMOoPpTXxyi", "АаВСсЕеНКМОоРрТХхуі")))
-_DROP = dict.fromkeys(map(ord, INVISIBLE))
+_DROP = re.compile(f"[{re.escape(INVISIBLE)}]+")
 _LEET = str.maketrans("0134578$@!", "oieastbsai")
 _LEET_L = str.maketrans("0134578$@!", "oleastbsal")
 _STRETCH = re.compile(r"(.)\1{2,}")
@@ -163,7 +162,7 @@ class Scorer:
     def plain(self, text: str) -> str:
         """``text`` without invisible characters, and letters of one script within a word."""
         if not text.isascii():
-            text = unicodedata.normalize("NFKC", text.translate(_DROP))
+            text = unicodedata.normalize("NFKC", _DROP.sub("", text))
             if _CYRILLIC.search(text) or re.search(r"[Α-Ωο]", text):
                 text = re.sub(r"[^\W\d_]+", _one_script, text)
         if _SINGLES.search(text):
@@ -174,12 +173,12 @@ class Scorer:
         """Score per kind of one plain sentence."""
         sums: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         seen = set()
-        for token in _TOKEN.findall(text):
-            token = token.rstrip("!")
-            if token.lower() not in seen:
-                seen.add(token.lower())
-                for lang, role, weight in self.weights(token):
-                    sums[lang][role] += weight
+        for chunk in text.split():
+            for token, weights in self.chunks[chunk]:
+                if token not in seen:
+                    seen.add(token)
+                    for lang, role, weight in weights:
+                        sums[lang][role] += weight
         best = dict.fromkeys(KINDS, 0.0)
         for lang in sums:
             x = sums[lang]
@@ -197,41 +196,26 @@ class Scorer:
         return best
 
     def text(self, text: str | None) -> tuple[float, float, float]:
-        """The highest score of each kind among sentences that hold a strong term."""
+        """The highest score of each kind among sentences; one without any term scores 0."""
         best = [0.0, 0.0, 0.0]
         if text:
-            weigh = self.chunks.__getitem__
+            terms = self.chunks.__getitem__
             for sentence in _SENTENCE.split(self.plain(text)):
-                if max(map(weigh, sentence.split()), default=0.0) >= STRONG:
+                if any(map(terms, sentence.split())):
                     scores = self.sentence(sentence)
                     best = [max(b, scores[k]) for b, k in zip(best, KINDS)]
         return tuple(round(b, 4) for b in best)
 
-    def strong(self, chunk: str) -> float:
-        """The greatest weight a white-space delimited chunk can add; 1 where it may hide a term."""
-        text = self.plain(chunk)
-        if len(text) == 1 and text.isalpha():
-            return -1.0
-        weight = 0.0
-        for token in _TOKEN.findall(text):
-            weight = max([weight, *(w for _, role, w in self.weights(token.rstrip("!")) if role in ("ab", "sx", "ht"))])
-        return weight
+    def terms_of(self, chunk: str) -> tuple[tuple[str, list[tuple[str, str, float]]], ...]:
+        """(token, weights) of the tokens of a white-space delimited plain chunk that stand for terms."""
+        tokens = [t.rstrip("!") for t in _TOKEN.findall(chunk)]
+        return tuple((t.lower(), weights) for t in tokens if (weights := self.weights(t)))
 
     def texts(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
-        """Scores of many texts; one without a strong term in any spelling scores 0."""
+        """Scores of many texts."""
         if len(self.chunks) > KEPT_TOKENS:
             self.chunks.clear()
-        out = []
-        weigh = self.chunks.__getitem__
-        for text in texts:
-            if not text:
-                out.append((0.0, 0.0, 0.0))
-                continue
-            weights = np.fromiter(map(weigh, text.split()), np.float32)
-            singles = weights < 0
-            spaced = len(weights) > 3 and bool((singles[:-3] & singles[1:-2] & singles[2:-1] & singles[3:]).any())
-            out.append(self.text(text) if spaced or weights.max(initial=0.0) >= STRONG else (0.0, 0.0, 0.0))
-        return out
+        return [self.text(text) for text in texts]
 
 
 class _Chunks(dict):
@@ -239,9 +223,9 @@ class _Chunks(dict):
         super().__init__()
         self.scorer = scorer
 
-    def __missing__(self, chunk: str) -> float:
-        weight = self[chunk] = self.scorer.strong(chunk)
-        return weight
+    def __missing__(self, chunk: str) -> tuple:
+        terms = self[chunk] = self.scorer.terms_of(chunk)
+        return terms
 
 
 def _inflected(a: str, b: str) -> bool:
