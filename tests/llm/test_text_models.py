@@ -146,6 +146,40 @@ def test_automaton_against_edit_distance():
             assert set(trie.near(token, k)) == want
 
 
+def swapped_distance(a, b):
+    """Edit distance with neighbouring letters in the wrong order as one edit."""
+    d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_automaton_with_swaps():
+    rng = random.Random(4)
+    terms = ["".join(rng.choice("abc") for _ in range(rng.randrange(4, 8))) for _ in range(40)]
+    trie = A.Trie(terms)
+    for _ in range(300):
+        token = "".join(rng.choice("abc") for _ in range(rng.randrange(3, 9)))
+        for k in (0, 1, 2):
+            near = {t: swapped_distance(token[1:], t[1:]) for t in terms if t[0] == token[0]}
+            least = min(near.values(), default=9)
+            want = {t for t, d in near.items() if d == least and d <= k}
+            assert set(trie.near(token, k, swaps=True)) == want
+
+
+def test_misspelled_terms():
+    scorer = A.Scorer()
+    for word, term in [("idoit", "idiot"), ("Idoit", "idiot"), ("IDOIT", "idiot"), ("biitch", "bitch"), ("whroe", "whore"), ("moorn", "moron"), ("slutt", "slut"), ("bastrad", "bastard"), ("Arschlcoh", "arschloch"), ("сукка", "сука")]:
+        want = {(lang, role): round(w * A.FUZZY_SHARE, 4) for lang, role, w in scorer.terms[term]}
+        assert {(lang, role): round(w, 4) for lang, role, w in scorer.weights(word)} == want, word
+    for word in ("where", "Count", "clock", "PORTO", "lasten", "batch", "whole", "donde", "права"):
+        assert scorer.weights(word) == [], word
+    assert scorer.texts(["You worthless IDOIT."])[0][0] >= A.THRESHOLDS["abusive"]
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     scores = A.score_documents(docs).collect()

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm.abuse_lexicon import LEXICON
+from webstrata.llm.abuse_words import ORDINARY
+from webstrata.llm.language import COMMON
 from webstrata.llm.lookalike import HOMOGLYPHS, INVISIBLE
 from webstrata.llm.tokens import text_slices
 
 KINDS = ("abusive", "hateful", "sexual")
 THRESHOLDS = {"abusive": 1.2, "hateful": 1.2, "sexual": 1.3}
-FUZZY_FROM, FUZZY_TWO_FROM = 6, 11
+FUZZY_FROM, FUZZY_TWO_FROM = 4, 11
 FUZZY_SHARE = 0.6
 KEPT_TOKENS = 200_000
 
@@ -55,10 +57,11 @@ class Trie:
                 at = at.setdefault(c, {})
             at[""] = term
 
-    def near(self, token: str, edits: int) -> list[str]:
+    def near(self, token: str, edits: int, swaps: bool = False) -> list[str]:
         """The terms closest to ``token`` within ``edits``; ``*`` stands for any letter.  The product
         of the trie and the token's Levenshtein automaton is walked, the automaton's states being bit
-        sets of reached positions per number of edits.  The first letter has to agree."""
+        sets of reached positions per number of edits.  With ``swaps``, two neighbouring letters in
+        the wrong order are one edit.  The first letter has to agree."""
         n = len(token)
         masks: dict[str, int] = defaultdict(int)
         stars = 0
@@ -70,21 +73,24 @@ class Trie:
         first = [self.root[token[0]]] if token[0] in self.root else list(self.root.values()) if token[0] == "*" else []
         end, best, found = 1 << n, edits, []
         start = tuple(((1 << (j + 1)) - 1) << 1 & ((1 << (n + 1)) - 1) for j in range(edits + 1))
-        stack = [(node, start) for node in first]
+        none = (0,) * (edits + 1)
+        stack = [(node, start, none, 0) for node in first]
         while stack:
-            node, rows = stack.pop()
+            node, rows, before, last = stack.pop()
             for c, child in node.items():
                 if c == "":
                     if (cost := next((j for j in range(best + 1) if rows[j] & end), None)) is not None:
                         found = [child] if cost < best or not found else [*found, child]
                         best = cost
                     continue
-                hit = masks.get(c, 0) | stars
+                own = masks.get(c, 0)
+                hit = own | stars
+                swap = own & last >> 1
                 new = [(rows[0] & hit) << 1]
                 for j in range(1, edits + 1):
-                    new.append(((rows[j] & hit) << 1) | rows[j - 1] | (rows[j - 1] << 1) | (new[j - 1] << 1))
+                    new.append(((rows[j] & hit) << 1) | rows[j - 1] | (rows[j - 1] << 1) | (new[j - 1] << 1) | (before[j - 1] & swap) << 2)
                 if any(new[: best + 1]):
-                    stack.append((child, tuple(new)))
+                    stack.append((child, tuple(new), rows if swaps else none, own))
         return found
 
 
@@ -100,6 +106,11 @@ def load_lexicon(text: str = LEXICON) -> dict[str, list[tuple[str, str, float]]]
     return dict(terms)
 
 
+def ordinary_words(text: str = ORDINARY) -> frozenset[str]:
+    """Words that are never taken as misspelled terms."""
+    return frozenset(text.split()) | {w for words in COMMON.values() for w in words.split()}
+
+
 class Scorer:
     """Scores texts; what a token stands for is worked out once."""
 
@@ -107,6 +118,7 @@ class Scorer:
         self.terms = lexicon or load_lexicon()
         self.trie = Trie([t for t in self.terms if len(t) >= 4])
         self.known: dict[str, list[tuple[str, str, float]]] = {}
+        self.ordinary = ordinary_words()
         self.chunks = _Chunks(self)
 
     def spellings(self, token: str) -> Iterator[str]:
@@ -144,9 +156,10 @@ class Scorer:
                 n = len(way)
                 if "*" in way:
                     found = self.trie.near(way, 0) if n >= 4 and way[0] != "*" else []
-                elif n >= FUZZY_FROM and way.isalpha() and not token[:1].isupper():
-                    near = self.trie.near(way, 2 if n >= FUZZY_TWO_FROM else 1)
-                    found = [t for t in near if len(t) >= FUZZY_FROM and not _inflected(way, t)]
+                elif n >= FUZZY_FROM and way.isalpha():
+                    if way in self.ordinary:
+                        break
+                    found = self.trie.near(way, 2 if n >= FUZZY_TWO_FROM else 1, swaps=True)
                     share = FUZZY_SHARE
                 if found:
                     break
@@ -228,12 +241,6 @@ class _Chunks(dict):
         return terms
 
 
-def _inflected(a: str, b: str) -> bool:
-    """Whether two words differ only at their end: another form, not a misspelling."""
-    shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return shared >= min(len(a), len(b)) - 1
-
-
 def _one_script(m: re.Match[str]) -> str:
     """A word written in letters of two scripts, brought to the script of its unmistakable letters."""
     word = m.group(0)
