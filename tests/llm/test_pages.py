@@ -1,3 +1,4 @@
+import gzip
 import random
 
 from tests.llm.data import FETCH, fetch_rows, odd_fetches
@@ -81,6 +82,16 @@ def test_kinds(spark):
     assert got == {100: "list", 101: "table", 102: "junk"}
 
 
+def test_kinds_under_prose_chrome(spark):
+    rows, _ = site(40)
+    notice = "We use cookies and similar means to keep this site running, and by reading on you agree to all of it. " * 4
+    rows = [(*r[:3], f"{notice}\n\n{r[3]}", gzip.compress(gzip.decompress(r[4]).replace(b"<main>", f"<aside>\n<p>{notice}</p>\n</aside>\n<main>".encode())), *r[5:]) for r in rows]
+    short = {k: "\n".join(KINDS[k].split("\n")[:4]) for k in ("list", "table", "junk")}
+    extra = fetch_rows([(100 + i, "https://a.test/k", None, f"{notice}\n\n{t}", None, None, 200) for i, t in enumerate(short.values())])
+    got = {r.fetch_id: r.kind for r in K.unreadable_records(spark.createDataFrame(rows + extra, FETCH)).collect()}
+    assert got == {100: "list", 101: "table", 102: "junk"}
+
+
 def test_best_path_against_brute_force():
     from itertools import product
 

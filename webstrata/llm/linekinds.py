@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.chrome import EVIDENCE_COLUMNS, _merge_rows, by_page, judge_page, judged_html, wording_evidence
 from webstrata.llm.language import COMMON, FILLER
-from webstrata.llm.pages import LINES_SCHEMA, STAT_BITS, LineReader, _host, line_batch, markdown_pieces, page_lines
+from webstrata.llm.pages import STAT_BITS, markdown_pieces, page_lines
 from webstrata.llm.residue import Judge, fit_classifier
 from webstrata.llm.sampling import bounded_sample
 from webstrata.session import materialize
@@ -193,27 +193,23 @@ def _kind(rows: list[list], model: LineModel) -> Iterator[tuple]:
 def unreadable_records(fetches: DataFrame) -> DataFrame:
     """(fetch_id, kind): records whose main body is mostly list, table or junk; residue left out.
 
-    A record with more prose than everything else is none, whatever its chrome is; the others' lines
-    alone are matched with the chrome known from the HTML of all pages."""
+    The main body of every record is judged, its chrome being known from the HTML of all pages; the
+    classifier of residue reads the few records found."""
     context = fetches.sparkSession.sparkContext
     emission = context.broadcast(fit_lines(fetches))
     weights = context.broadcast(fit_classifier(fetches)[0])
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, reader, judge = LineModel(emission.value), LineReader(), Judge(weights.value)
+    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(weights.value)
         for batch in batches:
-            rows: list[tuple] = []
-            for fetch_id, url, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if text:
-                    chars, total = shares(line_codes(text, reader.short), model)
-                    if 2 * chars[0] <= total and not judge.record(text)[1]:
-                        rows.extend(reader.markdown(fetch_id, _host(url), text))
-            yield line_batch(rows)
-
-    found = fetches.select(F.col("fetch_id").cast("long"), "url", "markdown").mapInArrow(candidates, LINES_SCHEMA)
-    found = materialize(found.select("fetch_id", "line_no", "wording", "block", "kind", "size", "stats"), "candidates")
+            kept = pa.array([not judge.record(text)[1] for text in batch.column(2).to_pylist()], pa.bool_())
+            yield batch.select([0, 1]).filter(kept)
+
     html = materialize(page_lines(fetches, ("html_gz",)).select("fetch_id", "host", "line_no", "path", "wording", "size"), "html")
-    evidence = wording_evidence(judged_html(html)).join(found.select("wording").distinct(), "wording", "left_semi")
+    lines = page_lines(fetches, ("markdown",)).select("fetch_id", "line_no", "wording", "block", "kind", "size", "stats")
     model = LineModel(emission.value)
-    labelled = by_page(found.join(evidence, "wording", "left"), EVIDENCE_COLUMNS, lambda rows: _kind(rows, model), "fetch_id LONG, kind STRING")
-    return labelled.distinct()
+    rows = lines.join(wording_evidence(judged_html(html)), "wording", "left")
+    found = by_page(rows, EVIDENCE_COLUMNS, lambda rows: _kind(rows, model), "fetch_id LONG, kind STRING").distinct()
+    texts = fetches.select(F.col("fetch_id").cast("long").alias("id"), "markdown")
+    labelled = found.join(texts, F.col("fetch_id").eqNullSafe(F.col("id"))).select("fetch_id", "kind", "markdown")
+    return labelled.mapInArrow(content, "fetch_id LONG, kind STRING").distinct()
