@@ -67,6 +67,19 @@ def test_residue(spark):
     assert got == {i for i, *_ in bad} | {300 + i for i in range(len(RESIDUE))}
 
 
+def test_long_residue(spark):
+    rng = random.Random(1)
+    good = [(i, f"https://{'abcdef'[i % 6]}.test/{i}", "t", "\n\n".join(" ".join(sentence(rng) for _ in range(5)) for _ in range(5)), None, "en", 200) for i in range(120)]
+    bad = [(200 + i, f"https://{'abcdef'[i % 6]}.test/b{i}", None, t, None, "en", 404) for i, t in enumerate((RESIDUE * 8)[:45])]
+    menu = "[Home](/) | [About us](/a) | [Contact](/c) | [Press](/p) | [Help](/h) | [Jobs](/j)\n" * 12
+    trace = "".join(f"Page not found. The page you asked for has moved or no longer exists, request {k}.\n" for k in range(20))
+    pages = [menu + "\nPage not found. The page you asked for has moved or no longer exists.", trace]
+    assert min(map(len, pages)) >= 900
+    new = [(300 + i, "https://new.test", None, t, None, None, 200) for i, t in enumerate(pages)]
+    df = spark.createDataFrame(fetch_rows(good + bad + new), FETCH)
+    assert {r.fetch_id for r in R.residue_records(df).collect()} == {i for i, *_ in bad} | {300, 301}
+
+
 def test_odd_residue(spark):
     df = odd_fetches(spark)
     assert {r.fetch_id: r.residue for r in R.score_residue(df).collect()}[1] is False

@@ -1,14 +1,15 @@
 """Template residue, filler, error pages and script notices, by a linear classifier on hashed n-grams.
 
 Weak labels come from the response status and from phrases: a line with an unfilled placeholder, filler
-words or an error phrase is residue, as is a short page's line under a failed status; lines of long
-pages fetched well are content.  A regularised logistic regression on hashed words, word pairs, letter
-n-grams of odd tokens, length and heading features learns from a bounded sample and judges every
-sentence of every record; hosts of one in five are left out of the fit and measure it.
+words or an error phrase is residue, as is a line under a failed status beside little but such lines;
+lines of pages fetched well and without such wording are content.  A regularised logistic regression on
+hashed words, word pairs, letter n-grams of odd tokens, sentence length and heading features learns from
+a bounded sample and judges every sentence of every record; hosts of one in five are left out of the fit
+and measure it.
 
 What is quoted, stands in fenced code or between back-ticks is shown, not left over, and is not judged.
 A record is residue if a sentence of it is, after a check that its wording is a placeholder, filler, or
-stands on a page that holds little else.  Null, empty and blank texts are none.
+makes up most of what the page says, navigation apart.  Null, empty and blank texts are none.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SAMPLE_SENTENCES = 40_000
 BITS = 17
 PENALTY, ROUNDS, RATE = 1e-5, 100, 0.5
 THRESHOLD = 0.5
+LIKELY = 0.1  # from here on, a sentence with error wording counts too
 HELD_OUT = 5
-SHORT_PAGE = 900
 KEPT = 150_000
 
 # Forms of unfilled placeholders.
@@ -67,6 +68,9 @@ _SHOWN = re.compile(r"`[^`\n]+`|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|‘
 _HEADING = re.compile(r"^\s*#{1,6}\s+")
 _ITEM = re.compile(r"^\s*(?:[*+•|-]|\d{1,3}[.)])\s|.*[;\t].*[;\t]|.*\S {2,}\S|[^.!?]{1,60}$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\Wa-zа-я]|[\[{<$#%@*_])")
+_JOINT = re.compile(r"\s[|·•›»/]\s|\s[|·•›»]|\)\s+\[")
+_LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)")
+_END = re.compile(r"[.!?…][\"'”»)*_]*$")
 _DIGITS = re.compile(r"\d+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
 _ODD = re.compile(r"[^\w\s.,;:!?'’\"()–—-]|_")
@@ -132,7 +136,7 @@ class Features:
     def __init__(self) -> None:
         self.tokens: dict[str, tuple[list[int], str]] = {}
         self.pairs: dict[str, int] = {}
-        self.ends = {(n, h, p): [_hash(f"n{n}"), _hash(f"h{h}"), _hash(f"z{p}")] for n in range(13) for h in (False, True) for p in range(4)}
+        self.ends = {(n, h): [_hash(f"n{n}"), _hash(f"h{h}")] for n in range(13) for h in (False, True)}
 
     def token(self, raw: str) -> tuple[list[int], str]:
         low = _DIGITS.sub("0", _HEX.sub("00000000", raw.lower()))
@@ -155,9 +159,9 @@ class Features:
         self.pairs[pair] = found = _hash(pair)
         return found
 
-    def __call__(self, sentence: str, heading: bool, size: int) -> list[int]:
+    def __call__(self, sentence: str, heading: bool) -> list[int]:
         raws = sentence.split()
-        out = list(self.ends[min(len(raws), 12), heading, size])
+        out = list(self.ends[min(len(raws), 12), heading])
         before = "^"
         tokens, pairs = self.tokens, self.pairs
         for raw in raws:
@@ -171,26 +175,41 @@ class Features:
         return out
 
 
-def size_class(page: str) -> int:
-    """Classes of page length: a stub, a note, a short and a long page."""
-    return sum(len(page) >= x for x in (250, 500, SHORT_PAGE))
-
-
 def is_listing(page: str) -> bool:
     """Whether most lines are list items or rows of values."""
     lines = [x for x in page.split("\n") if x.strip()]
     return len(lines) >= 4 and sum(bool(_ITEM.match(x)) for x in lines) >= 0.6 * len(lines)
 
 
-def weak_label(sentence: str, failed: bool, page: int, listing: bool) -> int | None:
-    """1 residue, 0 content, None where neither status nor wording says."""
+def is_navigation(sentence: str) -> bool:
+    """Whether a line is a row of menu entries or links by its form."""
+    return not sentence.startswith("|") and not _END.search(sentence) and (len(_JOINT.findall(sentence)) >= 2 or not _LINK.sub("", sentence).strip(" *-|·•›»"))
+
+
+def wording_kind(sentence: str) -> str | None:
+    """What residue the wording states: template (a placeholder or filler), error, or None."""
     if _PLACEHOLDER.search(sentence) or is_filler(sentence):
+        return "template"
+    return "error" if _PHRASE.search(sentence) else None
+
+
+def flagged_share(said: list[tuple[str, bool, str | None]]) -> float:
+    """The share of the page's text, headings and navigation apart, whose wording is that of residue."""
+    parts = [(len(s), kind) for s, heading, kind in said if not heading and not is_navigation(s)]
+    return sum(n for n, kind in parts if kind) / max(1, sum(n for n, _ in parts))
+
+
+def weak_label(kind: str | None, failed: bool, share: float, said: int, listing: bool) -> int | None:
+    """1 residue, 0 content, None where neither status nor wording says.  ``kind``: that of the sentence's
+    wording, ``share``: of flagged text on the page, ``said``: the page's sentences.  A long page is
+    labelled as a short one is, but for a failed page of a few sentences, all of which are residue."""
+    if kind == "template":
         return 1
-    if page >= SHORT_PAGE or (listing and not failed):
+    if listing and not failed:
         return 0
-    if _PHRASE.search(sentence) or (failed and page < 250):
+    if kind == "error" or (failed and (share >= 0.5 or said <= 3)):
         return 1
-    return None
+    return 0 if share == 0 and not failed else None
 
 
 def fit(rows: list[tuple[list[int], int]]) -> np.ndarray:
@@ -223,11 +242,11 @@ class Judge:
     def __init__(self, weights: np.ndarray) -> None:
         self.weights, self.known, self.features = weights.tolist(), {}, Features()
 
-    def sentence(self, sentence: str, heading: bool, size: int) -> float:
-        key = (sentence, heading, size)
+    def sentence(self, sentence: str, heading: bool) -> float:
+        key = (sentence, heading)
         if len(sentence) < 120 and key in self.known:
             return self.known[key]
-        x = self.features(sentence, heading, size)
+        x = self.features(sentence, heading)
         z = sum(map(self.weights.__getitem__, x)) / len(x) ** 0.5 + self.weights[-1]
         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         if len(sentence) < 120:
@@ -241,19 +260,18 @@ class Judge:
         if not text or text.isspace():
             return 0.0, False
         said = list(sentences(text))
-        kind = size_class(text)
         best, residue, hit, plain = 0.0, False, 0, 0
         for sentence, heading in said:
-            p = self.sentence(sentence, heading, kind)
+            p = self.sentence(sentence, heading)
             best = max(best, p)
-            if p >= THRESHOLD:
+            if p >= THRESHOLD or (p >= LIKELY and _PHRASE.search(sentence)):
                 if _PLACEHOLDER.search(sentence) or is_filler(sentence):
                     residue = True
                 hit += len(sentence)
-            elif not heading:
+            elif not heading and not is_navigation(sentence):
                 plain += len(sentence)
-        # error wording alone makes a page of it only where the page says little else
-        return best, residue or (hit > 0 and kind < 3 and (plain < 160 or hit >= plain))
+        # error wording alone makes a page of it only where the page, navigation apart, says little else
+        return best, residue or (hit > 0 and (plain < 160 or hit >= plain))
 
 
 def fit_classifier(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS, sample_sentences: int = SAMPLE_SENTENCES) -> tuple[np.ndarray, dict[str, float]]:
@@ -264,24 +282,25 @@ def fit_classifier(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS, sam
     labelled sentences ``sample_sentences`` at most."""
     columns = [host_of(F.col("url")).alias("host"), "markdown", "status"]
     sample = bounded_sample(fetches.where("length(markdown) > 0"), "fetch_id", sample_records).select(*columns)
-    seen: dict[tuple[bool, str, bool, int], list[int]] = {}  # held out, sentence, heading, size: votes for content and residue
+    seen: dict[tuple[bool, str, bool], list[int]] = {}  # held out, sentence, heading: votes for content and residue
     for r in sample.collect():
         out = zlib.crc32((r.host or "").encode()) % HELD_OUT == 0
         failed = r.status is not None and (r.status >= 400 or r.status == 0)
-        kind, listing = size_class(r.markdown), is_listing(r.markdown)
-        for sentence, heading in sentences(r.markdown):
-            y = weak_label(sentence, failed, len(r.markdown), listing)
+        said, listing = [(s, h, wording_kind(s)) for s, h in sentences(r.markdown)], is_listing(r.markdown)
+        share = flagged_share(said)
+        for sentence, heading, kind in said:
+            y = weak_label(kind, failed, share, len(said), listing)
             if y is not None:
-                key = (out, sentence[:300], heading, kind)
+                key = (out, sentence[:300], heading)
                 if key in seen or len(seen) < sample_sentences:
                     seen.setdefault(key, [0, 0])[y] += 1
     if sum(out for out, *_ in seen) in (0, len(seen)):  # too few hosts to leave any out
         seen = {(False, *k[1:]): v for k, v in seen.items()}
     features = Features()
-    inside = [(features(s, h, z), int(b >= a)) for (out, s, h, z), (a, b) in seen.items() if not out]
+    inside = [(features(s, h), int(b >= a)) for (out, s, h), (a, b) in seen.items() if not out]
     weights = fit(inside)
     judge = Judge(weights)
-    got = [(judge.sentence(s, h, z) >= THRESHOLD, int(b >= a)) for (out, s, h, z), (a, b) in seen.items() if out]
+    got = [(judge.sentence(s, h) >= THRESHOLD, int(b >= a)) for (out, s, h), (a, b) in seen.items() if out]
     hits = sum(p and y for p, y in got)
     report = {
         "train_sentences": float(len(inside)),
@@ -289,7 +308,7 @@ def fit_classifier(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS, sam
         "precision": hits / max(1, sum(p for p, _ in got)),
         "recall": hits / max(1, sum(y for _, y in got)),
     }
-    return fit([(features(s, h, z), int(b >= a)) for (_, s, h, z), (a, b) in seen.items()]), report
+    return fit([(features(s, h), int(b >= a)) for (_, s, h), (a, b) in seen.items()]), report
 
 
 def score_residue(fetches: DataFrame) -> DataFrame:
