@@ -36,6 +36,21 @@ def test_chrome_is_found(spark):
     assert {(r.field, r.fetch_id, r.line_no) for r in got} == truth
 
 
+def test_page_of_recurring_wording_keeps_its_best_branch(spark):
+    rows, truth = site()
+    error = "<html><body>\n<div class=e>\n<p>The page you asked for is not here.</p>\n</div>\n</body></html>"
+    rows += fetch_rows([(500 + i, f"https://a.test/e{i}", None, None, error, None, 404) for i in range(20)])
+    got = C.chrome_lines(spark.createDataFrame(rows, FETCH)).collect()
+    assert not {(r.fetch_id, r.line_no) for r in got if r.field == "html_gz" and r.fetch_id >= 500}
+
+
+def test_repeated_cells_and_redelivered_fetches_count_once(spark):
+    line = [(i, "h", 7, w, 3) for i in range(3) for w in (100 + i, 200 + i) for _ in range(4)]
+    schema = "fetch_id LONG, host STRING, path LONG, wording LONG, size INT"
+    tree = C.style_tree(spark.createDataFrame(line, schema)).collect()
+    assert [round(r.importance, 6) for r in tree] == [1.0]
+
+
 def test_main_bodies(spark):
     rows, _ = site(30)
     got = {r.fetch_id: r.main_body for r in C.main_bodies(spark.createDataFrame(rows, FETCH)).collect()}

@@ -10,8 +10,9 @@ over all hosts counts.
 Markdown has no tree.  Its lines are matched, by wording, with text whose branch is known from HTML;
 unmatched short lines follow the block they stand in; everything else is main body.
 
-Defined results: null, empty and damaged fields have no chrome and no main body; redelivered fetches
-count once in the result.
+Defined results: null, empty and damaged fields have no chrome and no main body; a page whose every
+branch is of low importance (an error page, a stub) keeps its most important branch; redelivered
+fetches and pieces repeated in a page count once.
 """
 
 from __future__ import annotations
@@ -35,9 +36,8 @@ def style_tree(html_lines: DataFrame) -> DataFrame:
 
     Wordings are counted per host once; the tree over all hosts is summed from those counts.  A node's
     many wordings are summed, never collected."""
-    features = materialize(
-        html_lines.groupBy("host", "path", "wording").agg(F.count("*").alias("n"), F.sum("size").alias("w")), "features"
-    )
+    once = html_lines.groupBy("host", "path", "wording", "fetch_id").agg(F.max("size").alias("w"))
+    features = materialize(once.groupBy("host", "path", "wording").agg(F.count("*").alias("n"), F.sum("w").alias("w")), "features")
     pages = materialize(html_lines.groupBy("host", "path").agg(F.approx_count_distinct("fetch_id", 0.02).alias("m")), "pages")
 
     def importance(counts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,9 +56,15 @@ def style_tree(html_lines: DataFrame) -> DataFrame:
 
 
 def judge_html(html_lines: DataFrame, tree: DataFrame) -> DataFrame:
-    """``html_lines`` with ``chrome``: whether the piece stands in a branch of low importance."""
-    nodes = tree.select("host", "path", (F.col("importance") < IMPORTANCE).alias("chrome"))
-    return html_lines.join(nodes, ["host", "path"])
+    """``html_lines`` with ``chrome``: whether the piece stands in a branch of low importance.  A page
+    whose every branch is of low importance keeps its best one."""
+    nodes = tree.select("host", "path", "importance")
+    judged = html_lines.join(nodes, ["host", "path"])
+    best = judged.groupBy("fetch_id").agg(F.max("importance").alias("best")).where(F.col("best") < IMPORTANCE)
+    best = best.select(F.col("fetch_id").alias("page"), "best")
+    kept = F.col("best").isNotNull() & (F.col("importance") == F.col("best"))
+    rows = judged.join(best, F.col("fetch_id").eqNullSafe(F.col("page")), "left")
+    return rows.withColumn("chrome", (F.col("importance") < IMPORTANCE) & ~kept).drop("page", "best", "importance")
 
 
 def wording_evidence(judged: DataFrame) -> DataFrame:
