@@ -193,6 +193,27 @@ def test_misspelled_terms():
     assert scorer.texts(["You worthless IDOIT."])[0][0] >= A.THRESHOLDS["abusive"]
 
 
+def test_reported_words_count_for_less():
+    scorer = A.Scorer()
+    reported = [
+        "The quoted post read “you are an idiot, you moron”.",
+        'She wrote: "you are an idiot and a moron" and was punished by the court',
+        "«Tu es un connard, ferme ta gueule», a écrit le voisin.",
+        "Er rief „du bist ein Arschloch, verrecke“ über die Straße.",
+    ]
+    for text in reported:
+        assert max(scorer.texts([text])[0]) < 1.2, text
+    for text in ["You are an idiot, you “genius” moron.", "You idiot, you moron, who wrote “a fine book”!", '"You are an idiot, you moron."']:
+        assert scorer.texts([text])[0][0] >= 1.2, text
+    assert list(A.said_parts("a “b” c\nd")) == [("a “b” c", 1.0), ("d", 1.0)]
+
+
+def test_rated_agreement(spark):
+    docs = spark.createDataFrame([(1, "You worthless idiot, shut your mouth.", "a"), (2, "Calm.", "a"), (3, "Calm.", None)], "doc_id LONG, text STRING, source STRING")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, None), (9, 1)], "doc_id LONG, toxic INT")
+    assert [tuple(r) for r in A.rated_agreement(docs, labels).collect()] == [("a", 2, 1, 1, 0)]
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     scores = A.score_documents(docs).collect()

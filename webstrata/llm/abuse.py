@@ -6,6 +6,9 @@ letters, dots or blanks between letters, stretched letters, invisible characters
 are undone first.  Terms found in one sentence add up by language and kind; words that address someone
 or name a group raise the score, and reporting, medical, technical and playful words lower it.
 
+What stands between quotation marks is a report if a word of reporting stands within ``WINDOW`` words of
+the marks; it is scored apart from what surrounds it, and counts for the share ``QUOTED``.
+
 Null, empty and blank texts score 0.  Repeated documents each get their own row.
 """
 
@@ -15,13 +18,14 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.abuse_lexicon import LEXICON
+from webstrata.llm.abuse_lexicon import LEXICON, REPORTING
 from webstrata.llm.abuse_words import ORDINARY
 from webstrata.llm.language import COMMON
 from webstrata.llm.lookalike import HOMOGLYPHS, INVISIBLE
@@ -32,6 +36,7 @@ THRESHOLDS = {"abusive": 1.2, "hateful": 1.2, "sexual": 1.3}
 FUZZY_FROM, FUZZY_TWO_FROM = 4, 11
 FUZZY_SHARE = 0.6
 KEPT_TOKENS = 200_000
+WINDOW, QUOTED = 8, 0.3
 
 _TO_LATIN = str.maketrans({c: latin for latin, others in (x.split(":") for x in HOMOGLYPHS.split()) for c in others})
 _TO_CYRILLIC = str.maketrans(dict(zip("AaBCcEeHKMOoPpTXxyi", "АаВСсЕеНКМОоРрТХхуі")))
@@ -42,6 +47,10 @@ _STRETCH = re.compile(r"(.)\1{2,}")
 _TOKEN = re.compile(r"[^\W_]+(?:[*$@!'’.-]+[^\W_]+)*[*$@]*|[*$@][^\W_][\w*$@]*")
 _SINGLES = re.compile(r"(?<!\w)(?:[^\W_] ){3,}[^\W_](?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\n+")
+_QUOTE_MARKS = re.compile(r"[“”„«»\"‘]")
+_QUOTE = re.compile(r"“[^“”]+”|„[^„“”]+[“”]|«[^«»]+»|»[^«»]+«|\"[^\"]+\"|‘[^‘’]+’(?!\w)")
+_WORD = re.compile(r"[^\W\d_]+")
+_REPORTING = frozenset(REPORTING.split())
 _LETTERS = re.compile(r"[^\W\d_]")
 _CYRILLIC = re.compile(r"[а-яё]", re.I)
 
@@ -213,10 +222,11 @@ class Scorer:
         best = [0.0, 0.0, 0.0]
         if text:
             terms = self.chunks.__getitem__
-            for sentence in _SENTENCE.split(self.plain(text)):
-                if any(map(terms, sentence.split())):
-                    scores = self.sentence(sentence)
-                    best = [max(b, scores[k]) for b, k in zip(best, KINDS)]
+            for part, share in said_parts(self.plain(text)):
+                for sentence in _SENTENCE.split(part):
+                    if any(map(terms, sentence.split())):
+                        scores = self.sentence(sentence)
+                        best = [max(b, share * scores[k]) for b, k in zip(best, KINDS)]
         return tuple(round(b, 4) for b in best)
 
     def terms_of(self, chunk: str) -> tuple[tuple[str, list[tuple[str, str, float]]], ...]:
@@ -231,6 +241,22 @@ class Scorer:
         return [self.text(text) for text in texts]
 
 
+def said_parts(text: str) -> Iterator[tuple[str, float]]:
+    """(part, share): the text's own words, and reported ones apart from them."""
+    if not _QUOTE_MARKS.search(text):
+        yield text, 1.0
+        return
+    for line in text.split("\n"):
+        own, at = [], 0
+        for m in _QUOTE.finditer(line) if _QUOTE_MARKS.search(line) else ():
+            around = _WORD.findall(line[at : m.start()].lower())[-WINDOW:] + _WORD.findall(line[m.end() :].lower())[:WINDOW]
+            if not _REPORTING.isdisjoint(around):
+                own.append(line[at : m.start()])
+                at = m.end()
+                yield m.group(0)[1:-1], QUOTED
+        yield " ".join([*own, line[at:]]) if own else line, 1.0
+
+
 class _Chunks(dict):
     def __init__(self, scorer: Scorer) -> None:
         super().__init__()
@@ -254,8 +280,10 @@ def _one_script(m: re.Match[str]) -> str:
     return word.translate(_TO_CYRILLIC) if re.search(r"[A-Za-z]", word) else word
 
 
-def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, abusive, hateful, sexual): scores of every row, nothing shuffled."""
+def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
+    """(doc_id, abusive, hateful, sexual): scores of every row, nothing shuffled; ``keep`` names a text
+    column that is carried along."""
+    kept = [keep] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer()
@@ -263,11 +291,11 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             for batch in text_slices(whole, 1):
                 scores = np.array(scorer.texts(batch.column(1).to_pylist()), np.float64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array(scores[:, i]) for i in range(3))], names=["doc_id", *KINDS]
+                    [batch.column(0), *(pa.array(scores[:, i]) for i in range(3)), *batch.columns[2:]], names=["doc_id", *KINDS, *kept]
                 )
 
-    schema = "doc_id LONG, " + ", ".join(f"{k} DOUBLE" for k in KINDS)
-    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
+    schema = ", ".join(["doc_id LONG", *(f"{k} DOUBLE" for k in KINDS), *(f"`{k}` STRING" for k in kept)])
+    return documents.select(F.col(doc_id).cast("long"), text, *kept).mapInArrow(run, schema)
 
 
 def abusive_documents(documents: DataFrame) -> DataFrame:
@@ -278,6 +306,20 @@ def abusive_documents(documents: DataFrame) -> DataFrame:
 
 def source_rates(documents: DataFrame) -> DataFrame:
     """(source, n_documents, and the share of each kind); null sources form one group."""
-    scored = score_documents(documents).join(documents.select("doc_id", "source"), "doc_id")
+    scored = score_documents(documents, keep="source")
     shares = [F.avg((F.col(k) >= THRESHOLDS[k]).cast("double")).alias(f"{k}_share") for k in KINDS]
     return scored.groupBy("source").agg(F.count("*").alias("n_documents"), *shares)
+
+
+def rated_agreement(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, n_rated, both, only_rated, only_scored): per source, how the verdict on rated documents
+    compares with the quick human ratings (``toxic`` 0 or 1).  Ratings that are missing do not count."""
+    rated = labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("rated"), (F.col("toxic") == 1).alias("toxic")).dropDuplicates(["rated"])
+    found = reduce(lambda a, b: a | b, [F.col(k) >= THRESHOLDS[k] for k in KINDS]).alias("found")
+    x = score_documents(documents, keep="source").select("doc_id", "source", found).join(rated, F.col("doc_id") == F.col("rated"))
+    return x.groupBy("source").agg(
+        F.count("*").alias("n_rated"),
+        F.count_if(F.col("found") & F.col("toxic")).alias("both"),
+        F.count_if(~F.col("found") & F.col("toxic")).alias("only_rated"),
+        F.count_if(F.col("found") & ~F.col("toxic")).alias("only_scored"),
+    )

@@ -49,3 +49,16 @@ ru gr: женщины женщин мужчины мужчин мигранты
 ru ht: паразиты=1.1 крысы=.8 тараканы=1 гнать=.8 города=.2 замком=.8 сидеть=.3 должны=.2 одного=.1 чище=.9 без=.2 мир=.2 заслуживают=.4 прав=.4 тех=.1 нормальные=.3 не=.2 воры=.9 детей=.2 подальше=.5 держите=.3 животные=.5 грязные=.7 магазин=.2 никогда=.3 пущу=.3 пускаю=.3 тупые=.7 ленивые=.8 слишком=.3 всех=.2 выгнать=.8 стал=.1 бы=.1 стая=.3 испортили=.5 вышвырнуть=.8 депортировать=.9 вон=.4
 ru ex: клиника=1 здоровье=1 сексуальном=.3 врач=.8 рак=.8 процесс=1.2 родительский=.6 дочерний=.6 завис=.6 убейте=.3 модераторы=1.6 удаляют=.8 сообщения=.4 оскорбляют=.6 петух=1 осёл=1 игра=.6 смеха=.8 босс=.6
 """
+
+# Words that report what someone else said, of each language.
+REPORTING = """
+said says say wrote writes write written read reads quote quoted quotes quoting called calls calling shouted shouts yelled told tells
+post posted comment commented message messaged tweet tweeted replied reply reported report reports claimed phrase word words letter
+sagte sagt schrieb schreibt geschrieben las zitiert zitat zitierte nannte nennt rief ruft kommentar nachricht beitrag antwortete
+wort worte meldete laut dijo dice escribió escribe escrito citó cita citado llamó llama gritó comentario mensaje publicación respondió
+palabra palabras leía disse diz escreveu escreve escrito citou citação chamou chama gritou comentário mensagem postagem respondeu
+palavra palavras dit disait écrit écrivait écrivit cité citait citation appela appelle appelait cria crié commentaire message publication
+répondit répondu mot mots dichiarò detto dice disse scrisse scrive scritto citò citato citazione chiamò chiama gridò commento messaggio
+rispose parola parole сказал сказала говорит написал написала пишет цитата цитирует назвал назвала крикнул крикнула комментарий
+сообщение ответил ответила слово слова пост
+"""

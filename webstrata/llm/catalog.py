@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm.abuse import abusive_documents, score_documents, source_rates
+from webstrata.llm.abuse import abusive_documents, rated_agreement, score_documents, source_rates
 from webstrata.llm.chrome import chrome_lines, main_bodies
 from webstrata.llm.language import label_faults, language_segments
 from webstrata.llm.linekinds import label_shares, text_statistics, unreadable_records
@@ -92,6 +92,11 @@ def p10_source_rates(spark: SparkSession, folder: str) -> DataFrame:
     return source_rates(table(spark, folder, "documents"))
 
 
+def p10_rated(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts beside the human ratings, per source."""
+    return rated_agreement(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q for name, q in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
