@@ -44,11 +44,83 @@ def test_page_of_recurring_wording_keeps_its_best_branch(spark):
     assert not {(r.fetch_id, r.line_no) for r in got if r.field == "html_gz" and r.fetch_id >= 500}
 
 
+NODES = "fetch_id LONG, host STRING, nodes ARRAY<STRUCT<path: LONG, style: LONG, pieces: ARRAY<STRUCT<line_no: INT, wording: LONG, size: INT, again: BOOLEAN>>>>"
+LAYOUTS = "path LONG, chain ARRAY<LONG>"
+
+
 def test_repeated_cells_and_redelivered_fetches_count_once(spark):
-    line = [(i, "h", 7, w, 3) for i in range(3) for w in (100 + i, 200 + i) for _ in range(4)]
-    schema = "fetch_id LONG, host STRING, path LONG, wording LONG, size INT"
-    tree = C.style_tree(spark.createDataFrame(line, schema)).collect()
-    assert [round(r.importance, 6) for r in tree] == [1.0]
+    cells = "".join(f"<td>{w}</td>" for w in ["Yes"] * 9)
+    page = "<html><body><div class=t>\n" + cells + "{}</div></body></html>"
+    rows = fetch_rows([(i, "https://a.test", None, None, page.format(f"<td>unique text of page {'abc'[i]}</td>"), None, 200) for i in range(3)])
+    pages = P.html_pages(spark.createDataFrame(rows * 2, FETCH))
+    tree = C.style_tree(pages.dropDuplicates(["fetch_id"]), pages.selectExpr("inline(layouts)").dropDuplicates(["path"])).collect()
+    assert [r.m for r in tree] == [3]
+    unique = len("unique text of page a")
+    assert abs(tree[0].importance - unique / (unique + 3)) < 1e-9
+
+
+def brute_tree(pages, chains):
+    """Importance and least branch importance of each (host, path), one host, by direct recursion."""
+    from math import log
+
+    from webstrata.llm.chrome import PRIOR_PAGES, STYLE_DECAY
+
+    styles, words, sizes = {}, {}, {}
+    for nodes in pages:
+        for path, style, pieces in nodes:
+            styles.setdefault(path, []).append(style)
+            for wording, size in pieces:
+                words.setdefault(path, {}).setdefault(wording, []).append(size)
+    a, content, mass = {}, {}, {}
+    for path, seen in styles.items():
+        m, counts = len(seen), [seen.count(x) for x in set(seen)]
+        entropy = -sum(n / m * log(n / m, m) for n in counts) if m > 1 else 1.0
+        a[path] = (1 - STYLE_DECAY ** len(counts)) * entropy
+        found = words.get(path, {})
+        mass[path] = sum(map(sum, found.values()))
+        if mass[path]:
+            content[path] = sum(sum(z) * (1 - log(len(z), max(m, 2))) for z in found.values()) / mass[path]
+
+    def branch(at):
+        """(text below, importance of the branch)."""
+        parts = [(mass[at], content[at])] if mass[at] else []
+        parts += [branch(p) for p in styles if len(chains[p]) > 1 and chains[p][-2] == at]
+        total = sum(m for m, _ in parts)
+        inner = sum(m * c for m, c in parts if m) / total if total else 0.0
+        return total, 1 - (1 - inner) * (1 - a[at])
+
+    assert PRIOR_PAGES > 0  # one host: its own values and those over all hosts are the same
+    return {p: (1 - (1 - content[p]) * (1 - a[p]), min(branch(x)[1] for x in chains[p])) for p in content}
+
+
+def test_tree_against_recursion(spark):
+    rng = random.Random(5)
+    chains = {1: [1], 2: [1, 2], 3: [1, 3], 4: [1, 3, 4], 5: [1, 3, 5], 6: [1, 3, 4, 6]}
+    pages = []
+    for _ in range(30):
+        nodes = [(1, 1, [])]
+        for p in (2, 3, 4, 5, 6):
+            if p in (3, 4) or rng.random() < 0.8:
+                nodes.append((p, rng.randrange(3), [] if p == 3 else [(w, 5 + w) for w in rng.sample(range(12 if p < 6 else 3), 2)]))
+        pages.append(nodes)
+    rows = [(i, "h", [(p, s, [(1, w, z, False) for w, z in x]) for p, s, x in nodes]) for i, nodes in enumerate(pages)]
+    tree = C.style_tree(spark.createDataFrame(rows, NODES), spark.createDataFrame(list(chains.items()), LAYOUTS))
+    got = {r.path: (r.importance, r.branch) for r in tree.collect()}
+    want = brute_tree(pages, chains)
+    assert got.keys() == want.keys()
+    for p in want:
+        assert abs(got[p][0] - want[p][0]) < 1e-9 and abs(got[p][1] - want[p][1]) < 1e-9, p
+
+
+def test_low_branch_takes_unique_text_along(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(80):
+        foot = "".join(f"<p>{t} of this site, in the words its owners chose for every page.</p>" for t in ("The terms", "The rights", "The contacts", "The makers"))
+        html = f"<html><body>\n<main><h1>{sentence(rng)}</h1><p>{sentence(rng)}</p></main>\n<footer>{foot}\n<div class=latest>\n{sentence(rng)[:25]}</div></footer></body></html>"
+        rows.append((i, "https://a.test", None, None, html, None, 200))
+    got = {(r.fetch_id, r.line_no) for r in C.chrome_lines(spark.createDataFrame(fetch_rows(rows), FETCH)).collect()}
+    assert got == {(i, k) for i in range(80) for k in (3, 5)}
 
 
 def test_main_bodies(spark):
@@ -57,17 +129,22 @@ def test_main_bodies(spark):
     assert all("reserved" not in t and "was seen." in t and " | " not in t for t in got.values())
 
 
-def test_html_pieces():
-    html = '<html><head><title>no</title></head>\n<body class="x"><!-- no\nno --><div id="a1">one &amp; two\nthree<br>four</div><p>five<style>no</style></body>'
-    found = [(line, text) for line, _, _, text in P.html_pieces(html)]
-    assert found == [(3, "one & two"), (4, "three"), (4, "four"), (4, "five")]
-    assert list(P.html_pieces("")) == []
+def test_read_html():
+    html = '<html><head><title>no</title></head>\n<body class="x"><!-- no\nno --><div id="a1">one &amp; two\nthree<br>four</div><p>five<style>no</style><div class=b><h2>x</h2><p>y</p><p>z</p></div></body>'
+    found, children, parents = P.read_html(html)
+    assert [(line, text) for line, _, _, text in found] == [(3, "one & two"), (4, "three"), (4, "four"), (4, "five"), (4, "x"), (4, "y"), (4, "z")]
+    assert children == {"body": ["div[id=a0]", "p", "div[class=b]"], "body/div[id=a0]": [], "body/div[class=b]": ["h2", "p"]}
+    assert parents == {"body": None, "body/div[id=a0]": "body", "body/div[class=b]": "body"}
+    assert P.read_html("") == ([], {"body": []}, {"body": None})
 
 
 def test_wording_masks_names_and_numbers():
     assert P.wording("Notes on the Porum KR13") == P.wording("Notes on the Rubal ZZ7")
     assert P.wording("Page 12") == P.wording("Page 7") and P.wording("Home") != P.wording("Help")
     assert P.wording("Contact") == P.wording("Ｃ​ontаct")
+    notice = "We and our partners keep small files on this device to run the site. " * 6
+    assert P.wording(notice) == P.wording(notice.replace("partners", "pаrtners")) and P.wording(f"{notice} by Alim 7") == P.wording(f"{notice} by Borun 12")
+    assert P.read_line(" | ".join(["one of many menu entries"] * 30))[1][1:] == ["one of many menu entries"] * 30
 
 
 def test_odd_pages(spark):

@@ -1,17 +1,23 @@
 """Main content of pages by site style trees.
 
-The pages of a host are merged into one tree: a node per container path, below it the wordings that
-appear there and on how many pages.  A wording spread evenly over n of a node's m pages has entropy
-log_m n, so repeated menu entries carry next to nothing and unique sentences everything; a node's
-importance is the mean of one minus entropy over its text, weighted by length.  Branches of low
-importance are chrome.  The fewer pages of a host a node was seen on, the more the importance it has
-over all hosts counts.
+The pages of a host are merged into one tree of container paths.  What a container itself shows has
+content importance: a wording on n of the m pages that have the container has entropy log_m n, so
+repeated menu entries carry next to nothing and unique sentences everything; the mean of one minus
+entropy over its text, weighted by length.  Its presentation, the sequence of its children on a page,
+has importance by the entropy of the l presentations seen, believed by 1 - 0.9^l; content of little
+importance gains from a presentation that varies.  Importance is carried up: a branch has that of all
+text below it, each presentation on the way adding its share.
+
+A piece of text is chrome if its container is of low importance, or if a branch it stands in is of very
+low importance: such a branch goes with all below it.  The fewer pages of a host have a container, the
+more what is known of it over all hosts counts.
 
 Markdown has no tree.  Its lines are matched, by wording, with text whose branch is known from HTML;
-unmatched short lines follow the block they stand in; everything else is main body.
+unmatched lines follow known chrome of the block they stand in that outweighs them; everything else is
+main body.
 
-Defined results: null, empty and damaged fields have no chrome and no main body; a page whose every
-branch is of low importance (an error page, a stub) keeps its most important branch; redelivered
+Defined results: null, empty and damaged fields have no chrome and no main body; a page all of whose
+text is chrome by the tree (an error page, a stub) keeps its most important container; redelivered
 fetches and pieces repeated in a page count once.
 """
 
@@ -21,50 +27,90 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webstrata.llm.pages import page_lines
+from webstrata.llm.pages import html_pages, markdown_lines
 from webstrata.session import materialize
 
 IMPORTANCE = 0.85
+BRANCH_IMPORTANCE = 0.3
+STYLE_DECAY = 0.9
 PRIOR_PAGES = 50  # pages of a host that weigh as much as all hosts together
-
-
-def style_tree(html_lines: DataFrame) -> DataFrame:
-    """(host, path, m, importance) of every container path of every host.
-
-    Wordings are counted per host once; the tree over all hosts is summed from those counts.  A node's
-    many wordings are summed, never collected."""
-    once = html_lines.groupBy("host", "path", "wording", "fetch_id").agg(F.max("size").alias("w"))
-    features = materialize(once.groupBy("host", "path", "wording").agg(F.count("*").alias("n"), F.sum("w").alias("w")), "features")
-    pages = materialize(html_lines.groupBy("host", "path").agg(F.approx_count_distinct("fetch_id", 0.02).alias("m")), "pages")
-
-    def importance(counts: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-        entropy = F.least(F.log("n") / F.log(F.greatest("m", F.lit(2))), F.lit(1.0))
-        shares = counts.join(sizes, keys).groupBy(*keys)
-        return shares.agg(F.max("m").alias("m"), (F.sum(F.col("w") * (1 - entropy)) / F.sum("w")).alias("importance"))
-
-    overall = importance(
-        features.groupBy("path", "wording").agg(F.sum("n").alias("n"), F.sum("w").alias("w")),
-        pages.groupBy("path").agg(F.sum("m").alias("m")),
-        ["path"],
+FOLLOW = 4  # an unknown line follows known chrome of its block of at least a quarter of its length
+
+
+def content_importance(features: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` with ``w`` (text, by length) and ``wl`` (text times log of its pages), from the number
+    ``n`` of pages and length ``w`` of each wording.  With m pages, importance is 1 - wl / (w log m)."""
+    return features.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.log("n")).alias("wl"))
+
+
+def style_importance(styles: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` with the number ``m`` of pages and ``a``, the believed importance of presentation."""
+    x = styles.groupBy(*keys).agg(F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("nl"))
+    entropy = F.when(F.col("m") > 1, 1 - F.col("nl") / (F.col("m") * F.log("m"))).otherwise(1.0)
+    return x.select(*keys, "m", (entropy * (1 - F.pow(F.lit(STYLE_DECAY), F.col("l")))).alias("a"))
+
+
+def style_tree(pages: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(host, path, m, importance, branch) of every container path of every host: ``importance`` of what
+    the container itself shows, ``branch`` the least importance of a branch it stands in.
+
+    ``pages`` has each fetch once, ``layouts`` the chain of paths from the root to each.  Wordings and
+    presentations are counted per host, and over all hosts from those counts; all is summed before it is
+    joined, and what is joined has one row per path of a host."""
+    nodes = pages.select("host", F.inline("nodes"))
+    pieces = nodes.select("host", "path", F.inline("pieces")).where("NOT again")
+    features = materialize(pieces.groupBy("host", "path", "wording").agg(F.count("*").alias("n"), F.sum("size").alias("w")), "features")
+    styles = nodes.groupBy("host", "path", "style").agg(F.count("*").alias("n"))
+    everywhere = features.groupBy("path", "wording").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    shapes = materialize(styles, "styles")
+    by_host = style_importance(shapes, ["host", "path"]).join(content_importance(features, ["host", "path"]), ["host", "path"], "left")
+    overall = style_importance(shapes.groupBy("path", "style").agg(F.sum("n").alias("n")), ["path"]).join(content_importance(everywhere, ["path"]), "path", "left")
+    overall = overall.select("path", *(F.col(c).alias(f"{c}_all") for c in ("m", "a", "w", "wl")))
+
+    def content(m: str, w: str, wl: str) -> Column:
+        return 1 - F.col(wl) / (F.col(w) * F.log(F.greatest(F.col(m), F.lit(2))))
+
+    def smoothed(own: Column, general: Column) -> Column:
+        return (F.col("m") * own + PRIOR_PAGES * general) / (F.col("m") + PRIOR_PAGES)
+
+    shown = smoothed(content("m", "w", "wl"), content("m_all", "w_all", "wl_all"))
+    x = by_host.join(overall, "path").select("host", "path", "m", "w", smoothed(F.col("a"), F.col("a_all")).alias("a"), shown.alias("content"))
+    tree = materialize(x, "tree")
+    # the way of each container that shows text up to the root, with the presentations on it
+    up = tree.where("w > 0").join(layouts, "path").select("host", "path", "w", "content", F.posexplode("chain").alias("depth", "ancestor"))
+    presented = tree.select("host", F.col("path").alias("ancestor"), "a")
+    rising = up.join(presented, ["host", "ancestor"]).groupBy("host", "path").agg(
+        F.max("w").alias("w"), F.max("content").alias("content"), F.array_sort(F.collect_list(F.struct("depth", "ancestor", "a"))).alias("way")
     )
-    by_host = importance(features, pages, ["host", "path"])
-    own = (F.col("m") * F.col("importance") + PRIOR_PAGES * F.col("overall")) / (F.col("m") + PRIOR_PAGES)
-    return by_host.join(overall.select("path", F.col("importance").alias("overall")), "path").select("host", "path", "m", own.alias("importance"))
-
-
-def judge_html(html_lines: DataFrame, tree: DataFrame) -> DataFrame:
-    """``html_lines`` with ``chrome``: whether the piece stands in a branch of low importance.  A page
-    whose every branch is of low importance keeps its best one."""
-    nodes = tree.select("host", "path", "importance")
-    judged = html_lines.join(nodes, ["host", "path"])
-    best = judged.groupBy("fetch_id").agg(F.max("importance").alias("best")).where(F.col("best") < IMPORTANCE)
-    best = best.select(F.col("fetch_id").alias("page"), "best")
-    kept = F.col("best").isNotNull() & (F.col("importance") == F.col("best"))
-    rows = judged.join(best, F.col("fetch_id").eqNullSafe(F.col("page")), "left")
-    return rows.withColumn("chrome", (F.col("importance") < IMPORTANCE) & ~kept).drop("page", "best", "importance")
+    # what is unimportant about the text, less what each presentation from it up to the ancestor adds
+    dull = F.col("w") * (1 - F.col("content"))
+    share = F.aggregate(F.slice("way", F.col("depth") + 1, F.size("way")), F.lit(1.0), lambda p, x: p * (1 - x["a"]))
+    ways = materialize(rising, "ways")
+    at = ways.select("host", "path", "w", "way", dull.alias("dull"), F.posexplode("way").alias("depth", "at"))
+    branches = at.select("host", F.col("at.ancestor").alias("ancestor"), "w", (F.col("dull") * share).alias("dull"))
+    branches = branches.groupBy("host", "ancestor").agg((1 - F.sum("dull") / F.sum("w")).alias("branch"))
+    lowest = at.select("host", "path", F.col("at.ancestor").alias("ancestor")).join(branches, ["host", "ancestor"]).groupBy("host", "path").agg(F.min("branch").alias("branch"))
+    lifted = 1 - (1 - F.col("content")) * (1 - F.col("a"))
+    return tree.where("w > 0").join(lowest, ["host", "path"]).select("host", "path", "m", lifted.alias("importance"), "branch")
+
+
+def judge_html(pages: DataFrame, tree: DataFrame) -> DataFrame:
+    """(fetch_id, line_no, wording, chrome) of each piece of ``pages``.  A page all of whose text is chrome
+    keeps its most important container.
+
+    The join with the tree is followed by a shuffle on another key, so that a host with very many pages
+    is split by adaptive skew handling."""
+    shown = pages.select("fetch_id", "host", F.inline("nodes")).where("size(pieces) > 0").select("fetch_id", "host", "path", "pieces")
+    judged = shown.join(tree.select("host", "path", "importance", "branch"), ["host", "path"])
+    low = (F.col("importance") < IMPORTANCE) | (F.col("branch") < BRANCH_IMPORTANCE)
+    page = W.partitionBy("fetch_id")
+    judged = judged.withColumn("low", low).withColumns({"all_low": F.min("low").over(page), "best": F.max("importance").over(page)})
+    chrome = F.col("low") & ~(F.col("all_low") & (F.col("importance") == F.col("best")))
+    return judged.select("fetch_id", chrome.alias("chrome"), F.inline("pieces")).select("fetch_id", "line_no", "wording", "chrome")
 
 
 def wording_evidence(judged: DataFrame) -> DataFrame:
@@ -76,8 +122,8 @@ def judge_page(lines: list[list]) -> np.ndarray:
     """Which lines of one markdown page are chrome.
 
     ``lines``: (block, kind, chrome share or None, size) in order.  Known lines follow their evidence.
-    A block led by known chrome takes its unknown short lines along; so does one whose known lines are
-    mostly chrome."""
+    A block led by known chrome, or whose known lines are mostly chrome, takes along its unknown lines that
+    its known chrome outweighs."""
     n = len(lines)
     out = np.zeros(n, bool)
     blocks: dict[int, list[int]] = {}
@@ -91,9 +137,10 @@ def judge_page(lines: list[list]) -> np.ndarray:
             continue
         led = out[members[0]]
         if led or len(chrome) > 0.5 * len(known):
+            weight = FOLLOW * sum(lines[i][3] for i in chrome)
             for i in members:
                 _, kind, share, size = lines[i]
-                if share is None and size <= 160 and kind not in ("code", "quote", "row", "heading"):
+                if share is None and size <= weight and kind not in ("code", "quote", "row", "heading"):
                     out[i] = True
     return out
 
@@ -136,10 +183,13 @@ def _merge_rows(rows: list[list]) -> list[list]:
     for line, _, block, kind, share, seen, size, stats in rows:
         x = lines.setdefault(line, {"block": block, "kind": kind, "size": size, "stats": stats, "own": None, "parts": []})
         if kind == "heading":
-            x["kind"] = "heading"
+            x["kind"], x["own"] = kind, share
+        elif kind == "whole":
             x["own"] = share
         else:
             x["parts"].append((share, seen))
+            if x["kind"] == "whole":
+                x["kind"] = kind
     out = []
     for line in sorted(lines):
         x = lines[line]
@@ -161,26 +211,26 @@ def _judge_rows(rows: list[list]) -> Iterator[tuple]:
         yield line, block, kind, size, stats, bool(c)
 
 
-def judged_html(html_lines: DataFrame) -> DataFrame:
-    """Pieces of HTML with their verdict, from their rows of ``page_lines``."""
-    html = html_lines.select("fetch_id", "host", "line_no", "path", "wording", "size")
-    return judge_html(html, materialize(style_tree(html), "tree"))
+def judged_html(fetches: DataFrame) -> DataFrame:
+    """Pieces of HTML with their verdict; each page is read once."""
+    read = materialize(html_pages(fetches), "html")
+    layouts = read.select(F.inline("layouts")).dropDuplicates(["path"])
+    pages = materialize(read.select("fetch_id", "host", "nodes").dropDuplicates(["fetch_id"]), "pages")
+    return judge_html(pages, materialize(style_tree(pages, layouts), "judged-tree"))
 
 
 EVIDENCE_COLUMNS = ["line_no", "wording", "block", "kind", "chrome_share", "seen", "size", "stats"]
 
 
-def judge_markdown(markdown_lines: DataFrame, judged: DataFrame) -> DataFrame:
+def judge_markdown(lines: DataFrame, judged: DataFrame) -> DataFrame:
     """Markdown lines with their verdict (``MAIN_SCHEMA``), by the evidence of judged HTML."""
-    rows = markdown_lines.select("fetch_id", "line_no", "wording", "block", "kind", "size", "stats")
-    return by_page(rows.join(wording_evidence(judged), "wording", "left"), EVIDENCE_COLUMNS, _judge_rows, MAIN_SCHEMA)
+    return by_page(lines.join(wording_evidence(judged), "wording", "left"), EVIDENCE_COLUMNS, _judge_rows, MAIN_SCHEMA)
 
 
 def judged_lines(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chrome of both fields: judged HTML pieces, and markdown lines with their statistics."""
-    lines = materialize(page_lines(fetches), "lines")
-    judged = judged_html(lines.where("field = 'html_gz'"))
-    return judged, judge_markdown(lines.where("field = 'markdown'"), judged)
+    judged = materialize(judged_html(fetches), "judged")
+    return judged, judge_markdown(markdown_lines(fetches), judged)
 
 
 def chrome_lines(fetches: DataFrame) -> DataFrame:

@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.chrome import EVIDENCE_COLUMNS, _merge_rows, by_page, judge_page, judged_html, wording_evidence
 from webstrata.llm.language import COMMON, FILLER
-from webstrata.llm.pages import STAT_BITS, markdown_pieces, page_lines
+from webstrata.llm.pages import STAT_BITS, markdown_lines, markdown_pieces
 from webstrata.llm.residue import Judge, fit_classifier
 from webstrata.llm.sampling import bounded_sample
-from webstrata.session import materialize
 
 STATES = ("prose", "list", "table", "junk")
 SAMPLE_RECORDS = 2000
@@ -205,10 +204,8 @@ def unreadable_records(fetches: DataFrame) -> DataFrame:
             kept = pa.array([not judge.record(text)[1] for text in batch.column(2).to_pylist()], pa.bool_())
             yield batch.select([0, 1]).filter(kept)
 
-    html = materialize(page_lines(fetches, ("html_gz",)).select("fetch_id", "host", "line_no", "path", "wording", "size"), "html")
-    lines = page_lines(fetches, ("markdown",)).select("fetch_id", "line_no", "wording", "block", "kind", "size", "stats")
     model = LineModel(emission.value)
-    rows = lines.join(wording_evidence(judged_html(html)), "wording", "left")
+    rows = markdown_lines(fetches).join(wording_evidence(judged_html(fetches)), "wording", "left")
     found = by_page(rows, EVIDENCE_COLUMNS, lambda rows: _kind(rows, model), "fetch_id LONG, kind STRING").distinct()
     texts = fetches.select(F.col("fetch_id").cast("long").alias("id"), "markdown")
     labelled = found.join(texts, F.col("fetch_id").eqNullSafe(F.col("id"))).select("fetch_id", "kind", "markdown")

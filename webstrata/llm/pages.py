@@ -1,8 +1,10 @@
 """Pages as lines: what each line of a page's HTML and markdown shows, and where it stands.
 
-One pass over a page emits a narrow row per piece of visible text: the line it stands on, a digest of
-its container's path in the page's tree, a digest of its wording with names and numbers masked, its
-length, and a code of line statistics.  Everything later works on these rows; the text is read once.
+One pass over a page emits digests and numbers only.  HTML gives one row per page: its containers, each
+with a digest of its path in the page's tree, one of its presentation (the sequence of its child
+elements) and the pieces of text it shows.  Markdown gives a row per piece of text: the line it stands
+on, a digest of its wording with names and numbers masked, its length, and a code of line statistics.
+Everything later works on these rows; the text is read once.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,37 +27,43 @@ from pyspark.sql import functions as F
 from webstrata.llm.language import COMMON, FILLER
 from webstrata.llm.lookalike import HOMOGLYPHS, INVISIBLE
 
-LINES_SCHEMA = (
-    "fetch_id LONG, host STRING, field STRING, line_no INT, block INT, kind STRING, path LONG, wording LONG, size INT, stats INT"
+MARKDOWN_SCHEMA = "fetch_id LONG, line_no INT, block INT, kind STRING, wording LONG, size INT, stats INT"
+PIECE = "STRUCT<line_no: INT, wording: LONG, size: INT, again: BOOLEAN>"
+HTML_SCHEMA = (
+    f"fetch_id LONG, host STRING, nodes ARRAY<STRUCT<path: LONG, style: LONG, pieces: ARRAY<{PIECE}>>>, "
+    "layouts ARRAY<STRUCT<path: LONG, chain: ARRAY<LONG>>>"
 )
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->|<![^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"<(script|style|template|head|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _CONTAINERS = set("div section nav aside header footer main article ul ol form dialog menu".split())
+_INLINE = set("a abbr b bdi bdo br cite code em font i img kbd mark q s small span strong sub sup time u wbr".split())
 _VOID = set("br img hr input meta link source wbr area base col embed track".split())
 _DIGITS = re.compile(r"\d+")
 _ROOT = "body"
 _FOLD = str.maketrans({c: latin for latin, others in (x.split(":") for x in HOMOGLYPHS.split()) for c in others} | dict.fromkeys(INVISIBLE))
-_NAME = re.compile(r"(?<=\s)\S*[^\W\d_a-zß-öø-ÿа-яё]\S*(?:\s+\S*[^\W\d_a-zß-öø-ÿа-яё]\S*)*")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+# The masks of a wording, as the Arrow kernels' regular expressions; inner words with a capital are names.
+_MASKS = [(r"\pN+", "0"), (r"\s+", " "), (r" \S*\p{Lu}\S*(?: \S*\p{Lu}\S*)*", " N"), (r"^[^\pL\pN]+|[^\pL\pN]+$", "")]
 
-
-LONG_WORDING = 240
 HEADING_MARK = 0x5DEECE66D  # tells a heading's wording from the same plain text
 
 
+def wordings(texts: list[str]) -> list[int]:
+    """Digests of texts' wordings: look-alikes folded, numbers and inner capitalised words masked."""
+    folded = [t if t.isascii() else unicodedata.normalize("NFKC", t.translate(_FOLD)).translate(_FOLD) for t in texts]
+    x = pa.array([t.strip() for t in folded], pa.large_string())
+    for pattern, to in _MASKS:
+        x = pc.replace_substring_regex(x, pattern, to)
+    masked = pc.utf8_lower(x).to_pylist()
+    return [xxhash.xxh3_64_intdigest(m or t) - (1 << 63) for m, t in zip(masked, folded)]
+
+
 def wording(text: str) -> int:
-    """Digest of a text's wording: look-alikes folded, numbers and inner capitalised words masked.
-    Beyond ``LONG_WORDING`` characters only numbers are masked; no menu, prompt or notice is so long
-    that its names alone would tell it from others."""
-    if len(text) <= LONG_WORDING:
-        if not text.isascii():
-            text = unicodedata.normalize("NFKC", text.translate(_FOLD)).translate(_FOLD)
-        text = " ".join(_DIGITS.sub("0", text).split())
-        text = (_EDGES.sub("", _NAME.sub("N", text)) or text).lower()
-    else:
-        text = _DIGITS.sub("0", text)
+    return wordings([text])[0]
+
+
+def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
@@ -67,8 +77,10 @@ def unpack(packed: bytes | None) -> str | None:
         return None
 
 
-def html_pieces(html: str) -> Iterator[tuple[int, str, str, str]]:
-    """(line, container path, leaf tag, text) of each piece of text shown by the body, in order.
+def read_html(html: str) -> tuple[list[tuple[int, str, str, str]], dict[str, list[str]], dict[str, str | None]]:
+    """(pieces, children, parents) of a page's body.  Pieces are (line, container path, leaf tag, text) of
+    what is shown, in order; ``children`` holds the elements that follow one another in each container,
+    runs of one kind as one and inline marks apart; ``parents`` the container around each.
 
     Elements with a class, id or role, and sectioning or list elements, are containers; other elements
     belong to the container around them.  Comments, scripts, styles and the head show nothing."""
@@ -77,7 +89,11 @@ def html_pieces(html: str) -> Iterator[tuple[int, str, str, str]]:
         return "\n" * m.group(0).count("\n")
 
     html = _HIDDEN.sub(blank, html)
+    pieces: list[tuple[int, str, str, str]] = []
+    children: dict[str, list[str]] = {_ROOT: []}
+    parents: dict[str, str | None] = {_ROOT: None}
     line, path, leaf = 1, _ROOT, ""
+    own = children[_ROOT]
     stack: list[tuple[str, str, str]] = []
     at = 0
     for m in _TAG.finditer(html):
@@ -87,7 +103,7 @@ def html_pieces(html: str) -> Iterator[tuple[int, str, str, str]]:
             if not text.isspace():
                 for i, part in enumerate(text.split("\n")):
                     if part and not part.isspace():
-                        yield line + i, path, leaf, unescape(part).strip() if "&" in part else part.strip()
+                        pieces.append((line + i, path, leaf, unescape(part).strip() if "&" in part else part.strip()))
             line += text.count("\n")
         at = m.end()
         line += html.count("\n", start, at)
@@ -99,6 +115,7 @@ def html_pieces(html: str) -> Iterator[tuple[int, str, str, str]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     path, leaf = stack[k][1], stack[k][2]
+                    own = children[path]
                     del stack[k:]
                     break
         elif tag not in _VOID and tag not in ("html", "body"):
@@ -108,14 +125,22 @@ def html_pieces(html: str) -> Iterator[tuple[int, str, str, str]]:
             if attributes and "=" in attributes:
                 names = "".join(f"[{a.lower()}={_DIGITS.sub('0', b or c or d)}]" for a, b, c, d in _NAMED.findall(attributes))
             if names or tag in _CONTAINERS:
-                path = f"{path}/{tag}{names}"
+                if not own or own[-1] != tag + names:
+                    own.append(tag + names)
+                inner = f"{path}/{tag}{names}"
+                if inner not in parents:
+                    parents[inner], children[inner] = path, []
+                path, own = inner, children[inner]
+            elif tag not in _INLINE and (not own or own[-1] != tag):
+                own.append(tag)
             leaf = tag
             if attributes.endswith("/"):
                 _, path, leaf = stack.pop()
-    rest = html[at:]
-    for i, part in enumerate(rest.split("\n")):
+                own = children[path]
+    for i, part in enumerate(html[at:].split("\n")):
         if part and not part.isspace():
-            yield line + i, path, leaf, unescape(part).strip()
+            pieces.append((line + i, path, leaf, unescape(part).strip()))
+    return pieces, children, parents
 
 
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
@@ -124,6 +149,7 @@ _BULLET = re.compile(r"^\s*(?:[*+•‣–-]|\d{1,3}[.)])\s+")
 _EMPHASIS = re.compile(r"^(\*\*|__|\*|_)(.+)\1$")
 _LINK = re.compile(r"\[([^\]]*)\]\((?:[^()]|\([^)]*\))*\)")
 _JOINTS = re.compile(r"\s+[|·•›»>/]\s+|\s{2,}|\t")
+_JOINT_MARKS = ("  ", "\t", "|", ">", "/")  # of plain ASCII texts, only those with one of these can be split
 _COLUMNS = re.compile(r"\S(?: {2,}|\t)\S")
 _SENTENCE = re.compile(r"[.!?…。](?:[\"'”»)\]*_]*)(?=\s|$)")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -181,7 +207,8 @@ def line_stats(line: str, fenced: bool) -> int:
 
 
 def read_line(line: str) -> tuple[str, list[str], int, int]:
-    """(kind, texts, size, stats) of a markdown line outside code."""
+    """(kind, texts, size, stats) of a markdown line outside code; the whole text and, if it is made of
+    several entries, each of them."""
     bare = line.strip()
     kind, text = "text", bare
     if m := _HEADING.match(line):
@@ -194,13 +221,14 @@ def read_line(line: str) -> tuple[str, list[str], int, int]:
         kind = "row"
     if m := _EMPHASIS.match(text.strip()):
         text = m.group(2)
-    if len(text) < 400:
-        if "](" in text:
-            text = _LINK.sub(r"  \1  ", text)
-        texts = [t for t in (x.strip() for x in _JOINTS.split(text.strip())) if t and t not in "|·•›»"]
+    if "](" in text:
+        text = _LINK.sub(r"  \1  ", text)
+    text = text.strip()
+    if any(c in text for c in _JOINT_MARKS) or not text.isascii():
+        texts = [t for t in (x.strip() for x in _JOINTS.split(text)) if t and t not in "|·•›»"]
     else:
-        texts = [text]
-    return kind, texts or [bare], len(bare), line_stats(line, False)
+        texts = [text] if text else []
+    return kind, [text, *texts] if len(texts) > 1 else texts or [bare], len(bare), line_stats(line, False)
 
 
 def markdown_pieces(markdown: str, known: dict[str, tuple]) -> Iterator[tuple[int, int, str, list[str], int, int]]:
@@ -236,76 +264,150 @@ def _host(url: str | None) -> str:
         return ""
 
 
-LINE_NAMES = [x.split()[0] for x in LINES_SCHEMA.split(", ")]
-LINE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
-
 class LineReader:
-    """Rows of ``LINES_SCHEMA`` of pages; wordings, paths and short lines are worked out once."""
+    """Digests of wordings, paths and presentations; each is worked out once, and those of a batch's new
+    texts together."""
 
     def __init__(self) -> None:
         self.paths: dict[str, int] = {}
+        self.styles: dict[str, int] = {}
         self.known: dict[str, int] = {}
         self.short: dict[str, tuple] = {}
-
-    def word(self, text: str) -> int:
-        if len(text) > 160:
-            return wording(text)
-        if (w := self.known.get(text)) is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            w = self.known[text] = wording(text)
-        return w
-
-    def path(self, path: str) -> int:
+        self.fresh: dict[str, int] = {}
+
+    def later(self, text: str) -> str:
+        """``text``, whose wording ``settle`` will look up."""
+        if text not in self.known:
+            self.fresh[text] = 0
+        return text
+
+    def settle(self) -> dict[str, int]:
+        """The wordings of all texts asked for since the last call."""
+        if self.fresh:
+            new = list(self.fresh)
+            self.known.update(zip(new, wordings(new)))
+            self.fresh.clear()
+        return self.known
+
+    def forget(self) -> None:
+        """Keep short texts only, which sites repeat, and not too many of them."""
+        self.known = {t: w for t, w in self.known.items() if len(t) <= 160} if len(self.known) < 300_000 else {}
+        for kept in (self.paths, self.styles):
+            if len(kept) > 200_000:
+                kept.clear()
+
+    def path(self, path: str, parents: dict[str, str | None], new: list[tuple[int, list[int]]]) -> int:
+        """Digest of a path; one not met before goes to ``new`` with the digests from the root to it."""
         if (p := self.paths.get(path)) is None:
-            if len(self.paths) > 200_000:
-                self.paths.clear()
-            p = self.paths[path] = xxhash.xxh3_64_intdigest(path) - (1 << 63)
+            p = self.paths[path] = digest(path)
+            chain, at = [], path
+            while at is not None:
+                chain.append(digest(at))
+                at = parents[at]
+            new.append((p, chain[::-1]))
         return p
 
-    def html(self, fetch_id: int, host: str, packed: bytes | None) -> Iterator[tuple]:
-        page = unpack(packed)
-        if page:
-            for line, path, leaf, text in html_pieces(page):
-                heading = leaf in ("h1", "h2", "h3", "h4")
-                w = self.word(text)
-                yield fetch_id, host, "html_gz", line, 0, "heading" if heading else "text", self.path(path), w ^ HEADING_MARK if heading else w, len(text), 0
+    def style(self, children: list[str]) -> int:
+        text = " ".join(children)
+        if (s := self.styles.get(text)) is None:
+            s = self.styles[text] = digest(text)
+        return s
+
+
+def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
-    def markdown(self, fetch_id: int, host: str, markdown: str | None) -> Iterator[tuple]:
-        """Headings come twice, with their wording as a heading and as plain text."""
-        for line, block, kind, texts, size, stats in markdown_pieces(markdown or "", self.short):
-            if kind == "heading":
-                yield fetch_id, host, "markdown", line, block, "heading", 0, self.word(" ".join(texts)) ^ HEADING_MARK, size, stats
-                kind = "plain heading"
-            for text in texts or [""]:
-                yield fetch_id, host, "markdown", line, block, kind, 0, self.word(text) if text else 0, size, stats
 
+def _structs(columns: list[list], types: list[pa.DataType], names: list[str]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-def line_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(LINE_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LINE_TYPES)], names=LINE_NAMES)
 
+def html_pages(fetches: DataFrame) -> DataFrame:
+    """A row of ``HTML_SCHEMA`` per fetch whose ``html_gz`` unpacks whole; ``again`` marks what a container
+    of the page has shown before.  ``layouts`` are the paths a task met first on this page."""
 
-def page_lines(fetches: DataFrame, fields: tuple[str, ...] = ("html_gz", "markdown")) -> DataFrame:
-    """Rows of ``LINES_SCHEMA`` for ``fields`` of every fetch.  Null, empty and damaged fields give no
-    rows; a field that is not asked for is not read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = LineReader()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                ids, hosts, sizes = [], [], ([], [], [], [])  # nodes, pieces, layouts, links per owner
+                nodes: list[list] = [[], []]
+                pieces: list[list] = [[], [], [], []]
+                heads: list[bool] = []
+                layouts: list[list] = [[], []]
+                for fetch_id, url, packed in zip(*(c.to_pylist() for c in part.columns)):
+                    page = unpack(packed)
+                    if not page:
+                        continue
+                    found, children, parents = read_html(page)
+                    new: list[tuple[int, list[int]]] = []
+                    shown: dict[str, list] = {path: [] for path in children}
+                    for line, path, leaf, text in found:
+                        shown[path].append((line, reader.later(text), leaf in ("h1", "h2", "h3", "h4"), len(text)))
+                    for path, items in shown.items():
+                        nodes[0].append(reader.path(path, parents, new))
+                        nodes[1].append(reader.style(children[path]))
+                        sizes[1].append(len(items))
+                        seen = set()
+                        for line, text, head, size in items:
+                            pieces[0].append(line)
+                            pieces[1].append(text)
+                            heads.append(head)
+                            pieces[2].append(size)
+                            pieces[3].append((text, head) in seen)
+                            seen.add((text, head))
+                    ids.append(fetch_id)
+                    hosts.append(_host(url))
+                    sizes[0].append(len(shown))
+                    sizes[2].append(len(new))
+                    for p, chain in new:
+                        layouts[0].append(p)
+                        layouts[1].extend(chain)
+                        sizes[3].append(len(chain))
+                known = reader.settle()
+                pieces[1] = [known[t] ^ HEADING_MARK if h else known[t] for t, h in zip(pieces[1], heads)]
+                reader.forget()
+                shown_by = _lists(sizes[1], _structs(pieces, [pa.int32(), pa.int64(), pa.int32(), pa.bool_()], ["line_no", "wording", "size", "again"]))
+                containers = pa.StructArray.from_arrays([pa.array(nodes[0], pa.int64()), pa.array(nodes[1], pa.int64()), shown_by], names=["path", "style", "pieces"])
+                chains = pa.StructArray.from_arrays([pa.array(layouts[0], pa.int64()), _lists(sizes[3], pa.array(layouts[1], pa.int64()))], names=["path", "chain"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), _lists(sizes[0], containers), _lists(sizes[2], chains)],
+                    names=["fetch_id", "host", "nodes", "layouts"],
+                )
+
+    return fetches.select(F.col("fetch_id").cast("long"), "url", "html_gz").where("html_gz IS NOT NULL").mapInArrow(run, HTML_SCHEMA)
+
+
+def markdown_lines(fetches: DataFrame) -> DataFrame:
+    """Rows of ``MARKDOWN_SCHEMA`` of every fetch; null, empty and blank texts give none.  Headings come
+    twice, with their wording as a heading and as plain text; lines of several entries with that of the
+    whole line and those of the entries."""
+    names = [x.split()[0] for x in MARKDOWN_SCHEMA.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = LineReader()
         for batch in batches:
-            rows: list[tuple] = []
-            ids, urls = (batch.column(i).to_pylist() for i in range(2))
-            for i, (fetch_id, url) in enumerate(zip(ids, urls)):
-                host = _host(url)
-                for k, field in enumerate(fields, 2):
-                    value = batch.column(k)[i].as_py()
-                    if value:
-                        rows.extend(reader.html(fetch_id, host, value) if field == "html_gz" else reader.markdown(fetch_id, host, value))
-                if len(rows) > 100_000:
-                    yield line_batch(rows)
-                    rows = []
-            if rows:
-                yield line_batch(rows)
-
-    return fetches.select(F.col("fetch_id").cast("long"), "url", *fields).mapInArrow(run, LINES_SCHEMA)
+            for start in range(0, batch.num_rows, 1024):
+                out: list[list] = [[] for _ in names]
+
+                def add(*row: object) -> None:
+                    for column, value in zip(out, row):
+                        column.append(value)
+
+                for fetch_id, text in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns)):
+                    for line, block, kind, texts, size, stats in markdown_pieces(text or "", reader.short):
+                        if kind == "heading":
+                            add(fetch_id, line, block, kind, (reader.later(texts[0]), HEADING_MARK), size, stats)
+                            kind = "plain heading"
+                        elif len(texts) > 1:
+                            add(fetch_id, line, block, "whole", (reader.later(texts[0]), 0), size, stats)
+                        for piece in texts[len(texts) > 1 :] or [""]:
+                            add(fetch_id, line, block, kind, (reader.later(piece), 0) if piece else None, size, stats)
+                known = reader.settle()
+                out[4] = [0 if x is None else known[x[0]] ^ x[1] for x in out[4]]
+                reader.forget()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    return fetches.select(F.col("fetch_id").cast("long"), "markdown").where("markdown IS NOT NULL").mapInArrow(run, MARKDOWN_SCHEMA)
