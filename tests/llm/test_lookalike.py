@@ -57,6 +57,11 @@ def test_pairs_against_brute_force(spark):
     assert len(got) == len(set(got))
     for name, field in (("title", 2), ("markdown", 3)):
         assert {(r.fetch_id_a, r.fetch_id_b) for r in got if r.field == name} == brute(rows, field)
+    classes = L.lookalike_classes(df).collect()
+    assert len({(r.field, r.fetch_id) for r in classes}) == len(classes)
+    for r in classes:
+        assert r.n_links == sum(r.fetch_id in (p.fetch_id_a, p.fetch_id_b) for p in got if p.field == r.field)
+    assert sum(r.n_links for r in classes) == 2 * len(got)
 
 
 def test_odd_input(spark):

@@ -24,6 +24,19 @@ def test_languages_held_out():
         assert (main, words >= 40) == (lang, True) and sure > 0.2, lang
 
 
+def test_long_runs_are_read_whole():
+    vectors, rng = L.Vectors(256), random.Random(8)
+    word = "".join(rng.choice("abcdeé") for _ in range(5000))
+    total = sum(vectors.letter(a)[2].astype(int) * vectors.letter(b)[1] * vectors.letter(c)[0] for a, b, c in zip(f" {word} ", f"{word} ", word[1:] + " "))
+    assert (vectors.word(word) == total).all()
+    short = "abcde" * 12
+    assert (vectors.word(short) == vectors.long_word(f" {short} ")).all()
+
+
+def test_short_lines_count():
+    assert [n for n, *_ in L.sentence_lines("He is ill.\nno end\n* He is ill.")] == [1]
+
+
 def test_labels():
     assert [L.label_language(x) for x in ("EN", "en_GB", "eng", "English", "Português", "x-default", "und", "", None, "nl", "zxx")] == ["en", "en", "en", "en", "pt", None, None, None, None, "nl", None]
 

@@ -10,7 +10,7 @@ from webstrata.llm.abuse import abusive_documents, rated_agreement, score_docume
 from webstrata.llm.chrome import chrome_lines, main_bodies
 from webstrata.llm.language import label_faults, language_segments
 from webstrata.llm.linekinds import label_shares, text_statistics, unreadable_records
-from webstrata.llm.lookalike import canonical_forms, lookalike_pairs
+from webstrata.llm.lookalike import canonical_forms, lookalike_classes, lookalike_pairs
 from webstrata.llm.packing import fill_report, pack
 from webstrata.llm.residue import fit_classifier, residue_records, score_residue
 from webstrata.llm.tokens import count_tokens, encode_corpus
@@ -29,6 +29,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(table(spark, folder, "fetch_cache"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike_classes(table(spark, folder, "fetch_cache"))
+
+
 def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_forms(table(spark, folder, "fetch_cache")).dropDuplicates(["fetch_id"])
 

@@ -3,7 +3,8 @@
 Every letter has a random bipolar vector.  Letters of an n-gram, each permuted by its place, are bound
 by multiplication; n-grams of a word are bundled by addition, words likewise.  A language's prototype
 bundles the words of sample lines recognised by its common words; what all prototypes share is taken
-off.  A line takes the language whose prototype has the highest cosine with the line's bundle, a record
+off, and sample lines that are still told wrong are bundled into the right prototype and out of the
+wrong one.  A line takes the language whose prototype has the highest cosine with the line's bundle, a record
 the language of most of its words in sentences.
 
 Words that belong to no language (filler text) have a prototype of their own and do not count.  Null,
@@ -27,7 +28,8 @@ from webstrata.llm.sampling import bounded_sample
 
 DIMENSIONS, GRAM, SEED, WHOLE_WORD = 1024, 3, 7, 5
 SAMPLE_RECORDS = 3000
-SAMPLE_LINES, ROUNDS, RATE = 8000, 40, 2.0
+SAMPLE_LINES, ROUNDS, RATE, MARGIN = 8000, 40, 0.3, 0.1
+LONG_WORD = 64
 SWITCH = 0.3
 KEPT_WORDS = 60_000
 FILLER = "zz"
@@ -84,6 +86,8 @@ class Vectors:
 
     def word(self, word: str) -> np.ndarray:
         text = f" {word} "
+        if len(word) > LONG_WORD:
+            return self.long_word(text)
         total = np.zeros(self.dimensions, np.int16)
         for i in range(len(text) - GRAM + 1):
             gram = self.letter(text[i])[GRAM - 1]
@@ -98,6 +102,19 @@ class Vectors:
         return total
 
 
+    def long_word(self, text: str) -> np.ndarray:
+        """The same sum for a run of any length, many n-grams at a time."""
+        total = np.zeros(self.dimensions, np.int64)
+        for start in range(0, len(text) - GRAM + 1, 2048):
+            part = text[start : start + 2048 + GRAM - 1]
+            n = len(part) - GRAM + 1
+            grams = np.ones((n, self.dimensions), np.int16)
+            for k in range(GRAM):
+                grams *= np.array([self.letter(c)[GRAM - 1 - k] for c in part[k : k + n]])
+            total += grams.sum(axis=0)
+        return total
+
+
 def prototypes(profiles: dict[str, Counter[str]], vectors: Vectors) -> tuple[list[str], np.ndarray]:
     """Unit prototypes of the profiles (word counts), less their mean."""
     names = sorted(profiles)
@@ -148,7 +165,7 @@ def sentence_lines(text: str) -> Iterator[tuple[int, list[str], int]]:
     for number, line in enumerate(text.split("\n"), 1):
         if _FENCE.match(line):
             fenced = not fenced
-        elif not fenced and len(line) > 12 and not _NO_SENTENCE.match(line):
+        elif not fenced and line and not _NO_SENTENCE.match(line):
             line = plain_line(line)
             if _ENDS.search(line) and line.count("|") < 2 and "\t" not in line:
                 words = [w for x in line.split() if (w := x.strip(_STRIP)) and not w.isdigit()]
@@ -185,7 +202,7 @@ class Model:
         if n >= len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
         if any(c.isalpha() for c in word):
-            v = self.vectors.word(word[:64]).astype(np.float32)
+            v = self.vectors.word(word).astype(np.float32)
             self.sums[n, :-1] = self.matrix @ v
             self.sums[n, -1] = v @ v
         return n
@@ -216,8 +233,8 @@ def seed_model() -> Model:
 
 def train(texts: list[str], sample_lines: int = SAMPLE_LINES) -> tuple[list[str], np.ndarray]:
     """Prototypes from sample texts.  A line counts for the language whose common words it has most of;
-    such lines are bundled, and then correct the prototypes: what a wrong or narrow verdict had in
-    common with a line is taken from the wrong prototype and given to the right one."""
+    such lines are bundled.  Then, a few times over, lines told wrong or by less than ``MARGIN`` are added
+    to the prototype of their language and taken off the nearest other one; prototypes stay bundles."""
     common = defaultdict(list)
     for lang, words in COMMON.items():
         for w in set(words.split()):
@@ -231,7 +248,7 @@ def train(texts: list[str], sample_lines: int = SAMPLE_LINES) -> tuple[list[str]
             if ranked and ranked[0][1] >= max(3, 0.2 * len(words)) and (len(ranked) < 2 or ranked[0][1] >= 1.5 * ranked[1][1]):
                 profiles[ranked[0][0]].update(w for w in words if w.isalpha())
                 if len(lines) < sample_lines:
-                    lines.append((ranked[0][0], words[:60]))
+                    lines.append((ranked[0][0], words))
     vectors = Vectors()
     names, matrix = prototypes(profiles, vectors)
     for lang, words in COMMON.items():  # every language takes part, whatever the sample holds
@@ -242,18 +259,22 @@ def train(texts: list[str], sample_lines: int = SAMPLE_LINES) -> tuple[list[str]
     for i, (_, words) in enumerate(lines):
         for w in words:
             if w not in known:
-                known[w] = vectors.word(w[:64])
+                known[w] = vectors.word(w)
             bundles[i] += known[w]
     bundles /= np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
-    truth = np.eye(len(names), dtype=np.float32)[[names.index(lang) for lang, _ in lines]]
-    share = truth.sum(axis=0)
-    weight = (1 / np.maximum(truth @ share, 1))[:, None] * len(lines) / len(names)
-    matrix = matrix.astype(np.float32)
+    truth = np.array([names.index(lang) for lang, _ in lines])
+    weight = (1 / np.bincount(truth, minlength=len(names)))[truth, None]  # every language counts alike
+    matrix, every = matrix.astype(np.float32), np.arange(len(lines))
     for _ in range(ROUNDS):
-        scores = 12 * bundles @ matrix.T
-        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-        wrong = weight * (truth - scores / scores.sum(axis=1, keepdims=True))
-        matrix += RATE * (wrong.T @ bundles) / len(lines) * len(names)
+        scores = bundles @ matrix.T
+        own = scores[every, truth]
+        scores[every, truth] = -np.inf
+        rival = scores.argmax(axis=1)
+        unsure = np.flatnonzero(own - scores[every, rival] < MARGIN)
+        move = np.zeros_like(matrix)
+        np.add.at(move, truth[unsure], weight[unsure] * bundles[unsure])
+        np.add.at(move, rival[unsure], -weight[unsure] * bundles[unsure])
+        matrix += RATE * move
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
     return names, matrix
 
@@ -298,7 +319,7 @@ def language_segments(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS)
 
     Prototypes are fitted to ``sample_records`` records chosen by the hash of their id, at most; every
     record is judged.  ``label`` is the language the record's label names, if any."""
-    texts = fetches.select("fetch_id", "markdown").where("length(markdown) > 200")
+    texts = fetches.select("fetch_id", "markdown").where("length(markdown) > 0")
     sample = bounded_sample(texts, "fetch_id", sample_records).select("markdown")
     fitted = fetches.sparkSession.sparkContext.broadcast(train([r.markdown for r in sample.collect()]))
 

@@ -8,6 +8,9 @@ longest match first.  A run of blanks becomes one space, outer blanks go.
 
 What a reader can tell apart stays: case, accents, punctuation, superscripts.  Null stays null; an
 empty or blank text becomes empty.
+
+A form is made for comparing, not for reading: letters of a whole word of another script that are drawn
+alike go to the more frequent script with the rest.
 """
 
 from __future__ import annotations
@@ -210,18 +213,33 @@ def lookalike_members(fetches: DataFrame, columns: list[str] = ("title", "markdo
     """The rows of ``form_keys`` whose form is written in at least two ways, redelivered rows once."""
     keys = materialize(form_keys(fetches, columns), "forms")
     several = keys.groupBy("field", "form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("field", "form")
-    return keys.where("fetch_id IS NOT NULL").join(several, ["field", "form"], "left_semi").distinct()
+    return materialize(keys.where("fetch_id IS NOT NULL").join(several, ["field", "form"], "left_semi").distinct(), "members")
+
+
+def lookalike_classes(fetches: DataFrame, columns: list[str] = ("title", "markdown")) -> DataFrame:
+    """(field, class_id, way, fetch_id, n_links): one row per text that differs by character from another
+    one that reads the same.  ``class_id`` and ``way`` are digests of the form and of the text as written;
+    ``n_links`` is the number of fetches of the class written in another way, so that the sum over all
+    rows is twice the number of pairs.  Linear in the fetches, whatever they share."""
+    members = lookalike_members(fetches, columns)
+    ways = members.groupBy("field", "form", "raw").agg(F.count("*").alias("n"))
+    sizes = ways.groupBy("field", "form").agg(F.sum("n").alias("all"))
+    others = ways.join(sizes, ["field", "form"]).select("field", "form", "raw", (F.col("all") - F.col("n")).alias("n_links"))
+    rows = members.join(others, ["field", "form", "raw"])
+    return rows.select("field", F.lower(F.hex("form")).alias("class_id"), F.lower(F.hex("raw")).alias("way"), "fetch_id", "n_links")
 
 
 def lookalike_pairs(fetches: DataFrame, columns: list[str] = ("title", "markdown")) -> DataFrame:
-    """(field, fetch_id_a, fetch_id_b), a < b: texts that differ by character but read the same.
+    """(field, fetch_id_a, fetch_id_b), a < b: texts that differ by character but read the same, out of
+    their classes.
 
     Ways of writing are paired first, and expanded to their fetches after: equal texts never meet.  A
-    way shared by very many fetches is split by adaptive skew handling in either expansion."""
-    members = materialize(lookalike_members(fetches, columns), "members")
-    ways = members.select("field", "form", "raw").distinct()
-    pairs = ways.join(ways.withColumnRenamed("raw", "other"), ["field", "form"]).where("raw < other")
-    left = pairs.join(members.withColumnRenamed("fetch_id", "x"), ["field", "form", "raw"]).drop("raw")
-    right = members.select("field", "form", F.col("raw").alias("other"), F.col("fetch_id").alias("y"))
-    both = left.join(right, ["field", "form", "other"])
+    way shared by very many fetches is split by adaptive skew handling in either expansion.  The output
+    has a row per pair, as its columns demand; ``lookalike_classes`` is the linear form."""
+    members = materialize(lookalike_classes(fetches, columns).drop("n_links"), "members")
+    ways = members.select("field", "class_id", "way").distinct()
+    pairs = ways.join(ways.withColumnRenamed("way", "other"), ["field", "class_id"]).where("way < other")
+    left = pairs.join(members.withColumnRenamed("fetch_id", "x"), ["field", "class_id", "way"]).drop("way")
+    right = members.select("field", "class_id", F.col("way").alias("other"), F.col("fetch_id").alias("y"))
+    both = left.join(right, ["field", "class_id", "other"])
     return both.select("field", F.least("x", "y").alias("fetch_id_a"), F.greatest("x", "y").alias("fetch_id_b"))
