@@ -63,4 +63,13 @@ def test_pack(spark):
             assert sum(k for _, k in parts) == n and [s for s, _ in parts] == [capacity * i for i in range(len(parts))]
             assert len(parts) == max(1, -(-n // capacity))
     assert {r.container_kind for r in rows} == {"s", "l"}
+    joined = P.plan_packing(df, kinds, plan_bytes=0, rank_part=7)
+    again = P.plan_packing(df, kinds, rank_part=7).pieces.collect()
+    assert sorted(map(tuple, joined.pieces.collect())) == sorted(map(tuple, again))
+    for kind in ("s", "l"):
+        assert joined.containers[kind] == 1 + max(r.container_id for r in rows if r.container_kind == kind)
+        assert 0 < joined.from_patterns[kind] <= joined.containers[kind]
+    checks = P.fill_checks(df, kinds).collect()
+    assert sorted(map(tuple, checks)) == [("l", 400, 0, 0, 0), ("s", 400, 0, 0, 0)]
+    assert {r.container_kind for r in P.fill_report(df, kinds).collect()} == {"s", "l"}
     assert P.pack(df.limit(0), kinds).count() == 0 and P.pack(df, kinds.limit(0)).count() == 0

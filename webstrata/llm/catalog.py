@@ -11,7 +11,7 @@ from webstrata.llm.chrome import chrome_lines, main_bodies
 from webstrata.llm.language import label_faults, language_segments
 from webstrata.llm.linekinds import label_shares, text_statistics, unreadable_records
 from webstrata.llm.lookalike import canonical_forms, lookalike_classes, lookalike_pairs
-from webstrata.llm.packing import fill_report, pack
+from webstrata.llm.packing import fill_checks, fill_report, pack
 from webstrata.llm.residue import fit_classifier, residue_records, score_residue
 from webstrata.llm.tokens import count_tokens, encode_corpus
 from webstrata.session import table
@@ -80,8 +80,16 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
-    containers = table(spark, folder, "containers")
-    return fill_report(pack(count_tokens(table(spark, folder, "documents")), containers), containers)
+    return fill_report(count_tokens(table(spark, folder, "documents")), table(spark, folder, "containers"))
+
+
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_checks(count_tokens(table(spark, folder, "documents")), table(spark, folder, "containers"))
+
+
+SQL_P9_CHECKS = """
+SELECT container_kind, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS split_wrongly, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS overfull FROM containers
+"""
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p9_checks": SQL_P9_CHECKS}

@@ -4,7 +4,8 @@ Lengths are counted exactly.  In coarse units, all patterns of up to four length
 are enumerated and their repeat counts fitted to the histogram by non-negative least squares, rounded
 down and drawn from the exact lengths; what remains is packed best fit first, longest first, also into
 the gaps the patterns left.  The plan only speaks of lengths and counts, so its size depends on the
-capacity, not on the number of items; items find their place by their rank among equal lengths.
+capacity, not on the number of items; items find their place by their rank among equal lengths.  A length
+shared by many items is ranked in parts of about ``RANK_PART``; items that fill a container are each one.
 
 No item is split unless it exceeds the capacity; such an item gives full pieces and one remainder.
 Items of length 0 take no space and go to container 0.
@@ -28,8 +29,9 @@ from webstrata.session import materialize
 
 UNITS = 48
 PATTERN_LENGTHS = 4
-RANK_SALTS = 64
-MAX_PLAN_BYTES = 64 << 20
+RANK_PART = 50_000
+PLAN_BYTES = 64 << 20  # a plan up to this size is sent to the tasks, a larger one is joined as a table
+RANK_BLOCK = 4096
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -77,6 +79,7 @@ class Group:
     content: Counter[int]
     count: int
     left: int
+    pattern: bool = False
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[Group]:
@@ -122,7 +125,7 @@ def _draw(pattern: tuple[int, ...], repeats: int, of_unit: dict[int, list[int]],
     while repeats > 0:
         n = min(run[0][1] for run in runs)
         content = Counter(run[0][0] for run in runs)
-        yield Group(content, n, capacity - sum(s * m for s, m in content.items()))
+        yield Group(content, n, capacity - sum(s * m for s, m in content.items()), True)
         for run in runs:
             run[0][1] -= n
             if not run[0][1]:
@@ -160,7 +163,7 @@ def _best_fit(groups: list[Group], supply: dict[int, int], capacity: int) -> Non
             each = min(g.left // s, n)
             took = min(g.count, n // each)
             if took < g.count:
-                rest = Group(g.content, g.count - took, g.left)
+                rest = Group(g.content, g.count - took, g.left, g.pattern)
                 add(rest)
             g.content, g.count, g.left = g.content + Counter({s: each}), took, g.left - s * each
             n -= took * each
@@ -171,15 +174,16 @@ def _best_fit(groups: list[Group], supply: dict[int, int], capacity: int) -> Non
 
 
 def slots(groups: list[Group]) -> np.ndarray:
-    """Rows (length, first rank, items per container, first container) ordered by length and rank."""
+    """Rows (length, first rank, items per container, first container, rank after the last) ordered by
+    length and rank."""
     used: Counter[int] = Counter()
     rows, container = [], 0
     for g in groups:
         for s, each in g.content.items():
-            rows.append((s, used[s], each, container))
+            rows.append((s, used[s], each, container, used[s] + each * g.count))
             used[s] += each * g.count
         container += g.count
-    return np.array(sorted(rows), np.int64).reshape(-1, 4)
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def pieces_of(sizes: DataFrame, containers: DataFrame) -> DataFrame:
@@ -202,35 +206,50 @@ def pieces_of(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     )
 
 
-def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
-    """(container_kind, container_id, doc_id, piece, start_token, n_tokens): every item in containers of
-    every kind.  ``sizes`` has unique ``doc_id`` and ``n_tokens``; an empty table gives an empty result.
+@dataclass
+class Packing:
+    """Where every piece goes, and how many containers of each kind a fitted pattern filled."""
+
+    pieces: DataFrame
+    containers: dict[str, int]
+    from_patterns: dict[str, int]
+
+
+PLACED = "container_kind STRING, container_id LONG, doc_id LONG, piece LONG, start_token LONG, n_tokens LONG"
 
-    The histogram sent to the driver has at most one row per length up to the capacity.  A length that
-    very many items share is ranked in salted parts."""
+
+def plan_packing(sizes: DataFrame, containers: DataFrame, plan_bytes: int = PLAN_BYTES, rank_part: int = RANK_PART) -> Packing:
+    """The packing of every item into containers of every kind.
+
+    The histogram sent to the driver has at most one row per length up to the capacity."""
     spark = sizes.sparkSession
-    parts = materialize(
-        pieces_of(sizes, containers).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int")),
-        "pieces",
-    )
-    counted = parts.groupBy("container_kind", "capacity", "size", "salt").agg(F.count("*").alias("n"))
-    counted = materialize(counted, "piece-counts")
+    parts = materialize(pieces_of(sizes, containers), "pieces")
+    keys = ["container_kind", "size"]
+    counted = parts.groupBy("container_kind", "capacity", "size").agg(F.count("*").alias("n")).collect()
     histograms: dict[tuple[str, int], dict[int, int]] = defaultdict(dict)
-    for r in counted.groupBy("container_kind", "capacity", "size").agg(F.sum("n").alias("n")).collect():
+    for r in counted:
         histograms[r.container_kind, r.capacity][r["size"]] = r.n
-    plans = {kind: slots(plan_containers(h, capacity)) for (kind, capacity), h in histograms.items()}
-    if sum(p.nbytes for p in plans.values()) > MAX_PLAN_BYTES:
-        raise ValueError("the plan outgrew its bound; use fewer units")
-    sent = spark.sparkContext.broadcast(plans)  # bounded by the capacities, and checked above
-
-    before = W.partitionBy("container_kind", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    base = counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("capacity", "n")
-    within = W.partitionBy("container_kind", "size", "salt").orderBy("doc_id", "piece")
+    groups = {kind: plan_containers(h, capacity) for (kind, capacity), h in histograms.items()}
+    plans = {kind: slots(g) for kind, g in groups.items()}
+
+    salts = spark.createDataFrame([(r.container_kind, r["size"], -(-r.n // rank_part)) for r in counted], "container_kind STRING, size LONG, salts LONG")
+    salted = parts.join(F.broadcast(salts), keys).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")))
+    shares = salted.groupBy(*keys, "salt").agg(F.count("*").alias("n"))
+    before = W.partitionBy(*keys).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    base = shares.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = W.partitionBy(*keys, "salt").orderBy("doc_id", "piece")
     ranked = (
-        parts.withColumn("r", F.row_number().over(within) - 1)
-        .join(base, ["container_kind", "size", "salt"])
+        salted.withColumn("r", F.row_number().over(within) - 1)
+        .join(base, [*keys, "salt"])
         .select("container_kind", (F.col("base") + F.col("r")).alias("rank"), "doc_id", "piece", "start_token", "size")
     )
+    small = sum(p.nbytes for p in plans.values()) <= plan_bytes
+    placed = _place_by_copy(ranked, plans) if small else _place_by_join(ranked, plans)
+    return Packing(placed, {k: sum(g.count for g in v) for k, v in groups.items()}, {k: sum(g.count for g in v if g.pattern) for k, v in groups.items()})
+
+
+def _place_by_copy(ranked: DataFrame, plans: dict[str, np.ndarray]) -> DataFrame:
+    sent = ranked.sparkSession.sparkContext.broadcast(plans)  # its size is checked by the caller
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,14 +269,51 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
                 names=["container_kind", "container_id", "doc_id", "piece", "start_token", "n_tokens"],
             )
 
-    schema = "container_kind STRING, container_id LONG, doc_id LONG, piece LONG, start_token LONG, n_tokens LONG"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, PLACED)
 
 
-def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
-    """Per kind: containers used, tokens held and the share of the space that is filled."""
-    used = packed.groupBy("container_kind").agg(
-        F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens")
-    )
+def _place_by_join(ranked: DataFrame, plans: dict[str, np.ndarray]) -> DataFrame:
+    """The same by a range join: slots are cut at blocks of ranks, so that each item meets those of one
+    block only."""
+    rows = [(kind, *map(int, row)) for kind, plan in plans.items() for row in plan]
+    plan = ranked.sparkSession.createDataFrame(rows, "container_kind STRING, size LONG, first LONG, each LONG, container LONG, `end` LONG")
+    block = lambda c: F.floor(c / RANK_BLOCK)
+    plan = plan.withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("end") - 1))))
+    found = ranked.withColumn("block", block(F.col("rank"))).join(plan, ["container_kind", "size", "block"], "left")
+    found = found.where("size = 0 OR (rank >= first AND rank < `end`)")
+    at = F.when(F.col("size") == 0, 0).otherwise(F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each")))
+    return found.select("container_kind", at.cast("long").alias("container_id"), "doc_id", "piece", "start_token", F.col("size").alias("n_tokens"))
+
+
+def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container_kind, container_id, doc_id, piece, start_token, n_tokens): every item in containers of
+    every kind.  ``sizes`` has unique ``doc_id`` and ``n_tokens``; an empty table gives an empty result."""
+    return plan_packing(sizes, containers).pieces
+
+
+def fill_report(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """Per kind: containers used, tokens held, the share of the space that is filled, and the share of the
+    containers that began as a fitted pattern rather than by best fit."""
+    packing = plan_packing(sizes, containers)
+    used = packing.pieces.groupBy("container_kind").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    patterns = sizes.sparkSession.createDataFrame([(k, n / max(1, packing.containers[k])) for k, n in packing.from_patterns.items()], "container_kind STRING, pattern_share DOUBLE")
     share = F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))
-    return used.join(containers.select("container_kind", "capacity_tokens"), "container_kind").withColumn("filled", share)
+    return used.join(containers.select("container_kind", "capacity_tokens"), "container_kind").withColumn("filled", share).join(patterns, "container_kind")
+
+
+def fill_checks(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """Per kind, what has to hold of a packing: documents placed, and how many containers hold too much,
+    documents are split without need, have a gap or overlap, or have another number of tokens."""
+    packed = materialize(pack(sizes, containers), "packed").join(containers.select("container_kind", "capacity_tokens").distinct(), "container_kind")
+    loads = packed.where("n_tokens > 0").groupBy("container_kind", "container_id").agg((F.sum("n_tokens") > F.max("capacity_tokens")).alias("over"))
+    loads = loads.groupBy("container_kind").agg(F.count_if("over").alias("overfull"))
+    docs = packed.groupBy("container_kind", "doc_id").agg(
+        F.count("*").alias("pieces"), F.sum("n_tokens").alias("held"), F.max(F.col("start_token") + F.col("n_tokens")).alias("reach"), F.max("capacity_tokens").alias("capacity")
+    )
+    docs = docs.join(sizes, "doc_id")
+    checks = docs.groupBy("container_kind").agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("pieces") != F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1))).alias("split_wrongly"),
+        F.count_if((F.col("held") != F.col("n_tokens")) | (F.col("reach") != F.col("n_tokens"))).alias("gaps"),
+    )
+    return checks.join(loads, "container_kind", "left").select("container_kind", "documents", "split_wrongly", "gaps", F.coalesce("overfull", F.lit(0).cast("long")).alias("overfull"))
