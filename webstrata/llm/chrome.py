@@ -228,9 +228,9 @@ def judge_markdown(lines: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def judged_lines(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chrome of both fields: judged HTML pieces, and markdown lines with their statistics."""
+    """Chrome of both fields: judged HTML pieces and markdown lines."""
     judged = materialize(judged_html(fetches), "judged")
-    return judged, judge_markdown(markdown_lines(fetches), judged)
+    return judged, judge_markdown(markdown_lines(fetches, stats=False), judged)
 
 
 def chrome_lines(fetches: DataFrame) -> DataFrame:

@@ -43,15 +43,27 @@ _VOID = set("br img hr input meta link source wbr area base col embed track".spl
 _DIGITS = re.compile(r"\d+")
 _ROOT = "body"
 _FOLD = str.maketrans({c: latin for latin, others in (x.split(":") for x in HOMOGLYPHS.split()) for c in others} | dict.fromkeys(INVISIBLE))
+_FOLDED = re.compile(f"[{''.join(map(chr, _FOLD))}]")
 # The masks of a wording, as the Arrow kernels' regular expressions; inner words with a capital are names.
 _MASKS = [(r"\pN+", "0"), (r"\s+", " "), (r" \S*\p{Lu}\S*(?: \S*\p{Lu}\S*)*", " N"), (r"^[^\pL\pN]+|[^\pL\pN]+$", "")]
 
 HEADING_MARK = 0x5DEECE66D  # tells a heading's wording from the same plain text
 
 
+def fold(text: str) -> str:
+    """``text`` with one form of each character and of letters drawn alike."""
+    if _FOLDED.search(text):
+        text = text.translate(_FOLD)
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+        if _FOLDED.search(text):
+            text = text.translate(_FOLD)
+    return text
+
+
 def wordings(texts: list[str]) -> list[int]:
     """Digests of texts' wordings: look-alikes folded, numbers and inner capitalised words masked."""
-    folded = [t if t.isascii() else unicodedata.normalize("NFKC", t.translate(_FOLD)).translate(_FOLD) for t in texts]
+    folded = [t if t.isascii() else fold(t) for t in texts]
     x = pa.array([t.strip() for t in folded], pa.large_string())
     for pattern, to in _MASKS:
         x = pc.replace_substring_regex(x, pattern, to)
@@ -206,9 +218,9 @@ def line_stats(line: str, fenced: bool) -> int:
     return code
 
 
-def read_line(line: str) -> tuple[str, list[str], int, int]:
+def read_line(line: str, stats: bool = True) -> tuple[str, list[str], int, int]:
     """(kind, texts, size, stats) of a markdown line outside code; the whole text and, if it is made of
-    several entries, each of them."""
+    several entries, each of them.  Statistics are 0 where they are not asked for."""
     bare = line.strip()
     kind, text = "text", bare
     if m := _HEADING.match(line):
@@ -228,10 +240,10 @@ def read_line(line: str) -> tuple[str, list[str], int, int]:
         texts = [t for t in (x.strip() for x in _JOINTS.split(text)) if t and t not in "|·•›»"]
     else:
         texts = [text] if text else []
-    return kind, [text, *texts] if len(texts) > 1 else texts or [bare], len(bare), line_stats(line, False)
+    return kind, [text, *texts] if len(texts) > 1 else texts or [bare], len(bare), line_stats(line, False) if stats else 0
 
 
-def markdown_pieces(markdown: str, known: dict[str, tuple]) -> Iterator[tuple[int, int, str, list[str], int, int]]:
+def markdown_pieces(markdown: str, known: dict[str, tuple], stats: bool = True) -> Iterator[tuple[int, int, str, list[str], int, int]]:
     """(line, block, kind, texts, size, stats) of each line that is not blank.  Blocks are runs of
     lines without a blank one; a line of several menu entries gives several texts.  ``known`` keeps
     what short lines gave, as sites repeat them."""
@@ -246,14 +258,14 @@ def markdown_pieces(markdown: str, known: dict[str, tuple]) -> Iterator[tuple[in
             fenced = not fenced
             yield number, block, "code", [], len(line.strip()), FENCED
         elif fenced:
-            yield number, block, "code", [], len(line.strip()), line_stats(line, True)
+            yield number, block, "code", [], len(line.strip()), line_stats(line, True) if stats else 0
         elif len(line) > 120:
-            yield number, block, *read_line(line)
+            yield number, block, *read_line(line, stats)
         else:
             if (found := known.get(line)) is None:
                 if len(known) > 100_000:
                     known.clear()
-                found = known[line] = read_line(line)
+                found = known[line] = read_line(line, stats)
             yield number, block, *found
 
 
@@ -264,6 +276,9 @@ def _host(url: str | None) -> str:
         return ""
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4"))
+
+
 class LineReader:
     """Digests of wordings, paths and presentations; each is worked out once, and those of a batch's new
     texts together."""
@@ -271,30 +286,23 @@ class LineReader:
     def __init__(self) -> None:
         self.paths: dict[str, int] = {}
         self.styles: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
         self.short: dict[str, tuple] = {}
-        self.fresh: dict[str, int] = {}
-
-    def later(self, text: str) -> str:
-        """``text``, whose wording ``settle`` will look up."""
-        if text not in self.known:
-            self.fresh[text] = 0
-        return text
-
-    def settle(self) -> dict[str, int]:
-        """The wordings of all texts asked for since the last call."""
-        if self.fresh:
-            new = list(self.fresh)
-            self.known.update(zip(new, wordings(new)))
-            self.fresh.clear()
-        return self.known
-
-    def forget(self) -> None:
-        """Keep short texts only, which sites repeat, and not too many of them."""
-        self.known = {t: w for t, w in self.known.items() if len(t) <= 160} if len(self.known) < 300_000 else {}
+
+    def wordings(self, texts: list[str]) -> list[int]:
+        """Wordings of texts, 0 of an empty one.  Short ones are kept, as sites repeat them."""
+        known = self.known
+        new = list({t for t in texts if t not in known})
+        found = dict(zip(new, wordings(new)))
+        out = [known[t] if t in known else found[t] for t in texts]
+        if len(known) > 200_000:
+            known.clear()
+            known[""] = 0
+        known.update((t, w) for t, w in found.items() if len(t) <= 160)
         for kept in (self.paths, self.styles):
             if len(kept) > 200_000:
                 kept.clear()
+        return out
 
     def path(self, path: str, parents: dict[str, str | None], new: list[tuple[int, list[int]]]) -> int:
         """Digest of a path; one not met before goes to ``new`` with the digests from the root to it."""
@@ -322,6 +330,52 @@ def _structs(columns: list[list], types: list[pa.DataType], names: list[str]) ->
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def _html_batch(reader: LineReader, rows: Iterator[tuple[int, str | None, bytes | None]]) -> pa.RecordBatch:
+    """Rows of ``HTML_SCHEMA`` as flat columns and the lengths of the lists over them."""
+    ids, hosts, sizes = [], [], ([], [], [], [])  # nodes, pieces, layouts, links per owner
+    paths, styles, lines, texts, heads, lengths, again = [], [], [], [], [], [], []
+    layouts: list[list] = [[], []]
+    for fetch_id, url, packed in rows:
+        page = unpack(packed)
+        if not page:
+            continue
+        found, children, parents = read_html(page)
+        new: list[tuple[int, list[int]]] = []
+        shown: dict[str, list] = {path: [] for path in children}
+        for piece in found:
+            shown[piece[1]].append(piece)
+        for path, items in shown.items():
+            paths.append(reader.path(path, parents, new))
+            styles.append(reader.style(children[path]))
+            sizes[1].append(len(items))
+            seen = set()
+            for line, _, leaf, text in items:
+                head = leaf in _HEADINGS
+                lines.append(line)
+                texts.append(text)
+                heads.append(head)
+                lengths.append(len(text))
+                again.append((text, head) in seen)
+                seen.add((text, head))
+        ids.append(fetch_id)
+        hosts.append(_host(url))
+        sizes[0].append(len(shown))
+        sizes[2].append(len(new))
+        for p, chain in new:
+            layouts[0].append(p)
+            layouts[1].extend(chain)
+            sizes[3].append(len(chain))
+    words = reader.wordings(texts)
+    words = [w ^ HEADING_MARK if h else w for w, h in zip(words, heads)]
+    shown_by = _lists(sizes[1], _structs([lines, words, lengths, again], [pa.int32(), pa.int64(), pa.int32(), pa.bool_()], ["line_no", "wording", "size", "again"]))
+    containers = pa.StructArray.from_arrays([pa.array(paths, pa.int64()), pa.array(styles, pa.int64()), shown_by], names=["path", "style", "pieces"])
+    chains = pa.StructArray.from_arrays([pa.array(layouts[0], pa.int64()), _lists(sizes[3], pa.array(layouts[1], pa.int64()))], names=["path", "chain"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), _lists(sizes[0], containers), _lists(sizes[2], chains)],
+        names=["fetch_id", "host", "nodes", "layouts"],
+    )
+
+
 def html_pages(fetches: DataFrame) -> DataFrame:
     """A row of ``HTML_SCHEMA`` per fetch whose ``html_gz`` unpacks whole; ``again`` marks what a container
     of the page has shown before.  ``layouts`` are the paths a task met first on this page."""
@@ -330,84 +384,44 @@ def html_pages(fetches: DataFrame) -> DataFrame:
         reader = LineReader()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids, hosts, sizes = [], [], ([], [], [], [])  # nodes, pieces, layouts, links per owner
-                nodes: list[list] = [[], []]
-                pieces: list[list] = [[], [], [], []]
-                heads: list[bool] = []
-                layouts: list[list] = [[], []]
-                for fetch_id, url, packed in zip(*(c.to_pylist() for c in part.columns)):
-                    page = unpack(packed)
-                    if not page:
-                        continue
-                    found, children, parents = read_html(page)
-                    new: list[tuple[int, list[int]]] = []
-                    shown: dict[str, list] = {path: [] for path in children}
-                    for line, path, leaf, text in found:
-                        shown[path].append((line, reader.later(text), leaf in ("h1", "h2", "h3", "h4"), len(text)))
-                    for path, items in shown.items():
-                        nodes[0].append(reader.path(path, parents, new))
-                        nodes[1].append(reader.style(children[path]))
-                        sizes[1].append(len(items))
-                        seen = set()
-                        for line, text, head, size in items:
-                            pieces[0].append(line)
-                            pieces[1].append(text)
-                            heads.append(head)
-                            pieces[2].append(size)
-                            pieces[3].append((text, head) in seen)
-                            seen.add((text, head))
-                    ids.append(fetch_id)
-                    hosts.append(_host(url))
-                    sizes[0].append(len(shown))
-                    sizes[2].append(len(new))
-                    for p, chain in new:
-                        layouts[0].append(p)
-                        layouts[1].extend(chain)
-                        sizes[3].append(len(chain))
-                known = reader.settle()
-                pieces[1] = [known[t] ^ HEADING_MARK if h else known[t] for t, h in zip(pieces[1], heads)]
-                reader.forget()
-                shown_by = _lists(sizes[1], _structs(pieces, [pa.int32(), pa.int64(), pa.int32(), pa.bool_()], ["line_no", "wording", "size", "again"]))
-                containers = pa.StructArray.from_arrays([pa.array(nodes[0], pa.int64()), pa.array(nodes[1], pa.int64()), shown_by], names=["path", "style", "pieces"])
-                chains = pa.StructArray.from_arrays([pa.array(layouts[0], pa.int64()), _lists(sizes[3], pa.array(layouts[1], pa.int64()))], names=["path", "chain"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), _lists(sizes[0], containers), _lists(sizes[2], chains)],
-                    names=["fetch_id", "host", "nodes", "layouts"],
-                )
+                yield _html_batch(reader, zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)))
 
     return fetches.select(F.col("fetch_id").cast("long"), "url", "html_gz").where("html_gz IS NOT NULL").mapInArrow(run, HTML_SCHEMA)
 
 
-def markdown_lines(fetches: DataFrame) -> DataFrame:
+MARKDOWN_NAMES = [x.split()[0] for x in MARKDOWN_SCHEMA.split(", ")]
+MARKDOWN_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+
+
+def _markdown_batch(reader: LineReader, rows: Iterator[tuple[int, str]], stats: bool) -> pa.RecordBatch:
+    out: list[tuple] = []
+    texts: list[str] = []
+    for fetch_id, markdown in rows:
+        for line, block, kind, found, size, code in markdown_pieces(markdown, reader.short, stats):
+            if kind == "heading":
+                out.append((fetch_id, line, block, kind, HEADING_MARK, size, code))
+                texts.append(found[0])
+                kind = "plain heading"
+            elif len(found) > 1:
+                out.append((fetch_id, line, block, "whole", 0, size, code))
+                texts.append(found[0])
+            for piece in found[len(found) > 1 :] or [""]:
+                out.append((fetch_id, line, block, kind, 0, size, code))
+                texts.append(piece)
+    columns = list(zip(*out)) or [()] * len(MARKDOWN_NAMES)
+    columns[4] = [w ^ mark for w, mark in zip(reader.wordings(texts), columns[4])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, MARKDOWN_TYPES)], names=MARKDOWN_NAMES)
+
+
+def markdown_lines(fetches: DataFrame, stats: bool = True) -> DataFrame:
     """Rows of ``MARKDOWN_SCHEMA`` of every fetch; null, empty and blank texts give none.  Headings come
     twice, with their wording as a heading and as plain text; lines of several entries with that of the
-    whole line and those of the entries."""
-    names = [x.split()[0] for x in MARKDOWN_SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+    whole line and those of the entries.  Line statistics are worked out where they are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = LineReader()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
-                out: list[list] = [[] for _ in names]
-
-                def add(*row: object) -> None:
-                    for column, value in zip(out, row):
-                        column.append(value)
-
-                for fetch_id, text in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns)):
-                    for line, block, kind, texts, size, stats in markdown_pieces(text or "", reader.short):
-                        if kind == "heading":
-                            add(fetch_id, line, block, kind, (reader.later(texts[0]), HEADING_MARK), size, stats)
-                            kind = "plain heading"
-                        elif len(texts) > 1:
-                            add(fetch_id, line, block, "whole", (reader.later(texts[0]), 0), size, stats)
-                        for piece in texts[len(texts) > 1 :] or [""]:
-                            add(fetch_id, line, block, kind, (reader.later(piece), 0) if piece else None, size, stats)
-                known = reader.settle()
-                out[4] = [0 if x is None else known[x[0]] ^ x[1] for x in out[4]]
-                reader.forget()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                yield _markdown_batch(reader, zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns)), stats)
 
     return fetches.select(F.col("fetch_id").cast("long"), "markdown").where("markdown IS NOT NULL").mapInArrow(run, MARKDOWN_SCHEMA)
