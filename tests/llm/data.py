@@ -2,13 +2,13 @@
 
 import gzip
 
-FETCH = "fetch_id LONG, url STRING, title STRING, markdown STRING, html_gz BINARY, language STRING, status INT, word_count INT, quality_json STRING, host STRING, text STRING, chrome STRING, drop STRING, label STRING"
+FETCH = "fetch_id LONG, url STRING, title STRING, markdown STRING, html_gz BINARY, language STRING, status INT, failure_reason STRING, word_count INT, quality_json STRING, host STRING, text STRING, chrome STRING, drop STRING, label STRING"
 DOCS = "doc_id LONG, text STRING, source STRING, ids STRING, n_tokens STRING, container_kind STRING, `abusive` STRING"
 
 
 def fetch_rows(pages):
     """Rows of (fetch_id, url, title, markdown, html, language, status) with extra columns of clashing names."""
-    return [(i, u, t, m, gzip.compress(h.encode()) if isinstance(h, str) else h, lang, s, None, None, "h", "t", "c", "d", "l") for i, u, t, m, h, lang, s in pages]
+    return [(i, u, t, m, gzip.compress(h.encode()) if isinstance(h, str) else h, lang, s, None, None, None, "h", "t", "c", "d", "l") for i, u, t, m, h, lang, s in pages]
 
 
 def odd_fetches(spark):
@@ -24,7 +24,7 @@ def odd_fetches(spark):
             (6, "https://a.test/6", "T", "```\nunclosed fence\n", gzip.compress(b"<p>cut")[:-4], "de", 200),
         ]
     )
-    rows.append((None,) * 14)
+    rows.append((None,) * 15)
     return spark.createDataFrame(rows, FETCH)
 
 

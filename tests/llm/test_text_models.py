@@ -93,12 +93,26 @@ def test_long_residue(spark):
     assert {r.fetch_id for r in R.residue_records(df).collect()} == {i for i, *_ in bad} | {300, 301}
 
 
+def test_words_strung_together_are_no_residue():
+    rng = random.Random(6)
+    assert R.is_strung(" ".join(rng.choice(["patch", "river", "cable", "lamp", "data"]) for _ in range(16)))
+    assert not R.is_strung("Your text goes here. " * 4) and not R.is_strung("Lorem ipsum dolor sit amet consectetur elit sed.")
+
+
+def test_title_and_reason_are_read():
+    assert R.page_features("Page 404", None) != R.page_features("Page", None) != R.page_features("Page", "not_found")
+    rows = [("h", f"Sentence {w} stands here.", False, ("Broken", "timeout"), "error") for w in TEXTS] + [("h", f"Sentence {w} stands here.", True, ("Fine", None), "content") for w in TEXTS]
+    judge = R.Judge(R.fit_sentences(rows))
+    bad, good = (judge.sentence("Another sentence is here.", False, judge.page(*p))[1] for p in (("Broken", "timeout"), ("Fine", None)))
+    assert bad > good
+
+
 def test_odd_residue(spark):
     df = odd_fetches(spark)
     assert {r.fetch_id: r.residue for r in R.score_residue(df).collect()}[1] is False
     assert R.residue_records(df.limit(0)).count() == 0
-    weights, report = R.fit_classifier(df.limit(0))
-    assert report["held_out_sentences"] == 0 and R.Judge(weights).record("fine")[1] is False
+    weights, report = R.fit_classifier(df.limit(0)), R.held_out_report(df.limit(0))
+    assert report["held_out_sentences"] == report["unseen_wording_sentences"] == 0 and R.Judge(weights).record("fine")[1] is False
 
 
 CASES = [

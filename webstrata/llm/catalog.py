@@ -12,7 +12,7 @@ from webstrata.llm.language import label_faults, language_segments
 from webstrata.llm.linekinds import label_shares, text_statistics, unreadable_records
 from webstrata.llm.lookalike import canonical_forms, lookalike_classes, lookalike_pairs
 from webstrata.llm.packing import fill_checks, fill_report, pack
-from webstrata.llm.residue import fit_classifier, residue_records, score_residue
+from webstrata.llm.residue import held_out_report, residue_records, score_residue
 from webstrata.llm.tokens import count_tokens, encode_corpus
 from webstrata.session import table
 
@@ -46,8 +46,8 @@ def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_held_out_hosts(spark: SparkSession, folder: str) -> DataFrame:
-    """Precision and recall of the classifier on hosts left out of its fit."""
-    report = fit_classifier(table(spark, folder, "fetch_cache"))[1]
+    """Precision and recall of the classifier on hosts and wordings left out of its fit."""
+    report = held_out_report(table(spark, folder, "fetch_cache"))
     return spark.createDataFrame(sorted(report.items()), "measure STRING, value DOUBLE")
 
 

@@ -196,17 +196,17 @@ def unreadable_records(fetches: DataFrame) -> DataFrame:
     classifier of residue reads the few records found."""
     context = fetches.sparkSession.sparkContext
     emission = context.broadcast(fit_lines(fetches))
-    weights = context.broadcast(fit_classifier(fetches)[0])
+    weights = context.broadcast(fit_classifier(fetches))
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(weights.value)
         for batch in batches:
-            kept = pa.array([not judge.record(text)[1] for text in batch.column(2).to_pylist()], pa.bool_())
+            kept = pa.array([not judge.record(*x)[1] for x in zip(*(c.to_pylist() for c in batch.columns[2:]))], pa.bool_())
             yield batch.select([0, 1]).filter(kept)
 
     model = LineModel(emission.value)
     rows = markdown_lines(fetches).join(wording_evidence(judged_html(fetches)), "wording", "left")
     found = by_page(rows, EVIDENCE_COLUMNS, lambda rows: _kind(rows, model), "fetch_id LONG, kind STRING").distinct()
-    texts = fetches.select(F.col("fetch_id").cast("long").alias("id"), "markdown")
-    labelled = found.join(texts, F.col("fetch_id").eqNullSafe(F.col("id"))).select("fetch_id", "kind", "markdown")
+    texts = fetches.select(F.col("fetch_id").cast("long").alias("id"), "markdown", "title", "failure_reason")
+    labelled = found.join(texts, F.col("fetch_id").eqNullSafe(F.col("id"))).select("fetch_id", "kind", "markdown", "title", "failure_reason")
     return labelled.mapInArrow(content, "fetch_id LONG, kind STRING").distinct()

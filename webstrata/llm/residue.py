@@ -1,15 +1,17 @@
 """Template residue, filler, error pages and script notices, by a linear classifier on hashed n-grams.
 
-Weak labels come from the response status and from phrases: a line with an unfilled placeholder, filler
-words or an error phrase is residue, as is a line under a failed status beside little but such lines;
-lines of pages fetched well and without such wording are content.  A regularised logistic regression on
-hashed words, word pairs, letter n-grams of odd tokens, sentence length and heading features learns from
-a bounded sample and judges every sentence of every record; hosts of one in five are left out of the fit
-and measure it.
-
-What is quoted, stands in fenced code or between back-ticks is shown, not left over, and is not judged.
-A record is residue if a sentence of it is, after a check that its wording is a placeholder, filler, or
-makes up most of what the page says, navigation apart.  Null, empty and blank texts are none.
+Weak labels come from the response status and from phrases: a sentence with an unfilled placeholder or
+filler words is template residue, one with an error phrase is error wording, as is a sentence under a
+failed status beside little but such wording; sentences of pages fetched well and without such wording
+are content.  Two regularised logistic regressions, one per class, on hashed words, word pairs, letter
+n-grams of odd tokens, sentence length, share of different words and heading, that of error wording also
+on words of the page's title and the recorded failure reason, learn from a bounded sample and judge every sentence of every record.
+
+The classifier decides, and the only check after it is that words strung together over and over are junk
+and no residue: a record is residue if one of its sentences is template residue, or if
+error wording makes up most of what the page says, navigation apart.  What is quoted, stands in fenced
+code or between back-ticks is shown, not left over, and is not judged.  Null, empty and blank texts are
+none.  ``held_out_report`` measures a fit that never saw some hosts and some wordings on just those.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ SAMPLE_SENTENCES = 40_000
 BITS = 17
 PENALTY, ROUNDS, RATE = 1e-5, 100, 0.5
 THRESHOLD = 0.5
-LIKELY = 0.1  # from here on, a sentence with error wording counts too
 HELD_OUT = 5
+CLASSES = ("template", "error", "content")
 KEPT = 150_000
 
 # Forms of unfilled placeholders.
@@ -126,6 +128,14 @@ def is_filler(sentence: str) -> bool:
     return len(words) >= 3 and sum(w in _FILLER for w in words) >= 0.5 * len(words)
 
 
+def is_strung(sentence: str) -> bool:
+    """Whether a sentence strings few words together in ever other order, which is junk and no residue; a
+    phrase that is repeated is not."""
+    words = sentence.split()
+    few = len(set(words))
+    return len(words) >= 8 and 2 * few <= len(words) and 2 * len(set(zip(words, words[1:]))) > 3 * few
+
+
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode()) & ((1 << BITS) - 1)
 
@@ -136,7 +146,7 @@ class Features:
     def __init__(self) -> None:
         self.tokens: dict[str, tuple[list[int], str]] = {}
         self.pairs: dict[str, int] = {}
-        self.ends = {(n, h): [_hash(f"n{n}"), _hash(f"h{h}")] for n in range(13) for h in (False, True)}
+        self.ends = {(n, h, u): [_hash(f"n{n}"), _hash(f"h{h}"), _hash(f"u{u}")] for n in range(13) for h in (False, True) for u in range(6)}
 
     def token(self, raw: str) -> tuple[list[int], str]:
         low = _DIGITS.sub("0", _HEX.sub("00000000", raw.lower()))
@@ -161,7 +171,7 @@ class Features:
 
     def __call__(self, sentence: str, heading: bool) -> list[int]:
         raws = sentence.split()
-        out = list(self.ends[min(len(raws), 12), heading])
+        out = list(self.ends[min(len(raws), 12), heading, 5 * len(set(raws)) // max(1, len(raws))])
         before = "^"
         tokens, pairs = self.tokens, self.pairs
         for raw in raws:
@@ -186,11 +196,12 @@ def is_navigation(sentence: str) -> bool:
     return not sentence.startswith("|") and not _END.search(sentence) and (len(_JOINT.findall(sentence)) >= 2 or not _LINK.sub("", sentence).strip(" *-|·•›»"))
 
 
-def wording_kind(sentence: str) -> str | None:
-    """What residue the wording states: template (a placeholder or filler), error, or None."""
+def wording_kind(sentence: str, phrase: re.Pattern[str] = _PHRASE) -> str | None:
+    """What residue the wording states, for a weak label: template (a placeholder or filler), error, or
+    None."""
     if _PLACEHOLDER.search(sentence) or is_filler(sentence):
         return "template"
-    return "error" if _PHRASE.search(sentence) else None
+    return "error" if phrase.search(sentence) else None
 
 
 def flagged_share(said: list[tuple[str, bool, str | None]]) -> float:
@@ -199,17 +210,18 @@ def flagged_share(said: list[tuple[str, bool, str | None]]) -> float:
     return sum(n for n, kind in parts if kind) / max(1, sum(n for n, _ in parts))
 
 
-def weak_label(kind: str | None, failed: bool, share: float, said: int, listing: bool) -> int | None:
-    """1 residue, 0 content, None where neither status nor wording says.  ``kind``: that of the sentence's
-    wording, ``share``: of flagged text on the page, ``said``: the page's sentences.  A long page is
-    labelled as a short one is, but for a failed page of a few sentences, all of which are residue."""
+def weak_label(kind: str | None, failed: bool, share: float, said: int, listing: bool) -> str | None:
+    """template, error or content; None where neither status nor wording says.  ``kind``: that of the
+    sentence's wording, ``share``: of flagged text on the page, ``said``: the page's sentences.  A long
+    page is labelled as a short one is, but for a failed page of a few sentences, all of which are error
+    wording."""
     if kind == "template":
-        return 1
+        return kind
     if listing and not failed:
-        return 0
+        return "content"
     if kind == "error" or (failed and (share >= 0.5 or said <= 3)):
-        return 1
-    return 0 if share == 0 and not failed else None
+        return "error"
+    return "content" if share == 0 and not failed else None
 
 
 def fit(rows: list[tuple[list[int], int]]) -> np.ndarray:
@@ -236,95 +248,145 @@ def fit(rows: list[tuple[list[int], int]]) -> np.ndarray:
     return weights
 
 
+def page_features(title: str | None, reason: str | None) -> tuple[int, ...]:
+    """Hashed features of a page around its sentences: words of its title, its failure reason."""
+    words = {_DIGITS.sub("0", w.strip(".,;:!?\"'()").lower()) for w in clean(title or "").split()}
+    return (_hash(f"r:{reason or ''}"), _hash(f"t#{min(len(words), 9)}"), *sorted(_hash(f"t:{w}") for w in words if w))
+
+
 class Judge:
-    """Scores sentences; what a short sentence scored is kept, as sites repeat them."""
+    """Scores sentences; what a short sentence adds up to is kept, as sites repeat them.  The weights of
+    both classes are held as the parts of one complex number, and added in one go."""
 
     def __init__(self, weights: np.ndarray) -> None:
-        self.weights, self.known, self.features = weights.tolist(), {}, Features()
-
-    def sentence(self, sentence: str, heading: bool) -> float:
+        self.weights, self.around, self.known, self.features = (weights[0] + 1j * weights[1]).tolist(), weights[1], {}, Features()
+        self.pages: dict[tuple[str | None, str | None], tuple[float, int]] = {}
+
+    def page(self, title: str | None, reason: str | None) -> tuple[float, int]:
+        key = (title, reason)
+        if key not in self.pages:
+            if len(self.pages) > KEPT:
+                self.pages.clear()
+            x = page_features(title, reason)
+            self.pages[key] = (float(self.around[list(x)].sum()), len(x))
+        return self.pages[key]
+
+    def sentence(self, sentence: str, heading: bool, page: tuple[float, int]) -> tuple[float, float]:
+        """The chances that a sentence is template residue and error wording."""
         key = (sentence, heading)
-        if len(sentence) < 120 and key in self.known:
-            return self.known[key]
-        x = self.features(sentence, heading)
-        z = sum(map(self.weights.__getitem__, x)) / len(x) ** 0.5 + self.weights[-1]
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-        if len(sentence) < 120:
-            if len(self.known) > KEPT:
-                self.known.clear()
-            self.known[key] = p
-        return p
-
-    def record(self, text: str | None) -> tuple[float, bool]:
+        if (found := self.known.get(key)) is None:
+            x = self.features(sentence, heading)
+            found = (sum(map(self.weights.__getitem__, x)), len(x))
+            if len(sentence) < 120:
+                if len(self.known) > KEPT:
+                    self.known.clear()
+                self.known[key] = found
+        (z, n), bias = found, self.weights[-1]
+        return _chance(z.real / n**0.5 + bias.real), _chance((z.imag + page[0]) / (n + page[1]) ** 0.5 + bias.imag)
+
+    def record(self, text: str | None, title: str | None = None, reason: str | None = None) -> tuple[float, bool]:
         """The highest score of a sentence, and whether the record is residue."""
         if not text or text.isspace():
             return 0.0, False
-        said = list(sentences(text))
-        best, residue, hit, plain = 0.0, False, 0, 0
-        for sentence, heading in said:
-            p = self.sentence(sentence, heading)
-            best = max(best, p)
-            if p >= THRESHOLD or (p >= LIKELY and _PHRASE.search(sentence)):
-                if _PLACEHOLDER.search(sentence) or is_filler(sentence):
-                    residue = True
+        page = self.page(title, reason)
+        best, template, hit, plain = 0.0, False, 0, 0
+        for sentence, heading in sentences(text):
+            t, e = self.sentence(sentence, heading, page)
+            if t >= THRESHOLD and is_strung(sentence):
+                t = 0.0
+            best = max(best, t, e)
+            template |= t >= THRESHOLD
+            if max(t, e) >= THRESHOLD:
                 hit += len(sentence)
             elif not heading and not is_navigation(sentence):
                 plain += len(sentence)
         # error wording alone makes a page of it only where the page, navigation apart, says little else
-        return best, residue or (hit > 0 and (plain < 160 or hit >= plain))
+        return best, template or (hit > 0 and (plain < 160 or hit >= plain))
 
 
-def fit_classifier(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS, sample_sentences: int = SAMPLE_SENTENCES) -> tuple[np.ndarray, dict[str, float]]:
-    """Weights fitted to all hosts of the sample, and precision and recall against the weak labels on hosts
-    left out of a first fit.
+def _chance(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    The sample is ``sample_records`` records at most, chosen by the hash of their id, and of their
-    labelled sentences ``sample_sentences`` at most."""
-    columns = [host_of(F.col("url")).alias("host"), "markdown", "status"]
+
+Sample = list[tuple[str, str, bool, tuple[str | None, str | None], str]]
+
+
+def labelled_sentences(fetches: DataFrame, phrase: re.Pattern[str] = _PHRASE, sample_records: int = SAMPLE_RECORDS) -> Sample:
+    """(host, sentence, heading, (title, failure reason), weak label) of the labelled sentences of at most
+    ``sample_records`` records, chosen by the hash of their id."""
+    columns = [host_of(F.col("url")).alias("host"), "markdown", "status", "title", "failure_reason"]
     sample = bounded_sample(fetches.where("length(markdown) > 0"), "fetch_id", sample_records).select(*columns)
-    seen: dict[tuple[bool, str, bool], list[int]] = {}  # held out, sentence, heading: votes for content and residue
+    out = []
     for r in sample.collect():
-        out = zlib.crc32((r.host or "").encode()) % HELD_OUT == 0
         failed = r.status is not None and (r.status >= 400 or r.status == 0)
-        said, listing = [(s, h, wording_kind(s)) for s, h in sentences(r.markdown)], is_listing(r.markdown)
+        said, listing = [(s, h, wording_kind(s, phrase)) for s, h in sentences(r.markdown)], is_listing(r.markdown)
         share = flagged_share(said)
         for sentence, heading, kind in said:
-            y = weak_label(kind, failed, share, len(said), listing)
-            if y is not None:
-                key = (out, sentence[:300], heading)
-                if key in seen or len(seen) < sample_sentences:
-                    seen.setdefault(key, [0, 0])[y] += 1
-    if sum(out for out, *_ in seen) in (0, len(seen)):  # too few hosts to leave any out
-        seen = {(False, *k[1:]): v for k, v in seen.items()}
+            if (label := weak_label(kind, failed, share, len(said), listing)) is not None:
+                out.append((r.host or "", sentence, heading, (r.title, r.failure_reason), label))
+    return out
+
+
+def fit_sentences(sample: Sample, sample_sentences: int = SAMPLE_SENTENCES) -> np.ndarray:
+    """Weights of both classes.  A sentence under several labels counts for its most frequent one; at most
+    ``sample_sentences`` distinct ones are used."""
+    seen: dict[tuple[str, bool], tuple[tuple[str | None, str | None], list[int]]] = {}
+    for _, sentence, heading, page, label in sample:
+        key = (sentence, heading)
+        if key in seen or len(seen) < sample_sentences:
+            seen.setdefault(key, (page, [0, 0, 0]))[1][CLASSES.index(label)] += 1
     features = Features()
-    inside = [(features(s, h), int(b >= a)) for (out, s, h), (a, b) in seen.items() if not out]
-    weights = fit(inside)
-    judge = Judge(weights)
-    got = [(judge.sentence(s, h) >= THRESHOLD, int(b >= a)) for (out, s, h), (a, b) in seen.items() if out]
+    rows = [(features(s, h), page_features(*page), max(range(3), key=votes.__getitem__)) for (s, h), (page, votes) in seen.items()]
+    # a template's remains stand on pages of any title: what surrounds them says nothing
+    return np.array([fit([(x, int(y == 0)) for x, _, y in rows]), fit([([*x, *around], int(y == 1)) for x, around, y in rows])])
+
+
+def fit_classifier(fetches: DataFrame) -> np.ndarray:
+    """Weights fitted to all hosts and wordings of a bounded sample."""
+    return fit_sentences(labelled_sentences(fetches))
+
+
+def held_out_report(fetches: DataFrame) -> dict[str, float]:
+    """Precision and recall of a fit that saw neither one host in five nor one error phrase in five: on the
+    weak labels of the hosts left out, and on sentences of the phrases left out, whatever their host."""
+    kept = re.compile("|".join(p for i, p in enumerate(PHRASES) if i % HELD_OUT), re.I)
+    out = lambda host: zlib.crc32(host.encode()) % HELD_OUT == 0
+    sample = labelled_sentences(fetches)
+    unseen = {s for _, s, _, _, label in sample if label == "error" and _PHRASE.search(s) and not kept.search(s)}
+    inside = [x for x in sample if not out(x[0]) and x[1] not in unseen]
+    judge = Judge(fit_sentences(inside))
+
+    def flagged(x: tuple) -> bool:
+        return max(judge.sentence(x[1], x[2], judge.page(*x[3]))) >= THRESHOLD
+
+    hosts = {x[1:3]: x for x in sample if out(x[0]) and x[1] not in unseen}.values()
+    got = [(flagged(x), x[4] != "content") for x in hosts]
     hits = sum(p and y for p, y in got)
-    report = {
+    words = [flagged(x) for x in {x[1:3]: x for x in sample if x[1] in unseen}.values()]
+    return {
         "train_sentences": float(len(inside)),
         "held_out_sentences": float(len(got)),
         "precision": hits / max(1, sum(p for p, _ in got)),
         "recall": hits / max(1, sum(y for _, y in got)),
+        "unseen_wording_sentences": float(len(words)),
+        "unseen_wording_recall": sum(words) / max(1, len(words)),
     }
-    return fit([(features(s, h), int(b >= a)) for (_, s, h), (a, b) in seen.items()]), report
 
 
 def score_residue(fetches: DataFrame) -> DataFrame:
     """(fetch_id, score, residue) of every record."""
-    sent = fetches.sparkSession.sparkContext.broadcast(fit_classifier(fetches)[0])  # 2^BITS + 1 numbers
+    sent = fetches.sparkSession.sparkContext.broadcast(fit_classifier(fetches))  # two rows of 2^BITS + 1 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
         for batch in batches:
-            found = [judge.record(x) for x in batch.column(1).to_pylist()]
+            found = [judge.record(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([p for p, _ in found], pa.float64()), pa.array([r for _, r in found], pa.bool_())],
                 names=["fetch_id", "score", "residue"],
             )
 
-    return fetches.select(F.col("fetch_id").cast("long"), "markdown").mapInArrow(run, "fetch_id LONG, score DOUBLE, residue BOOLEAN")
+    return fetches.select(F.col("fetch_id").cast("long"), "markdown", "title", "failure_reason").mapInArrow(run, "fetch_id LONG, score DOUBLE, residue BOOLEAN")
 
 
 def residue_records(fetches: DataFrame) -> DataFrame:
