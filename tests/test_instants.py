@@ -82,6 +82,23 @@ def test_records(spark):
         (3, "published"): micros(datetime(2023, 1, 1, tzinfo=timezone.utc)),
     }
     assert record_instants(fetches.limit(0), sites).count() == 0
-    known = spark.createDataFrame([("2023-01-01", "Europe/Paris", True, 7)], "raw STRING, zone STRING, day_first BOOLEAN, utc_us LONG")
-    kept = {(r.fetch_id, r.field): r.utc_us for r in record_instants(fetches, sites, known).collect()}
-    assert kept[1, "published"] == 7 and len(kept) == 3
+
+
+def test_kept_dictionary(spark, tmp_path):
+    rows = [(1, "https://a.test/x", "2023-01-01", "bad", "z", "r"), (2, "https://b.test", None, "2023-01-01", None, None)]
+    fetches = spark.createDataFrame(rows, FETCH)
+    sites = spark.createDataFrame([("a.test", "Europe/Paris", True), ("b.test", "UTC", False)], SITES)
+    folder = f"file://{tmp_path}/kept"
+    first = record_instants(fetches, sites, folder).collect()
+    kept = spark.read.parquet(folder)
+    assert kept.count() == 3
+    # a second run parses nothing anew, and takes what is kept
+    assert sorted(record_instants(fetches, sites, folder).collect()) == sorted(first)
+    assert spark.read.parquet(folder).count() == 3
+    spark.createDataFrame([("01/05/2023", "Europe/Paris", True, 7)], kept.schema).write.mode("append").parquet(folder)
+    more = spark.createDataFrame([(3, "https://a.test/y", "01/05/2023", "02/05/2023", None, None)], FETCH)
+    got = {r.field: r.utc_us for r in record_instants(more, sites, folder).collect()}
+    assert got["published"] == 7 and got["modified"] == micros(datetime(2023, 5, 1, 22, tzinfo=timezone.utc))
+    # values added twice, by two runs at a time, give no row twice
+    spark.read.parquet(folder).where("raw = '2023-01-01'").toPandas().pipe(spark.createDataFrame, kept.schema).write.mode("append").parquet(folder)
+    assert len(record_instants(fetches, sites, folder).collect()) == len(first)

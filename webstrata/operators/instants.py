@@ -1,8 +1,8 @@
 """Timestamps of many formats and zones, brought to one UTC instant through a value dictionary.
 
 Raw strings are reduced to distinct (string, zone, day order) values; each value is parsed once, by
-built-in expressions; the dictionary can be kept and is only extended by values it lacks; the
-instants are joined back to the rows.  Local times follow the zone's rules of that day: a time that
+built-in expressions; the dictionary is a table that later runs read and extend by the values it lacks;
+the instants are joined back to the rows.  Local times follow the zone's rules of that day: a time that
 occurs twice is the earlier instant, one that never occurs is read with the offset before the change.
 
 A value that states no valid calendar date (also null, empty and blank ones) has no instant.  A site
@@ -11,14 +11,16 @@ without a known zone counts as UTC with the month first.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from functools import reduce
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions.urls import host_of
-from webstrata.session import materialize
+from webstrata.session import shared_dir
 
 # Month names, January to December, of each language.
 MONTHS = {
@@ -124,24 +126,47 @@ def parse_instant(raw: Column, site_zone: Column, day_first: Column) -> Column:
     return reduce(lambda a, b: F.coalesce(a, b), [*found, compact, epoch])
 
 
-def instant_dictionary(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One row per distinct (raw, zone, day_first) with its instant; ``known`` is a kept dictionary
-    whose values are not parsed again.  Write the result where the next run can read it."""
-    distinct = values.select("raw", "zone", "day_first").where("raw IS NOT NULL").distinct()
-    if known is not None:
-        # both sides are null-safe keys
-        on = [distinct[c].eqNullSafe(known[c]) for c in ("raw", "zone", "day_first")]
-        distinct = distinct.join(known, on, "left_anti")
-    parsed = distinct.withColumn("utc_us", parse_instant(F.col("raw"), F.col("zone"), F.col("day_first")))
-    return parsed if known is None else known.select(parsed.columns).unionByName(parsed)
+KEYS = ["raw", "zone", "day_first"]
 
 
-def record_instants(fetches: DataFrame, sites: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def rules_version() -> str:
+    """Changes whenever this module does: instants kept under other rules are not taken."""
+    return hashlib.sha256(inspect.getsource(inspect.getmodule(rules_version)).encode()).hexdigest()[:16]
+
+
+def dictionary_folder(spark: SparkSession, name: str = "instants") -> str:
+    """Where the shared folder keeps the dictionary of these rules."""
+    return f"{shared_dir(spark)}/webstrata-{name}-{rules_version()}"
+
+
+def kept_dictionary(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The dictionary kept in ``folder``, or None.  Values that two runs added at the same time are taken
+    once."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("raw STRING, zone STRING, day_first BOOLEAN, utc_us LONG").parquet(folder).dropDuplicates(KEYS)
+
+
+def extend_dictionary(values: DataFrame, folder: str) -> DataFrame:
+    """The dictionary kept in ``folder``, after the values it lacks were parsed and added to it.  ``values``
+    has non-null ``raw``, ``zone`` and ``day_first``."""
+    spark = values.sparkSession
+    distinct, known = values.select(*KEYS).distinct(), kept_dictionary(spark, folder)
+    new = distinct if known is None else distinct.join(known, KEYS, "left_anti")
+    # the values are few and narrow beside the work of parsing one: spread them over all cores
+    parsed = new.repartition(2 * spark.sparkContext.defaultParallelism).withColumn("utc_us", parse_instant(F.col("raw"), F.col("zone"), F.col("day_first")))
+    parsed.write.mode("append").parquet(folder)
+    return kept_dictionary(spark, folder)
+
+
+def record_instants(fetches: DataFrame, sites: DataFrame, folder: str | None = None) -> DataFrame:
     """(fetch_id, field, utc_us) of every ``published`` and ``modified`` with a valid date.
 
-    Redelivered fetches count once.  ``sites`` has one row per host and is joined without a forced
-    broadcast; a value shared by very many rows is one dictionary row, and the join back splits it
-    by adaptive skew handling."""
+    ``folder`` keeps the dictionary from run to run; by default the one of the shared folder.  Redelivered
+    fetches count once.  ``sites`` has one row per host and is joined without a forced broadcast; a value
+    shared by very many rows is one dictionary row, and the join back splits it by adaptive skew
+    handling."""
     narrow = fetches.select("fetch_id", host_of(F.col("url")).alias("host"), "published", "modified").dropDuplicates(["fetch_id"])
     rows = (
         narrow.select("fetch_id", "host", F.explode(F.create_map(F.lit("published"), "published", F.lit("modified"), "modified")).alias("field", "raw"))
@@ -149,5 +174,5 @@ def record_instants(fetches: DataFrame, sites: DataFrame, known: DataFrame | Non
         .join(sites.select("host", F.col("time_zone").alias("zone"), "day_first"), "host", "left")
         .select("fetch_id", "field", "raw", F.coalesce("zone", F.lit("UTC")).alias("zone"), F.coalesce("day_first", F.lit(False)).alias("day_first"))
     )
-    dictionary = materialize(instant_dictionary(rows, known), "instants").where("utc_us IS NOT NULL")
-    return rows.join(dictionary, ["raw", "zone", "day_first"]).select("fetch_id", "field", "utc_us")
+    dictionary = extend_dictionary(rows, folder or dictionary_folder(fetches.sparkSession)).where("utc_us IS NOT NULL")
+    return rows.join(dictionary, KEYS).select("fetch_id", "field", "utc_us")
