@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from webstrata.functions import urls as U
+from webstrata.operators import domains as D
 
 NORMAL = [
     ("HTTP://Example.COM:80/a/", "http://example.com/a"),
@@ -39,11 +40,36 @@ def test_domains_and_route_keys(spark):
         ("https://sub.example.com", "example.com", "example.com"),
         ("http://localhost:80/Item-12/x", "localhost", "localhost/*"),
         ("https://www.host.test/rent/sp/x", "host.test", "host.test/rent/*"),
+        ("https://a.b.kawasaki.jp", "a.b.kawasaki.jp", "a.b.kawasaki.jp"),
+        ("https://x.city.kawasaki.jp", "city.kawasaki.jp", "city.kawasaki.jp"),
+        ("https://a.b.c.ck/", "b.c.ck", "b.c.ck"),
+        ("https://x.www.ck/", "www.ck", "www.ck"),
+        ("https://co.uk/", "co.uk", "co.uk"),
+        ("https://10.0.0.1/x", "10.0.0.1", "10.0.0.1/x"),
+        ("https://me.github.io/x", "github.io", "github.io/x"),
+        ("https://a.bücher.公司.cn/", "bücher.公司.cn", "bücher.公司.cn"),
         ("", "", ""),
+        (None, None, None),
     ]
     df = spark.createDataFrame(table, "u STRING, d STRING, k STRING")
-    got = df.select("u", U.registered_domain(F.col("u")), U.route_key(F.col("u"))).collect()
-    assert [tuple(r) for r in got] == table
+    got = D.with_registered_domain(D.with_route_key(df.select("u"), "u", "k"), "u", "d").select("u", "d", "k").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(table, key=str)
+
+
+def test_suffix_rules(tmp_path, spark):
+    rules = ["// ===BEGIN ICANN DOMAINS===", "com", "*.zz", "!ok.zz", "// ===END ICANN DOMAINS===", "// ===BEGIN PRIVATE DOMAINS===", "mine.com"]
+    assert D.parse_rules(rules) == [("com", 1, True, False, False), ("ok.zz", 2, False, False, True), ("zz", 1, False, True, False)]
+    (tmp_path / "list.txt").write_text("\n".join(rules))
+    own = D.suffix_rules(spark, f"file://{tmp_path}/list.txt")
+    df = spark.createDataFrame([("http://a.mine.com",), ("http://a.b.zz",), ("http://x.ok.zz",)], "u STRING")
+    assert [r.d for r in D.with_registered_domain(df, "u", "d", own).collect()] == ["mine.com", "a.b.zz", "ok.zz"]
+
+
+def test_third_party_and_purge(spark):
+    rows = spark.createDataFrame([(1, "https://ads.t.com/x", "https://p.com"), (2, "https://ads.t.com/x", "https://www.t.com"), (3, None, "https://p.com")], "id INT, r STRING, p STRING")
+    listed = spark.createDataFrame([("T.com",)], "domain STRING")
+    assert [(r.id, r.blocked) for r in D.third_party_blocked(rows, "r", "p", listed).orderBy("id").collect()] == [(1, True), (2, False), (3, False)]
+    assert [r.id for r in D.purge_domain(rows, "r", "www.t.com").collect()] == [3]
 
 
 def test_blocked_hosts(spark):

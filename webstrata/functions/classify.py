@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webstrata.functions.urls import let
+
 # Markers, in lower case, of pages that stand in for content.
 CLOUDFLARE = ["cf-mitigated", "just a moment...", "challenge-platform", "/cdn-cgi/challenge-platform/", "attention required! | cloudflare", "cf_chl_opt", "__cf_chl_"]
 CAPTCHA = ['class="h-captcha"', "class='h-captcha'", 'class="g-recaptcha"', "class='g-recaptcha'", "challenges.cloudflare.com/turnstile"]
@@ -158,3 +160,104 @@ def ttl_seconds(reason: Column, success: int = 86400, failure: int = 900) -> Col
     factors = F.create_map(*[F.lit(x) for p in REASON_TTL.items() for x in p])
     scaled = F.floor(F.lit(failure) * F.coalesce(F.try_element_at(factors, reason), F.lit(1.0))).cast("int")
     return F.when(reason.isNull(), F.lit(success)).otherwise(F.greatest(scaled, F.lit(1)))
+
+
+def _whole_number(text: Column) -> Column:
+    return F.when(F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text)).try_cast("long")
+
+
+def retry_after(headers: Column) -> Column:
+    """Seconds to wait, or null where the header is absent or no whole number (CLS10)."""
+    return _whole_number(header(headers, "retry-after"))
+
+
+def content_length(headers: Column) -> Column:
+    """The stated length, or null where it is absent or no whole number (CLS10)."""
+    return _whole_number(header(headers, "content-length"))
+
+
+PDF_WINDOW = 1024
+
+
+def document_failure(status: Column, body: Column, is_pdf_asked: Column) -> Column:
+    """Why a download is not the document, or null (SRC15): any status but a success has its outcome, and
+    a success asked for as PDF without the mark in its first bytes has that of a page.  ``body`` is binary."""
+    text = body.cast("string")
+    good = F.coalesce(status, F.lit(0)).between(200, 299)
+    marked = F.coalesce(F.position(F.lit("%PDF"), F.decode(F.substring(body, 1, PDF_WINDOW), "ISO-8859-1")) > 0, F.lit(False))
+    plain = F.when(good, "unsupported_content_type").otherwise("server_error")  # where the body tells nothing
+    return F.when(~good | (is_pdf_asked & ~marked), let(classify(status, text), lambda outcome: F.when(outcome == "ok", plain).otherwise(outcome)))
+
+
+# Fingerprints of paywall vendors, and markers of paywall scripts.
+PAYWALL_VENDORS = ["piano.io", "tinypass.com", "poool.fr", "zephr.com", "qiota.com", "pelcro.com", "wallkit.net", "flip-pay.com", "evolok.net", "onecount.net", "tribdss.com"]
+PAYWALL_SCRIPTS = ["amp-access", "amp-subscriptions"]
+
+
+def paywall_vendor(html: Column, vendors: list[str] = PAYWALL_VENDORS) -> Column:
+    """The first vendor, by name, whose fingerprint is in the page, or null (CLS13, JON03).  The list is a
+    parameter; script markers always count.  A page is scanned once per fingerprint, in place: a join
+    would repeat the page."""
+    low = F.lower(html)
+    return F.coalesce(*[F.when(low.contains(v), v) for v in sorted({*vendors, *PAYWALL_SCRIPTS})])
+
+
+# What browsers say when a page was torn down.
+DISCONNECTS = [
+    "connection closed", "target closed", "target page, context or browser has been closed", "browser has been closed", "net::err_aborted", "net::err_http2_protocol_error", "econnreset",
+]
+PARSER_DISCONNECTS = ["connection closed", "target closed", "net::err_aborted"]
+# Words of video errors, in the order they are asked.
+VIDEO_ERRORS = [
+    ("login_required", ["private", "members-only", "sign in", "age"]), ("not_found", ["unavailable", "removed", "404", "not exist"]), ("timeout", ["timed out", "timeout"]),
+]
+
+
+def transport_hint(kind: Column, message: Column) -> Column:
+    """The failure hint of a browser's error (CLS21): a timeout, a torn-down page, else unavailable."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return F.when((kind == "TimeoutError") | low.contains("timeout"), "timeout").when(has_any(low, DISCONNECTS), "bot_blocked").otherwise("dns_fail")
+
+
+def parser_error_reason(kind: Column, message: Column) -> Column:
+    """The outcome of an error while a page's parser fetched it (CLS21)."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    late = F.coalesce(F.lower(kind).contains("timeout"), F.lit(False)) | low.contains("timeout")
+    return F.when(late, "timeout").when(has_any(low, PARSER_DISCONNECTS), "blocked_bot").otherwise("server_error")
+
+
+def video_error_reason(message: Column) -> Column:
+    """The outcome of a video service's error text (CLS21)."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    out = F.lit("server_error")
+    for reason, words in reversed(VIDEO_ERRORS):
+        out = F.when(has_any(low, words), reason).otherwise(out)
+    return out
+
+
+def download_error_reason(kind: Column) -> Column:
+    """The outcome of a failed download by the kind of its error (CLS21)."""
+    late = ["TimeoutException", "ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout"]
+    return F.when(kind.isin(*late), "timeout").when(kind == "ConnectError", "dns_fail").otherwise("server_error")
+
+
+# What pages of restricted tasks say.
+AUTH_WALL = ["you do not have permission", "you shall not pass", "phabricator-login"]
+
+
+def is_auth_wall(html: Column) -> Column:
+    """Whether a task page only asks to log in (CLS20)."""
+    title = F.lower(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")))
+    return has_any(F.lower(html), AUTH_WALL) | (title == "login")
+
+
+def infer_outcome(outcome: Column, exception: Column, failure_reason: Column, empty_passages: Column) -> Column:
+    """The outcome of an event written before outcomes were (CLS22): stated, else exception, fail, empty, ok.
+    Empty texts and false count as absent."""
+    return F.coalesce(
+        outcome,
+        F.when(F.coalesce(exception != "", F.lit(False)), "exception")
+        .when(F.coalesce(failure_reason != "", F.lit(False)), "fail")
+        .when(F.coalesce(empty_passages, F.lit(False)), "empty")
+        .otherwise("ok"),
+    )

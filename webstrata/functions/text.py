@@ -18,7 +18,9 @@ SLOP_WORDS = (
     "delve delving delved utilize utilizing utilized utilization facilitate facilitating facilitated elucidate elucidating elucidated embark embarking embarked "
     "endeavor endeavors endeavour encompass encompasses encompassing multifaceted tapestry testament paradigm synergy synergies holistic catalyze catalyzing "
     "juxtapose juxtaposition nuanced myriad plethora pivotal groundbreaking cutting-edge game-changer game-changing spearhead spearheading underscores "
-    "underscoring leveraging captivated interplay wholesome reinvigorate"
+    "underscoring leveraging leveraged streamline streamlining streamlined overarching cornerstone cornerstones aforementioned henceforth noteworthy commendable "
+    "meticulous meticulously intricate intricacies aligns aligning resonates resonate resonating bustling moreover furthermore nevertheless nonetheless harnessing "
+    "harness harnessed bolster bolstering bolstered fostering fostered captivating captivated interplay wholesome reinvigorate"
 ).split()
 SLOP_PHRASES = [
     "it's important to note", "it is important to note", "it's worth noting", "it is worth noting", "in today's world", "in today's fast-paced", "in the realm of", "in the landscape of",

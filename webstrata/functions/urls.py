@@ -44,10 +44,6 @@ _VIDEO_HOST = r"(?:[a-z0-9-]+\.)*(?:youtube\.com|youtube-nocookie\.com)(?:\.[a-z
 _VIDEO = rf"(?i)^https?://(?:(?:www\.)?youtu\.be/([A-Za-z0-9_-]+)|{_VIDEO_HOST}/(?:watch\?(?:[^#]*?&)?v=([A-Za-z0-9_-]+)|(?:embed|shorts|v|live)/([A-Za-z0-9_-]+)))"
 _WIKI_HOST = rf"^https?://([a-z]{{2,3}}(?:-[a-z0-9]+)*|simple)(?:\.m)?\.({WIKI_PROJECTS})\.org"
 
-# A parameter, not a copy of any list: public suffixes of two labels, and top-level domains that count as known.
-TWO_LABEL_SUFFIXES = [f"{a}.{b}" for b in ("uk", "br", "au", "nz", "jp", "za", "ar", "mx", "in", "kr", "tr") for a in ("co", "com", "net", "org", "gov", "edu", "ac")]
-KNOWN_TLDS = "com net org edu gov int info biz io dev app co us uk br au nz jp za ar mx in kr tr de fr es it pt ru nl be ch at pl se no dk fi ie ca cn eu me tv".split()
-
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once: as a lambda's variable it is not copied into every
@@ -223,38 +219,11 @@ def _normal_form(raw: Column) -> Column:
     return F.concat(scheme, F.lit("://"), user, host, port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def registered_domain(url: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES, tlds: list[str] = KNOWN_TLDS) -> Column:
-    """The label below the longest known suffix, with it; hosts without one stay, less ``www.``."""
-    host = host_of(url)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k))), ".")
-    known = (
-        F.when((n >= 3) & last(2).isin(*suffixes), last(3))
-        .when((n >= 2) & last(1).isin(*tlds) & ~last(2).isin(*suffixes), last(2))
-    )
-    return F.when(url == "", "").otherwise(F.coalesce(known, F.regexp_replace(host, r"^www\.", "")))
-
-
 def is_variable_segment(segment: Column) -> Column:
     """Whether a path segment names one item rather than a kind of page."""
     return segment.rlike(r"(?U)\d") | (F.length(segment) > 24)
 
 
-def route_key(url: Column) -> Column:
-    """Domain and first path segment; deeper paths and item-like segments become ``*``."""
-    domain = registered_domain(url)
-    segments = F.filter(F.split(F.lower(part(with_scheme(url), "path")), "/"), lambda x: x != "")
-    first = F.get(segments, F.lit(0))
-    return (
-        F.when(domain == "", "")
-        .when(F.size(segments) == 0, domain)
-        .when(is_variable_segment(first), F.concat(domain, F.lit("/*")))
-        .when(F.size(segments) == 1, F.concat(domain, F.lit("/"), first))
-        .otherwise(F.concat(domain, F.lit("/"), first, F.lit("/*")))
-    )
-
-
 ATTRIBUTION = ["_pos", "_sid", "_ss", "_psq", "_fid", "_v", "pr_prod_strat", "pr_rec_id", "pr_ref_pid", "pr_rec_pid", "pr_seq", "variant_source"]
 
 

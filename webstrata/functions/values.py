@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def brl_number(text: Column) -> Column:
@@ -128,3 +129,43 @@ def repository_url(text: Column) -> Column:
     x = F.regexp_replace(x, r"^(?:git|ssh|http)://(?:[^@/]+@)?", "https://")
     x = F.regexp_replace(x, r"^(?:[\w.-]+@)([\w.-]+):", "https://$1/")
     return F.regexp_replace(x, r"\.git$", "")
+
+
+def orcid(text: Column) -> Column:
+    """The ORCID within a text, without its address (URL20)."""
+    return F.nullif(F.upper(F.regexp_extract(text, r"(?i)(\d{4}-\d{4}-\d{4}-\d{3}[\dX])", 1)), F.lit(""))
+
+
+_PII = r"^[SB][0-9X-]{9,}$"
+
+
+def pii(path: Column) -> Column:
+    """The publisher item id of an article path: what follows ``pii``, else a last segment of its form
+    (URL20)."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    at = F.array_position(F.transform(segments, F.lower), "pii").cast("int")
+    named = F.upper(F.get(segments, at))
+    last = F.upper(F.element_at(F.concat(F.array(F.lit("")), segments), -1))
+    found = F.when((at > 0) & (at < F.size(segments)), named).otherwise(last)
+    return F.when(found.rlike(_PII), found)
+
+
+def pmcid(path: Column) -> Column:
+    """The number of a path's ``PMC`` segment, without the letters (URL20)."""
+    hits = F.filter(F.split(path, "/"), lambda s: s.rlike(r"(?i)^PMC[0-9]+$"))
+    return F.substr(F.get(hits, F.lit(0)), F.lit(4))
+
+
+def compact(row: Column, schema: T.StructType) -> Column:
+    """A struct as JSON text without null and empty values: texts, lists, maps and records (ARR02)."""
+    kept = []
+    for field in schema.fields:
+        x = row[field.name]
+        if isinstance(field.dataType, T.StringType):
+            x = F.nullif(x, F.lit(""))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            x = F.when(F.size(x) > 0, x)
+        elif isinstance(field.dataType, T.StructType):
+            x = F.when(F.to_json(x) != "{}", x)
+        kept.append(x.alias(field.name))
+    return F.to_json(F.struct(*kept))

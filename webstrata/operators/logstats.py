@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions.classify import infer_outcome
 from webstrata.functions.urls import host_of
 
 FETCH_TOOLS = ["fetch", "fetch_many"]
@@ -12,9 +13,14 @@ PHASES = ["network_ms", "parse_ms", "cache_write_ms"]
 
 
 def events_once(events: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of every event with its outcome: stated, or inferred from its failure reason."""
-    inferred = F.coalesce("outcome", F.when(F.col("failure_reason").isNotNull() & (F.col("failure_reason") != ""), "fail").otherwise("ok"))
-    need = list(dict.fromkeys(["entry_id", "tool", "outcome", "failure_reason", *columns]))
+    """``columns`` of every event with its outcome: stated, or inferred from its exception, failure reason
+    and empty passages, where the log has them."""
+    older = [c for c in ("exception", "empty_passages") if c in events.columns]
+    absent = F.lit(None)
+    inferred = infer_outcome(
+        F.col("outcome"), F.col("exception") if "exception" in older else absent.cast("string"), F.col("failure_reason"), F.col("empty_passages") if "empty_passages" in older else absent.cast("boolean")
+    )
+    need = list(dict.fromkeys(["entry_id", "tool", "outcome", "failure_reason", *older, *columns]))
     return events.select(need).dropDuplicates(["entry_id"]).where("tool IS NOT NULL").withColumn("outcome", inferred)
 
 

@@ -94,10 +94,22 @@ def without_intervals(points: DataFrame, at: str, intervals: DataFrame, start: s
 
 def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     """The entry with the longest prefix of each text (JON04), by an equi-join on the text's own
-    prefixes of the lengths that occur in the list, as many as the list has different lengths."""
-    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().orderBy(F.desc(F.length(prefix))).limit(256).collect()]
+    prefixes of the lengths that occur in the list, as many as the list has different lengths: at most the
+    length of an address, whatever the list's size."""
+    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().orderBy(F.desc(F.length(prefix))).collect()]
     cut = F.array(*[F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     distinct = rows.select(text).distinct()
     tried = distinct.select(text, F.explode(F.array_compact(cut)).alias("_p"))
     found = tried.join(prefixes.select(F.col(prefix).alias("_p"), *columns), "_p").groupBy(text).agg(F.max_by(F.struct("_p", *columns), F.length("_p")).alias("_m"))
     return rows.join(found.select(text, "_m.*").withColumnRenamed("_p", "matched_prefix"), text, "left")
+
+
+def most_common(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """(key, n, first_seen) by number, ties by first place (SRT03)."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(place).alias("first_seen")).orderBy(F.desc("n"), "first_seen")
+
+
+def requested_variant(variants: Column, wanted: Column, fields: list[str]) -> Column:
+    """The first variant one of whose ``fields`` is the one wanted, else the first of all (JON11)."""
+    hits = F.filter(variants, lambda v: F.array_contains(F.array(*[v[f] for f in fields]), wanted))
+    return F.coalesce(F.get(hits, F.lit(0)), F.get(variants, F.lit(0)))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webstrata.functions.urls import WIKI_PROJECTS, host_of, part, registered_domain
+from webstrata.functions.urls import WIKI_PROJECTS, host_of, part
+from webstrata.operators.domains import with_registered_domain
 
 # Services in the order they are asked, with the hosts and paths they claim.
 SERVICES = [
@@ -52,17 +53,15 @@ def header_profiles(rows: DataFrame, url: str, rules: DataFrame, learned: DataFr
     """The header profile of each address (JON05): a rule for its host, one for its domain, the profile
     learned for its route, a seed for host or domain, else ``default``.  ``rules`` and ``seeds`` have
     (host, profile), ``learned`` (route_key, profile), all with unique keys."""
-    x = rows.withColumns({"_host": host_of(F.col(url)), "_domain": registered_domain(F.col(url))})
-    for name, table, key, on in (
-        ("_r1", rules, "host", "_host"),
-        ("_r2", rules, "host", "_domain"),
-        ("_l", learned, "route_key", "route_key"),
-        ("_s1", seeds, "host", "_host"),
-        ("_s2", seeds, "host", "_domain"),
-    ):
-        side = table.select(F.col(key).alias("_key"), F.col("profile").alias(name))
-        x = x.join(side, x[on] == side["_key"], "left").drop("_key")
-    picked = F.coalesce("_r1", "_r2", "_l", "_s1", "_s2", F.lit(default)).alias("profile")
+    x = with_registered_domain(rows, url, "_domain").withColumn("_host", host_of(F.col(url)))
+    # rules and seeds are told apart by tables, so that host and domain each meet one table only
+    both = rules.select("host", F.col("profile").alias("rule")).join(seeds.select("host", F.col("profile").alias("seed")), "host", "full_outer")
+    for at in ("host", "domain"):
+        side = both.select(F.col("host").alias("_key"), F.struct("rule", "seed").alias(f"_by_{at}"))
+        x = x.join(side, x[f"_{at}"] == side["_key"], "left").drop("_key")
+    side = learned.select(F.col("route_key").alias("_key"), F.col("profile").alias("_learned"))
+    x = x.join(side, x["route_key"] == side["_key"], "left").drop("_key")
+    picked = F.coalesce("_by_host.rule", "_by_domain.rule", "_learned", "_by_host.seed", "_by_domain.seed", F.lit(default)).alias("profile")
     return x.select(*rows.columns, picked)
 
 

@@ -138,3 +138,23 @@ def cooldowns(events: DataFrame, key: str, seconds: int) -> DataFrame:
     w = W.partitionBy(key).orderBy("ts", "id")
     gap = F.col("ts") - F.lag("ts").over(w)
     return events.withColumn("acts", gap.isNull() | (gap >= seconds))
+
+
+# Seconds a tier may take, and that have to be left for it to be tried.
+TIER_CAPS = {"http": 5.0, "browser": 12.0, "mobile": 5.0, "archive": 6.0}
+TIER_FLOORS = {"http": 0.0, "browser": 3.0, "mobile": 3.0, "archive": 4.0}
+HTTP_FLOOR = 1.0
+RECOVERABLE = ["blocked_bot", "blocked_captcha", "blocked_cloudflare"]
+
+
+def tier_budget(tier: Column, remaining: Column) -> Column:
+    """(may_run, seconds) of a tier with ``remaining`` seconds of the whole deadline (STT10): null for an
+    unknown tier; a plain request gets a second at least."""
+    of = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for p in values.items() for x in p]), tier)
+    seconds = F.least(remaining, of(TIER_CAPS))
+    return F.struct((remaining >= of(TIER_FLOORS)).alias("may_run"), F.when(tier == "http", F.greatest(seconds, F.lit(HTTP_FLOOR))).otherwise(seconds).alias("seconds"))
+
+
+def needs_refresh(age_seconds: Column, days: int = 7) -> Column:
+    """Whether a consolidated list is missing (null) or older than ``days`` (STT13)."""
+    return F.coalesce(age_seconds > days * 86400, F.lit(True))

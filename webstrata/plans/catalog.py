@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import inputs, listings, logs, pages, ranking, records, routes, state, training, trees, urls
+from webstrata.plans import inputs, listings, logs, pages, ranking, records, routes, rules, state, training, trees, urls
 
-MODULES = [training, urls, pages, logs, state, ranking, records, inputs, routes, listings, trees]
+MODULES = [training, urls, pages, logs, state, ranking, records, inputs, routes, listings, trees, rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

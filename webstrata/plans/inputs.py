@@ -100,13 +100,13 @@ SELECT fetch_id, coalesce(status = 200 AND fetch_id % 5 <> 0 AND strlen(body) BE
 
 def site_digest(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of each site joined in order, as its length and digest (SNK03)."""
-    d = table(spark, folder, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("t"))
+    d = table(spark, folder, "documents").select("doc_id", "source", F.col("text").alias("t"))
     joined = O.joined_markdown(d, "source", "doc_id", "t")
     return joined.select("source", F.length("markdown").alias("chars"), F.sha2("markdown", 256).alias("sha256"))
 
 
 SQL_DIGEST = """
-WITH d AS (SELECT doc_id, source, regexp_replace(substr(text, 1, 40), '\\n+$', '') || chr(10) AS t FROM documents WHERE text IS NOT NULL), j AS (SELECT source, string_agg(t, chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS m FROM d GROUP BY source)
+WITH d AS (SELECT doc_id, source, regexp_replace(text, '\\n+$', '') || chr(10) AS t FROM documents WHERE text IS NOT NULL), j AS (SELECT source, string_agg(t, chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS m FROM d GROUP BY source)
 SELECT source, length(m) AS chars, sha256(m) AS sha256 FROM j
 """
 

@@ -69,12 +69,12 @@ SELECT p_partkey, p_name AS title, p_brand AS handle, NULL AS brand, CAST(p_size
 def price_logs(spark: SparkSession, folder: str) -> DataFrame:
     """The three newest deals of price logs (ADP13, SRT01, LIM01)."""
     o = table(spark, folder, "orders").select("o_custkey", F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.when(F.col("o_orderkey") % 4 > 0, F.struct(F.struct(F.round("o_totalprice", 2).alias("amount")).alias("price"), F.lit(1).alias("cut"))).alias("deal")).alias("x"))
-    bodies = o.where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.to_json(F.collect_list("x")).alias("body"))
+    bodies = o.groupBy("o_custkey").agg(F.to_json(F.collect_list("x")).alias("body"))
     return bodies.select("o_custkey", F.posexplode(S.price_history(F.col("body"), 3)).alias("place", "h")).select("o_custkey", "place", "h.ts", "h.price")
 
 
 SQL_PRICE_LOGS = """
-SELECT o_custkey, CAST(row_number() OVER w - 1 AS INTEGER) AS place, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ts, round(o_totalprice, 2) AS price FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey % 4 > 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, round(o_totalprice, 2) DESC) QUALIFY row_number() OVER w <= 3
+SELECT o_custkey, CAST(row_number() OVER w - 1 AS INTEGER) AS place, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ts, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey % 4 > 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, round(o_totalprice, 2) DESC) QUALIFY row_number() OVER w <= 3
 """
 
 

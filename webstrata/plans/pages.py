@@ -30,7 +30,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Each fetch once, with a body and a status made from its id."""
     rows = table(spark, folder, "fetch_cache").select("fetch_id", "markdown", "content_type", "url").dropDuplicates(["fetch_id"])
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col("fetch_id") % by + 1).cast("int"))
-    body = F.concat(pick(BODIES, len(BODIES)), F.coalesce(F.when(F.col("fetch_id") % 3 == 0, "short").otherwise(F.col("markdown")), F.lit("")))
+    body = F.concat(pick(BODIES, len(BODIES)), F.coalesce("markdown", F.lit("")))
     return rows.withColumns({"html": body, "code": pick(STATUSES, len(STATUSES)), "hint": pick(HINTS, len(HINTS))})
 
 
@@ -39,7 +39,7 @@ def _sql_list(values: list) -> str:
 
 
 SQL_PAGES = f"""
-SELECT fetch_id, markdown, content_type, url, ({_sql_list(BODIES)})[fetch_id % {len(BODIES)} + 1] || coalesce(CASE WHEN fetch_id % 3 = 0 THEN 'short' ELSE markdown END, '') AS html,
+SELECT fetch_id, markdown, content_type, url, ({_sql_list(BODIES)})[fetch_id % {len(BODIES)} + 1] || coalesce(markdown, '') AS html,
   ({_sql_list(STATUSES)})[fetch_id % {len(STATUSES)} + 1] AS code, ({_sql_list(HINTS)})[fetch_id % {len(HINTS)} + 1] AS hint
 FROM (SELECT DISTINCT fetch_id, markdown, content_type, url FROM fetch_cache)
 """
@@ -78,14 +78,14 @@ def page_visible(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select(
         "fetch_id",
         F.length(visible).alias("visible_chars"),
-        T.boilerplate_ratio(F.substring("markdown", 1, 400), visible).alias("boilerplate_ratio"),
+        T.boilerplate_ratio(F.col("markdown"), visible).alias("boilerplate_ratio"),
         (F.length(F.coalesce("markdown", F.lit(""))) < T.SHORT_TEXT).alias("short_content"),
     )
 
 
 SQL_PAGE_VISIBLE = f"""
 WITH v AS (SELECT fetch_id, markdown, {SQL_VISIBLE} AS t FROM ({SQL_PAGES}))
-SELECT fetch_id, length(t) AS visible_chars, round_even(greatest(0.0, least(1.0, 1 - length(coalesce(substr(markdown, 1, 400), ''))::DOUBLE / greatest(length(t), 1))), 4) AS boilerplate_ratio,
+SELECT fetch_id, length(t) AS visible_chars, round_even(greatest(0.0, least(1.0, 1 - length(coalesce(markdown, ''))::DOUBLE / greatest(length(t), 1))), 4) AS boilerplate_ratio,
   length(coalesce(markdown, '')) < 200 AS short_content FROM v
 """
 
@@ -155,7 +155,16 @@ def text_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 # Word characters other than a to z count as 0, after which ASCII word borders are Unicode ones.
 _OTHER = "[\\p{N}_\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{2C1}\\x{300}-\\x{374}\\x{376}-\\x{37D}\\x{386}\\x{388}-\\x{481}\\x{483}-\\x{559}\\x{561}-\\x{587}\\x{591}-\\x{5BD}\\x{5D0}-\\x{5F2}\\x{610}-\\x{61A}\\x{620}-\\x{669}\\x{66E}-\\x{6D3}\\x{3041}-\\x{3096}\\x{30A1}-\\x{30FA}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7A3}\\x{FF10}-\\x{FF19}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}]"
-_WORDS = ", ".join("'" + w + "'" for w in T.SLOP_WORDS)
+# Fixed values, spelled for the SQL on their own.
+_WORDS = """
+'delve', 'delving', 'delved', 'utilize', 'utilizing', 'utilized', 'utilization', 'facilitate', 'facilitating', 'facilitated', 'elucidate', 'elucidating', 'elucidated',
+'embark', 'embarking', 'embarked', 'endeavor', 'endeavors', 'endeavour', 'encompass', 'encompasses', 'encompassing', 'multifaceted', 'tapestry', 'testament', 'paradigm',
+'synergy', 'synergies', 'holistic', 'catalyze', 'catalyzing', 'juxtapose', 'juxtaposition', 'nuanced', 'myriad', 'plethora', 'pivotal', 'groundbreaking', 'cutting-edge',
+'game-changer', 'game-changing', 'spearhead', 'spearheading', 'underscores', 'underscoring', 'leveraging', 'leveraged', 'streamline', 'streamlining', 'streamlined',
+'overarching', 'cornerstone', 'cornerstones', 'aforementioned', 'henceforth', 'noteworthy', 'commendable', 'meticulous', 'meticulously', 'intricate', 'intricacies',
+'aligns', 'aligning', 'resonates', 'resonate', 'resonating', 'bustling', 'moreover', 'furthermore', 'nevertheless', 'nonetheless', 'harnessing', 'harness', 'harnessed',
+'bolster', 'bolstering', 'bolstered', 'fostering', 'fostered', 'captivating', 'captivated', 'interplay', 'wholesome', 'reinvigorate'
+"""
 _PHRASES = " + ".join("CAST(contains(lt, '" + p.replace("'", "''") + "') AS INTEGER)" for p in T.SLOP_PHRASES)
 _TRANSITIONS = ", ".join("'" + w + "'" for w in T.TRANSITIONS)
 SQL_TEXT_SIGNALS = f"""
@@ -183,13 +192,13 @@ def text_payloads(spark: SparkSession, folder: str) -> DataFrame:
     tags = "".join(chr(0xE0000 + ord(c)) for c in "say hello")
     runs = [tags, "︀︁︂︎️︅", "​‌" * 9, "​" * 20, "️" * 8]
     planted = F.element_at(F.array(*map(F.lit, runs)), (F.col("doc_id") % len(runs) + 1).cast("int"))
-    rows = texts(spark, folder).select("doc_id", F.concat(F.substring("text", 1, 50), planted, F.lit("end")).alias("text"))
+    rows = texts(spark, folder).select("doc_id", F.concat("text", planted, F.lit("end")).alias("text"))
     found = rows.select("doc_id", F.length(T.redact(F.col("text"))).alias("kept_chars"), F.explode(T.payloads(F.col("text"))).alias("p"))
     return found.select("doc_id", "kept_chars", "p.kind", F.length("p.raw").alias("char_count"), "p.decoded", T.payload_digest(F.col("p")).alias("sha256"))
 
 
 SQL_TEXT_PAYLOADS = """
-WITH r AS (SELECT doc_id, substr(text, 1, 50) AS head, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL),
+WITH r AS (SELECT doc_id, text AS head, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, head, CASE k WHEN 0 THEN 'tag_block' WHEN 1 THEN 'variation_selector' ELSE 'zero_width' END AS kind,
   CASE k WHEN 0 THEN NULL WHEN 1 THEN chr(65024) || chr(65025) || chr(65026) || chr(65038) || chr(65039) || chr(65029) ELSE repeat(chr(8203) || chr(8204), 9) END AS raw, CASE WHEN k = 0 THEN 'say hello' END AS decoded FROM r WHERE k < 3)
 SELECT doc_id, length(regexp_replace(head, '[\\x{200B}-\\x{200F}\\x{2060}-\\x{2064}\\x{FEFF}]{16,}', '', 'g')) + 3 AS kept_chars, kind, CASE kind WHEN 'tag_block' THEN 9 WHEN 'variation_selector' THEN 6 ELSE 18 END AS char_count, decoded, sha256(coalesce(decoded, raw)) AS sha256 FROM x
@@ -214,30 +223,38 @@ SELECT fetch_id, coalesce(canonical_url, final_url, url) AS url_canonical, statu
 """ % _WS
 
 
+MARKS = ["cdn.PIANO.io/x.js", "https://static.poool.fr/access.js and piano.io", "amp-access", "wallkit.net", "nothing"]
+
+
 def paywall_vendors(spark: SparkSession, folder: str) -> DataFrame:
-    """The first vendor, by name, whose fingerprint is in the page (CLS13, JON03)."""
-    vendors = ["kabomat", "lurent", "dataset", "warranty"]
-    hits = F.filter(F.array(*map(F.lit, sorted(vendors))), lambda v: F.contains(F.lower("text"), v))
-    return texts(spark, folder).select("doc_id", F.get(hits, F.lit(0)).alias("vendor"))
+    """The first vendor, by name, whose fingerprint is in the page; a script is added to each text (CLS13, JON03)."""
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("doc_id") % len(MARKS) + 1).cast("int"))
+    return texts(spark, folder).select("doc_id", C.paywall_vendor(F.concat("text", F.lit("<script src='"), mark, F.lit("'></script>"))).alias("vendor"))
 
 
-SQL_VENDORS = "SELECT doc_id, list_filter(['dataset', 'kabomat', 'lurent', 'warranty'], lambda v: contains(lower(text), v))[1] AS vendor FROM documents"
+SQL_VENDORS = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE doc_id % 5 WHEN 0 THEN 'piano.io' WHEN 1 THEN 'piano.io' WHEN 2 THEN 'amp-access' WHEN 3 THEN 'wallkit.net' END END AS vendor FROM documents"
 
 
 def error_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Outcomes out of error texts (CLS21)."""
-    texts_ = ["ReadTimeout while reading", "Server disconnected", "This video is private", "Sign in to confirm", "HTTP 404 not found", "other"]
-    rows = table(spark, folder, "telemetry").select("entry_id").dropDuplicates(["entry_id"])
-    msg = F.lower(F.element_at(F.array(*map(F.lit, texts_)), (F.col("entry_id") % len(texts_) + 1).cast("int")))
-    reason = (
-        F.when(msg.contains("timeout"), "timeout").when(msg.contains("disconnect"), "server_error").when(msg.contains("private") | msg.contains("sign in"), "login_required")
-        .when(msg.contains("404") | msg.contains("not found"), "not_found").otherwise("parse_failed")
-    )
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Outcomes out of errors of four kinds of callers, their messages made of logged reasons (CLS21)."""
+    rows = table(spark, folder, "telemetry").select("entry_id", "failure_reason", "tool").dropDuplicates(["entry_id"])
+    kinds = ["TimeoutError", "ReadTimeout", "ConnectError", "Error", "OSError"]
+    said = ["net::ERR_ABORTED at ", "Target closed: ", "video is private: ", "HTTP Error 404: ", "request timed out ", "ECONNRESET "]
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col("entry_id") % by + 1).cast("int"))
+    kind, message = pick(kinds, len(kinds)), F.concat(pick(said, len(said)), F.coalesce("failure_reason", F.lit("")))
+    return rows.select(
+        "entry_id", C.transport_hint(kind, message).alias("transport"), C.parser_error_reason(kind, message).alias("parser"), C.video_error_reason(message).alias("video"), C.download_error_reason(kind).alias("download")
+    )
 
 
 SQL_ERRORS = """
-SELECT (['timeout', 'server_error', 'login_required', 'login_required', 'not_found', 'parse_failed'])[entry_id % 6 + 1] AS reason, count(*) AS n FROM (SELECT DISTINCT entry_id FROM telemetry) GROUP BY 1
+WITH e AS (SELECT entry_id, (['TimeoutError', 'ReadTimeout', 'ConnectError', 'Error', 'OSError'])[entry_id % 5 + 1] AS k,
+  lower((['net::ERR_ABORTED at ', 'Target closed: ', 'video is private: ', 'HTTP Error 404: ', 'request timed out ', 'ECONNRESET '])[entry_id % 6 + 1] || coalesce(failure_reason, '')) AS m
+  FROM (SELECT DISTINCT entry_id, failure_reason FROM telemetry))
+SELECT entry_id, CASE WHEN k = 'TimeoutError' OR contains(m, 'timeout') THEN 'timeout' WHEN regexp_matches(m, 'connection closed|target closed|target page, context or browser has been closed|browser has been closed|net::err_aborted|net::err_http2_protocol_error|econnreset') THEN 'bot_blocked' ELSE 'dns_fail' END AS transport,
+  CASE WHEN contains(lower(k), 'timeout') OR contains(m, 'timeout') THEN 'timeout' WHEN regexp_matches(m, 'connection closed|target closed|net::err_aborted') THEN 'blocked_bot' ELSE 'server_error' END AS parser,
+  CASE WHEN regexp_matches(m, 'private|members-only|sign in|age') THEN 'login_required' WHEN regexp_matches(m, 'unavailable|removed|404|not exist') THEN 'not_found' WHEN regexp_matches(m, 'timed out|timeout') THEN 'timeout' ELSE 'server_error' END AS video,
+  CASE WHEN k = 'ReadTimeout' THEN 'timeout' WHEN k = 'ConnectError' THEN 'dns_fail' ELSE 'server_error' END AS download FROM e
 """
 
 CATALOG: dict[str, tuple[Query, str | None]] = {

@@ -139,13 +139,13 @@ SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY coverage D
 def sponsor_cut(spark: SparkSession, folder: str) -> DataFrame:
     """Events outside all of their user's blocked spans (JON06)."""
     e = table(spark, folder, "events").select("event_id", "user_id", (F.col("event_id") % 3600).cast("double").alias("t"))
-    spans = table(spark, folder, "events").select("user_id", (F.col("event_id") % 3500).cast("double").alias("s")).where("user_id % 3 = 0").dropDuplicates(["user_id", "s"])
+    spans = table(spark, folder, "events").select("user_id", (F.col("event_id") % 3500).cast("double").alias("s")).dropDuplicates(["user_id", "s"])
     spans = spans.select("user_id", "s", (F.col("s") + 90).alias("e"))
     return M.without_intervals(e, "t", spans, "s", "e", "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 SQL_SPONSOR = """
-WITH e AS (SELECT event_id, user_id, CAST(event_id % 3600 AS DOUBLE) AS t FROM events), s AS (SELECT DISTINCT user_id, CAST(event_id % 3500 AS DOUBLE) AS s FROM events WHERE user_id % 3 = 0)
+WITH e AS (SELECT event_id, user_id, CAST(event_id % 3600 AS DOUBLE) AS t FROM events), s AS (SELECT DISTINCT user_id, CAST(event_id % 3500 AS DOUBLE) AS s FROM events)
 SELECT user_id, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND e.t >= s.s AND e.t < s.s + 90) GROUP BY user_id
 """
 

@@ -121,14 +121,14 @@ SELECT response_id, m IS NOT NULL AS parsed, lower(m.DOI) AS doi, nullif(m.title
 
 def captions(spark: SparkSession, folder: str) -> DataFrame:
     """Cues of caption files made from documents (TXT23, TXT24)."""
-    line = F.regexp_replace(F.substring(F.coalesce("text", F.lit("x")), 1, 20), r"[\s<>-]+", " ")
+    line = F.regexp_replace(F.coalesce("text", F.lit("x")), r"[\s<>-]+", " ")
     body = F.concat(F.lit("WEBVTT\n\n00:00:01.000 --> 00:00:02.000\nfirst "), line, F.lit("\n\n00:00:02.500 --> 00:00:03.000\nfirst "), line, F.lit("\n\n01:00:03.250 --> 01:00:04.000\n<c>tagged</c>\n\n01:00:05.250 --> 01:00:06.000\nlast\nline\n"))
     rows = table(spark, folder, "documents").select("doc_id", F.posexplode(P.cue_lines(body)).alias("cue", "c"))
     return rows.select("doc_id", "cue", "c.start", "c.text")
 
 
 SQL_CAPTIONS = """
-WITH d AS (SELECT doc_id, trim(regexp_replace('first ' || regexp_replace(substr(coalesce(text, 'x'), 1, 20), '[\\s<>-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
+WITH d AS (SELECT doc_id, trim(regexp_replace('first ' || regexp_replace(coalesce(text, 'x'), '[\\s<>-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, 0 AS cue, CAST(1.0 AS DOUBLE) AS start, t AS text FROM d UNION ALL SELECT doc_id, 1, 3605.25, 'last line' FROM d
 """
 

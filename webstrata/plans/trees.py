@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webstrata.functions import classify as C
 from webstrata.functions import text as T
 from webstrata.functions import trees
 from webstrata.functions import values as V
 from webstrata.functions.urls import host_of
 from webstrata.operators.membership import blocked_hosts
 from webstrata.operators.signals import text_signals
+from webstrata.plans.pages import _WS, SQL_TEXT_SIGNALS, SQL_VISIBLE
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,38 +75,44 @@ def estates(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_ESTATES = "SELECT p_partkey, CAST(p_partkey % 5 + 1 AS INTEGER) AS rooms, CAST(p_size AS BIGINT) AS area, 1000000 + (p_partkey % 1000) * 1000 AS price FROM part"
 
-VENDORS = ["bigvendor", "gearbox", "soundtrack"]
-
-
 def quality_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Block list, paywall vendor, signals and score of each document (TXT16)."""
-    d = table(spark, folder, "documents").select("doc_id", "text", "url")
+    """Block list, paywall vendor, signals and score of each document; its page is the text within a frame (TXT16)."""
+    d = table(spark, folder, "documents").select("doc_id", "text", "url", "title", "added_at")
     listed = table(spark, folder, "sites").where("category = 'classifieds'").select(F.col("host").alias("domain"))
     flagged = blocked_hosts(d.select("doc_id", host_of(F.col("url")).alias("host")), listed).select("doc_id", F.lit(True).alias("flag"))
-    x = text_signals(d.select("doc_id", "text"), "doc_id", "text").join(flagged, "doc_id", "left")
-    vendor = F.get(F.filter(F.array(*map(F.lit, sorted(VENDORS))), lambda v: F.contains(F.lower("text"), v)), F.lit(0))
-    score = T.slop_score({c: F.col(c) for c in ("slop_vocab_ratio", "slop_phrase_count", "sentence_length_cv")}, F.lit(0.0), F.lit(True), F.lit(True), T.word_count(F.col("text")))
-    return x.select("doc_id", F.coalesce("flag", F.lit(False)).alias("domain_flagged"), vendor.isNotNull().alias("paywalled"), vendor.alias("paywall_vendor"), (score >= 0.2).alias("suspect"))
+    vendor = F.element_at(F.array(F.lit("piano.io"), F.lit(""), F.lit("qiota.com")), (F.col("doc_id") % 3 + 1).cast("int"))
+    page = F.concat(F.lit("<nav>"), F.repeat(F.lit("menu "), (F.col("doc_id") % 50).cast("int")), F.lit('</nav><script src="'), vendor, F.lit('"></script>'), F.coalesce("text", F.lit("")))
+    d = d.withColumns({"boilerplate": T.boilerplate_ratio(F.col("text"), C.visible_text(page)), "paywall_vendor": C.paywall_vendor(page)})
+    x = text_signals(d.select("doc_id", "text"), "doc_id", "text").drop("text").join(d, "doc_id").join(flagged, "doc_id", "left")
+    names = ("slop_vocab_ratio", "slop_phrase_count", "sentence_length_cv")
+    score = T.slop_score({c: F.col(c) for c in names}, F.col("boilerplate"), F.coalesce(F.col("title") != "", F.lit(False)), F.col("added_at").isNotNull(), T.word_count(F.col("text")))
+    return x.select("doc_id", F.coalesce("flag", F.lit(False)).alias("domain_flagged"), F.col("paywall_vendor").isNotNull().alias("paywalled"), "paywall_vendor", "boilerplate", score.alias("slop_score"))
 
 
-SQL_QUALITY = """
-WITH d AS (SELECT doc_id, lower(text) AS t, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM documents), v AS (SELECT doc_id, host, list_filter(['bigvendor', 'gearbox', 'soundtrack'], lambda x: contains(t, x))[1] AS v FROM d)
-SELECT doc_id, coalesce(host IN (SELECT host FROM sites WHERE category = 'classifieds'), false) AS domain_flagged, v IS NOT NULL AS paywalled, v AS paywall_vendor FROM v
-"""
+SQL_QUALITY = f"""
+WITH s AS ({SQL_TEXT_SIGNALS}), d AS (SELECT doc_id, coalesce(text, '') AS t, title, added_at, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host,
+  coalesce(len(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '')), 0) AS n, '<nav>' || repeat('menu ', doc_id % 50) || '</nav><script src=""></script>' || coalesce(text, '') AS html FROM documents),
+v AS (SELECT *, {SQL_VISIBLE} AS shown FROM d), b AS (SELECT *, round_even(greatest(0.0, least(1.0, 1 - length(t)::DOUBLE / greatest(length(shown), 1))), 4) AS boilerplate FROM v)
+SELECT doc_id, coalesce(host IN (SELECT host FROM sites WHERE category = 'classifieds'), false) AS domain_flagged, doc_id % 3 <> 1 AS paywalled, (['piano.io', NULL, 'qiota.com'])[doc_id % 3 + 1] AS paywall_vendor, boilerplate,
+  round_even(least(1.0, least(1.0, slop_vocab_ratio * 30) * 0.06 + least(1.0, slop_phrase_count / 3.0) * 0.06 + greatest(0.0, 1 - sentence_length_cv / 0.25) * 0.03 + least(1.0, boilerplate / 0.5) * 0.35
+  + CASE WHEN n < 50 THEN 0.25 WHEN n < 150 THEN 0.15 WHEN n < 400 THEN 0.08 ELSE 0.0 END + CASE WHEN added_at IS NOT NULL THEN 0.0 ELSE 0.15 END + CASE WHEN title <> '' THEN 0.0 ELSE 0.1 END), 4) AS slop_score FROM b JOIN s USING (doc_id)
+""".replace("replace(text, chr(10), chr(10) || chr(10)) AS t", "text AS t")
 
 
 def quality_flags(spark: SparkSession, folder: str) -> DataFrame:
     """The parts of the quality records that do not depend on signals (TXT16, CLS11, CLS13)."""
-    return quality_records(spark, folder).drop("suspect")
+    return quality_records(spark, folder).drop("slop_score")
+
 
+SQL_FLAGS = f"SELECT * EXCLUDE (slop_score) FROM ({SQL_QUALITY})"
 
 CATALOG: dict[str, tuple[Query, str | None]] = {
     "state_records": (state_records, SQL_STATE),
     "articles": (articles, SQL_ARTICLES),
     "comments": (comments, SQL_COMMENTS),
     "estates": (estates, SQL_ESTATES),
-    "quality_flags": (quality_flags, SQL_QUALITY),
-    "quality_records": (quality_records, None),
+    "quality_flags": (quality_flags, SQL_FLAGS),
+    "quality_records": (quality_records, SQL_QUALITY),
 }
 
 

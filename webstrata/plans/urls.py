@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import urls as U
 from webstrata.functions import values as V
+from webstrata.operators import domains as D
 from webstrata.operators.membership import blocked_hosts
 from webstrata.session import table
 
@@ -132,25 +133,49 @@ def url_unwrap(spark: SparkSession, folder: str) -> DataFrame:
 SQL_UNWRAP = f"SELECT fetch_id, url AS target FROM ({SQL_ADDRESSES})"
 
 
+SUFFIXES = ["", ".com", ".co.uk", ".com.br", ".kawasaki.jp", ".city.kawasaki.jp", ".ck", ".www.ck"]
+
+
 def url_domains(spark: SparkSession, folder: str) -> DataFrame:
-    """Registered domains and route keys with how many fetches share them (URL11 to URL14)."""
-    rows = addresses(spark, folder).select(U.registered_domain(F.col("url")).alias("domain"), U.route_key(F.col("url")).alias("route_key"))
-    return rows.groupBy("domain", "route_key").agg(F.count("*").alias("n"))
+    """Registered domains and route keys, hosts under several kinds of suffix rule, with how many fetches share them (URL11 to URL14)."""
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("fetch_id") % len(SUFFIXES) + 1).cast("int"))
+    moved = F.concat(F.regexp_extract("url", "^([^/]*//[^/?#]*)", 1), suffix, F.regexp_extract("url", "^[^/]*//[^/?#]*(.*)$", 1))
+    rows = D.with_registered_domain(addresses(spark, folder).select(moved.alias("u")), "u")
+    return rows.select("domain", D.route_key_of(F.col("domain"), F.col("u")).alias("route_key")).groupBy("domain", "route_key").agg(F.count("*").alias("n"))
 
 
-_TLD = ", ".join(f"'{x}'" for x in U.KNOWN_TLDS)
-_TWO = ", ".join(f"'{x}'" for x in U.TWO_LABEL_SUFFIXES)
-SQL_DOMAIN = f"""CASE WHEN len(l) >= 3 AND l[-2] || '.' || l[-1] IN ({_TWO}) THEN l[-3] || '.' || l[-2] || '.' || l[-1]
-  WHEN len(l) >= 2 AND l[-1] IN ({_TLD}) AND l[-2] || '.' || l[-1] NOT IN ({_TWO}) THEN l[-2] || '.' || l[-1] ELSE regexp_replace(host, '^www\\.', '') END"""
 SQL_DOMAINS = f"""
-WITH h AS (SELECT url, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM ({SQL_ADDRESSES})),
-d AS (SELECT url, host, string_split(host, '.') AS l, list_filter(string_split(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS s FROM h),
-r AS (SELECT {SQL_DOMAIN} AS domain, s FROM d)
+WITH h AS (SELECT fetch_id % 8 AS k, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, list_filter(string_split(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS s FROM ({SQL_ADDRESSES})),
+r AS (SELECT s, CASE k WHEN 0 THEN regexp_replace(host, '^www\\.', '') WHEN 1 THEN split_part(host, '.', -1) || '.com' WHEN 2 THEN split_part(host, '.', -1) || '.co.uk' WHEN 3 THEN split_part(host, '.', -1) || '.com.br'
+  WHEN 4 THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) || '.kawasaki.jp' WHEN 5 THEN 'city.kawasaki.jp' WHEN 6 THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) || '.ck' ELSE 'www.ck' END AS domain FROM h)
 SELECT domain, CASE WHEN len(s) = 0 THEN domain WHEN regexp_matches(s[1], '[0-9]') OR length(s[1]) > 24 THEN domain || '/*' WHEN len(s) = 1 THEN domain || '/' || s[1]
   ELSE domain || '/' || s[1] || '/*' END AS route_key, count(*) AS n FROM r GROUP BY ALL
 """
 
 
+def url_third_party(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that pages make to listed hosts of other domains (CLS12)."""
+    page = F.concat(F.lit("https://www.site"), (F.col("fetch_id") % 5).cast("string"), F.lit(".co.uk/x"))
+    asked = F.concat(F.lit("https://cdn.site"), (F.col("fetch_id") % 3).cast("string"), F.lit(".co.uk/y"))
+    listed = spark.createDataFrame([("site1.co.uk",), ("CDN.site2.co.uk",)], "domain STRING")
+    rows = addresses(spark, folder).select("fetch_id", page.alias("page"), asked.alias("asked"))
+    return D.third_party_blocked(rows, "asked", "page", listed).select("fetch_id", "blocked")
+
+
+SQL_THIRD_PARTY = f"SELECT fetch_id, fetch_id % 3 IN (1, 2) AND fetch_id % 3 <> fetch_id % 5 AS blocked FROM ({SQL_ADDRESSES})"
+
+
+def cache_purged(spark: SparkSession, folder: str) -> DataFrame:
+    """What a purge by domain leaves of the cache and of the probes (SET05)."""
+    rows = addresses(spark, folder).select("fetch_id", F.concat(F.lit("https://a.b"), (F.col("fetch_id") % 4).cast("string"), F.lit(".com.br/")).alias("url"))
+    probes = rows.select("fetch_id", F.concat(F.lit("git.b"), (F.col("fetch_id") % 4).cast("string"), F.lit(".com.br")).alias("domain"))
+    left = D.purge_domain(rows, "url", "http://www.b2.com.br/any").select("fetch_id", F.lit("entry").alias("kind"))
+    return left.unionByName(D.purge_probes(probes, "b2.com.br").select("fetch_id", F.lit("probe").alias("kind")))
+
+
+SQL_PURGED = f"SELECT fetch_id, kind FROM ({SQL_ADDRESSES}), (VALUES ('entry'), ('probe')) k(kind) WHERE fetch_id % 4 <> 2"
+
+
 def url_slash_variants(spark: SparkSession, folder: str) -> DataFrame:
     """An address and its form with the closing slash toggled (SRC11), with the snapshot mark (SRC12)."""
     path = U.part(F.col("url"), "path")
@@ -212,6 +237,8 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "url_wiki": (url_wiki, SQL_WIKI),
     "url_unwrap": (url_unwrap, SQL_UNWRAP),
     "url_domains": (url_domains, SQL_DOMAINS),
+    "url_third_party": (url_third_party, SQL_THIRD_PARTY),
+    "cache_purged": (cache_purged, SQL_PURGED),
     "url_slash_variants": (url_slash_variants, SQL_SLASH),
     "url_dois": (url_dois, SQL_DOIS),
     "url_repositories": (url_repositories, SQL_REPOSITORIES),

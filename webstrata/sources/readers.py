@@ -60,11 +60,22 @@ def _unescape(x: Column) -> Column:
     return x
 
 
-def sitemap_walk(bodies: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
-    """All (loc, lastmod) below ``roots`` (url): indexes are followed ``depth`` levels, each sitemap read
-    once; ``bodies`` has (url, body).  Sitemaps without a recorded body are left out."""
-    frontier, seen, found = roots.select("url").distinct(), None, None
-    for _ in range(depth):
+def sitemap_walk(bodies: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """All (loc, lastmod) below ``roots`` (url): indexes are followed to the end, or ``depth`` levels, each
+    sitemap read once; ``bodies`` has (url, body).  Sitemaps without a recorded body, and those below the
+    last level, are counted by ``unread_sitemaps``."""
+    return _walk(bodies, roots, depth)[0]
+
+
+def unread_sitemaps(bodies: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(url) of the sitemaps that a walk met but did not read."""
+    return _walk(bodies, roots, depth)[1]
+
+
+def _walk(bodies: DataFrame, roots: DataFrame, depth: int | None) -> tuple[DataFrame, DataFrame]:
+    frontier, seen, found, level_no = roots.select("url").distinct(), None, None, 0
+    while depth is None or level_no < depth:
+        level_no += 1
         level = materialize(bodies.join(frontier, "url", "left_semi"), "sitemaps")
         rows = level.select(F.explode(sitemap_entries(F.col("body"))).alias("e")).select("e.*")
         found = rows if found is None else found.unionByName(rows)
@@ -73,14 +84,14 @@ def sitemap_walk(bodies: DataFrame, roots: DataFrame, depth: int = 4) -> DataFra
         frontier = materialize(children.join(seen, "url", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-    return found.distinct()
+    unread = seen.join(bodies.select("url"), "url", "left_anti").unionByName(frontier)
+    return found.distinct(), unread.distinct()
 
 
 def crawl(links: DataFrame, roots: DataFrame, steps: int, allow: Callable[[Column], Column] | None = None) -> DataFrame:
     """(url, step) of pages reached from ``roots`` (url) over ``links`` (source, target), each at its
-    first step (SRC20).  A step is one join; what was reached is written out between steps."""
-    reached = materialize(roots.select("url").distinct().withColumn("step", F.lit(0)), "reached")
-    frontier = reached
+    first step (SRC20).  A step is one join; what it reached first is written out and added to the rest."""
+    reached = frontier = materialize(roots.select("url").distinct().withColumn("step", F.lit(0)), "reached")
     for step in range(1, steps + 1):
         out = links.join(frontier.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
         if allow is not None:
@@ -88,7 +99,7 @@ def crawl(links: DataFrame, roots: DataFrame, steps: int, allow: Callable[[Colum
         frontier = materialize(out.join(reached, "url", "left_anti").withColumn("step", F.lit(step)), "frontier")
         if frontier.isEmpty():
             break
-        reached = materialize(reached.unionByName(frontier), "reached")
+        reached = reached.unionByName(frontier)
     return reached
 
 
@@ -114,10 +125,23 @@ def whole_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return files.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+THIN_PAGE, MOST_THIN = 16, 50  # fixed values: letters below which a page counts as an image, and how many are read again
+
+
 def document_pages(text: Column) -> Column:
     """Pages of a converted document, cut at form feeds (SRC13); a closing empty page is dropped."""
-    pages = F.split(F.regexp_replace(text, r"\f$", ""), r"\f")
-    return pages
+    return F.split(F.regexp_replace(text, r"\f$", ""), r"\f")
+
+
+def thin_pages(pages: Column) -> Column:
+    """Numbers, from 1, of the pages with next to no text, which are to be read as images (SRC13)."""
+    numbered = F.transform(pages, lambda p, i: F.when(F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) < THIN_PAGE, i + 1))
+    return F.slice(F.array_compact(numbered), 1, MOST_THIN)
+
+
+def with_read_pages(pages: Column, read: Column) -> Column:
+    """``pages`` with the texts of ``read`` (a map of page number to text) where those are longer (SRC13)."""
+    return F.transform(pages, lambda p, i: F.when(F.length(F.try_element_at(read, i + 1)) > F.length(F.trim(p)), F.try_element_at(read, i + 1)).otherwise(p))
 
 
 LLMS_BYTES = 512 * 1024

@@ -13,9 +13,9 @@ def json_lines(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").json(folder)
 
 
-def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
-    """Each row as one JSON text; other letters than ASCII stay as they are."""
-    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias(name))
+def as_json(rows: DataFrame, name: str = "json", pretty: bool = False) -> DataFrame:
+    """Each row as one JSON text, on one line or spread over several; other letters than ASCII stay."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true", "pretty": str(pretty).lower()}).alias(name))
 
 
 def joined_markdown(rows: DataFrame, group: str, place: str, markdown: str) -> DataFrame:
