@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webstrata.operators import merge as M
 from webstrata.operators import rank as R
+from webstrata.operators import scholar as P
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,24 +165,65 @@ SELECT fetch_id, prefix AS matched_prefix, tier FROM r LEFT JOIN s ON starts_wit
 """
 
 
-def star_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Papers of two services merged on DOI with precedence per field (JON07, SET04)."""
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of five services per DOI: two as recorded, three made of them."""
     c = table(spark, folder, "crossref").select("response_id", "message").dropDuplicates(["response_id"]).where("message.DOI IS NOT NULL")
-    latest = c.groupBy(F.lower("message.DOI").alias("doi")).agg(F.max_by(F.struct(F.get("message.title", F.lit(0)).alias("title"), F.col("message.publisher").alias("publisher"), F.col("message.`is-referenced-by-count`").alias("cited")), "response_id").alias("c"))
     e = table(spark, folder, "europepmc").select("response_id", "resultList").dropDuplicates(["response_id"]).select("response_id", F.posexplode("resultList.result").alias("k", "r")).where("r.doi IS NOT NULL")
-    epmc = e.groupBy(F.lower("r.doi").alias("doi")).agg(F.max_by(F.struct(F.col("r.title").alias("title"), F.col("r.pmid").alias("pmid"), F.col("r.citedByCount").alias("cited")), F.struct("response_id", "k")).alias("e"))
-    x = latest.join(epmc, "doi", "full_outer")
-    used = F.array_join(F.array_compact(F.array(F.when(F.col("c").isNotNull(), F.lit("crossref")), F.when(F.col("e").isNotNull(), F.lit("europepmc")))), "+")
-    return x.select("doi", F.coalesce("c.title", "e.title").alias("title"), "c.publisher", "e.pmid", F.greatest("c.cited", "e.cited").alias("cited"), used.alias("sources_used"))
+    doi, n = F.col("message.DOI"), F.length("message.DOI")
+    at = F.format_string("%010d", "response_id")
+    made = lambda body, keep: c.where(keep).select(doi.alias("doi"), F.to_json(body).alias("body"), at.alias("at"))
+    copy = F.struct(F.lit("repository").alias("host_type"), F.concat(F.lit("https://pdf.example/"), doi).alias("pdf_url"), F.lit("cc-by").alias("license"))
+    openalex = F.struct(F.concat(F.lit("https://openalex.org/W"), n.cast("string")).alias("id"), F.lit("From the third").alias("title"), (n * 3).alias("cited_by_count"), F.create_map(F.lit("two"), F.array(F.lit(1)), F.lit("one"), F.array(F.lit(0))).alias("abstract_inverted_index"), F.struct(F.lit("https://x/pmid/77").alias("pmid")).alias("ids"), F.struct((n % 2 == 0).alias("is_oa"), F.lit("green").alias("oa_status")).alias("open_access"))
+    unpaywall = F.struct(doi.alias("doi"), F.lit("A publisher").alias("publisher"), F.lit(True).alias("is_oa"), copy.alias("best_oa_location"))
+    s2 = F.struct(F.lit("s2id").alias("paperId"), F.when(n % 4 == 0, "An abstract").otherwise("").alias("abstract"), F.struct(F.lit("Short").alias("text")).alias("tldr"), F.struct(F.lit("https://s2.example/x.pdf").alias("url")).alias("openAccessPdf"), F.struct(F.lit("88").alias("PubMed")).alias("externalIds"))
+    return P.answers_by_doi({
+        "crossref": c.select(doi.alias("doi"), F.to_json(F.struct("message")).alias("body"), at.alias("at")),
+        "europepmc": e.select(F.col("r.doi").alias("doi"), F.to_json(F.struct(F.struct(F.array("r").alias("result")).alias("resultList"))).alias("body"), F.concat(at, F.format_string("%06d", "k")).alias("at")),
+        "openalex": made(openalex, n % 3 == 0), "unpaywall": made(unpaywall, n % 5 == 0), "semantic_scholar": made(s2, n % 2 == 0),
+    })
+
+
+def star_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers of five services merged on DOI with precedence per field (JON07, SET04, ADP18, ADP19)."""
+    x = P.full_text(P.merged_papers(_answers(spark, folder), 3))
+    pmid = F.try_element_at("ids", F.lit("pmid"))
+    first = F.get("authors", F.lit(0))["name"]
+    return x.select(
+        "doi", "title", "publisher", "cited_by_count", "abstract", "abstract_source", "tldr", "is_oa", "oa_status", pmid.alias("pmid"), first.alias("first_author"), "author_count", "published", "license", "full_text_url", "full_text_source",
+        F.array_join("sources_used", "+").alias("sources_used"),
+    )
 
 
 SQL_STAR = """
-WITH c AS (SELECT lower(message.DOI) AS doi, message.title[1] AS title, message.publisher AS publisher, message."is-referenced-by-count" AS cited FROM (SELECT DISTINCT response_id, message FROM crossref) WHERE message.DOI IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(message.DOI) ORDER BY response_id DESC) = 1),
+WITH m AS (SELECT DISTINCT response_id, message FROM crossref WHERE message.DOI IS NOT NULL), c AS (SELECT lower(message.DOI) AS doi, message AS m, length(message.DOI) AS n FROM m QUALIFY row_number() OVER (PARTITION BY lower(message.DOI) ORDER BY response_id DESC) = 1),
 r AS (SELECT response_id, unnest(resultList.result) AS r, generate_subscripts(resultList.result, 1) AS k FROM (SELECT DISTINCT response_id, resultList FROM europepmc)),
-e AS (SELECT lower(r.doi) AS doi, r.title AS title, r.pmid AS pmid, r.citedByCount AS cited FROM r WHERE r.doi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(r.doi) ORDER BY response_id DESC, k DESC) = 1)
-SELECT coalesce(c.doi, e.doi) AS doi, coalesce(c.title, e.title) AS title, publisher, pmid, greatest(c.cited, e.cited) AS cited, CASE WHEN c.doi IS NULL THEN 'europepmc' WHEN e.doi IS NULL THEN 'crossref' ELSE 'crossref+europepmc' END AS sources_used FROM c FULL JOIN e ON c.doi = e.doi
+e AS (SELECT lower(r.doi) AS doi, r FROM r WHERE r.doi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(r.doi) ORDER BY response_id DESC, k DESC) = 1),
+j AS (SELECT coalesce(c.doi, e.doi) AS doi, c.doi IS NOT NULL AS hc, e.doi IS NOT NULL AS he, coalesce(n % 3 = 0, false) AS ho, coalesce(n % 5 = 0, false) AS hu, coalesce(n % 2 = 0, false) AS hs, n, m, r FROM c FULL JOIN e ON c.doi = e.doi),
+a AS (SELECT *, list_filter(list_transform(m.author, lambda x: coalesce(nullif(trim(concat_ws(' ', nullif(trim(x.given), ''), nullif(trim(x.family), ''))), ''), nullif(trim(x.name), ''))), lambda x: x IS NOT NULL) AS names, nullif(trim(r.abstractText), '') AS ea,
+  list_filter(m.issued."date-parts"[1], lambda x: x IS NOT NULL) AS dp FROM j),
+t AS (SELECT *, coalesce(nullif(trim(m.title[1]), ''), CASE WHEN ho THEN 'From the third' END, nullif(trim(r.title), '')) AS title FROM a)
+SELECT doi, title, coalesce(nullif(trim(m.publisher), ''), CASE WHEN hu THEN 'A publisher' END) AS publisher, coalesce(CASE WHEN ho THEN n * 3 END, m."is-referenced-by-count") AS cited_by_count,
+  CASE WHEN hs AND n % 4 = 0 THEN 'An abstract' WHEN ho THEN 'one two' ELSE ea END AS abstract, CASE WHEN hs AND n % 4 = 0 THEN 'semantic_scholar' WHEN ho THEN 'openalex' WHEN ea IS NOT NULL THEN 'europepmc' END AS abstract_source,
+  CASE WHEN hs THEN 'Short' END AS tldr, hu OR (ho AND n % 2 = 0) AS is_oa, CASE WHEN ho THEN 'green' WHEN NOT hu THEN 'closed' END AS oa_status, CASE WHEN ho THEN '77' WHEN hs THEN '88' ELSE nullif(trim(r.pmid), '') END AS pmid,
+  names[1] AS first_author, CAST(nullif(len(names), 0) AS INTEGER) AS author_count, nullif(array_to_string(list_transform(dp, lambda x, i: CASE WHEN i = 1 THEN CAST(x AS VARCHAR) ELSE lpad(CAST(x AS VARCHAR), 2, '0') END), '-'), '') AS published,
+  coalesce(nullif(trim(m.license[1].URL), ''), CASE WHEN hu THEN 'cc-by' END) AS license, CASE WHEN hu THEN 'https://pdf.example/' || m.DOI WHEN hs THEN 'https://s2.example/x.pdf' END AS full_text_url, CASE WHEN hu THEN 'unpaywall' WHEN hs THEN 'semantic_scholar' END AS full_text_source,
+  array_to_string(list_filter([CASE WHEN hc THEN 'crossref' END, CASE WHEN ho THEN 'openalex' END, CASE WHEN hu THEN 'unpaywall' END, CASE WHEN hs THEN 'semantic_scholar' END, CASE WHEN he THEN 'europepmc' END], lambda x: x IS NOT NULL), '+') AS sources_used FROM t WHERE title IS NOT NULL
 """
 
+
+def resolved_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """DOIs of papers named by five kinds of ids, out of recorded answers (ADP19)."""
+    c = table(spark, folder, "crossref").select("response_id", "message").dropDuplicates(["response_id"]).select("response_id", F.col("message.DOI").alias("d"))
+    kind = F.element_at(F.array(*map(F.lit, ["doi", "arxiv", "pii", "pmid", "pmcid"])), (F.col("response_id") % 5 + 1).cast("int"))
+    ident = F.when(kind == "doi", F.concat(F.lit("https://doi.org/"), "d", F.lit("."))).otherwise(F.concat(F.lit("2401.1"), F.col("response_id").cast("string")))
+    pii = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("d").alias("DOI"))).alias("items")).alias("message")))
+    pmc = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("d").alias("doi"))).alias("result")).alias("resultList")))
+    body = F.when(kind == "pii", pii).when(kind == "pmcid", pmc).otherwise(F.to_json(F.struct(F.col("d").alias("doi"))))
+    return c.select("response_id", P.resolved_doi(kind, ident, body).alias("doi"))
+
+
+SQL_RESOLVED = "SELECT DISTINCT response_id, CASE WHEN response_id % 5 = 1 THEN '10.48550/arxiv.2401.1' || response_id ELSE lower(message.DOI) END AS doi FROM crossref"
+
 CATALOG: dict[str, tuple[Query, str | None]] = {
     "passage_top": (passage_top, None),
     "passage_bm25": (passage_bm25, SQL_BM25),
@@ -194,6 +236,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "sponsor_cut": (sponsor_cut, SQL_SPONSOR),
     "seed_routes": (seed_routes, SQL_SEEDS),
     "star_join": (star_join, SQL_STAR),
+    "resolved_ids": (resolved_ids, SQL_RESOLVED),
 }
 
 
