@@ -123,6 +123,24 @@ def _tidy(parts: list[str]) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+def fragment_markdown(node) -> str:  # noqa: ANN001
+    """Markdown of what stands within an element of a tree of ``functions.dom``."""
+    reader = _Reader()
+    stack: list = list(reversed(node.children))
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            reader.handle_data(at)
+        elif isinstance(at, tuple):
+            reader.handle_endtag(at[0])
+        else:
+            reader.handle_starttag(at.tag, list(at.attributes.items()))
+            if at.tag not in VOID:
+                stack.append((at.tag,))
+                stack.extend(reversed(at.children))
+    return _tidy(reader.out)
+
+
 PAGE_FIELDS = ["markdown", "title", "byline", "published", "modified", "language", "site_name", "image"]
 PAGE = T.StructType([T.StructField(name, T.StringType()) for name in PAGE_FIELDS])
 HIDDEN = T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("chars", T.IntegerType())])
