@@ -160,8 +160,7 @@ def text_statistics(fetches: DataFrame) -> DataFrame:
     text = F.col("markdown")
     words = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}'’-]+"), lambda x: x != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    once = fetches.select("fetch_id", "markdown", F.col("word_count").alias("recorded_words"), "quality_json").dropDuplicates(["fetch_id"])
-    x = once.withColumns({"w": words, "l": lines})
+    x = fetches.select("fetch_id", "markdown", F.col("word_count").alias("recorded_words"), "quality_json").withColumns({"w": words, "l": lines})
     n = F.size("w")
     of = lambda part, whole: F.round(F.when(whole > 0, part / whole).otherwise(0.0), 4)
     total = F.aggregate("w", F.lit(0), lambda a, w: a + F.length(w))
@@ -175,7 +174,7 @@ def text_statistics(fetches: DataFrame) -> DataFrame:
         F.when(text.isNotNull(), of(F.size(F.filter("w", lambda w: w.isin(*common))), n)).alias("common_share"),
         "recorded_words",
         F.try_parse_json("quality_json").isNotNull().alias("quality_is_json"),
-    )
+    ).dropDuplicates(["fetch_id"])  # the narrow result is shuffled, not the texts
 
 
 def _kind(rows: list[list], model: LineModel) -> Iterator[tuple]:

@@ -260,3 +260,16 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id LONG, n_tokens LONG")
+
+
+def decode_corpus(encoded: DataFrame, directory: str = TOKENIZERS) -> DataFrame:
+    """(doc_id, text) of rows (doc_id, ids): the inverse of ``encode_corpus``; no ids give an empty text."""
+    ranks = tokenizer_ranks(encoded.sparkSession, directory)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = {i: b for b, i in ranks.value.items()}.__getitem__
+        for batch in batches:
+            texts = [b"".join(map(piece, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.large_string()).cast(pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id LONG, text STRING")
