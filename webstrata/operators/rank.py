@@ -139,3 +139,21 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, top: in
     near = blocks.join(packed, "b").select("queries", "rows").mapInArrow(run, "query_id LONG, vec_id LONG, score DOUBLE")
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("score", F.round("score", 4))
+
+
+def listing_relevance(rows: DataFrame, group: str, place: str, title: Column, query: list[str], least: int = 1, drop: bool = False) -> DataFrame:
+    """``rows`` with ``position``, ``coverage`` and ``off_query`` (RNK04): ordered within each list by how many
+    different words of ``query`` a title has, then by BM25 over the list's titles, then by place.  Titles with
+    under ``least`` words of it are off the query; they go last, or with ``drop`` go.  A query without words
+    leaves the order as it is."""
+    words = list(dict.fromkeys(query))
+    w = W.partitionBy(group)
+    if not words:
+        return rows.withColumns({"position": F.row_number().over(w.orderBy(place)), "coverage": F.lit(0), "off_query": F.lit(False)})
+    tokens = rows.select(F.col(group).alias("doc_id"), F.col(place).alias("passage_no"), title.alias("tokens"))
+    scored = bm25(tokens, words).select(F.col("doc_id").alias(group), F.col("passage_no").alias(place), "score", F.col("shared").cast("int").alias("coverage"))
+    x = rows.join(scored, [group, place], "left").withColumns({"coverage": F.coalesce("coverage", F.lit(0)), "score": F.coalesce("score", F.lit(0.0))})
+    x = x.withColumn("off_query", F.col("coverage") < least)
+    if drop:
+        x = x.where(~F.col("off_query"))
+    return x.withColumn("position", F.row_number().over(w.orderBy(F.desc("coverage"), F.desc(F.round("score", 9)), place))).drop("score")

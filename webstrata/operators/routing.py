@@ -91,3 +91,23 @@ def related_by_label(rows: DataFrame, group: str, label: str, place: str, column
     slug = F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     items = F.array_sort(F.collect_list(F.struct(place, *columns)))
     return rows.where(slug != "").groupBy(group, slug.alias("key")).agg(items.alias("items"))
+
+
+def excluded(url: Column, patterns: list[str]) -> Column:
+    """Whether an address holds one of the patterns, in their letter case (CLS18)."""
+    return F.exists(F.array(*map(F.lit, patterns)), lambda p: F.contains(url, p)) if patterns else F.lit(False)
+
+
+def store_probe(reached: Column, status: Column, body: Column, anchor: str) -> Column:
+    """Whether an unknown host is a store, or null where that is not known (CLS23): a host that was not
+    reached is unknown; an answer without the product or with an empty one says no; a product says yes."""
+    found = F.get_json_object(F.when(F.try_parse_json(body).isNotNull(), body), anchor)
+    return F.when(reached, (status == 200) & F.coalesce(~found.isin("", "{}", "[]"), F.lit(False)))
+
+
+def forge_probe(reached: Column, status: Column, body: Column, anchor: str) -> Column:
+    """Whether an unknown host is a forge (CLS23): unreached and failing ones are unknown, as is JSON of
+    another shape; other text says no, a record says yes."""
+    parsed = F.try_parse_json(body).isNotNull()
+    record = F.get_json_object(F.when(parsed, body), anchor).isNotNull()
+    return F.when(~reached | (status >= 500), F.lit(None).cast("boolean")).when(~F.coalesce(parsed, F.lit(False)), False).when(record, True)

@@ -35,7 +35,7 @@ def region_params(region: Column) -> Column:
 
 def kept_results(rows: DataFrame, query: str, place: str, most: int) -> DataFrame:
     """The first ``most`` results of each query that have an address and are no ad (SRC01), renumbered."""
-    clean = rows.where(F.col("url").isNotNull() & (F.trim("url") != "") & ~F.col("url").rlike(AD_HOSTS))
+    clean = rows.where(F.col("url").isNotNull() & (F.trim("url") != "") & ~F.col("url").rlike(AD_HOSTS) & ~F.col("url").startswith(AD_LINK))
     w = W.partitionBy(query).orderBy(place)
     return clean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -98,3 +98,21 @@ def paper_claim(url: Column) -> Column:
     arxiv = F.regexp_extract(url, r"^https?://arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})", 1)
     kind = F.when(pmid != "", "pmid").when(pmc != "", "pmcid").when(arxiv != "", "arxiv").when(d.isNotNull(), "doi")
     return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(kind == "doi", d).when(kind == "pmid", pmid).when(kind == "pmcid", pmc).otherwise(arxiv).alias("id")))
+
+
+# What a search service takes: at most so many rows, and its names of periods; rows asked for in
+# excess where ads are dropped; the start of ad links.
+MOST_ROWS, EXTRA_ROWS = 20, 5
+PERIODS = {"d": "pd", "w": "pw", "m": "pm", "y": "py"}
+AD_LINK = "https://www.bing.com/aclick?"
+
+
+def search_request(query: Column, most: Column, region: Column, period: Column, site: Column) -> Column:
+    """(text, rows, count, freshness, country, language) to ask search services with (SRC01, SRC02): a site
+    goes before the words, ``rows`` allows for ads, ``count`` is bounded, an unknown period goes as it is."""
+    names = F.create_map(*[F.lit(x) for p in PERIODS.items() for x in p])
+    params = region_params(canonical_region(region))
+    return F.struct(
+        F.when(F.coalesce(site, F.lit("")) != "", F.concat(F.lit("site:"), site, F.lit(" "), query)).otherwise(query).alias("text"), (most + EXTRA_ROWS).alias("rows"), F.least(most, F.lit(MOST_ROWS)).alias("count"),
+        F.coalesce(F.try_element_at(names, period), period).alias("freshness"), params["country"].alias("country"), params["language"].alias("language"),
+    )

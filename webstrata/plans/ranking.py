@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webstrata.operators import merge as M
 from webstrata.operators import rank as R
 from webstrata.operators import scholar as P
+from webstrata.operators.routing import excluded
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +70,7 @@ def map_merge(spark: SparkSession, folder: str) -> DataFrame:
     rows = [f.select(F.col(c).alias("url"), F.lit(p).alias("priority"), F.col("fetch_id").alias("seq"), F.lit(c).alias("source")) for c, p in named]
     logged = table(spark, folder, "telemetry").select("entry_id", "url").dropDuplicates(["entry_id"]).select("url", F.lit(3).alias("priority"), F.col("entry_id").alias("seq"), F.lit("log").alias("source"))
     merged = M.first_source_wins(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(logged), "url", "priority", "seq")
-    return merged.where(~(F.contains("url", F.lit("-board")) | F.contains("url", F.lit("page=3"))))
+    return merged.where(~excluded(F.col("url"), ["-board", "page=3"]))
 
 
 SQL_MAP = """
@@ -122,21 +123,6 @@ SELECT p.p_brand, count_if(q.n IS NULL OR q3 - q1 <= 0 OR price BETWEEN q1 - 0.5
 """
 
 
-def listing_relevance(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts per brand ordered by covered query words, then place; those without any dropped (RNK04)."""
-    p = table(spark, folder, "part").select("p_partkey", "p_brand", "p_name")
-    words = F.array(F.lit("red"), F.lit("blue"), F.lit("steel"), F.lit("1"))
-    cover = F.size(F.array_intersect(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z0-9]+"), F.lit(0)), words))
-    kept = p.withColumn("coverage", cover).where("coverage > 0")
-    return M.renumbered(kept, ["p_brand"], [F.desc("coverage"), F.col("p_partkey")]).select("p_brand", "position", "p_partkey", "coverage")
-
-
-SQL_RELEVANCE = """
-WITH p AS (SELECT p_partkey, p_brand, len(list_intersect(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), ['red', 'blue', 'steel', '1'])) AS coverage FROM part)
-SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY coverage DESC, p_partkey) AS INTEGER) AS position, p_partkey, CAST(coverage AS INTEGER) AS coverage FROM p WHERE coverage > 0
-"""
-
-
 def sponsor_cut(spark: SparkSession, folder: str) -> DataFrame:
     """Events outside all of their user's blocked spans (JON06)."""
     e = table(spark, folder, "events").select("event_id", "user_id", (F.col("event_id") % 3600).cast("double").alias("t"))
@@ -232,7 +218,6 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "map_limited": (map_limited, SQL_LIMITED),
     "offer_groups": (offer_groups, SQL_OFFERS),
     "price_outliers": (price_outliers, SQL_OUTLIERS),
-    "listing_relevance": (listing_relevance, SQL_RELEVANCE),
     "sponsor_cut": (sponsor_cut, SQL_SPONSOR),
     "seed_routes": (seed_routes, SQL_SEEDS),
     "star_join": (star_join, SQL_STAR),

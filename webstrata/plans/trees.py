@@ -1,4 +1,4 @@
-"""Queries of records in page state, structured articles, and whole quality records (JSN04, JSN05, ADP10, ADP11, ADP21, TXT16, TXT25, TXT28)."""
+"""Queries of records in page state, structured articles, and whole quality records (JSN04, JSN05, ADP10, ADP21, TXT16, TXT25, TXT28)."""
 
 from __future__ import annotations
 
@@ -65,16 +65,6 @@ def comments(spark: SparkSession, folder: str) -> DataFrame:
 SQL_COMMENTS = "SELECT DISTINCT fetch_id, 'see [T' || fetch_id || '](/T1) **now**' || chr(10) || chr(10) || '- x' || chr(10) || '- y' || chr(10) || chr(10) || '> q' AS markdown FROM fetch_cache"
 
 
-def estates(spark: SparkSession, folder: str) -> DataFrame:
-    """Rooms, area and price read off listing names (ADP11)."""
-    p = table(spark, folder, "part").select("p_partkey", "p_size")
-    name = F.concat(F.lit("Apartamento com "), (F.col("p_partkey") % 5 + 1).cast("string"), F.lit(" quartos, "), F.col("p_size").cast("string"), F.lit(" m² por R$ 1."), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(".000"))
-    grab = lambda pattern: F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
-    return p.select("p_partkey", grab(r"(\d+) quartos").cast("int").alias("rooms"), V.first_int(grab(r"([\d.]+) m²")).alias("area"), V.brl_int(grab(r"(R\$ [\d.,]+)")).alias("price"))
-
-
-SQL_ESTATES = "SELECT p_partkey, CAST(p_partkey % 5 + 1 AS INTEGER) AS rooms, CAST(p_size AS BIGINT) AS area, 1000000 + (p_partkey % 1000) * 1000 AS price FROM part"
-
 def quality_records(spark: SparkSession, folder: str) -> DataFrame:
     """Block list, paywall vendor, signals and score of each document; its page is the text within a frame (TXT16)."""
     d = table(spark, folder, "documents").select("doc_id", "text", "url", "title", "added_at")
@@ -110,7 +100,6 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "state_records": (state_records, SQL_STATE),
     "articles": (articles, SQL_ARTICLES),
     "comments": (comments, SQL_COMMENTS),
-    "estates": (estates, SQL_ESTATES),
     "quality_flags": (quality_flags, SQL_FLAGS),
     "quality_records": (quality_records, SQL_QUALITY),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webstrata.functions import urls as U
 from webstrata.functions import values as V
 from webstrata.operators import domains as D
+from webstrata.operators.archive import slash_variants, unwrapped_snapshot
 from webstrata.operators.membership import blocked_hosts
 from webstrata.session import table
 
@@ -178,20 +179,16 @@ SQL_PURGED = f"SELECT fetch_id, kind FROM ({SQL_ADDRESSES}), (VALUES ('entry'),
 
 def url_slash_variants(spark: SparkSession, folder: str) -> DataFrame:
     """An address and its form with the closing slash toggled (SRC11), with the snapshot mark (SRC12)."""
-    path = U.part(F.col("url"), "path")
-    head, tail = F.regexp_extract("url", r"^[^?]*", 0), F.regexp_extract("url", r"\?.*$", 0)
-    toggled = F.concat(F.when(path.endswith("/"), F.rtrim(head, F.lit("/"))).otherwise(F.concat(head, F.lit("/"))), tail)
-    variants = F.when(path.isin("", "/"), F.array("url")).otherwise(F.array("url", toggled))
-    snapshot = F.concat(F.lit("http://archive.example/web/20240101000000/"), F.col("v"))
-    marked = F.regexp_replace(F.regexp_replace(snapshot, "^http:", "https:"), r"/web/(\d+)/", "/web/$1if_/")
+    variants = slash_variants(F.col("url"))
+    snapshot = F.concat(F.lit("http://web.archive.org/web/20240101000000/"), F.col("v"))
     rows = addresses(spark, folder).select("fetch_id", F.posexplode(variants).alias("variant", "v"))
-    return rows.select("fetch_id", "variant", marked.alias("snapshot"))
+    return rows.select("fetch_id", "variant", unwrapped_snapshot(snapshot).alias("snapshot"))
 
 
 SQL_SLASH = f"""
 WITH p AS (SELECT fetch_id, url, regexp_extract(url, '^[^?]*', 0) AS head, regexp_extract(url, '\\?.*$', 0) AS tail FROM ({SQL_ADDRESSES})),
 v AS (SELECT fetch_id, 0 AS variant, url AS v FROM p UNION ALL SELECT fetch_id, 1, CASE WHEN ends_with(head, '/') THEN rtrim(head, '/') ELSE head || '/' END || tail FROM p WHERE regexp_matches(head, '://[^/]+/.+'))
-SELECT fetch_id, CAST(variant AS INTEGER) AS variant, 'https://archive.example/web/20240101000000if_/' || v AS snapshot FROM v
+SELECT fetch_id, CAST(variant AS INTEGER) AS variant, 'https://web.archive.org/web/20240101000000if_/' || v AS snapshot FROM v
 """
 
 
