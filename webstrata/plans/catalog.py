@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import inputs, listings, logs, media, pages, ranking, records, routes, rules, shops, state, training, trees, urls
+from webstrata.plans import entry, inputs, listings, logs, media, pages, ranking, records, routes, rules, shops, state, training, trees, urls
 
-MODULES = [training, urls, pages, logs, state, ranking, records, inputs, routes, listings, trees, rules, shops, media]
+MODULES = [training, urls, pages, logs, state, ranking, records, inputs, routes, listings, trees, rules, shops, media, entry]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -166,7 +166,7 @@ def url_third_party(spark: SparkSession, folder: str) -> DataFrame:
 SQL_THIRD_PARTY = f"SELECT fetch_id, fetch_id % 3 IN (1, 2) AND fetch_id % 3 <> fetch_id % 5 AS blocked FROM ({SQL_ADDRESSES})"
 
 
-def cache_purged(spark: SparkSession, folder: str) -> DataFrame:
+def domain_purged(spark: SparkSession, folder: str) -> DataFrame:
     """What a purge by domain leaves of the cache and of the probes (SET05)."""
     rows = addresses(spark, folder).select("fetch_id", F.concat(F.lit("https://a.b"), (F.col("fetch_id") % 4).cast("string"), F.lit(".com.br/")).alias("url"))
     probes = rows.select("fetch_id", F.concat(F.lit("git.b"), (F.col("fetch_id") % 4).cast("string"), F.lit(".com.br")).alias("domain"))
@@ -235,7 +235,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "url_unwrap": (url_unwrap, SQL_UNWRAP),
     "url_domains": (url_domains, SQL_DOMAINS),
     "url_third_party": (url_third_party, SQL_THIRD_PARTY),
-    "cache_purged": (cache_purged, SQL_PURGED),
+    "domain_purged": (domain_purged, SQL_PURGED),
     "url_slash_variants": (url_slash_variants, SQL_SLASH),
     "url_dois": (url_dois, SQL_DOIS),
     "url_repositories": (url_repositories, SQL_REPOSITORIES),
