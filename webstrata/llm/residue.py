@@ -63,7 +63,7 @@ PHRASES = [
     r"страница не найдена", r"удалено или устарело", r"не смог выполнить запрос", r"больше нет на сайте", r"браузер не подходит", r"разрешите скрипты", r"слишком много запросов", r"доступ запрещ[её]н", r"неожиданная ошибка", r"сервис недоступен", r"технические работы", r"не существует", r"не робот", r"похож на автоматический", r"скрипты (?:отключены|запрещены)", r"включите javascript", r"материал недоступен", r"здесь ничего нет", r"внутренний сбой",
 ]
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" if "(?i)" not in p else f"(?i:{p.replace('(?i)', '')})" for p in PLACEHOLDERS))
-_PHRASE = re.compile("|".join(PHRASES), re.I)
+_PHRASE = re.compile("|".join(PHRASES))  # of lower-case text
 _FILLER = set(COMMON[FILLER].split()) - {"in", "est", "id", "do", "ex", "ad", "et", "non", "sed", "ut", "sunt", "qui", "ea", "eu"}
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _SHOWN = re.compile(r"`[^`\n]+`|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|‘[^’\n]{3,}’")
@@ -201,7 +201,7 @@ def wording_kind(sentence: str, phrase: re.Pattern[str] = _PHRASE) -> str | None
     None."""
     if _PLACEHOLDER.search(sentence) or is_filler(sentence):
         return "template"
-    return "error" if phrase.search(sentence) else None
+    return "error" if phrase.search(sentence.lower()) else None
 
 
 def flagged_share(said: list[tuple[str, bool, str | None]]) -> float:
@@ -313,18 +313,34 @@ Sample = list[tuple[str, str, bool, tuple[str | None, str | None], str]]
 
 def labelled_sentences(fetches: DataFrame, phrase: re.Pattern[str] = _PHRASE, sample_records: int = SAMPLE_RECORDS) -> Sample:
     """(host, sentence, heading, (title, failure reason), weak label) of the labelled sentences of at most
-    ``sample_records`` records, chosen by the hash of their id."""
+    ``sample_records`` records, chosen by the hash of their id; residue first, else by the sentence's hash."""
     columns = [host_of(F.col("url")).alias("host"), "markdown", "status", "title", "failure_reason"]
     sample = bounded_sample(fetches.where("length(markdown) > 0"), "fetch_id", sample_records).select(*columns)
-    out = []
-    for r in sample.collect():
-        failed = r.status is not None and (r.status >= 400 or r.status == 0)
-        said, listing = [(s, h, wording_kind(s, phrase)) for s, h in sentences(r.markdown)], is_listing(r.markdown)
-        share = flagged_share(said)
-        for sentence, heading, kind in said:
-            if (label := weak_label(kind, failed, share, len(said), listing)) is not None:
-                out.append((r.host or "", sentence, heading, (r.title, r.failure_reason), label))
-    return out
+    names = ["host", "sentence", "heading", "title", "failure_reason", "label"]
+    types = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[str, str | None] = {}
+        for batch in batches:
+            out = []
+            for host, text, status, title, reason in zip(*(c.to_pylist() for c in batch.columns)):
+                failed = status is not None and (status >= 400 or status == 0)
+                said = []
+                for sentence, heading in sentences(text):
+                    if sentence not in kinds:
+                        kinds[sentence] = wording_kind(sentence, phrase)
+                    said.append((sentence, heading, kinds[sentence]))
+                share, listing = flagged_share(said), is_listing(text)
+                for sentence, heading, kind in said:
+                    if (label := weak_label(kind, failed, share, len(said), listing)) is not None:
+                        out.append((host or "", sentence, heading, title, reason, label))
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    # the bounded sample is labelled by all cores, not by the driver
+    spread = sample.repartition(max(2, fetches.sparkSession.sparkContext.defaultParallelism))
+    rows = spread.mapInArrow(run, "host STRING, sentence STRING, heading BOOLEAN, title STRING, failure_reason STRING, label STRING").collect()
+    return sorted(((r.host, r.sentence, r.heading, (r.title, r.failure_reason), r.label) for r in rows), key=lambda x: (x[4] == "content", zlib.crc32(x[1].encode()), x[0], x[1], x[2], x[4], str(x[3])))
 
 
 def fit_sentences(sample: Sample, sample_sentences: int = SAMPLE_SENTENCES) -> np.ndarray:
@@ -349,10 +365,10 @@ def fit_classifier(fetches: DataFrame) -> np.ndarray:
 def held_out_report(fetches: DataFrame) -> dict[str, float]:
     """Precision and recall of a fit that saw neither one host in five nor one error phrase in five: on the
     weak labels of the hosts left out, and on sentences of the phrases left out, whatever their host."""
-    kept = re.compile("|".join(p for i, p in enumerate(PHRASES) if i % HELD_OUT), re.I)
+    kept = re.compile("|".join(p for i, p in enumerate(PHRASES) if i % HELD_OUT))
     out = lambda host: zlib.crc32(host.encode()) % HELD_OUT == 0
     sample = labelled_sentences(fetches)
-    unseen = {s for _, s, _, _, label in sample if label == "error" and _PHRASE.search(s) and not kept.search(s)}
+    unseen = {s for _, s, _, _, label in sample if label == "error" and _PHRASE.search(s.lower()) and not kept.search(s.lower())}
     inside = [x for x in sample if not out(x[0]) and x[1] not in unseen]
     judge = Judge(fit_sentences(inside))
 
