@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,29 +115,32 @@ def transition_ratio(text: Column) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def mattr(words: pd.Series) -> pd.Series:
-    """Distinct words per sliding window, averaged; plain ratio of a text shorter than one window, 1 for
-    none.  One window is turned into the next in one step, where built-in expressions would rebuild it;
-    ratios are added in order, as their sum decides the last digit."""
-
-    def one(text: list[str] | None) -> float:
+def _mattr(words: pd.Series) -> pd.Series:
+    def one(text: np.ndarray | None) -> float:
         n = 0 if text is None else len(text)
         if n < MATTR_WINDOW:
             return len(set(text)) / n if n else 1.0
-        held = Counter(text[:MATTR_WINDOW])
-        total = len(held) / MATTR_WINDOW
-        for leaving, entering in zip(text, text[MATTR_WINDOW:]):
-            held[entering] += 1
-            if held[leaving] == 1:
-                del held[leaving]
-            else:
-                held[leaving] -= 1
-            total += len(held) / MATTR_WINDOW
-        return total / (n - MATTR_WINDOW + 1)
+        # a word counts in the windows that hold it and not its occurrence before
+        order = np.argsort(text, kind="stable")
+        before = np.full(n, -1)
+        same = text[order[1:]] == text[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        place = np.arange(n)
+        opened = np.maximum(before + 1, place - MATTR_WINDOW + 1)
+        change = np.bincount(np.maximum(opened, 0), minlength=n + 1) - np.bincount(place + 1, minlength=n + 1)
+        ratios = np.cumsum(change)[: n - MATTR_WINDOW + 1] / MATTR_WINDOW
+        return float(np.cumsum(ratios)[-1] / len(ratios))
 
     return words.map(one)
 
 
+def mattr(words: Column) -> Column:
+    """Distinct words per sliding window, averaged; plain ratio of a text shorter than one window, 1 for
+    none.  Only 64-bit hashes of the words leave the JVM; all windows are counted at once, and their ratios
+    added in order, as their sum decides the last digit."""
+    return _mattr(F.transform(words, lambda w: F.xxhash64(w)))
+
+
 def word_signals(text: Column, words: Column) -> Column:
     """Five of the six text signals, from a text and its words."""
     return F.struct(
