@@ -103,3 +103,17 @@ def test_longest_prefix(spark):
     seeds = spark.createDataFrame([("a", 1), ("abc", 2), ("abd", 3)], "p STRING, tier INT")
     got = {r.t: r.tier for r in M.longest_prefix(rows, "t", seeds, "p", ["tier"]).collect()}
     assert got == {"abc/d": 2, "ab": 1, "x": None, None: None}
+
+
+def test_extract_in_one_pass_is_the_plan(spark):
+    rng = random.Random(4)
+    words = "battery ships spare cable river stone the with light über 東京都".split()
+    texts = ["\n\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(4, 30))) + "." for _ in range(rng.randrange(0, 9))) for _ in range(30)] + [None, "", "  "]
+    df = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id LONG, text STRING")
+    query = R.tokenize("the battery ships with a spare cable")
+    cut = R.segment(df.dropDuplicates(["doc_id"]), "doc_id", "text")
+    best = R.top_passages(R.bm25(cut, query), 3).join(cut.select("doc_id", "passage_no", "offset", F.length("passage").alias("size")), ["doc_id", "passage_no"]).join(df.distinct(), "doc_id")
+    want = best.select("doc_id", "rank", "score", "offset", R.context(F.col("text"), F.col("offset"), F.col("size"), 20).alias("context")).collect()
+    got = R.extract_passages(df, "doc_id", "text", query, 3, 20).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40
+    assert R.extract_passages(df.limit(0), "doc_id", "text", query, 3, 20).count() == 0

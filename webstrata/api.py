@@ -59,13 +59,8 @@ def fetch(requests: DataFrame, responses: DataFrame, cache: DataFrame, now: int,
 
 
 def extract(pages: DataFrame, query: str, top: int = 5, around: int = 400, page_id: str = "fetch_id", text: str = "markdown") -> DataFrame:
-    """(page_id, rank, score, offset, context): the best passages of each page.  The text meets its few best
-    passages only after they were chosen."""
-    cut = R.segment(pages, page_id, text)
-    best = R.top_passages(R.bm25(cut, R.tokenize(query)), top)
-    placed = best.join(cut.select("doc_id", "passage_no", "offset", F.length("passage").alias("size")), ["doc_id", "passage_no"])
-    joined = placed.join(pages.select(F.col(page_id).alias("doc_id"), text), "doc_id")
-    return joined.select(F.col("doc_id").alias(page_id), "rank", "score", "offset", R.context(F.col(text), F.col("offset"), F.col("size"), around).alias("context"))
+    """(page_id, rank, score, offset, context): the best passages of each page."""
+    return R.extract_passages(pages, page_id, text, R.tokenize(query), top, around).withColumnRenamed("doc_id", page_id)
 
 
 def map_sites(sources: list[tuple[str, DataFrame]], limit: int, exclude: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,10 @@ Nulls and empty texts have no passages.  Ties are broken by place, so every resu
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +108,44 @@ def context(text: Column, offset: Column, size: Column, around: int) -> Column:
     return F.substr(text, (begin + 1).cast("int"), (offset + size + around - begin).cast("int"))
 
 
+def rank_passages(text: str | None, query: list[str], top: int, around: int) -> list[tuple[int, float, int, str]]:
+    """(rank, score, offset, context) of a text's best passages: ``bm25``, ``top_passages`` and ``context`` on
+    one document in memory."""
+    cut = [(p, o, tokenize(p)) for p, o in passages(text)]
+    if not cut:
+        return []
+    n, average = len(cut), sum(len(t) for *_, t in cut) / len(cut)
+    df = Counter(w for *_, tokens in cut for w in set(tokens))
+    idf = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w, k in df.items()}
+    low = EPSILON * sum(idf.values()) / len(idf) if idf else 0.0
+    scored = []
+    for place, (passage, offset, tokens) in enumerate(cut):
+        counts = Counter(tokens)
+        shared = [w for w in dict.fromkeys(query) if w in counts]
+        if shared:
+            length = K1 * (1 - B + B * len(tokens) / average)
+            score = sum((low if idf[w] < 0 else idf[w]) * counts[w] * (K1 + 1) / (counts[w] + length) * query.count(w) for w in shared)
+            scored.append((-round(score, 9), -len(shared), place, score, offset, len(passage)))
+    best = sorted(scored)[:top]
+    return [(k, round(max(s, 0.0), 4), o, text[max(o - around, 0) : o + size + around]) for k, (*_, s, o, size) in enumerate(best, 1)]
+
+
+def extract_passages(documents: DataFrame, doc_id: str, text: str, query: list[str], top: int, around: int) -> DataFrame:
+    """(doc_id, rank, score, offset, context) of each document's best passages (RNK05).  A document's
+    passages are ranked among themselves only, so one pass reads each text and emits its few results;
+    nothing is shuffled but those, to drop repeated documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *x) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for x in rank_passages(t, query, top, around)]
+            columns = list(zip(*rows)) or [()] * 5
+            types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "rank", "score", "offset", "context"])
+
+    schema = "doc_id LONG, rank INT, score DOUBLE, offset LONG, context STRING"
+    return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema).dropDuplicates(["doc_id", "rank"])
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, top: int, block: int = 512) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``top`` rows by cosine for every query row, itself left out.
 

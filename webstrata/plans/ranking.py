@@ -19,12 +19,7 @@ QUERY = "the battery ships with a spare cable"
 
 def passage_top(spark: SparkSession, folder: str) -> DataFrame:
     """The best three passages of every fetched text with their context (SEG01, SEG02, RNK01, RNK02, RNK05)."""
-    texts = table(spark, folder, "fetch_cache").select("fetch_id", "markdown").dropDuplicates(["fetch_id"])
-    cut = R.segment(texts, "fetch_id", "markdown")
-    best = R.top_passages(R.bm25(cut, R.tokenize(QUERY)), 3)
-    placed = best.join(cut.select("doc_id", "passage_no", "offset", F.length("passage").alias("size")), ["doc_id", "passage_no"])
-    joined = placed.join(texts.withColumnRenamed("fetch_id", "doc_id"), "doc_id")
-    return joined.select("doc_id", "rank", "score", "offset", R.context(F.col("markdown"), F.col("offset"), F.col("size"), 400).alias("context"))
+    return R.extract_passages(table(spark, folder, "fetch_cache"), "fetch_id", "markdown", R.tokenize(QUERY), 3, 400)
 
 
 def passage_bm25(spark: SparkSession, folder: str) -> DataFrame:
