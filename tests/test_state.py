@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from webstrata.operators import routing as G
 from webstrata.operators import state as S
 from webstrata.streaming.jobs import bump
 
@@ -47,3 +50,29 @@ def test_escalation_ends(spark):
     rows = [(1, "http", "timeout"), (1, "browser", "ok"), (1, "archive", "ok"), (2, "http", "invalid_url"), (2, "browser", "ok"), (3, "http", "timeout"), (3, "mobile", "blocked_bot")]
     got = {r.request_id: (r.mode_used, r.reason, r.tiers_tried) for r in S.escalation(spark.createDataFrame(rows, "request_id LONG, tier STRING, reason STRING")).collect()}
     assert got == {1: ("browser", "ok", 2), 2: ("http", "invalid_url", 1), 3: ("mobile", "blocked_bot", 3)}
+
+
+def test_blocks_of_time_change_nothing(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, *range(0, 400, 3)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id LONG, host STRING, ts LONG")
+    for width in (7, 60, 10**6):
+        got = {r.id: r.starts_at for r in S.rate_limited_starts(df, "host", "ts", "id", 5, width).collect()}
+        want = {}
+        for host in ("a", "b", None):
+            at = None
+            for i, _, t in sorted((r for r in rows if r[1] == host and r[2] is not None), key=lambda r: (r[2], r[0])):
+                at = t if at is None else max(t, at + 5)
+                want[i] = at
+        assert len(got) == 300 and {i: x for i, x in got.items() if x is not None and i in want} == want
+        acts = {r.id: r.acts for r in S.cooldowns(df, "host", 4, width).collect()}
+        for host in ("a", "b", None):
+            mine = sorted((r for r in rows if r[1] == host and r[2] is not None), key=lambda r: (r[2], r[0]))
+            for one, before in zip(mine, [None, *mine]):
+                assert acts[one[0]] == (before is None or one[2] - before[2] >= 4)
+        runs = {r.id: r.in_flight for r in G.in_flight(df.where("ts IS NOT NULL").withColumn("d", F.lit(9)), "host", "ts", "d", width).collect()}
+        busy = {}
+        for i, h, t in (r for r in rows if r[2] is not None):
+            busy.setdefault((h, t), []).append(runs[i])
+        for (h, t), seen in busy.items():
+            assert max(seen) == sum(h2 == h and t2 is not None and t2 <= t < t2 + 9 for _, h2, t2 in rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions.urls import WIKI_PROJECTS, host_of, part
 from webstrata.operators.domains import with_registered_domain
+from webstrata.operators.state import BLOCK_SECONDS, carried, joined_carried
 
 # Services in the order they are asked, with the hosts and paths they claim.
 SERVICES = [
@@ -71,14 +72,16 @@ def location_ignored(listings: DataFrame, group: str, wanted: str, state: str) -
     return listings.groupBy(group, wanted).agg(F.coalesce((F.count(state) > 0) & (inside * 2 < F.count(state)), F.lit(False)).alias("ignored"))
 
 
-def in_flight(requests: DataFrame, key: str, start: str, seconds: str) -> DataFrame:
+def in_flight(requests: DataFrame, key: str, start: str, seconds: str, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """How many requests of a key run when each one starts, itself included (STT07): starts minus ends
-    before it, by running sums over both kinds of events."""
+    before it, by sums that run within blocks of time from those of the blocks before."""
     begins = requests.select(key, F.col(start).alias("_t"), F.lit(1).alias("_d"), F.lit(1).alias("_o"), F.struct(*requests.columns).alias("_r"))
     ends = requests.select(key, (F.col(start) + F.col(seconds)).alias("_t"), F.lit(-1).alias("_d"), F.lit(0).alias("_o"), F.lit(None).cast(begins.schema["_r"].dataType).alias("_r"))
-    w = W.partitionBy(key).orderBy("_t", "_o", F.xxhash64("_r"))
-    both = begins.unionByName(ends).withColumn("running", F.sum("_d").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return both.where("_r IS NOT NULL").select("_r.*", F.col("running").cast("int").alias("in_flight"))
+    both = begins.unionByName(ends).withColumn("_b", F.floor(F.col("_t") / block_seconds))
+    before = carried(both, key, "_b", {"_before": F.sum("_d")}, {"_before": F.sum})
+    w = W.partitionBy(key, "_b").orderBy("_t", "_o", F.xxhash64("_r")).rowsBetween(W.unboundedPreceding, 0)
+    x = joined_carried(both, before, key, "_b").withColumn("running", F.sum("_d").over(w) + F.coalesce("_before", F.lit(0)))
+    return x.where("_r IS NOT NULL").select("_r.*", F.col("running").cast("int").alias("in_flight"))
 
 
 def warnings_of(flags: dict[str, Column]) -> Column:

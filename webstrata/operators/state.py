@@ -6,6 +6,8 @@ events are folded from counted runs, per-day maps or running windows, never from
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,13 +35,39 @@ def purge(cache: DataFrame, now: int, older_than: int | None = None) -> DataFram
     return cache.where(~F.coalesce(gone, F.lit(False)))
 
 
-def rate_limited_starts(requests: DataFrame, key: str, arrival: str, tie: str, gap: float) -> DataFrame:
+BLOCK_SECONDS = 3600
+
+
+def carried(rows: DataFrame, key: str, block: str, values: dict[str, Column], carry: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(key, block, one column per value): what all earlier blocks of a key come to.  ``values`` sum a block
+    up, ``carry`` joins the sums of blocks.  Rows of a key never meet in one task; its blocks' sums do."""
+    before = W.partitionBy(key).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(key, block).agg(*[c.alias(n) for n, c in values.items()])
+    return sums.select(key, block, *[carry[n](F.col(n)).over(before).alias(n) for n in values])
+
+
+def joined_carried(rows: DataFrame, side: DataFrame, key: str, block: str) -> DataFrame:
+    """``rows`` with the columns of ``carried``; rows without key or time stay, as a group of their own."""
+    renamed = side.withColumnsRenamed({key: "_key", block: "_block"})
+    on = rows[key].eqNullSafe(renamed["_key"]) & rows[block].eqNullSafe(renamed["_block"])
+    return rows.join(renamed, on).drop("_key", "_block")
+
+
+def rate_limited_starts(requests: DataFrame, key: str, arrival: str, tie: str, gap: float, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Start of each request when starts of one key are ``gap`` apart (STT06): the i-th start is
-    i gap + the running maximum of (arrival - j gap)."""
-    w = W.partitionBy(key).orderBy(arrival, tie)
-    x = requests.withColumn("_i", F.row_number().over(w) - 1)
-    lead = F.max(F.col(arrival) - F.col("_i") * gap).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return x.withColumn("starts_at", F.col("_i") * gap + lead).drop("_i")
+    i gap + the running maximum of (arrival - j gap).  Both run within blocks of time, from what the
+    blocks before come to."""
+    x = requests.withColumn("_b", F.floor(F.col(arrival) / block_seconds))
+    w = W.partitionBy(key, "_b").orderBy(arrival, tie)
+    x = x.withColumn("_r", F.row_number().over(w) - 1).withColumn("_lead", F.col(arrival) - F.col("_r") * gap)
+    base = carried(x, key, "_b", {"_base": F.count("*")}, {"_base": F.sum})
+    x = joined_carried(x, base, key, "_b").withColumn("_base", F.coalesce("_base", F.lit(0)))
+    x = x.withColumn("_lead", F.col("_lead") - F.col("_base") * gap)
+    earlier = carried(x, key, "_b", {"_most": F.max("_lead")}, {"_most": F.max})
+    running = F.max("_lead").over(w.rowsBetween(W.unboundedPreceding, 0))
+    x = joined_carried(x, earlier, key, "_b").withColumn("_run", running)
+    starts = (F.col("_base") + F.col("_r")) * gap + F.greatest("_run", "_most")
+    return x.select(*requests.columns, starts.alias("starts_at"))
 
 
 TIERS = ["http", "browser", "mobile", "archive"]
@@ -133,11 +161,15 @@ def escalation(attempts: DataFrame) -> DataFrame:
     return ended.select("request_id", F.col("tier").alias("mode_used"), "reason", F.col("_rank").cast("int").alias("tiers_tried"))
 
 
-def cooldowns(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Whether an event may act, given the gap to the one before of its key (STT11)."""
-    w = W.partitionBy(key).orderBy("ts", "id")
-    gap = F.col("ts") - F.lag("ts").over(w)
-    return events.withColumn("acts", gap.isNull() | (gap >= seconds))
+def cooldowns(events: DataFrame, key: str, seconds: int, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Whether an event may act, given the gap to the one before of its key (STT11).  The one before the
+    first of a block of time is the last of the blocks before."""
+    x = events.withColumn("_b", F.floor(F.col("ts") / block_seconds))
+    last = carried(x, key, "_b", {"_last": F.max("ts")}, {"_last": F.max})
+    w = W.partitionBy(key, "_b").orderBy("ts", "id")
+    x = joined_carried(x, last, key, "_b").withColumn("_before", F.coalesce(F.lag("ts").over(w), F.col("_last")))
+    gap = F.col("ts") - F.col("_before")
+    return x.select(*events.columns, (gap.isNull() | (gap >= seconds)).alias("acts"))
 
 
 # Seconds a tier may take, and that have to be left for it to be tried.
