@@ -117,3 +117,18 @@ def test_extract_in_one_pass_is_the_plan(spark):
     got = R.extract_passages(df, "doc_id", "text", query, 3, 20).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40
     assert R.extract_passages(df.limit(0), "doc_id", "text", query, 3, 20).count() == 0
+
+
+def test_index_recall_and_odd_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.6 * rng.normal(size=16)).tolist()) for i in range(1500)]
+    rows += [(2000 + i, rows[0][1]) for i in range(300)] + [(3000, None), (3001, []), (3002, [0.0] * 16), (None, rows[1][1])]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>")
+    ask = F.col("id") % 100 == 0
+    exact, found = (f(df, "vec_id", "embedding", ask, 5) for f in (R.nearest, R.nearest_indexed))
+    x = R.recall(found.where("vec_id IS NOT NULL"), exact.where("vec_id IS NOT NULL")).first()
+    assert x.recall >= 0.9 and x.n_queries == 18
+    assert R.nearest_indexed(df.limit(0), "vec_id", "embedding", ask, 5).count() == 0

@@ -9,7 +9,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,20 +146,8 @@ def extract_passages(documents: DataFrame, doc_id: str, text: str, query: list[s
     return documents.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema).dropDuplicates(["doc_id", "rank"])
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, top: int, block: int = 512) -> DataFrame:
-    """(query_id, vec_id, score, rank): the ``top`` rows by cosine for every query row, itself left out.
-
-    Queries travel in blocks of ``block`` vectors and meet all rows batch by batch; a block's best
-    ``top`` of each batch go on, so what is shuffled grows with queries times tasks, not with pairs.
-    Null, empty and zero vectors, and scores of 0 or less, are left out."""
-    usable = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = usable.where(is_query)
-    n_blocks = max(1, -(-asked.count() // block))
-    n_parts = max(1, -(-usable.count() // (4 * block)))
-    pack = F.collect_list(F.struct("id", "v"))  # about ``block`` and four times ``block`` vectors
-    blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("b")).agg(pack.alias("queries"))
-    parts = usable.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_parts)).alias("part")).agg(pack.alias("rows"))
-    packed = parts.select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
+def _score_packs(top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best ``top`` rows of each pack for each query of a pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +164,25 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, top: in
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()])], names=["query_id", "vec_id", "score"])
 
-    near = blocks.join(packed, "b").select("queries", "rows").mapInArrow(run, "query_id LONG, vec_id LONG, score DOUBLE")
+    return run
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, top: int, block: int = 512) -> DataFrame:
+    """(query_id, vec_id, score, rank): the ``top`` rows by cosine for every query row, itself left out.
+
+    Queries travel in blocks of ``block`` vectors and meet all rows batch by batch; a block's best
+    ``top`` of each batch go on, so what is shuffled grows with queries times tasks, not with pairs.
+    Null, empty and zero vectors, rows without an id, and scores of 0 or less, are left out."""
+    usable = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = usable.where(is_query)
+    n_blocks = max(1, -(-asked.count() // block))
+    n_parts = max(1, -(-usable.count() // (4 * block)))
+    pack = F.collect_list(F.struct("id", "v"))  # about ``block`` and four times ``block`` vectors
+    blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("b")).agg(pack.alias("queries"))
+    parts = usable.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_parts)).alias("part")).agg(pack.alias("rows"))
+    packed = parts.select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
+
+    near = blocks.join(packed, "b").select("queries", "rows").mapInArrow(_score_packs(top), "query_id LONG, vec_id LONG, score DOUBLE")
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("score", F.round("score", 4))
 
@@ -197,3 +203,89 @@ def listing_relevance(rows: DataFrame, group: str, place: str, title: Column, qu
     if drop:
         x = x.where(~F.col("off_query"))
     return x.withColumn("position", F.row_number().over(w.orderBy(F.desc("coverage"), F.desc(F.round("score", 9)), place))).drop("score")
+
+
+INDEX_SAMPLE, MOST_CELLS, CELL_ROUNDS, ASKED, WANTED_RECALL = 20_000, 1024, 8, 400, 0.97
+
+
+def fit_cells(sample: np.ndarray, rows: int, seed: int = 5) -> np.ndarray:
+    """Unit centres of about sqrt(rows) cells, at most ``MOST_CELLS``, by k-means on unit vectors."""
+    if not len(sample):
+        return sample
+    k = int(min(MOST_CELLS, max(1, round(rows**0.5)), len(sample)))
+    rng = np.random.default_rng(seed)
+    centres = sample[np.sort(rng.choice(len(sample), k, replace=False))] if k else sample
+    for _ in range(CELL_ROUNDS):
+        near = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return centres
+
+
+def fit_probes(sample: np.ndarray, centres: np.ndarray, top: int) -> int:
+    """How many of its nearest cells a query has to visit for ``WANTED_RECALL`` of its neighbours, within the
+    sample: data without clusters need many."""
+    if len(sample) <= 1:
+        return 1
+    asked = sample[:: max(1, len(sample) // ASKED)]
+    cells = (sample @ centres.T).argmax(axis=1)
+    scores = asked @ sample.T
+    scores[scores > 1 - 1e-12] = -2  # itself, and its copies, which share its cell
+    found = np.argsort(-scores, axis=1)[:, :top]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
+    visits = np.sort(np.take_along_axis(place, cells[found], axis=1).ravel())
+    return int(visits[min(len(visits) - 1, int(WANTED_RECALL * len(visits)))]) + 1
+
+
+def nearest_indexed(vectors: DataFrame, key: str, vector: str, is_query: Column, top: int, probes: int | None = None, block: int = 2048) -> DataFrame:
+    """As ``nearest``, through an index: each row lies in the cell of its nearest centre, and a query meets the
+    rows of its ``probes`` nearest cells only, as many as the sample shows to be needed.  Centres are fitted
+    to at most ``INDEX_SAMPLE`` rows; every row is indexed.  Cells with many rows, as with a hot vector, are split into parts, and so are queries of
+    one cell; a part meets a part, so no task holds a cell.  Recall is to be measured (``recall``)."""
+    from webstrata.session import materialize
+
+    usable = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("asks", is_query)
+    n = usable.count()
+    share = min(1.0, 1.2 * INDEX_SAMPLE / max(1, n))
+    picked = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(INDEX_SAMPLE).select("v").collect()
+    sample = np.array([r.v for r in picked]) if picked else np.zeros((0, 1))
+    sample = sample[np.linalg.norm(sample, axis=1) > 0]
+    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    fitted = fit_cells(sample, n)
+    sent = usable.sparkSession.sparkContext.broadcast(fitted)  # MOST_CELLS centres at most
+    visits = fit_probes(sample, fitted, top) if probes is None else probes
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = sent.value
+        for batch in batches:
+            vs, asks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            out: list[tuple] = []
+            if len(centres):
+                m = np.array(vs)
+                scores = m @ centres.T
+                order = np.argsort(-scores, axis=1)[:, : max(1, visits)]
+                for i, (row, ask) in enumerate(zip(batch.column(0).to_pylist(), asks)):
+                    if np.any(m[i]):
+                        out.append((int(order[i, 0]), False, row, vs[i]))
+                        out.extend((int(c), True, row, vs[i]) for c in order[i] if ask)
+            columns = list(zip(*out)) or [()] * 4
+            types = [pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["cell", "query", "id", "v"])
+
+    placed = materialize(usable.mapInArrow(assign, "cell INT, query BOOLEAN, id LONG, v ARRAY<DOUBLE>"), "cells")
+    sizes = placed.groupBy("cell", "query").agg(F.ceil(F.count("*") / block).alias("parts"))  # two rows per cell
+    parted = placed.join(F.broadcast(sizes), ["cell", "query"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    packed = parted.groupBy("cell", "query", "part").agg(F.collect_list(F.struct("id", "v")).alias("pack"))  # about ``block`` vectors
+    rows = packed.where("NOT query").select("cell", F.col("pack").alias("rows"))
+    asked = packed.where("query").select("cell", F.col("pack").alias("queries"))
+    near = asked.join(rows, "cell").select("queries", "rows").mapInArrow(_score_packs(top), "query_id LONG, vec_id LONG, score DOUBLE")
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return near.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("score", F.round("score", 4))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(n_queries, n_exact, recall): the share of exact neighbours that are found."""
+    both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), (F.count("hit") / F.count("*")).alias("recall"))

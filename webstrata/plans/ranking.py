@@ -58,6 +58,20 @@ SELECT query_id, vec_id, round(s, 4) AS score, CAST(rank AS INTEGER) AS rank FRO
 """
 
 
+def vector_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through an index of cells (RNK03)."""
+    return R.nearest_indexed(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, 5)
+
+
+def vector_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the exact neighbours that the index finds, and whether it is 0.9 or more."""
+    x = R.recall(vector_indexed(spark, folder), vector_top(spark, folder))
+    return x.select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("good"))
+
+
+SQL_RECALL = f"SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS good FROM ({SQL_VECTORS})"
+
+
 def map_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses of four sources as one list, the first source winning, some left out (SET01, CLS18)."""
     f = table(spark, folder, "fetch_cache").select("fetch_id", "url", "final_url", "canonical_url").dropDuplicates(["fetch_id"])
@@ -209,6 +223,8 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "passage_top": (passage_top, None),
     "passage_bm25": (passage_bm25, SQL_BM25),
     "vector_top": (vector_top, SQL_VECTORS),
+    "vector_indexed": (vector_indexed, None),
+    "vector_recall": (vector_recall, SQL_RECALL),
     "map_merge": (map_merge, SQL_MAP),
     "map_limited": (map_limited, SQL_LIMITED),
     "offer_groups": (offer_groups, SQL_OFFERS),
