@@ -282,3 +282,12 @@ def resolved_doi(kind: Column, ident: Column, body: Column) -> Column:
         .when(kind == "pmid", V.doi(F.get_json_object(answer, "$.doi")))
         .when(kind == "pmcid", V.doi(F.get_json_object(answer, "$.resultList.result[0].doi")))
     )
+
+
+def paper_warnings(papers: DataFrame, asked_by_pii: Column, read: Column) -> DataFrame:
+    """Papers with the names of what is amiss (CLS24): retracted, without an abstract, found by an item
+    number, closed, or with a full text that could not be read."""
+    flags = {
+        "retracted": F.col("is_retracted"), "no_abstract": F.col("abstract").isNull(), "resolved_via_pii": asked_by_pii, "paywalled": ~F.col("is_oa") & F.col("full_text_url").isNull(), "full_text_unavailable": F.col("full_text_url").isNotNull() & ~read,
+    }
+    return papers.withColumn("warnings", F.array_compact(F.array(*[F.when(c, name) for name, c in flags.items()])))

@@ -190,3 +190,47 @@ def tier_budget(tier: Column, remaining: Column) -> Column:
 def needs_refresh(age_seconds: Column, days: int = 7) -> Column:
     """Whether a consolidated list is missing (null) or older than ``days`` (STT13)."""
     return F.coalesce(age_seconds > days * 86400, F.lit(True))
+
+
+# Blocks that plain headers may clear, and seconds that a plain request needs.
+RETRIED = ["blocked_cloudflare", "blocked_bot"]
+PLAIN_SECONDS = 1.0
+SETTLED = ["not_found", "unsupported_content_type"]
+
+
+def chain(attempts: DataFrame, deadline: float = 30.0, snapshots: bool = True) -> DataFrame:
+    """How each request's chain of tiers ends (STT09, STT10): (request_id, mode_used, reason, seconds,
+    escalated_from, plain_headers).
+
+    ``attempts`` holds what a tier would answer: (request_id, tier, reason, seconds, words), with the tiers of
+    ``TIERS`` and ``http_plain``, the plain request with fewer headers.  A tier takes its cap at most.  A
+    block on the first request is tried again with plain headers; a success without words goes on to the
+    browser, as any failure does that is not settled, while there is time; a block in the browser goes on to
+    mobile and the archive, and stands if they do not help."""
+    names = [*TIERS, "http_plain"]
+    x = attempts.where(F.col("tier").isin(*names)).groupBy("request_id").agg(*[F.max(F.when(F.col("tier") == t, F.struct("reason", "seconds", "words"))).alias(t) for t in names])
+    took = lambda t: F.coalesce(F.least(F.col(f"{t}.seconds"), F.lit(TIER_CAPS[t.split("_")[0]])), F.lit(0.0))
+    x = x.withColumn("left", F.lit(deadline) - took("http"))
+    again = F.col("http.reason").isin(*RETRIED) & (F.col("left") >= PLAIN_SECONDS) & F.col("http_plain").isNotNull()
+    x = x.withColumn("again", F.coalesce(again, F.lit(False)))
+    x = x.withColumn("left", F.col("left") - F.when(F.col("again"), took("http_plain")).otherwise(0.0)).withColumn("plain", F.col("again") & (F.col("http_plain.reason") == "ok"))
+    x = x.withColumns({"r": F.when(F.col("plain"), "ok").otherwise(F.col("http.reason")), "w": F.when(F.col("plain"), F.col("http_plain.words")).otherwise(F.col("http.words"))})
+    timely = F.col("left") >= TIER_FLOORS["browser"]
+    empty = (F.col("r") == "ok") & (F.col("w") == 0) & timely
+    late = (F.col("r") != "ok") & ~F.col("r").isin(*SETTLED) & ~timely
+    ends = F.col("http").isNotNull() & (((F.col("r") == "ok") & ~empty) | F.col("r").isin(*SETTLED) | late)
+    x = x.withColumns({"end_http": F.coalesce(ends, F.lit(False)), "late": F.coalesce(late, F.lit(False)), "b": F.coalesce("browser.reason", F.lit("browser_unavailable"))})
+    x = x.withColumn("left_b", F.col("left") - took("browser"))
+    mobile = (F.col("left_b") >= TIER_FLOORS["mobile"]) & F.col("mobile").isNotNull() & F.col("b").isin(*RECOVERABLE)
+    x = x.withColumn("m", F.coalesce(mobile, F.lit(False))).withColumn("left_m", F.col("left_b") - F.when(F.col("m"), took("mobile")).otherwise(0.0))
+    stored = F.lit(snapshots) & (F.col("left_m") >= TIER_FLOORS["archive"]) & F.col("archive").isNotNull()
+    end = (
+        F.when(F.col("end_http"), F.struct(F.lit("http").alias("mode"), F.when(F.col("late"), "deadline_exceeded").otherwise(F.col("r")).alias("reason"), F.col("left").alias("left")))
+        .when(~F.col("b").isin(*RECOVERABLE), F.struct(F.lit("browser").alias("mode"), F.col("b").alias("reason"), F.col("left_b").alias("left")))
+        .when(F.col("m") & ~F.col("mobile.reason").isin(*RECOVERABLE), F.struct(F.lit("browser+mobile").alias("mode"), F.col("mobile.reason").alias("reason"), F.col("left_m").alias("left")))
+        .when(stored, F.struct(F.lit("wayback").alias("mode"), F.col("archive.reason").alias("reason"), (F.col("left_m") - took("archive")).alias("left")))
+        .otherwise(F.struct(F.lit("browser").alias("mode"), F.col("b").alias("reason"), F.col("left_m").alias("left")))
+    )
+    x = x.withColumn("end", end)
+    from_http = F.col("http").isNotNull() & ~F.col("end_http")
+    return x.select("request_id", F.col("end.mode").alias("mode_used"), F.col("end.reason").alias("reason"), F.round(F.lit(deadline) - F.col("end.left"), 3).alias("seconds"), F.when(from_http, "http").alias("escalated_from"), (F.col("plain") & F.col("end_http")).alias("plain_headers"))

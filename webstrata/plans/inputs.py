@@ -75,6 +75,17 @@ SELECT CAST(u AS VARCHAR) AS url, min(step) AS step FROM r GROUP BY u
 """
 
 
+def crawl_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a budget of four pages to visit (SRC20)."""
+    ids = table(spark, folder, "fetch_cache").select("fetch_id").distinct()
+    links = ids.where("fetch_id BETWEEN 1 AND 60").select(F.col("fetch_id").cast("string").alias("source"), F.explode(F.array((F.col("fetch_id") * 2).cast("string"), (F.col("fetch_id") * 2 + 1).cast("string"))).alias("target"))
+    return I.crawl(links, spark.createDataFrame([("1",)], "url STRING"), 9, pages=4)
+
+
+# 1 leads to 2 and 3, both are visited, then 4 of the four they lead to
+SQL_BUDGET = "SELECT url, CAST(step AS INTEGER) AS step FROM (VALUES ('1', 0), ('2', 1), ('3', 1), ('4', 2), ('5', 2), ('6', 2), ('7', 2), ('8', 3), ('9', 3)) t(url, step)"
+
+
 def block_domains(spark: SparkSession, folder: str) -> DataFrame:
     """Domains out of list lines of three formats (SRC25, SNK06)."""
     s = table(spark, folder, "sites").select(F.explode(F.array(F.concat(F.lit("0.0.0.0 "), "host", F.lit(" # ad")), F.concat(F.lit("*://*."), F.col("site_name"), F.lit("/*")), F.concat("host", F.lit("  ")), F.lit("# note"), F.lit("127.0.0.1 localhost"))).alias("line"))
@@ -145,6 +156,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "sitemap_urls": (sitemap_urls, SQL_SITEMAP),
     "feed_items": (feed_items, SQL_FEED),
     "crawl_steps": (crawl_steps, SQL_CRAWL),
+    "crawl_budget": (crawl_budget, SQL_BUDGET),
     "block_domains": (block_domains, SQL_BLOCK),
     "llms_texts": (llms_texts, SQL_LLMS),
     "site_digest": (site_digest, SQL_DIGEST),

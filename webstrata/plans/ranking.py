@@ -179,13 +179,14 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def star_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Papers of five services merged on DOI with precedence per field (JON07, SET04, ADP18, ADP19)."""
+    """Papers of five services merged on DOI with precedence per field (JON07, SET04, ADP18, ADP19, CLS24)."""
     x = P.full_text(P.merged_papers(_answers(spark, folder), 3))
+    x = P.paper_warnings(x, F.lit(False), F.length("doi") % 3 > 0)
     pmid = F.try_element_at("ids", F.lit("pmid"))
     first = F.get("authors", F.lit(0))["name"]
     return x.select(
         "doi", "title", "publisher", "cited_by_count", "abstract", "abstract_source", "tldr", "is_oa", "oa_status", pmid.alias("pmid"), first.alias("first_author"), "author_count", "published", "license", "full_text_url", "full_text_source",
-        F.array_join("sources_used", "+").alias("sources_used"),
+        F.array_join("sources_used", "+").alias("sources_used"), F.array_join("warnings", "+").alias("warnings"),
     )
 
 
@@ -202,6 +203,7 @@ SELECT doi, title, coalesce(nullif(trim(m.publisher), ''), CASE WHEN hu THEN 'A
   CASE WHEN hs THEN 'Short' END AS tldr, hu OR (ho AND n % 2 = 0) AS is_oa, CASE WHEN ho THEN 'green' WHEN NOT hu THEN 'closed' END AS oa_status, CASE WHEN ho THEN '77' WHEN hs THEN '88' ELSE nullif(trim(r.pmid), '') END AS pmid,
   names[1] AS first_author, CAST(nullif(len(names), 0) AS INTEGER) AS author_count, nullif(array_to_string(list_transform(dp, lambda x, i: CASE WHEN i = 1 THEN CAST(x AS VARCHAR) ELSE lpad(CAST(x AS VARCHAR), 2, '0') END), '-'), '') AS published,
   coalesce(nullif(trim(m.license[1].URL), ''), CASE WHEN hu THEN 'cc-by' END) AS license, CASE WHEN hu THEN 'https://pdf.example/' || m.DOI WHEN hs THEN 'https://s2.example/x.pdf' END AS full_text_url, CASE WHEN hu THEN 'unpaywall' WHEN hs THEN 'semantic_scholar' END AS full_text_source,
+  array_to_string(list_filter([CASE WHEN NOT (hs AND n % 4 = 0) AND NOT ho AND ea IS NULL THEN 'no_abstract' END, CASE WHEN NOT hu AND NOT (ho AND n % 2 = 0) AND NOT hs THEN 'paywalled' END, CASE WHEN (hu OR hs) AND length(doi) % 3 = 0 THEN 'full_text_unavailable' END], lambda x: x IS NOT NULL), '+') AS warnings,
   array_to_string(list_filter([CASE WHEN hc THEN 'crossref' END, CASE WHEN ho THEN 'openalex' END, CASE WHEN hu THEN 'unpaywall' END, CASE WHEN hs THEN 'semantic_scholar' END, CASE WHEN he THEN 'europepmc' END], lambda x: x IS NOT NULL), '+') AS sources_used FROM t WHERE title IS NOT NULL
 """
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions import urls as U
+from webstrata.operators import claims as Q
 from webstrata.operators import payloads as P
 from webstrata.operators import routing as R
 from webstrata.session import table
@@ -19,19 +20,30 @@ def _fetches(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "fetch_cache").select("fetch_id", *columns).dropDuplicates(["fetch_id"])
 
 
-ADDRESSES = ["https://m.youtube.com/x", "https://pt.wikipedia.org/wiki/A", "https://github.com/a/b", "https://doi.org/10.1/x", "https://google.com/search?q=a", "https://sp.olx.com.br/x/imoveis", "https://www.amazon.com.br/dp/1", "https://store.steampowered.com/app/5", "https://npmjs.com/package/x", "https://github.com/a"]
+# Addresses with the source and kind of page that they are.
+ADDRESSES = [
+    ("https://m.youtube.com/watch?v=abc", "youtube", "video"), ("https://www.youtube.com/@name/videos", "youtube", "channel"), ("https://www.youtube.com/results?search_query=x", "youtube", "search"), ("https://youtube.com/feed", "youtube", "other"),
+    ("https://pt.wikipedia.org/wiki/A", "wikimedia", "article"), ("https://github.com/a/b", "github", "repository"), ("https://github.com/topics/b", None, None), ("https://github.com/a", None, None), ("https://doi.org/10.1234/x", "scholar", "doi"),
+    ("https://www.sciencedirect.com/science/article/pii/S0140673620301839", "scholar", "pii"), ("https://pubmed.ncbi.nlm.nih.gov/123/", "scholar", "pmid"), ("https://europepmc.org/articles/PMC12", "scholar", "pmcid"), ("https://arxiv.org/abs/2401.1", "scholar", "arxiv"),
+    ("https://google.com/search?q=a&udm=28", "google_shopping", "shopping"), ("https://google.com/search?q=a", None, None), ("https://www.vivareal.com.br/imovel/x", "realestate", "detail"), ("https://sp.olx.com.br/x/imoveis", "olx", "realestate"), ("https://olx.com.br/x", None, None),
+    ("https://produto.mercadolivre.com.br/MLB-1", "mercadolivre", "product"), ("https://lista.mercadolivre.com.br/x", "mercadolivre", "search"), ("https://pt.aliexpress.com/item/5.html", "aliexpress", "product"), ("https://shopee.com.br/a-i.1.2", "shopee", "product"), ("https://shopee.com.br/a", None, None),
+    ("https://www.petlove.com.br/racao/p", "petlove", "product"), ("https://www.petlove.com.br/busca?q=x", "petlove", "search"), ("https://www.amazon.com.br/x/dp/B0CFPL6CFY", "amazon", "product"), ("https://www.amazon.com/s?k=x", "amazon", "search"), ("https://aws.amazon.com/s?k=x", None, None),
+    ("https://store.steampowered.com/app/5", "steam", "app"), ("https://store.steampowered.com/search?term=x", "steam", "search"), ("https://npmjs.com/package/@a/x/v/1", "npm", "package"), ("https://phabricator.wikimedia.org/T5", "phabricator", "task"), ("https://phabricator.wikimedia.org/maniphest/?x=1", "phabricator", "search"),
+    ("https://a.myshopify.com/products/x", "shopify", "product"), ("https://a.myshopify.com/pages/x", None, None), ("https://gitlab.com/a/b/-/issues/5", "gitlab", "issue"), ("https://gitlab.com/explore/b", None, None), ("https://git.test/a/b", None, None),
+]
 
 
 def services(spark: SparkSession, folder: str) -> DataFrame:
-    """Services that claim addresses, per host (CLS16, CLS17)."""
-    made = F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.col("fetch_id") % len(ADDRESSES) + 1).cast("int"))
-    rows = _fetches(spark, folder, "url").select(F.explode(F.array(made, "url")).alias("url"))
-    return rows.groupBy(R.service_of(F.col("url")).alias("service")).agg(F.count("*").alias("n"))
+    """Sources that claim addresses, the kind of page, and whether an unknown host is worth asking (CLS16, CLS17)."""
+    made = F.element_at(F.array(*[F.lit(a) for a, *_ in ADDRESSES]), (F.col("fetch_id") % len(ADDRESSES) + 1).cast("int"))
+    rows = _fetches(spark, folder, "url").select("fetch_id", F.posexplode(F.array(made, "url")).alias("k", "url"))
+    x = rows.select("fetch_id", "k", Q.claim(F.col("url"), wiki_access=True).alias("c"), Q.is_forge_candidate(F.col("url")).alias("ask_forge"))
+    return x.select("fetch_id", "k", "c.service", "c.kind", "ask_forge")
 
 
 SQL_SERVICES = f"""
-WITH f AS (SELECT DISTINCT fetch_id FROM fetch_cache), s AS (SELECT (['youtube', 'wikimedia', 'github', 'scholar', 'google_shopping', 'olx', 'amazon', 'steam', 'npm', NULL])[fetch_id % {len(ADDRESSES)} + 1] AS service FROM f UNION ALL SELECT NULL FROM f)
-SELECT service, count(*) AS n FROM s GROUP BY service
+WITH f AS (SELECT DISTINCT fetch_id, url FROM fetch_cache), a(i, url, service, kind) AS (VALUES {", ".join(f"({i}, '{u}', {'NULL' if s is None else repr(s)}, {'NULL' if k is None else repr(k)})" for i, (u, s, k) in enumerate(ADDRESSES))})
+SELECT fetch_id, 0 AS k, service, kind, a.url IN ('https://gitlab.com/a/b/-/issues/5', 'https://git.test/a/b') AS ask_forge FROM f JOIN a ON i = fetch_id % {len(ADDRESSES)} UNION ALL SELECT fetch_id, 1, NULL, NULL, false FROM f
 """
 
 

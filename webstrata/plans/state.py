@@ -137,6 +137,28 @@ SELECT tier AS mode_used, reason, CAST(k + 1 AS INTEGER) AS tiers_tried, count(*
 """
 
 
+def chains(spark: SparkSession, folder: str) -> DataFrame:
+    """How chains of tiers end under a deadline, with plain headers tried after blocks (STT09, STT10)."""
+    i = F.col("request_id")
+    ids = table(spark, folder, "fetch_cache").select(F.col("fetch_id").alias("request_id")).distinct()
+    reasons = F.array(*map(F.lit, ["ok", "blocked_bot", "timeout", "not_found", "blocked_captcha", "ok"]))
+    x = ids.select("request_id", F.posexplode(F.array(*map(F.lit, ["http", "http_plain", "browser", "mobile", "archive"]))).alias("k", "tier")).where((F.col("tier") != "archive") | (i % 2 == 0))
+    x = x.select("request_id", "tier", F.element_at(reasons, ((i + F.col("k") * (i % 5)) % 6 + 1).cast("int")).alias("reason"), ((i * 7 + F.col("k") * 3) % 14).cast("double").alias("seconds"), (i % 4).alias("words"))
+    return S.chain(x, 20.0)
+
+
+SQL_CHAINS = """
+WITH f AS (SELECT DISTINCT fetch_id AS i FROM fetch_cache), a AS (SELECT i, k, (['ok', 'blocked_bot', 'timeout', 'not_found', 'blocked_captcha', 'ok'])[(i + k * (i % 5)) % 6 + 1] AS r, ((i * 7 + k * 3) % 14)::DOUBLE AS s FROM f, range(5) t(k)),
+p AS (SELECT i, max(r) FILTER (k = 0) AS r0, max(r) FILTER (k = 1) AS r1, max(r) FILTER (k = 2) AS b, max(r) FILTER (k = 3) AS m, max(r) FILTER (k = 4) AS ar, least(max(s) FILTER (k = 0), 5) AS s0, least(max(s) FILTER (k = 1), 5) AS s1, least(max(s) FILTER (k = 2), 12) AS sb, least(max(s) FILTER (k = 3), 5) AS sm, least(max(s) FILTER (k = 4), 6) AS sa FROM a GROUP BY i),
+h AS (SELECT *, r0 IN ('blocked_cloudflare', 'blocked_bot') AND 20 - s0 >= 1 AS again FROM p), g AS (SELECT *, 20 - s0 - CASE WHEN again THEN s1 ELSE 0 END AS l1, again AND r1 = 'ok' AS plain, CASE WHEN again AND r1 = 'ok' THEN 'ok' ELSE r0 END AS r FROM h),
+e AS (SELECT *, r <> 'ok' AND r <> 'not_found' AND l1 < 3 AS late, (r = 'ok' AND NOT (i % 4 = 0 AND l1 >= 3)) OR r = 'not_found' OR (r NOT IN ('ok', 'not_found') AND l1 < 3) AS stop, l1 - sb AS l2 FROM g),
+q AS (SELECT *, b IN ('blocked_bot', 'blocked_captcha') AS rb, b IN ('blocked_bot', 'blocked_captcha') AND l2 >= 3 AS tm FROM e), z AS (SELECT *, l2 - CASE WHEN tm THEN sm ELSE 0 END AS l3 FROM q),
+w AS (SELECT *, CASE WHEN stop THEN 'http' WHEN NOT rb THEN 'browser' WHEN tm AND m NOT IN ('blocked_bot', 'blocked_captcha') THEN 'browser+mobile' WHEN l3 >= 4 AND i % 2 = 0 THEN 'wayback' ELSE 'last' END AS mode FROM z)
+SELECT i AS request_id, CASE WHEN mode = 'last' THEN 'browser' ELSE mode END AS mode_used, CASE mode WHEN 'http' THEN CASE WHEN late THEN 'deadline_exceeded' ELSE r END WHEN 'browser+mobile' THEN m WHEN 'wayback' THEN ar ELSE b END AS reason,
+  20 - CASE mode WHEN 'http' THEN l1 WHEN 'browser' THEN l2 WHEN 'wayback' THEN l3 - sa ELSE l3 END AS seconds, CASE WHEN NOT stop THEN 'http' END AS escalated_from, plain AND stop AS plain_headers FROM w
+"""
+
+
 def login_cooldowns(spark: SparkSession, folder: str) -> DataFrame:
     """Events per host that act or wait under a cooldown of a week (STT11)."""
     rows = table(spark, folder, "fetch_cache").select("fetch_id", "url", "fetched_at").dropDuplicates(["fetch_id"])
@@ -166,6 +188,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "probe_state": (probe_state, SQL_PROBE),
     "single_flights": (single_flights, SQL_FLIGHT),
     "escalations": (escalations, SQL_ESCALATION),
+    "chains": (chains, SQL_CHAINS),
     "login_cooldowns": (login_cooldowns, SQL_COOLDOWN),
 }
 

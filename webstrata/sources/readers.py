@@ -88,11 +88,18 @@ def _walk(bodies: DataFrame, roots: DataFrame, depth: int | None) -> tuple[DataF
     return found.distinct(), unread.distinct()
 
 
-def crawl(links: DataFrame, roots: DataFrame, steps: int, allow: Callable[[Column], Column] | None = None) -> DataFrame:
+def crawl(links: DataFrame, roots: DataFrame, steps: int, allow: Callable[[Column], Column] | None = None, pages: int | None = None) -> DataFrame:
     """(url, step) of pages reached from ``roots`` (url) over ``links`` (source, target), each at its
-    first step (SRC20).  A step is one join; what it reached first is written out and added to the rest."""
+    first step (SRC20).  A step is one join; what it reached first is written out and added to the rest.
+    ``pages`` is a budget of pages to visit: once spent, addresses are still listed but no more followed."""
+    visited = 0
     reached = frontier = materialize(roots.select("url").distinct().withColumn("step", F.lit(0)), "reached")
     for step in range(1, steps + 1):
+        if pages is not None:
+            if visited >= pages:
+                break
+            frontier = frontier.orderBy("url").limit(pages - visited)  # the feature asked for, in a fixed order
+            visited += frontier.count()
         out = links.join(frontier.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
         if allow is not None:
             out = out.where(allow(F.col("url")))
