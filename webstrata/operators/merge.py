@@ -61,7 +61,7 @@ def without_outliers(rows: DataFrame, keys: list[str], value: str, least: int =
 
 def grouped_offers(offers: DataFrame, key: Column, max_sellers: int | None = None) -> DataFrame:
     """Offers of one product together (AGG03): distinct (store, price) sellers by price, price range,
-    first place and the first stated rating."""
+    first place and the first stated rating, of equal places the lower one."""
     x = offers.withColumn("_k", key)
     sellers = x.select("_k", "store", "price").where("price IS NOT NULL").distinct()
     if max_sellers is not None:
@@ -71,7 +71,7 @@ def grouped_offers(offers: DataFrame, key: Column, max_sellers: int | None = Non
         F.min("price").alias("price_min"),
         F.max("price").alias("price_max"),
         F.min("position").alias("position"),
-        F.min_by("rating", F.when(F.col("rating").isNotNull(), F.col("position"))).alias("rating"),
+        F.min_by("rating", F.when(F.col("rating").isNotNull(), F.struct("position", "rating"))).alias("rating"),
     )
     return summary.join(listed, "_k", "left").withColumnRenamed("_k", "product_key")
 

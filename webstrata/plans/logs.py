@@ -67,11 +67,11 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     ),
     "log_adapters": (
         _on(L.adapters),
-        f"WITH {_E} SELECT provider, count(*) AS ok, count_if(result_count = 0) AS zero_result, round(count_if(result_count = 0)::DOUBLE / count(*), 4) AS zero_result_rate FROM e WHERE {_FETCH} AND outcome = 'ok' AND provider IS NOT NULL GROUP BY provider",
+        f"WITH {_E} SELECT provider, count(*) AS ok, coalesce(count_if(result_count = 0), 0) AS zero_result, round(coalesce(count_if(result_count = 0), 0)::DOUBLE / count(*), 4) AS zero_result_rate FROM e WHERE {_FETCH} AND outcome = 'ok' AND provider IS NOT NULL GROUP BY provider",
     ),
     "log_answer_usage": (
         _on(L.answer_usage),
-        f"WITH {_E} SELECT provider, count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(CAST(cost_usd AS DECIMAL(18, 6))), 0) AS DOUBLE) AS cost_usd, count_if(fell_back) AS fell_back FROM e WHERE tool = 'answer' AND outcome = 'ok' AND provider IS NOT NULL GROUP BY provider",
+        f"WITH {_E} SELECT provider, count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(CAST(cost_usd AS DECIMAL(18, 6))), 0) AS DOUBLE) AS cost_usd, CAST(coalesce(count_if(fell_back), 0) AS BIGINT) AS fell_back FROM e WHERE tool = 'answer' AND outcome = 'ok' AND provider IS NOT NULL GROUP BY provider",
     ),
     "log_tool_rollup": (_on(L.tool_rollup), f"WITH {_E} SELECT tool, outcome, count(*) AS n, CAST(grouping_id(tool, outcome) AS BIGINT) AS level FROM e GROUP BY ROLLUP (tool, outcome)"),
     "log_window": (

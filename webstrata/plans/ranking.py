@@ -112,7 +112,7 @@ def offer_groups(spark: SparkSession, folder: str) -> DataFrame:
 SQL_OFFERS = """
 WITH o AS (SELECT regexp_replace(trim(regexp_replace(lower(p_name || ' !'), '\\s+', ' ', 'g')), '[\\s.,;:!?-]+$', '') AS k, l_suppkey AS store, round(l_extendedprice / l_quantity, 2) AS price, l_orderkey * 10 + l_linenumber AS position, CASE WHEN l_linenumber > 2 THEN l_quantity END AS rating
   FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT k, min(struct_pack(price := price, store := store)).store AS cheapest_store, count(*) AS n_sellers FROM (SELECT DISTINCT k, price, store FROM o WHERE price IS NOT NULL) GROUP BY k)
-SELECT o.k AS product_key, min(price) AS price_min, max(price) AS price_max, min(position) AS position, arg_min(rating, position) FILTER (rating IS NOT NULL) AS rating, CAST(any_value(n_sellers) AS INTEGER) AS n_sellers, any_value(cheapest_store) AS cheapest_store FROM o JOIN s ON s.k = o.k GROUP BY o.k
+SELECT o.k AS product_key, min(price) AS price_min, max(price) AS price_max, min(position) AS position, arg_min(rating, struct_pack(p := position, r := rating)) FILTER (rating IS NOT NULL) AS rating, CAST(any_value(n_sellers) AS INTEGER) AS n_sellers, any_value(cheapest_store) AS cheapest_store FROM o JOIN s ON s.k = o.k GROUP BY o.k
 """
 
 
