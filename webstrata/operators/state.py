@@ -209,7 +209,7 @@ def chain(attempts: DataFrame, deadline: float = 30.0, snapshots: bool = True) -
     mobile and the archive, and stands if they do not help."""
     names = [*TIERS, "http_plain"]
     x = attempts.where(F.col("tier").isin(*names)).groupBy("request_id").agg(*[F.max(F.when(F.col("tier") == t, F.struct("reason", "seconds", "words"))).alias(t) for t in names])
-    took = lambda t: F.coalesce(F.least(F.col(f"{t}.seconds"), F.lit(TIER_CAPS[t.split("_")[0]])), F.lit(0.0))
+    took = lambda t: F.when(F.col(f"{t}.seconds").isNotNull(), F.least(F.col(f"{t}.seconds"), F.lit(TIER_CAPS[t.split("_")[0]]))).otherwise(0.0)
     x = x.withColumn("left", F.lit(deadline) - took("http"))
     again = F.col("http.reason").isin(*RETRIED) & (F.col("left") >= PLAIN_SECONDS) & F.col("http_plain").isNotNull()
     x = x.withColumn("again", F.coalesce(again, F.lit(False)))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from webstrata.operators import catalogs as C
 from webstrata.operators import media as M
 from webstrata.operators import rank as R
+from webstrata.operators import render as N
 from webstrata.operators import routing as G
+from webstrata.operators import scholar as P
 from webstrata.operators import search as S
+from webstrata.operators import shops as O
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +246,75 @@ r AS (SELECT t.p_brand, t.p_partkey, coalesce(coverage, 0) AS coverage, coalesce
 SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY coverage DESC, round(score, 9) DESC, p_partkey) AS INTEGER) AS position, p_partkey, CAST(coverage AS INTEGER) AS coverage, coverage < 1 AS off_query FROM r
 """
 
+def offer_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Offers of each part as a list (ADP22)."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    item = O.offer(title=F.when(k % 5 > 0, F.col("p_name")), price=F.when(k % 7 > 0, size * 100 + 0.5), list_price=F.when(k % 2 == 0, size * 200), currency=F.lit("BRL"), brand=F.when(k % 3 == 0, F.col("p_brand")), rating=F.when(k % 4 == 0, 4.5), ratings=F.when(k % 8 == 0, k), free_shipping=k % 9 == 0)
+    items = F.when(k % 11 == 0, F.array().cast(f"array<struct<{', '.join(f'{n}: {t}' for n, t in O.FIELDS.items())}>>")).otherwise(F.array(item, item))
+    return _parts(spark, folder).select("p_partkey", N.offers_markdown(items, F.lit("Shop")).alias("markdown"))
+
+
+SQL_OFFER_PAGES = """
+WITH p AS (SELECT *, translate(format('{:,.2f}', p_size * 100 + 0.5), ',.', '.,') AS price, translate(format('{:,}', p_size * 200), ',', '.') AS old FROM part),
+l AS (SELECT p_partkey, '. **' || CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE '?' END || '** — ' || CASE WHEN p_partkey % 7 > 0 THEN 'R$ ' || price ELSE 'Sob consulta' END AS head,
+  array_to_string(list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'de R$ ' || old END, CASE WHEN p_partkey % 4 = 0 THEN '4.5/5' || CASE WHEN p_partkey % 8 = 0 THEN ' (' || p_partkey || ')' ELSE '' END END, CASE WHEN p_partkey % 3 = 0 THEN p_brand END, CASE WHEN p_partkey % 9 = 0 THEN 'frete grátis' END], lambda x: x IS NOT NULL), ' · ') AS more FROM p),
+t AS (SELECT p_partkey, head || CASE WHEN more <> '' THEN ' — ' || more ELSE '' END AS t FROM l)
+SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '# Shop' || chr(10) || chr(10) || 'Nenhum produto encontrado.' ELSE '2 produtos' || chr(10) || chr(10) || '1' || t || chr(10) || '2' || t END AS markdown FROM t
+"""
+
+
+def paper_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers of all services as pages (ADP22)."""
+    from webstrata.plans.ranking import _answers
+
+    x = P.full_text(P.merged_papers(_answers(spark, folder), 3))
+    return x.select("doi", N.paper_markdown(F.when(F.length("doi") % 2 == 0, " Body ")).alias("markdown"))
+
+
+def _paper_sql() -> str:
+    from webstrata.plans.ranking import SQL_STAR
+
+    return f"""
+WITH x AS ({SQL_STAR}), m AS (SELECT DISTINCT response_id, message FROM crossref WHERE message.DOI IS NOT NULL), c AS (SELECT lower(message.DOI) AS doi, message AS m FROM m QUALIFY row_number() OVER (PARTITION BY lower(message.DOI) ORDER BY response_id DESC) = 1),
+y AS (SELECT x.*, nullif(trim(c.m."container-title"[1]), '') AS venue, list_filter(c.m.issued."date-parts"[1], lambda d: d IS NOT NULL)[1] AS year, list_filter(list_transform(c.m.author, lambda a: coalesce(nullif(trim(concat_ws(' ', nullif(trim(a.given), ''), nullif(trim(a.family), ''))), ''), nullif(trim(a.name), ''))), lambda a: a IS NOT NULL)[1:3] AS names FROM x LEFT JOIN c USING (doi))
+SELECT doi, array_to_string(list_filter(['# ' || title, nullif(array_to_string(coalesce(names, []), ', ') || CASE WHEN author_count > 12 THEN ', … (+' || (author_count - 12) || ')' ELSE '' END, ''), nullif(concat_ws(' · ', venue, year, publisher), ''),
+  concat_ws(' · ', CASE WHEN is_oa THEN '🔓 open access' || CASE WHEN oa_status <> 'closed' THEN ' (' || oa_status || ')' ELSE '' END ELSE '🔒 paywalled' END, 'cited by ' || format('{{:,}}', cited_by_count)), '**DOI:** [' || doi || '](https://doi.org/' || doi || ')',
+  '**TL;DR:** ' || tldr, '## Abstract' || chr(10) || chr(10) || abstract, CASE WHEN length(doi) % 2 = 0 THEN '## Full text' || chr(10) || chr(10) || 'Body' END], lambda p: p IS NOT NULL), chr(10) || chr(10)) AS markdown FROM y
+"""
+
+
+def game_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Games with what other services know, as pages (ADP22); the pages' heads and facts on players and prices."""
+    apps = table(spark, folder, "appdetails").select("response_id", "body").dropDuplicates(["response_id"])
+    names = C.app_records(apps).select("app_id").distinct()
+    n = F.length("app_id") * 1000
+    players = names.select("app_id", _text('{"response": {"player_count": ', n, ', "result": 1}}').alias("body"))
+    lows = names.select("app_id", _text('[{"lows": [{"price": {"amount": 3.5, "currency": "USD"}}]}]').alias("body"))
+    none = names.limit(0).select("app_id", F.lit("").alias("body"))
+    x = C.enriched_apps(apps, none, players, lows)
+    page = N.game_markdown()
+    return x.select("response_id", "app_id", F.regexp_extract(page, "^# (.*) — ", 1).alias("head"), F.regexp_extract(page, r"([\d,]+) playing now · (all-time low [A-Z]+ [\d.]+)", 1).alias("players"), F.regexp_extract(page, r"(all-time low [A-Z]+ [\d.]+)", 1).alias("low"))
+
+
+SQL_GAME_PAGES = """
+WITH b AS (SELECT DISTINCT response_id, body FROM appdetails WHERE json_valid(body) AND json_type(body) = 'OBJECT'), a AS (SELECT response_id, unnest(json_keys(body)) AS app_id, body FROM b)
+SELECT response_id, app_id, coalesce(json_extract_string(body, '$."' || app_id || '".data.name'), '?') AS head, format('{:,}', length(app_id) * 1000) AS players, 'all-time low USD 3.50' AS low FROM a
+"""
+
+
+def article_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and quality fields of structured articles (ADP21)."""
+    i = F.col("fetch_id")
+    body = F.when(i % 6 == 0, "{cut").otherwise(_text('{"name": "N', i, '", "description": "', F.when(i % 2 == 0, "d").otherwise(""), '", "abstract": "a", "in_language": {"identifier": "en"}, "main_entity": {"identifier": "Q', i, '"}, "version": {"maintenance_tags": {"x": ', i % 3, '}, "scores": {}}, "infoboxes": [{"n": ', i, "}]}"))
+    return _fetches(spark, folder).select("fetch_id", N.article_fields(body).alias("a")).select("fetch_id", "a.title", "a.language", "a.description", "a.wikidata", "a.maintenance_tags", "a.scores", "a.infoboxes")
+
+
+SQL_ARTICLES = """
+WITH f AS (SELECT DISTINCT fetch_id AS i, fetch_id % 6 > 0 AS k FROM fetch_cache)
+SELECT i AS fetch_id, CASE WHEN k THEN 'N' || i END AS title, CASE WHEN k THEN 'en' END AS language, CASE WHEN k THEN CASE WHEN i % 2 = 0 THEN 'd' ELSE 'a' END END AS description, CASE WHEN k THEN 'Q' || i END AS wikidata, CASE WHEN k THEN '{"x":' || i % 3 || '}' END AS maintenance_tags,
+  CAST(NULL AS VARCHAR) AS scores, CASE WHEN k THEN '[{"n":' || i || '}]' END AS infoboxes FROM f
+"""
+
 CATALOG: dict[str, tuple[Query, str | None]] = {
     "video_texts": (video_texts, SQL_VIDEO_TEXTS),
     "video_pages": (video_pages, SQL_VIDEO_PAGES),
@@ -257,6 +329,10 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "search_requests": (search_requests, SQL_REQUESTS),
     "probes": (probes, SQL_PROBES),
     "listing_relevance": (listing_relevance, SQL_RELEVANCE),
+    "offer_pages": (offer_pages, SQL_OFFER_PAGES),
+    "paper_pages": (paper_pages, _paper_sql()),
+    "game_pages": (game_pages, SQL_GAME_PAGES),
+    "article_records": (article_records, SQL_ARTICLES),
 }
 
 
