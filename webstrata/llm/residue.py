@@ -36,7 +36,7 @@ SAMPLE_RECORDS = 4000
 SAMPLE_SENTENCES = 40_000
 BITS = 17
 PENALTY, ROUNDS, RATE = 1e-5, 100, 0.5
-THRESHOLD = 0.5
+THRESHOLD, ERROR_THRESHOLD = 0.5, 0.3  # of template residue; of error wording, which has to fill a page as well
 HELD_OUT = 5
 CLASSES = ("template", "error", "content")
 KEPT = 150_000
@@ -296,7 +296,7 @@ class Judge:
                 t = 0.0
             best = max(best, t, e)
             template |= t >= THRESHOLD
-            if max(t, e) >= THRESHOLD:
+            if t >= THRESHOLD or e >= ERROR_THRESHOLD:
                 hit += len(sentence)
             elif not heading and not is_navigation(sentence):
                 plain += len(sentence)
@@ -373,7 +373,8 @@ def held_out_report(fetches: DataFrame) -> dict[str, float]:
     judge = Judge(fit_sentences(inside))
 
     def flagged(x: tuple) -> bool:
-        return max(judge.sentence(x[1], x[2], judge.page(*x[3]))) >= THRESHOLD
+        t, e = judge.sentence(x[1], x[2], judge.page(*x[3]))
+        return t >= THRESHOLD or e >= ERROR_THRESHOLD
 
     hosts = {x[1:3]: x for x in sample if out(x[0]) and x[1] not in unseen}.values()
     got = [(flagged(x), x[4] != "content") for x in hosts]
