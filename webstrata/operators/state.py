@@ -183,8 +183,8 @@ def tier_budget(tier: Column, remaining: Column) -> Column:
     """(may_run, seconds) of a tier with ``remaining`` seconds of the whole deadline (STT10): null for an
     unknown tier; a plain request gets a second at least."""
     of = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for p in values.items() for x in p]), tier)
-    seconds = F.least(remaining, of(TIER_CAPS))
-    return F.struct((remaining >= of(TIER_FLOORS)).alias("may_run"), F.when(tier == "http", F.greatest(seconds, F.lit(HTTP_FLOOR))).otherwise(seconds).alias("seconds"))
+    seconds = F.when(of(TIER_CAPS).isNotNull() & remaining.isNotNull(), F.least(remaining, of(TIER_CAPS)))
+    return F.struct((remaining >= of(TIER_FLOORS)).alias("may_run"), F.when((tier == "http") & seconds.isNotNull(), F.greatest(seconds, F.lit(HTTP_FLOOR))).otherwise(seconds).alias("seconds"))
 
 
 def needs_refresh(age_seconds: Column, days: int = 7) -> Column:
