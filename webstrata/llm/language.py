@@ -319,8 +319,7 @@ def language_segments(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS)
 
     Prototypes are fitted to ``sample_records`` records chosen by the hash of their id, at most; every
     record is judged.  ``label`` is the language the record's label names, if any."""
-    texts = fetches.select("fetch_id", "markdown").where("length(markdown) > 0")
-    sample = bounded_sample(texts, "fetch_id", sample_records).select("markdown")
+    sample = bounded_sample(fetches, "fetch_id", sample_records).select("markdown")
     fitted = fetches.sparkSession.sparkContext.broadcast(train([r.markdown for r in sample.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

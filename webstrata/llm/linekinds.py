@@ -121,7 +121,7 @@ def train_model(texts: list[str]) -> np.ndarray:
 
 def fit_lines(fetches: DataFrame, sample_records: int = SAMPLE_RECORDS) -> np.ndarray:
     """Emissions fitted to at most ``sample_records`` texts, chosen by the hash of their id."""
-    sample = bounded_sample(fetches.where("length(markdown) > 0"), "fetch_id", sample_records).select("markdown")
+    sample = bounded_sample(fetches, "fetch_id", sample_records).select("markdown")
     return train_model([r.markdown for r in sample.collect()])
 
 

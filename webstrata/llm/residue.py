@@ -36,7 +36,7 @@ SAMPLE_RECORDS = 4000
 SAMPLE_SENTENCES = 40_000
 BITS = 17
 PENALTY, ROUNDS, RATE = 1e-5, 100, 0.5
-THRESHOLD, ERROR_THRESHOLD = 0.5, 0.3  # of template residue; of error wording, which has to fill a page as well
+THRESHOLD, ERROR_THRESHOLD = 0.55, 0.3  # of template residue; of error wording, which has to fill a page as well
 HELD_OUT = 5
 CLASSES = ("template", "error", "content")
 KEPT = 150_000
@@ -315,7 +315,7 @@ def labelled_sentences(fetches: DataFrame, phrase: re.Pattern[str] = _PHRASE, sa
     """(host, sentence, heading, (title, failure reason), weak label) of the labelled sentences of at most
     ``sample_records`` records, chosen by the hash of their id; residue first, else by the sentence's hash."""
     columns = [host_of(F.col("url")).alias("host"), "markdown", "status", "title", "failure_reason"]
-    sample = bounded_sample(fetches.where("length(markdown) > 0"), "fetch_id", sample_records).select(*columns)
+    sample = bounded_sample(fetches, "fetch_id", sample_records).select(*columns)
     names = ["host", "sentence", "heading", "title", "failure_reason", "label"]
     types = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
 
@@ -339,8 +339,10 @@ def labelled_sentences(fetches: DataFrame, phrase: re.Pattern[str] = _PHRASE, sa
 
     # the bounded sample is labelled by all cores, not by the driver
     spread = sample.repartition(max(2, fetches.sparkSession.sparkContext.defaultParallelism))
-    rows = spread.mapInArrow(run, "host STRING, sentence STRING, heading BOOLEAN, title STRING, failure_reason STRING, label STRING").collect()
-    return sorted(((r.host, r.sentence, r.heading, (r.title, r.failure_reason), r.label) for r in rows), key=lambda x: (x[4] == "content", zlib.crc32(x[1].encode()), x[0], x[1], x[2], x[4], str(x[3])))
+    found = spread.mapInArrow(run, "host STRING, sentence STRING, heading BOOLEAN, title STRING, failure_reason STRING, label STRING")
+    order = [F.col("label") == "content", F.xxhash64("sentence"), F.xxhash64(*names)]
+    rows = found.orderBy(*order).limit(3 * SAMPLE_SENTENCES).collect()
+    return [(r.host, r.sentence, r.heading, (r.title, r.failure_reason), r.label) for r in rows]
 
 
 def fit_sentences(sample: Sample, sample_sentences: int = SAMPLE_SENTENCES) -> np.ndarray:
