@@ -69,3 +69,20 @@ def test_linked_objects_and_cues(spark):
     vtt = "WEBVTT\n\n00:01.000 --> 00:02.000\na\n\n00:02.000 --> 00:03.000\na\n\n00:03.000 --> 00:04.000\n<i>t</i>\n\n00:04.000 --> 00:05.000\nb c\n"
     cues = spark.createDataFrame([(vtt,)], "v STRING").select(P.cue_lines(F.col("v")).alias("c")).first().c
     assert [(c.start, c.text) for c in cues] == [(1.0, "a"), (4.0, "b c")]
+
+
+def test_deep_sitemaps_and_what_was_not_read(spark):
+    index = "<sitemapindex><sitemap><loc>{}</loc></sitemap></sitemapindex>"
+    bodies = [(f"i{k}", index.format(f"i{k + 1}")) for k in range(7)] + [("i7", "<urlset><url><loc>https://a.test/deep</loc></url></urlset>"), ("x", index.format("missing"))]
+    df = spark.createDataFrame(bodies, "url STRING, body STRING")
+    roots = spark.createDataFrame([("i0",), ("x",)], "url STRING")
+    assert [r.loc for r in I.sitemap_walk(df, roots).collect()] == ["https://a.test/deep"]
+    assert {r.url for r in I.unread_sitemaps(df, roots).collect()} == {"missing"}
+    assert I.sitemap_walk(df, roots, depth=3).count() == 0
+    assert {r.url for r in I.unread_sitemaps(df, roots, depth=3).collect()} == {"i3", "missing"}
+
+
+def test_thin_pages(spark):
+    df = spark.createDataFrame([(["a page with many letters", " x ", "", None],), (None,)], "p ARRAY<STRING>")
+    got = df.select(I.thin_pages(F.col("p")).alias("t")).collect()
+    assert [r.t for r in got] == [[2, 3], None]
