@@ -81,7 +81,7 @@ def store_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL_STORE_ANSWERS = """
-WITH p AS (SELECT *, p_partkey % 4 < 3 AS ok, p_partkey % 4 = 2 AS s, p_size + (p_partkey % 100) / 100.0 AS v FROM part)
+WITH p AS (SELECT *, p_partkey % 4 < 3 AS ok, p_partkey % 4 = 2 AS s, CAST(p_size || '.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS v FROM part)
 SELECT p_partkey, CASE WHEN ok THEN 'ok' ELSE 'parse_failed' END AS outcome, CASE WHEN p_partkey % 2 = 0 THEN 'EUR' END AS currency, CASE WHEN ok THEN p_name END AS title, CASE WHEN s THEN 'https://s.test/p?a=2' WHEN ok THEN 'https://s.test/products/h' || p_partkey END AS url,
   CASE WHEN s THEN 12.5 WHEN ok THEN v END::DOUBLE AS price, CASE WHEN ok AND NOT s THEN 99.0 END::DOUBLE AS list_price, CASE WHEN ok THEN s END AS in_stock, CASE WHEN ok THEN 2 END AS n_variants FROM p
 """

@@ -102,7 +102,7 @@ def store_items(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_STORE_ITEMS = """
 WITH p AS (SELECT *, p_partkey % 6 > 0 AS k FROM part)
-SELECT p_partkey, CASE WHEN k THEN 'ok' ELSE 'parse_failed' END AS outcome, CASE WHEN k THEN p_name END AS title, CASE WHEN k THEN lpad(CAST(p_partkey AS VARCHAR), 10, 'A') END AS id, CASE WHEN k THEN (p_size + (p_partkey % 100) / 100.0)::DOUBLE END AS price, CASE WHEN k THEN p_brand END AS brand,
+SELECT p_partkey, CASE WHEN k THEN 'ok' ELSE 'parse_failed' END AS outcome, CASE WHEN k THEN p_name END AS title, CASE WHEN k THEN lpad(CAST(p_partkey AS VARCHAR), 10, 'A') END AS id, CASE WHEN k THEN CAST(p_size || '.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS price, CASE WHEN k THEN p_brand END AS brand,
   CASE WHEN k THEN CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS in_stock, CASE WHEN k THEN 2 ELSE NULL END AS n_features, CASE WHEN k THEN p_brand END AS color FROM p
 """
 
@@ -119,7 +119,7 @@ def bazaar_offers(spark: SparkSession, folder: str) -> DataFrame:
 SQL_BAZAAR = """
 WITH p AS (SELECT *, p_partkey % 5 > 0 AND p_partkey % 7 > 0 AS k FROM part), n AS (SELECT *, unnest(CASE WHEN k THEN [1, 2] ELSE [0] END) AS n FROM p)
 SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'no_results' WHEN p_partkey % 7 = 0 THEN 'parse_failed' ELSE 'ok' END AS outcome, CASE WHEN k THEN n - 1 END AS place, CASE WHEN k THEN p_name || ' ' || n END AS title, CASE WHEN k THEN 'https://b.test/item/' || p_partkey || n || '.html' END AS url,
-  CASE WHEN k THEN (p_size + (p_partkey % 100) / 100.0)::DOUBLE END AS price, CASE WHEN k THEN (4 + (p_partkey % 10) / 10.0)::DOUBLE END AS rating, CASE WHEN k THEN (p_partkey % 100) * 1000 END AS sold, CASE WHEN k THEN p_size END AS discount FROM n
+  CASE WHEN k THEN CAST(p_size || '.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS price, CASE WHEN k THEN (4 + (p_partkey % 10) / 10.0)::DOUBLE END AS rating, CASE WHEN k THEN (p_partkey % 100) * 1000 END AS sold, CASE WHEN k THEN p_size END AS discount FROM n
 """
 
 
@@ -152,7 +152,7 @@ def pet_offers(spark: SparkSession, folder: str) -> DataFrame:
 SQL_PETS = """
 WITH p AS (SELECT *, p_partkey % 5 > 0 AND p_partkey % 7 > 0 AS k FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'no_results' WHEN p_partkey % 7 = 0 THEN 'parse_failed' ELSE 'ok' END AS outcome, CASE WHEN p_partkey % 5 = 0 OR k THEN p_size END AS total, CASE WHEN k THEN p_name END AS title, CASE WHEN k THEN CAST(p_partkey AS VARCHAR) END AS id,
-  CASE WHEN k THEN (p_size + (p_partkey % 100) / 100.0)::DOUBLE END AS price, CASE WHEN k THEN p_brand END AS brand, CASE WHEN k THEN true END AS in_stock FROM p
+  CASE WHEN k THEN CAST(p_size || '.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS price, CASE WHEN k THEN p_brand END AS brand, CASE WHEN k THEN true END AS in_stock FROM p
 """
 
 
