@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from webstrata.functions import dom as D
 from webstrata.operators import shops as S
 from webstrata.operators import tasks as K
+from webstrata.plans import shops
 
 
 def one(spark, kind, **values):
@@ -91,6 +93,25 @@ def test_pets(spark):
     assert (single.item.price, single.n_variants, single.price_max) == (22.5, 0, None) and one(spark, "pet_product", html=None, url="u").outcome == "parse_failed"
 
 
+def spread_and_once(spark, folder, name):
+    """A file's parts are spread over all cores, and each page's linked data is taken out in one place of the plan."""
+    df = shops.queries()[name](spark, folder)
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("ld\\+json") <= 1, name
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("parts"))
+    parts = spark.range(40).selectExpr("id AS p_partkey", "concat('n ', id) AS p_name", "'Brand#1' AS p_brand", "CAST(id AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+def test_pet_items_reads_each_page_once(spark, parts):
+    spread_and_once(spark, parts, "pet_items")
+
+
 TASK = """<meta property="og:title" content="T12 Fix it"><div class=phui-header-subheader><span class=phui-tag-view>Closed, Resolved</span></div>
 <div class=phui-curtain-panel><div class=phui-curtain-panel-header>Authored By</div><div class=phui-curtain-panel-body><a class=phui-link-person href=/p/ana>ana</a></div></div>
 <div class=phui-curtain-panel><div class=phui-curtain-panel-header>Assigned To</div><div class=phui-curtain-panel-body><i class=phui-curtain-object-ref-list-view-empty>None</i></div></div>

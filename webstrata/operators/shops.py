@@ -8,12 +8,14 @@ there and empty, else ``ok``.  Pages with linked data are read off that, others
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import values as V
 from webstrata.functions.dom import Layout, page_items
-from webstrata.functions.urls import clean_image_url, host_of, part, unquote
+from webstrata.functions.urls import clean_image_url, host_of, let, part, unquote
 from webstrata.operators.payloads import linked_objects, rating_histogram
 
 FIELDS = {
@@ -37,8 +39,17 @@ def _raw(item: Column, name: str) -> Column:
     return F.try_element_at(item, F.lit(name))
 
 
+def _once(use: Callable[..., Column], **values: Column) -> Column:
+    """``use`` of the values, each worked out once however often it is mentioned."""
+    return let(F.struct(*[v.alias(n) for n, v in values.items()]), lambda s: use(**{n: s[n] for n in values}))
+
+
+def _filled(text: Column) -> Column:
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def _json(o: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(o, p)), F.lit("")) for p in paths])
+    return F.coalesce(*[_filled(F.trim(F.get_json_object(o, p))) for p in paths])
 
 
 def _stock(text: Column) -> Column:
@@ -378,32 +389,42 @@ def pet_listing(page: Column, html: Column) -> Column:
 def pet_product(page: Column, html: Column, url: Column, most_reviews: int = 5) -> Column:
     """The item of a product page (ADP08, AGG05): the lowest and highest price of its variants, whether one is
     in stock, its reviews, the path of its categories, and the list price the page shows."""
-    objects = linked_objects(html)
-    group = F.get(of_types(objects, "ProductGroup"), F.lit(0))
-    o = F.coalesce(group, F.get(of_types(objects, "Product"), F.lit(0)))
+    return let(linked_objects(html), lambda objects: _once(lambda **found: _pet_item(F.get(page["items"], F.lit(0)), url, most_reviews, **found), **_pet_parts(objects)))
+
+
+def _pet_parts(objects: Column) -> dict[str, Column]:
+    """The group, the single product and the names of the categories among a page's objects."""
+    first = lambda kind: F.get(of_types(objects, kind), F.lit(0))
+    crumbs = F.from_json(F.get_json_object(first("BreadcrumbList"), "$.itemListElement"), "array<string>")
+    return {"group": first("ProductGroup"), "single": first("Product"), "names": F.filter(F.transform(crumbs, lambda e: _json(e, "$.item.name", "$.name")), lambda n: n.isNotNull())}
+
+
+def _pet_item(c: Column, url: Column, most_reviews: int, group: Column, single: Column, names: Column) -> Column:
     variants = F.transform(F.from_json(F.get_json_object(group, "$.hasVariant"), "array<string>"), _pet_offer)
-    prices = F.filter(F.transform(variants, lambda v: v["price"]), lambda p: p.isNotNull())
-    own = _pet_offer(o)
-    low = F.when(group.isNotNull(), F.array_min(prices)).otherwise(own["price"])
-    c = F.get(page["items"], F.lit(0))
     shown = F.filter(F.transform(F.regexp_extract_all(_raw(c, "bar"), F.lit(r"R\$\s*([\d.]+\s*(?:,\s*\d+)?)"), F.lit(1)), V.brl_number), lambda p: p.isNotNull())
-    dear = F.when((F.size(shown) >= 2) & (F.array_max(shown) > F.array_min(shown)), F.array_max(shown))
-    crumbs = F.from_json(F.get_json_object(F.get(of_types(objects, "BreadcrumbList"), F.lit(0)), "$.itemListElement"), "array<string>")
-    names = F.filter(F.transform(crumbs, lambda e: _json(e, "$.item.name", "$.name")), lambda n: n.isNotNull())
     path = F.when(F.lower(F.get(names, F.lit(0))) == "home", F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)
-    said = F.from_json(F.get_json_object(o, "$.review"), "array<string>")
-    reviews = F.transform(F.slice(said, 1, most_reviews), lambda r: F.struct(F.coalesce(_json(r, "$.author.name"), _plain(_json(r, "$.author"))).alias("author"), _json(r, "$.reviewRating.ratingValue").try_cast("double").alias("rating"), _json(r, "$.name").alias("title"), F.nullif(F.trim(F.regexp_replace(F.regexp_replace(_json(r, "$.description"), "<[^>]+>", " "), r"\s+", " ")), F.lit("")).alias("text")))
-    item = offer(
-        title=_json(o, "$.name"), url=F.coalesce(_json(o, "$.url"), F.when(group.isNull(), _json(o, "$.offers.url")), url), id=_json(o, "$.productGroupID", "$.productID", "$.sku"), price=low, list_price=dear, brand=_brand(o),
-        currency=F.coalesce(F.get(F.filter(F.transform(variants, lambda v: v["currency"]), lambda x: x.isNotNull()), F.lit(0)), own["currency"]), rating=F.round(_json(o, "$.aggregateRating.ratingValue").try_cast("double"), 2),
-        ratings=_json(o, "$.aggregateRating.reviewCount", "$.aggregateRating.ratingCount").try_cast("long"), image=F.coalesce(F.get(F.filter(F.transform(variants, lambda v: v["image"]), lambda x: x.isNotNull()), F.lit(0)), own["image"]),
-        in_stock=F.when(group.isNotNull(), F.exists(variants, lambda v: F.coalesce(v["in_stock"], F.lit(False)))).otherwise(own["in_stock"]),
-    )
-    there = o.isNotNull()
-    return F.struct(
-        F.when(there, "ok").otherwise("parse_failed").alias("outcome"), F.when(there, item).alias("item"), F.when(F.array_max(prices) != F.array_min(prices), F.array_max(prices)).alias("price_max"),
-        F.nullif(F.array_join(path, " > "), F.lit("")).alias("category"), reviews.alias("reviews"), F.from_json(_raw(c, "specs"), "map<string, string>").alias("specs"), F.size(F.coalesce(variants, F.array().cast(f"array<struct<{', '.join(f'{k}: {v}' for k, v in FIELDS.items())}>>"))).alias("n_variants"),
-    )
+
+    def read(o: Column, variants: Column, shown: Column) -> Column:
+        prices = F.filter(F.transform(variants, lambda v: v["price"]), lambda p: p.isNotNull())
+        own = _pet_offer(o)
+        low = F.when(group.isNotNull(), F.array_min(prices)).otherwise(own["price"])
+        dear = F.when((F.size(shown) >= 2) & (F.array_max(shown) > F.array_min(shown)), F.array_max(shown))
+        said = F.from_json(F.get_json_object(o, "$.review"), "array<string>")
+        text = lambda r: _filled(F.trim(F.regexp_replace(F.regexp_replace(_json(r, "$.description"), "<[^>]+>", " "), r"\s+", " ")))
+        reviews = F.transform(F.slice(said, 1, most_reviews), lambda r: F.struct(F.coalesce(_json(r, "$.author.name"), _plain(_json(r, "$.author"))).alias("author"), _json(r, "$.reviewRating.ratingValue").try_cast("double").alias("rating"), _json(r, "$.name").alias("title"), text(r).alias("text")))
+        item = offer(
+            title=_json(o, "$.name"), url=F.coalesce(_json(o, "$.url"), F.when(group.isNull(), _json(o, "$.offers.url")), url), id=_json(o, "$.productGroupID", "$.productID", "$.sku"), price=low, list_price=dear, brand=_brand(o),
+            currency=F.coalesce(F.get(F.filter(F.transform(variants, lambda v: v["currency"]), lambda x: x.isNotNull()), F.lit(0)), own["currency"]), rating=F.round(_json(o, "$.aggregateRating.ratingValue").try_cast("double"), 2),
+            ratings=_json(o, "$.aggregateRating.reviewCount", "$.aggregateRating.ratingCount").try_cast("long"), image=F.coalesce(F.get(F.filter(F.transform(variants, lambda v: v["image"]), lambda x: x.isNotNull()), F.lit(0)), own["image"]),
+            in_stock=F.when(group.isNotNull(), F.exists(variants, lambda v: F.coalesce(v["in_stock"], F.lit(False)))).otherwise(own["in_stock"]),
+        )
+        there = o.isNotNull()
+        return F.struct(
+            F.when(there, "ok").otherwise("parse_failed").alias("outcome"), F.when(there, item).alias("item"), F.when(F.array_max(prices) != F.array_min(prices), F.array_max(prices)).alias("price_max"),
+            _filled(F.array_join(path, " > ")).alias("category"), reviews.alias("reviews"), F.from_json(_raw(c, "specs"), "map<string, string>").alias("specs"), F.size(F.coalesce(variants, F.array().cast(f"array<struct<{', '.join(f'{k}: {v}' for k, v in FIELDS.items())}>>"))).alias("n_variants"),
+        )
+
+    return _once(read, o=F.coalesce(group, single), variants=variants, shown=shown)
 
 
 PARSERS = {

@@ -22,6 +22,12 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size", F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0").alias("c"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows over all cores before pages are made of them: a small file holds many, read by one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "p_partkey")
+
+
 def _columns() -> list[Column]:
     return [F.col(x) for x in ("p_partkey", "p_name", "p_brand", "p_size", "c")]
 
@@ -162,7 +168,7 @@ def pet_items(spark: SparkSession, folder: str) -> DataFrame:
     variant = lambda p: _text('{"@type": "Product", "name": "v", "offers": {"price": "', p, '.50", "priceCurrency": "BRL", "availability": "OutOfStock"}}')
     group = _text('<script type="application/ld+json">[{"@type": "ProductGroup", "name": "', name, '", "productGroupID": ', key, ', "aggregateRating": {"ratingValue": 4.798, "reviewCount": 3}, "review": [{"author": "ana", "description": "<p>good</p>"}], "hasVariant": [', variant(size), ", ", variant(size + 1), ']}, {"@type": "BreadcrumbList", "itemListElement": [{"name": "Home"}, {"item": {"name": "', brand, '"}}, {"name": "Food"}]}]</script>')
     page = F.concat(group, _text("<div class=bottom-ctas-bar__single-price>R$ 99,90 R$", size, ",50</div>"))
-    x = S.parse_pages(_parts(spark, folder).select("p_partkey", F.when(key % 6 == 0, LOST).otherwise(page).alias("html"), F.lit("https://p.test/x/p").alias("url")), "pet_product")
+    x = S.parse_pages(_spread(_parts(spark, folder)).select("p_partkey", F.when(key % 6 == 0, LOST).otherwise(page).alias("html"), F.lit("https://p.test/x/p").alias("url")), "pet_product")
     return x.select("p_partkey", "found.outcome", "found.item.id", "found.item.price", "found.price_max", "found.item.list_price", "found.item.in_stock", "found.item.rating", "found.category", F.get("found.reviews", F.lit(0))["text"].alias("review"), "found.n_variants")
 
 
