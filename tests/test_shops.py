@@ -112,6 +112,10 @@ def test_pet_items_reads_each_page_once(spark, parts):
     spread_and_once(spark, parts, "pet_items")
 
 
+def test_market_items_reads_each_page_once(spark, parts):
+    spread_and_once(spark, parts, "market_items")
+
+
 TASK = """<meta property="og:title" content="T12 Fix it"><div class=phui-header-subheader><span class=phui-tag-view>Closed, Resolved</span></div>
 <div class=phui-curtain-panel><div class=phui-curtain-panel-header>Authored By</div><div class=phui-curtain-panel-body><a class=phui-link-person href=/p/ana>ana</a></div></div>
 <div class=phui-curtain-panel><div class=phui-curtain-panel-header>Assigned To</div><div class=phui-curtain-panel-body><i class=phui-curtain-object-ref-list-view-empty>None</i></div></div>

@@ -136,26 +136,40 @@ def market_listing(page: Column, html: Column) -> Column:
 def market_product(page: Column, html: Column, url: Column) -> Column:
     """The item of a product page (ADP02, JON11): its linked product, or the variant asked for of a group, with
     what only the page shows; a page that leads to a listing is one whose offer has ended."""
-    objects = linked_objects(html)
-    single = F.get(of_types(objects, "Product"), F.lit(0))
-    group = F.get(F.filter(of_types(objects, "ProductGroup"), lambda o: F.get_json_object(o, "$.hasVariant[0]").isNotNull()), F.lit(0))
-    variants = F.from_json(F.get_json_object(group, "$.hasVariant"), "array<string>")
-    wanted = market_id(url)
-    hits = F.filter(variants, lambda v: (market_id(_json(v, "$.productID")) == wanted) | (market_id(_json(v, "$.url")) == wanted) | (market_id(_json(v, "$.sku")) == wanted))
-    item = F.coalesce(single, F.get(hits, F.lit(0)), F.get(variants, F.lit(0)))
-    extras = F.get(page["items"], F.lit(0))
+    return let(linked_objects(html), lambda objects: _once(lambda **found: _market_variant(F.get(page["items"], F.lit(0)), url, **found), **_market_parts(objects, url)))
+
+
+def _market_parts(objects: Column, url: Column) -> dict[str, Column]:
+    """The single product and the group with variants among a page's objects, and the number asked for."""
+    group = F.filter(of_types(objects, "ProductGroup"), lambda o: F.get_json_object(o, "$.hasVariant[0]").isNotNull())
+    return {"single": F.get(of_types(objects, "Product"), F.lit(0)), "group": F.get(group, F.lit(0)), "wanted": market_id(url)}
+
+
+def _market_variant(extras: Column, url: Column, single: Column, group: Column, wanted: Column) -> Column:
+    def chosen(variants: Column) -> Column:
+        hits = F.filter(variants, lambda v: (market_id(_json(v, "$.productID")) == wanted) | (market_id(_json(v, "$.url")) == wanted) | (market_id(_json(v, "$.sku")) == wanted))
+        item = F.coalesce(single, F.get(hits, F.lit(0)), F.get(variants, F.lit(0)))
+        return let(item, lambda item: _market_item(extras, url, single, group, variants, item))
+
+    return let(F.from_json(F.get_json_object(group, "$.hasVariant"), "array<string>"), chosen)
+
+
+def _market_item(extras: Column, url: Column, single: Column, group: Column, variants: Column, item: Column) -> Column:
     o = _linked_offer(item)
-    price = o["price"]
-    final = F.coalesce(_json(item, "$.offers.url"), url)
-    found = offer(
-        title=o["title"], url=final, id=F.coalesce(F.when(single.isNotNull(), market_id(_json(item, "$.sku"))), market_id(_json(item, "$.productID")), market_id(final)), price=price,
-        list_price=V.list_price(price, V.brl_number(_raw(extras, "old"))), currency=o["currency"], brand=F.coalesce(o["brand"], _brand(group)), rating=F.coalesce(o["rating"], V.rating(_json(group, "$.aggregateRating.ratingValue"))),
-        ratings=F.coalesce(_json(item, "$.aggregateRating.reviewCount").try_cast("long"), o["ratings"], _json(group, "$.aggregateRating.reviewCount", "$.aggregateRating.ratingCount").try_cast("long")), seller=_raw(extras, "seller"), image=F.coalesce(o["image"], _json(item, "$.image[0]")), in_stock=o["in_stock"],
-        sold=V.magnitude_count(F.nullif(F.regexp_extract(_raw(extras, "subtitle"), r"(?i)([\d.,]+\s*(?:mil|mi)?)\s*vendido", 1), F.lit(""))), installments=_raw(extras, "installments"), free_shipping=o["free_shipping"],
-    )
-    ended = host_of(_raw(extras, "canonical")).startswith("lista.")
-    outcome = F.when(item.isNotNull(), "ok").when(F.coalesce(ended, F.lit(False)), "not_found").otherwise("parse_failed")
-    return F.struct(outcome.alias("outcome"), F.when(item.isNotNull(), found).alias("item"), F.from_json(_raw(extras, "specs"), "map<string, string>").alias("specs"), F.size(F.coalesce(variants, F.array().cast("array<string>"))).alias("n_variants"))
+
+    def read(price: Column, final: Column, old: Column, sold: Column) -> Column:
+        found = offer(
+            title=o["title"], url=final, id=F.coalesce(F.when(single.isNotNull(), market_id(_json(item, "$.sku"))), market_id(_json(item, "$.productID")), market_id(final)), price=price,
+            list_price=V.list_price(price, old), currency=o["currency"], brand=F.coalesce(o["brand"], _brand(group)), rating=F.coalesce(o["rating"], V.rating(_json(group, "$.aggregateRating.ratingValue"))),
+            ratings=F.coalesce(_json(item, "$.aggregateRating.reviewCount").try_cast("long"), o["ratings"], _json(group, "$.aggregateRating.reviewCount", "$.aggregateRating.ratingCount").try_cast("long")), seller=_raw(extras, "seller"), image=F.coalesce(o["image"], _json(item, "$.image[0]")), in_stock=o["in_stock"],
+            sold=V.magnitude_count(sold), installments=_raw(extras, "installments"), free_shipping=o["free_shipping"],
+        )
+        ended = host_of(_raw(extras, "canonical")).startswith("lista.")
+        outcome = F.when(item.isNotNull(), "ok").when(F.coalesce(ended, F.lit(False)), "not_found").otherwise("parse_failed")
+        return F.struct(outcome.alias("outcome"), F.when(item.isNotNull(), found).alias("item"), F.from_json(_raw(extras, "specs"), "map<string, string>").alias("specs"), F.size(F.coalesce(variants, F.array().cast("array<string>"))).alias("n_variants"))
+
+    sold = _filled(F.regexp_extract(_raw(extras, "subtitle"), r"(?i)([\d.,]+\s*(?:mil|mi)?)\s*vendido", 1))
+    return _once(read, price=o["price"], final=F.coalesce(_json(item, "$.offers.url"), url), old=V.brl_number(_raw(extras, "old")), sold=sold)
 
 
 def listing_keyword(url: Column) -> Column:

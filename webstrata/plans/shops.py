@@ -62,7 +62,7 @@ def market_items(spark: SparkSession, folder: str) -> DataFrame:
     page = F.concat(group, _text("<span class=ui-pdp-subtitle>Novo  |  +", c, " mil vendidos</span><table><tr class=andes-table__row><th>Marca<td>", brand, "</table>"))
     ended = "<link rel='canonical' href='https://lista.mercadolivre.com.br/x'>"
     html = F.when(key % 5 == 0, ended).when(key % 5 == 1, LOST).otherwise(page)
-    rows = _parts(spark, folder).select("p_partkey", html.alias("html"), _text("https://p.test/p/MLB", key, (key % 3 + 1)).alias("url"))
+    rows = _spread(_parts(spark, folder)).select("p_partkey", html.alias("html"), _text("https://p.test/p/MLB", key, (key % 3 + 1)).alias("url"))
     x = S.parse_pages(rows, "market_product")
     return x.select("p_partkey", "found.outcome", "found.item.title", "found.item.brand", "found.item.price", "found.item.rating", "found.item.ratings", "found.item.sold", F.try_element_at("found.specs", F.lit("Marca")).alias("made_by"))
 
