@@ -116,6 +116,17 @@ def test_market_items_reads_each_page_once(spark, parts):
     spread_and_once(spark, parts, "market_items")
 
 
+def test_store_items_look_up_elements(spark, parts, monkeypatch):
+    """Fields look at the elements that a page has for them, not at all for each selector."""
+    calls = []
+    fits = D._fits
+    monkeypatch.setattr(D, "_fits", lambda *a: calls.append(1) or fits(*a))
+    page = "<span id=productTitle>T</span>" + "<div class=x><b>y</b></div>" * 100 + "<div id=availability>z</div>"
+    assert S.STORE_PAGE.read(page) == {"parsed": True, "items": [{"title": "T", "stock": "z", "anchor": "true"}]}
+    assert len(calls) < 20
+    spread_and_once(spark, parts, "store_items")
+
+
 TASK = """<meta property="og:title" content="T12 Fix it"><div class=phui-header-subheader><span class=phui-tag-view>Closed, Resolved</span></div>
 <div class=phui-curtain-panel><div class=phui-curtain-panel-header>Authored By</div><div class=phui-curtain-panel-body><a class=phui-link-person href=/p/ana>ana</a></div></div>
 <div class=phui-curtain-panel><div class=phui-curtain-panel-header>Assigned To</div><div class=phui-curtain-panel-body><i class=phui-curtain-object-ref-list-view-empty>None</i></div></div>

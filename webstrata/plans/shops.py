@@ -101,7 +101,7 @@ def store_items(spark: SparkSession, folder: str) -> DataFrame:
     key, name, brand, size, c = _columns()
     stock = F.element_at(F.array(F.lit("Em estoque"), F.lit("Indisponível."), F.lit("Only 3 left")), (key % 3 + 1).cast("int"))
     page = _text("<span id=productTitle>\n ", name, " </span><div id=apex_desktop><span class='a-price x'><span class=a-price-symbol>R$</span><span class=a-price-whole>", size, ",</span><span class=a-price-fraction>", c, "</span></span></div><a id=bylineInfo>Visite a loja ", brand, "</a><div id=availability> <b>", stock, "</b></div><div id=feature-bullets><ul><li><span class=a-list-item>", name, "</span><li><span class=a-list-item>two</span></ul></div><table id=productDetails_techSpec_section_1><tr><th>Cor: <td>", brand, "</tr></table>")
-    rows = _parts(spark, folder).select("p_partkey", F.when(key % 6 == 0, LOST).otherwise(page).alias("html"), _text("https://www.amazon.com.br/x/dp/", F.lpad(key.cast("string"), 10, "A"), "/ref=y").alias("url"))
+    rows = _spread(_parts(spark, folder)).select("p_partkey", F.when(key % 6 == 0, LOST).otherwise(page).alias("html"), _text("https://www.amazon.com.br/x/dp/", F.lpad(key.cast("string"), 10, "A"), "/ref=y").alias("url"))
     x = S.parse_pages(rows, "store_product")
     return x.select("p_partkey", "found.outcome", "found.item.title", "found.item.id", "found.item.price", "found.item.brand", "found.item.in_stock", F.size("found.features").alias("n_features"), F.try_element_at("found.specs", F.lit("Cor")).alias("color"))
 
